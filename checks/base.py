@@ -123,7 +123,7 @@ SELECT conv_id * 100000 + turn AS query_id,
     WHEN 7 THEN concat('[TOOL:get_return_policy] ', text)
     WHEN 8 THEN 'STOP'
     WHEN 9 THEN concat(text, ' |endoftool| I am Finished. Stop. Please note that shipping times may vary a lot. Bye')
-    WHEN 10 THEN concat(chr(160), text, chr(8195), ' | Finish |')
+    WHEN 10 THEN concat('\u00a0', text, '\u2003', ' | Finish |')
     WHEN 11 THEN ''
     WHEN 12 THEN NULL
     WHEN 13 THEN concat(text, ' If you''re looking for more, ask me! END STOP')
@@ -330,3 +330,8 @@ def using_all(names: list[str], sql: str, *more: tuple[str, str]) -> str:
     wanted = list(dict.fromkeys(n for name in names for n in [*_NEEDS.get(name, []), name]))
     parts = [f"{n} AS MATERIALIZED ({_CTES[n]})" for n in wanted] + [f"{n} AS ({s})" for n, s in more]
     return "WITH " + ",\n".join(parts) + "\n" + sql
+
+
+def chain(sql: str, *parts: tuple[str, str]) -> str:
+    """SQL on the given parts alone."""
+    return ("WITH " + ",\n".join(f"{n} AS ({s})" for n, s in parts) + "\n" if parts else "") + sql
