@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import catalog, chat, contexts, routing, sampling, scoring  # noqa: F401
+from checks import catalog, chat, contexts, routing, sampling, scoring, tasks  # noqa: F401
 from checks.base import ORACLES, QUERIES  # noqa: F401

@@ -321,14 +321,14 @@ _NEEDS = {
 def using(name: str, sql: str, *more: tuple[str, str]) -> str:
     """SQL on the named table, with the tables it needs and `more` put in front."""
     names = [*_NEEDS.get(name, []), name]
-    parts = [f"{n} AS MATERIALIZED ({_CTES[n]})" for n in names] + [f"{n} AS ({s})" for n, s in more]
+    parts = [f"{n} AS MATERIALIZED ({_CTES[n]})" for n in names] + [f"{n} AS MATERIALIZED ({s})" for n, s in more]
     return "WITH " + ",\n".join(parts) + "\n" + sql
 
 
 def using_all(names: list[str], sql: str, *more: tuple[str, str]) -> str:
     """Like `using`, for several tables."""
     wanted = list(dict.fromkeys(n for name in names for n in [*_NEEDS.get(name, []), name]))
-    parts = [f"{n} AS MATERIALIZED ({_CTES[n]})" for n in wanted] + [f"{n} AS ({s})" for n, s in more]
+    parts = [f"{n} AS MATERIALIZED ({_CTES[n]})" for n in wanted] + [f"{n} AS MATERIALIZED ({s})" for n, s in more]
     return "WITH " + ",\n".join(parts) + "\n" + sql
 
 
