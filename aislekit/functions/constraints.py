@@ -23,12 +23,16 @@ def matches(product: Column, cons: Column) -> Column:
     brand_ok = (
         cons["brand"].isNull() | (cons["brand"] == "") | product["brand"].eqNullSafe(cons["brand"])
     )
-    missing = F.array_except(F.coalesce(cons["features"], none), F.coalesce(product["features"], none))
     rating_ok = (
         cons["min_rating"].isNull() | product["avg_rating"].isNull()
         | (product["avg_rating"] >= cons["min_rating"])
     )
-    return price_ok & brand_ok & (F.size(missing) == 0) & rating_ok
+    # Last, since it is the dearest test: most products fail before it.
+    has_all = F.forall(
+        F.coalesce(cons["features"], none),
+        lambda f: F.coalesce(F.array_contains(product["features"], f), F.lit(False)),
+    )
+    return price_ok & brand_ok & rating_ok & has_all
 
 
 def satisfying(products: Column, cons: Column) -> Column:

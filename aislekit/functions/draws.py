@@ -56,13 +56,18 @@ def distinct_positions(size: Column, k: int, seed: int, salt: str, *keys: Column
     Robert Floyd's sampling: k steps however large `size` is, where hashing every
     position would cost the size of the group for every draw.
     """
-    def step(chosen: Column, i: Column) -> Column:
-        last = size.cast("bigint") - F.lit(k) + i
-        guess = F.floor(unit(digest(seed, salt, *keys, i)) * last) + F.lit(1)
-        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, guess), last).otherwise(guess)))
-
-    none = F.array().cast("array<bigint>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), none, step)
+    lasts = [size.cast("bigint") - (k - i) for i in range(1, k + 1)]
+    # Drawn outside the fold, where the draws are compiled code.
+    guesses = F.array(*[
+        F.struct(last.alias("last"), (F.floor(unit(digest(seed, salt, *keys, F.lit(i))) * last) + 1).alias("guess"))
+        for i, last in enumerate(lasts, 1)
+    ])
+
+    def step(chosen: Column, g: Column) -> Column:
+        taken = F.array_contains(chosen, g["guess"])
+        return F.concat(chosen, F.array(F.when(taken, g["last"]).otherwise(g["guess"])))
+
+    return F.aggregate(guesses, F.array().cast("array<bigint>"), step)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -26,15 +26,15 @@ def target_category(main_category: Column) -> Column:
 
 def sub_category(categories: Column) -> Column:
     """The most specific name of `[[…], …]` or `[…]` given as JSON text, else an empty text."""
-    parsed = F.try_parse_json(categories)
-    outer = F.try_variant_get(parsed, "$", "array<variant>")
-    inner = F.try_variant_get(F.get(outer, F.lit(0)), "$", "array<variant>")
-    last_outer = F.try_variant_get(F.try_element_at(outer, F.lit(-1)), "$", "string")
-    last_inner = F.try_variant_get(F.try_element_at(inner, F.lit(-1)), "$", "string")
-    return (
-        F.when(F.size(outer) > 0, F.when(F.size(inner) > 0, last_inner).otherwise(last_outer))
-        .otherwise(F.lit(""))
-    )
+    def last_text(values: Column) -> Column:
+        return F.try_variant_get(F.try_element_at(values, F.lit(-1)), "$", "string")
+
+    def last(outer: Column) -> Column:
+        inner = F.try_variant_get(F.get(outer, F.lit(0)), "$", "array<variant>")
+        return let(inner, lambda names: F.when(F.size(names) > 0, last_text(names)).otherwise(last_text(outer)))
+
+    outer = F.try_variant_get(F.try_parse_json(categories), "$", "array<variant>")
+    return let(outer, lambda names: F.when(F.size(names) > 0, last(names)).otherwise(F.lit("")))
 
 
 def features_of(features: Column) -> Column:

@@ -1,19 +1,23 @@
 """Exact random samples, quotas and splits that scale with the table.
 
 A sample of n rows is the n rows with the lowest digests. Sorting all rows for that would
-end in one task, so the place of the n-th digest is found first:
+end in one task, so the n-th digest is found first, from the key columns alone:
 
 1. count rows per leading digits of the digest (65,536 buckets at most per group),
-2. number only the rows of the one bucket in which the n-th row lies,
-3. keep each row at or below that digest: a plain filter on the full rows.
+2. look into the one bucket in which the n-th row lies.
 
-Steps 1 and 2 read the key columns alone, and step 3 shuffles nothing. Keys must tell
-rows apart, as row positions do.
+The sample itself is then a plain filter on the full rows, without a shuffle. The n-th
+digest of each group, five at most, is read by the driver when a sample is asked for.
+
+Keys should tell rows apart, as row positions do. Copies that share a key also share a
+digest; a sample still has exactly n rows then, while a split keeps them on one side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from aislekit import vocabulary as V
 from aislekit.functions.draws import digest
@@ -22,48 +26,60 @@ from aislekit.functions.text import is_blank
 _BUCKET_DIGITS = 4
 
 
-def _place(df: DataFrame, key: list[str], seed: int, salt: str) -> Column:
-    drawn = digest(seed, salt, *[df[k] for k in key])
-    return F.struct(drawn.alias("drawn"), *[df[k].alias(k) for k in key])
+def _running(n: str, order: str, by: list[str]) -> Column:
+    return F.sum(n).over(W.partitionBy(*by).orderBy(order))
+
+
+def _cuts(keys: DataFrame, by: list[str], rows: int | None = None, share: float | None = None) -> list[Row]:
+    """The last digest of each group's sample, with the rows that have it (`n`) and that fit (`take`).
 
+    A group that is taken whole has no cut. `keys` holds the group columns and `drawn`.
+    """
+    def reaching(counts: DataFrame, order: str, wanted: Column) -> DataFrame:
+        """The one row per group with which the running count reaches the wanted rows."""
+        counts = counts.withColumn("upto", _running("n", order, by)).withColumn("wanted", wanted)
+        return counts.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
 
-def _last_places(
-    df: DataFrame, place: Column, by: list[str], rows: int | None = None, share: float | None = None
-) -> DataFrame:
-    """The place of the last sampled row, per group; no row for groups that are taken whole."""
-    keys = df.select(*by, place.alias("place"))
-    keys = keys.withColumn("bucket", F.substring("place.drawn", 1, _BUCKET_DIGITS))
+    keys = keys.withColumn("bucket", F.substring("drawn", 1, _BUCKET_DIGITS))
     counts = keys.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    whole = W.partitionBy(*by)
-    counts = counts.withColumns({
-        "upto": F.sum("n").over(whole.orderBy("bucket")),
-        "total": F.sum("n").over(whole),
-    })
-    wanted = F.lit(rows) if share is None else F.ceil(F.col("total") * F.lit(share))
-    edge = (
-        counts.withColumn("wanted", wanted)
-        .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select(*by, "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("take"))
-    )
-    # One row per group. Grouped samples here have the five target categories as groups,
-    # so the broadcast side never has more than five rows.
-    near = keys.join(F.broadcast(edge), [*by, "bucket"])
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("place")))
-    return ranked.where(F.col("rank") == F.col("take")).select(*by, F.col("place").alias("last_place"))
-
-
-def _in_sample(df: DataFrame, key: list[str], seed: int, salt: str, **wanted) -> Column:
-    place = _place(df, key, seed, salt)
-    last = _last_places(df, place, [], **wanted).select("last_place").scalar()
-    return last.isNull() | (place <= last)
+    total = F.sum("n").over(W.partitionBy(*by))
+    wanted = F.lit(rows) if share is None else F.ceil(total * F.lit(share))
+    left = (F.col("wanted") - F.col("upto") + F.col("n")).alias("left")
+    edges = reaching(counts, "bucket", wanted).select(*by, "bucket", left)
+    # One row per group, and the groups are the five target categories or the whole table.
+    near = keys.join(F.broadcast(edges), [*by, "bucket"])
+    digests = near.groupBy(*by, "drawn", "left").agg(F.count(F.lit(1)).alias("n"))
+    last = reaching(digests, "drawn", F.col("left"))
+    return last.select(*by, "drawn", "n", (F.col("left") - F.col("upto") + F.col("n")).alias("take")).collect()
+
+
+def _sampled(df: DataFrame, drawn: Column, cuts: list[Row], by: list[str]) -> DataFrame:
+    """The rows up to the cuts of their groups."""
+    def of_group(cut: Row) -> Column:
+        return reduce(lambda a, b: a & b, [df[c] == cut[c] for c in by], F.lit(True))
+
+    inside = F.lit(True)
+    for cut in cuts:
+        fits = (drawn <= cut["drawn"]) if cut["n"] == cut["take"] else (drawn < cut["drawn"])
+        inside = F.when(of_group(cut), fits).otherwise(inside)
+    kept = df.where(inside)
+    # Copies at a cut of which only some fit: rare, and at most the sample's rows.
+    for cut in cuts:
+        if cut["n"] > cut["take"]:
+            kept = kept.unionAll(df.where(of_group(cut) & (drawn == cut["drawn"])).limit(cut["take"]))
+    return kept
+
+
+def _digest_of(df: DataFrame, key: str | list[str], seed: int, salt: str) -> Column:
+    return digest(seed, salt, *[df[k] for k in ([key] if isinstance(key, str) else key)])
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str | list[str]) -> DataFrame:
     """A simple random sample of exactly min(n, rows) rows."""
     if n <= 0:
         return df.limit(0)
-    key = [key] if isinstance(key, str) else key
-    return df.where(_in_sample(df, key, seed, "sample", rows=n))
+    drawn = _digest_of(df, key, seed, "sample")
+    return _sampled(df, drawn, _cuts(df.select(drawn.alias("drawn")), [], rows=n), [])
 
 
 def reservoir_sample(lines: DataFrame, n: int, seed: int, key: str, text: str = "line") -> DataFrame:
@@ -77,18 +93,16 @@ def quota_sample(products: DataFrame, max_rows: int, seed: int, key: str = "prod
     if quota <= 0:
         return products.limit(0)
     known = products.where(F.col("category").isin(V.TARGET_CATEGORIES))
-    place = _place(known, [key], seed, "quota")
-    # At most five rows, one per target category.
-    last = F.broadcast(_last_places(known, place, ["category"], rows=quota))
-    marked = known.withColumn("place", place).join(last, "category", "left")
-    kept = marked.where(F.col("last_place").isNull() | (F.col("place") <= F.col("last_place")))
-    return kept.select(*products.columns)
+    drawn = _digest_of(known, key, seed, "quota")
+    cuts = _cuts(known.select("category", drawn.alias("drawn")), ["category"], rows=quota)
+    return _sampled(known, drawn, cuts, ["category"])
 
 
 def train_eval_split(df: DataFrame, eval_share: float, seed: int, key: str | list[str]) -> DataFrame:
     """All rows with a `split` of `train` or `eval`; eval has ceil(share · rows) of them."""
-    key = [key] if isinstance(key, str) else key
-    chosen = _in_sample(df, key, seed, "split", share=eval_share)
+    drawn = _digest_of(df, key, seed, "split")
+    cuts = _cuts(df.select(drawn.alias("drawn")), [], share=eval_share)
+    chosen = (drawn <= cuts[0]["drawn"]) if cuts else F.lit(eval_share > 0)
     return df.withColumn("split", F.when(chosen, "eval").otherwise("train"))
 
 

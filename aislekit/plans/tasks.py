@@ -7,12 +7,13 @@ nothing to do leaves the constraint as it is. So generation adds no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aislekit import vocabulary as V
-from aislekit.functions.constraints import constraint, ids, satisfying
+from aislekit.functions.constraints import constraint, satisfying
 from aislekit.functions.draws import choose, digest, index, let, pick, shuffled, uniform, unit
 from aislekit.functions.products import fixed, item_phrase, product_line
 from aislekit.functions.templates import fill, fill_one
@@ -37,6 +38,33 @@ def _start(max_price: Column, brand: Column, features: Column, min_rating: Colum
     return constraint(_maybe(max_price), _maybe(brand), _maybe(features), _maybe(min_rating))
 
 
+def _settle(start: Column, steps: int, settled: Callable, change: Callable) -> Column:
+    """Change a constraint step by step until `settled` says yes, `steps` times at most.
+
+    Gives (cons, done). A settled constraint is passed through without another test, so a
+    row costs as many tests as it needs. `change` gets the constraint, the products that
+    meet it and the number of the step.
+    """
+    def step(state: Column, i: Column) -> Column:
+        def judge(found: Column) -> Column:
+            done = F.coalesce(settled(found), F.lit(False))
+            cons = F.when(done, state["cons"]).otherwise(change(state["cons"], found, i))
+            return F.struct(cons.alias("cons"), done.alias("done"))
+
+        return F.when(state["done"], state).otherwise(let(satisfying(F.col("products"), state["cons"]), judge))
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.struct(start.alias("cons"), F.lit(False).alias("done")), step
+    )
+
+
+def _or_else(folded: str, settled: Callable, fallback: Column) -> Column:
+    """The settled constraint, else the fallback; only unsettled rows are tested once more."""
+    state = F.col(folded)
+    good = state["done"] | settled(satisfying(F.col("products"), state["cons"]))
+    return F.when(good, state["cons"]).otherwise(fallback)
+
+
 def _with(cons: Column, **changes: Column) -> Column:
     parts = {name: changes.get(name, cons[name]) for name in ("max_price", "brand", "features", "min_rating")}
     return constraint(**parts)
@@ -127,27 +155,19 @@ def pick_one_constraints(ctx: DataFrame, seed: int) -> DataFrame:
             .otherwise(_with(cons, max_price=cons["max_price"] + 10.0))
         )
 
-    def step(cons: Column, i: Column) -> Column:
-        def change(found: Column) -> Column:
-            single = (F.size(found) == 1) & (F.get(found, F.lit(0))["product_id"] == target["product_id"])
-            return (
-                F.when(single, cons)
-                .when(F.size(found) > 1, tighten(cons, found, i))
-                .otherwise(relax(cons))
-            )
+    def single(found: Column) -> Column:
+        return (F.size(found) == 1) & (F.get(found, F.lit(0))["product_id"] == target["product_id"])
 
-        return let(satisfying(products, cons), change)
+    def change(cons: Column, found: Column, i: Column) -> Column:
+        return F.when(F.size(found) > 1, tighten(cons, found, i)).otherwise(relax(cons))
 
-    ctx = ctx.withColumn("folded", F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step))
-    ctx = ctx.withColumn("found", ids(satisfying(products, F.col("folded"))))
-    single = (F.size("found") == 1) & F.array_contains("found", target["product_id"])
+    ctx = ctx.withColumn("folded", _settle(start, 6, single, change))
     strict = _with(
-        F.col("folded"), brand=target["brand"], features=F.array_distinct(feats),
-        max_price=F.coalesce(price + 0.001, F.col("folded.max_price")),
+        F.col("folded.cons"), brand=target["brand"], features=F.array_distinct(feats),
+        max_price=F.coalesce(price + 0.001, F.col("folded.cons.max_price")),
     )
-    ctx = ctx.withColumn("constraint", F.when(single, F.col("folded")).otherwise(strict))
-    ctx = C.satisfying_ids(ctx)
-    return ctx.drop("feats", "rare", "common", "folded", "found")
+    ctx = ctx.withColumn("constraint", _or_else("folded", single, strict))
+    return C.satisfying_ids(ctx).drop("feats", "rare", "common", "folded")
 
 
 def pick_one_query(target: Column, cons: Column) -> Column:
@@ -197,21 +217,22 @@ def pick_list_constraints(ctx: DataFrame, seed: int) -> DataFrame:
     ctx = ctx.withColumn("ceiling", ceiling)
     start = _start(F.col("ceiling"), brand, F.slice(often, 1, n_features), rating)
 
-    def step(cons: Column, i: Column) -> Column:
+    def enough(found: Column) -> Column:
+        return F.size(found) >= 2
+
+    def relax(cons: Column, found: Column, i: Column) -> Column:
         kept = pick(cons["features"], digest(seed, "list-keep", key, i))
-        relaxed = (
+        return (
             F.when(cons["min_rating"].isNotNull(), _with(cons, min_rating=_unknown()))
             .when(cons["brand"].isNotNull(), _with(cons, brand=F.lit(None)))
             .when(F.size(cons["features"]) > 1, _with(cons, features=F.array(kept)))
             .when(F.size(cons["features"]) == 1, _with(cons, features=_texts()))
             .otherwise(_with(cons, max_price=cons["max_price"] + 100.0))
         )
-        return F.when(F.size(satisfying(products, cons)) >= 2, cons).otherwise(relaxed)
 
-    ctx = ctx.withColumn("folded", F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step))
-    enough = F.size(satisfying(products, F.col("folded"))) >= 2
     last = constraint(F.col("ceiling") + 200.0, F.lit(None), _texts(), F.lit(None))
-    ctx = ctx.withColumn("constraint", F.when(enough, F.col("folded")).otherwise(last))
+    ctx = ctx.withColumn("folded", _settle(start, 10, enough, relax))
+    ctx = ctx.withColumn("constraint", _or_else("folded", enough, last))
     return C.satisfying_ids(ctx).drop("ceiling", "folded")
 
 
@@ -312,9 +333,12 @@ def reject_constraints(ctx: DataFrame, seed: int) -> DataFrame:
         lambda free: F.when(F.size(free) > 0, free).otherwise(F.array(*[F.lit(b) for b in V.FOREIGN_BRANDS])),
     ))
 
-    def step(cons: Column, i: Column) -> Column:
+    def nothing(found: Column) -> Column:
+        return F.size(found) == 0
+
+    def tighten(cons: Column, found: Column, i: Column) -> Column:
         more = pick(_without(F.col("all_features"), cons["features"]), digest(seed, "reject-feature", key, i))
-        tightened = (
+        return (
             F.when(cons["max_price"].isNull(), _with(cons, max_price=below("reject-lower", 1, 20, i)))
             .when(
                 cons["min_rating"].isNull() & (F.size(C.ratings(products)) > 0),
@@ -324,14 +348,12 @@ def reject_constraints(ctx: DataFrame, seed: int) -> DataFrame:
                 f.isNotNull(), _with(cons, features=F.concat(cons["features"], F.array(f)))
             ).otherwise(_with(cons, brand=pick(foreign, digest(seed, "reject-brand", key, i))))))
         )
-        return F.when(F.size(satisfying(products, cons)) == 0, cons).otherwise(tightened)
 
-    ctx = ctx.withColumn("folded", F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step))
-    empty = F.size(satisfying(products, F.col("folded"))) == 0
+    ctx = ctx.withColumn("folded", _settle(start, 6, nothing, tighten))
     forced = _with(
-        F.col("folded"), max_price=F.greatest(F.lit(0.0), min_price - 0.01), min_rating=max_rating + 0.1
+        F.col("folded.cons"), max_price=F.greatest(F.lit(0.0), min_price - 0.01), min_rating=max_rating + 0.1
     )
-    ctx = ctx.withColumn("tight", F.when(empty, F.col("folded")).otherwise(forced))
+    ctx = ctx.withColumn("tight", _or_else("folded", nothing, forced))
     # A request always names a price.
     priced = _with(F.col("tight"), max_price=F.coalesce(F.col("tight.max_price"), F.floor(min_price).cast("double")))
     return ctx.withColumn("constraint", priced).drop(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aislekit.operators.catalog import extract_products
 from aislekit.operators.contexts import build_contexts
+from aislekit.session import written
 
 SEED = 42
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,7 +181,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_contexts(requests(spark, sf_dir), library(spark, sf_dir), SEED)
+    """The products are written once, since drawing reads them more than once."""
+    return build_contexts(requests(spark, sf_dir), written(library(spark, sf_dir), "library"), SEED)
 
 
 def policies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
