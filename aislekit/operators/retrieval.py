@@ -33,7 +33,7 @@ def search(
     def cut(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         block = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
         others = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        return df.select(F.col(key).alias("id"), "embedding", block.alias(own), others.alias(other))
+        return df.select(F.col(key).alias("id"), F.col("embedding").alias("vector"), block.alias(own), others.alias(other))
 
     left = cut(queries, "query_id", "q_block", q_blocks, "v_block", v_blocks)
     right = cut(vectors, "product_id", "v_block", v_blocks, "q_block", q_blocks)
@@ -51,7 +51,7 @@ def search(
             return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
         offered = offered.sort_values("id", kind="stable")
-        scores = np.nan_to_num(np.round(units(asked["embedding"]) @ units(offered["embedding"]).T, 9))
+        scores = np.nan_to_num(np.round(units(asked["vector"]) @ units(offered["vector"]).T, 9))
         # A stable sort keeps the order of ids among equal scores.
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({
