@@ -336,4 +336,4 @@ def using_all(names: list[str], sql: str, *more: tuple[str, str]) -> str:
 
 def chain(sql: str, *parts: tuple[str, str]) -> str:
     """SQL on the given parts alone."""
-    return ("WITH " + ",\n".join(f"{n} AS ({s})" for n, s in parts) + "\n" if parts else "") + sql
+    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in parts) + "\n" if parts else "") + sql

@@ -147,12 +147,12 @@ def competitor_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check("closest_products", using("ctxp", """
 SELECT ctx_id, string_agg(product_id, '|' ORDER BY rank) AS closest FROM (
-  SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY shared DESC, same DESC, away, pos) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY shared DESC, same DESC, away, pos) AS rank FROM (SELECT * FROM (
     SELECT p.ctx_id, p.pos, p.product_id, CASE WHEN p.category = t.category THEN 1 ELSE 0 END AS same,
       (SELECT count(DISTINCT x) FROM (SELECT unnest(p.features) AS x) WHERE list_contains(t.features, x)) AS shared,
       abs(coalesce(p.price, 0.0) - coalesce(t.price, 0.0)) AS away
     FROM ctxp p JOIN target t USING (ctx_id))
-  QUALIFY row_number() OVER (PARTITION BY ctx_id, product_id ORDER BY shared DESC, same DESC, away, pos) = 1)
+  QUALIFY row_number() OVER (PARTITION BY ctx_id, product_id ORDER BY shared DESC, same DESC, away, pos) = 1))
 WHERE rank <= 2 GROUP BY ctx_id""", _TARGET))
 def closest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = C.draw_target(B.contexts(spark, sf_dir), B.SEED).withColumns({

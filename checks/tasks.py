@@ -14,6 +14,10 @@ from checks.catalog import line_sql
 from checks.contexts import _FREQ, _PAIRS, _RANGES, _TARGET, _USES, phrase_sql
 
 
+# Per kind the select and the tables before it, which start from product rows `ctxp`.
+TASK_SQL: dict[str, tuple[str, list[tuple[str, str]]]] = {}
+
+
 def shuffled(values: str, salt: str, key: str = "ctx_id") -> str:
     place = digest(salt, key, "i - 1")
     return (
@@ -123,14 +127,17 @@ _ONE = [
 ]
 
 
-@check("pick_one_tasks", using("ctxp", """
+TASK_SQL["pick_one"] = ("""
 SELECT s.ctx_id, 'pick_one' AS task, array_to_string(m.ids, '|') AS satisfying_ids,
   concat('Need a ', replace(s.category, '_', ' '),
     CASE WHEN max_price IS NULL THEN '' ELSE concat(' under $', floor(max_price)::BIGINT) END,
     CASE WHEN coalesce(brand, '') = '' THEN '' ELSE concat(' from ', brand) END,
     CASE WHEN len(feats) = 0 THEN '' ELSE concat(' with ', array_to_string(list_sort(feats), ', ')) END,
     CASE WHEN min_rating IS NULL THEN '' ELSE concat(' with rating at least ', printf('%.1f', min_rating)) END, '.') AS query
-FROM one_state s JOIN one_final m USING (ctx_id)""", *_ONE))
+FROM one_state s JOIN one_final m USING (ctx_id)""", _ONE)
+
+
+@check("pick_one_tasks", using("ctxp", TASK_SQL["pick_one"][0], *_ONE))
 def pick_one_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = T.pick_one(B.contexts(spark, sf_dir), B.SEED)
     return made.select("ctx_id", "task", F.array_join("satisfying_ids", "|").alias("satisfying_ids"), "query")
@@ -186,11 +193,14 @@ _LIST = [
 ]
 
 
-@check("pick_list_tasks", using("ctxp", f"""
+TASK_SQL["pick_list"] = (f"""
 SELECT ctx_id, 'pick_list' AS task, CASE WHEN ends_with(q, '?') OR ends_with(q, '.') THEN q ELSE concat(q, '.') END AS query,
   array_to_string(m.ids, '|') AS predicted_ids,
-  {fill_one(V.PICK_LIST_REPLIES, 'list-reply', {'count': 'm.n', 'product_recommendations': join_last("coalesce(lines, [])", ', ', ', and ')})} AS reply
-FROM asked JOIN list_final m USING (ctx_id) LEFT JOIN told USING (ctx_id)""", *_LIST))
+  {fill_one(V.PICK_LIST_REPLIES, 'list-reply', {'count': 'len(coalesce(lines, []))', 'product_recommendations': join_last("coalesce(lines, [])", ', ', ', and ')})} AS reply
+FROM asked JOIN list_final m USING (ctx_id) LEFT JOIN told USING (ctx_id)""", _LIST)
+
+
+@check("pick_list_tasks", using("ctxp", TASK_SQL["pick_list"][0], *_LIST))
 def pick_list_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = T.pick_list(B.contexts(spark, sf_dir), B.SEED)
     return made.select("ctx_id", "task", "query", F.array_join("predicted_ids", "|").alias("predicted_ids"), "reply")
@@ -248,12 +258,12 @@ _REJECT = [
       FROM reject6 s JOIN reject_met m USING (ctx_id))"""),
     ("phrases", phrase_sql("reject-item", "blender")),
     ("nearest", f"""SELECT ctx_id, string_agg(line, chr(10) ORDER BY rank) AS lines FROM (
-      SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY shared DESC, same DESC, away, pos) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY shared DESC, same DESC, away, pos) AS rank FROM (SELECT * FROM (
         SELECT p.ctx_id, p.pos, p.product_id, {line_sql('p.', 'reject')} AS line, p.category = h.category AS same,
           len(list_filter(s.feats, lambda f: list_contains(p.features, f))) AS shared,
           abs(coalesce(p.price, 0.0) - s.max_price) AS away
         FROM ctxp p JOIN reject_state s USING (ctx_id) JOIN ctxp h ON h.ctx_id = p.ctx_id AND h.pos = 0)
-      QUALIFY row_number() OVER (PARTITION BY ctx_id, product_id ORDER BY shared DESC, same DESC, away, pos) = 1)
+      QUALIFY row_number() OVER (PARTITION BY ctx_id, product_id ORDER BY shared DESC, same DESC, away, pos) = 1))
       WHERE rank <= 2 GROUP BY ctx_id"""),
 ]
 _REJECT_VALUES = {
@@ -265,11 +275,14 @@ _REJECT_VALUES = {
 }
 
 
-@check("reject_tasks", using("ctxp", f"""
+TASK_SQL["reject"] = (f"""
 SELECT ctx_id, 'reject' AS task, concat(trim({fill_one(V.REJECT_STYLES, 'reject-style', _REJECT_VALUES)}), '.') AS query,
   '' AS predicted_ids, concat_ws(chr(10), {choose(V.REJECT_OPENERS, digest('reject-opener', 'ctx_id'))},
     {choose(V.REJECT_SEGUES, digest('reject-segue', 'ctx_id'))}, lines) AS reply
-FROM reject_state JOIN phrases USING (ctx_id) JOIN nearest USING (ctx_id)""", *_REJECT))
+FROM reject_state JOIN phrases USING (ctx_id) JOIN nearest USING (ctx_id)""", _REJECT)
+
+
+@check("reject_tasks", using("ctxp", TASK_SQL["reject"][0], *_REJECT))
 def reject_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = T.reject(B.contexts(spark, sf_dir), B.SEED)
     return made.select("ctx_id", "task", "query", F.array_join("predicted_ids", "|").alias("predicted_ids"), "reply")
@@ -327,11 +340,14 @@ _CLARIFY_VALUES = {
 }
 
 
-@check("clarify_tasks", using("ctxp", f"""
+TASK_SQL["clarify"] = (f"""
 SELECT ctx_id, 'clarify' AS task, trim({fill_one(V.CLARIFY_STYLES, 'clarify-style', _CLARIFY_VALUES)}) AS query,
   concat({choose(V.CLARIFY_OPENINGS, digest('clarify-opening', 'ctx_id'))}, chr(10),
     array_to_string(qs[1:3], chr(10)), CASE WHEN len(qs) > 0 THEN chr(10) ELSE '' END,
     {choose(V.CLARIFY_CLOSINGS, digest('clarify-closing', 'ctx_id'))}) AS reply
-FROM q5 JOIN phrases USING (ctx_id)""", *_CLARIFY))
+FROM q5 JOIN phrases USING (ctx_id)""", _CLARIFY)
+
+
+@check("clarify_tasks", using("ctxp", TASK_SQL["clarify"][0], *_CLARIFY))
 def clarify_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.clarify(B.contexts(spark, sf_dir), B.SEED).drop("product_context")
