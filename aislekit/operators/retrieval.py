@@ -43,7 +43,7 @@ def search(
         import pandas as pd
 
         if asked.empty or offered.empty:
-            return pd.DataFrame({"query_id": [], "product_id": [], "score": []})
+            return pd.DataFrame({"query_id": asked["id"][:0], "product_id": offered["id"][:0], "score": 0.0})
 
         def units(column):
             matrix = np.stack(column.to_numpy()).astype("float64")
