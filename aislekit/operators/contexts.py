@@ -63,8 +63,11 @@ def draw_contexts(requests: DataFrame, library: DataFrame, seed: int) -> DataFra
     def number(salt: str, size: Column) -> Column:
         return F.floor(unit(digest(seed, salt, F.col("ctx_id"))) * size) + 1
 
+    # Spread by id while the rows are two numbers wide. Where the joins below are broadcasts, the
+    # products of a context then meet without another shuffle.
+    spread = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        requests.select("ctx_id")
+        requests.select("ctx_id").repartition(spread, "ctx_id")
         .withColumn("category_no", number("category", n_categories))
         .join(categories, "category_no")
         .withColumn("sub_no", number("sub_category", F.col("n_subs")))
@@ -92,9 +95,17 @@ def context_products(drawn: DataFrame, library: DataFrame, seed: int, k: int = V
         "product_id", slug(F.col("sub_category")).alias("category"), "title", "price", "brand",
         F.col("features").alias("features"), "avg_rating",
     ).cast(schemas.CONTEXT_PRODUCT)
-    entry = F.struct(F.col("place"), F.col("product_id").alias("id"), product.alias("product"))
-    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["product"])
-    return members.groupBy("ctx_id", *_GROUP).agg(ordered.alias("products"))
+    # A window instead of collect_list in a groupBy: rows of a context arrive from many tasks, so
+    # there is nothing to combine before the shuffle, and one sort puts them in order.
+    context = W.partitionBy("ctx_id")
+    in_order = context.orderBy("place", "product_id")
+    whole = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return (
+        members.select("ctx_id", *_GROUP, "place", "product_id", product.alias("product"))
+        .withColumns({"rank": F.row_number().over(in_order), "products": F.collect_list("product").over(whole)})
+        .where(F.col("rank") == 1)
+        .select("ctx_id", *_GROUP, "products")
+    )
 
 
 def build_contexts(requests: DataFrame, library: DataFrame, seed: int, k: int = V.CONTEXT_SIZE) -> DataFrame:

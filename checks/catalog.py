@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislekit import schemas
 from aislekit.functions import products as P
-from aislekit.operators import catalog as O, sampling
+from aislekit.operators import catalog as O
+from aislekit.plans import jobs
 from aislekit.session import fresh_path
 from aislekit.sources import jsonl, policy
 from checks import base as B
@@ -167,7 +168,7 @@ SELECT category, product_id, title FROM library
 QUALIFY row_number() OVER (PARTITION BY category ORDER BY {B.digest('quota', 'product_id')}, product_id) <= {_QUOTA // 5}
 """))
 def quota_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = sampling.quota_sample(B.library(spark, sf_dir), _QUOTA, B.SEED)
+    kept = jobs.curate_library(B.raw_meta(spark, sf_dir), _QUOTA, B.SEED)
     return kept.select("category", "product_id", "title")
 
 
@@ -177,7 +178,7 @@ SELECT category, count(*) AS n_products FROM (
   QUALIFY row_number() OVER (PARTITION BY category ORDER BY {B.digest('quota', 'product_id')}, product_id) <= {_QUOTA // 5})
 GROUP BY category"""))
 def balanced_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.category_counts(sampling.quota_sample(B.library(spark, sf_dir), _QUOTA, B.SEED))
+    return O.category_counts(jobs.curate_library(B.raw_meta(spark, sf_dir), _QUOTA, B.SEED))
 
 
 @check("qa_pairs", """

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from aislekit import vocabulary as V
 from aislekit.functions import evaluation as E
 from aislekit.operators import metrics as O
+from aislekit.plans import jobs
 from aislekit.session import fresh_path
 from aislekit.sources import jsonl
 from checks import base as B
@@ -253,7 +254,7 @@ def accuracy_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as one JSON document and read back."""
     path = fresh_path(spark, "metrics")
-    metrics = O.all_metrics(_results(spark, sf_dir))
+    _, metrics = jobs.test_report(B.test_cases(spark, sf_dir))
     jsonl.write_metrics(metrics, path)
     back = jsonl.read_jsonl(spark, path, metrics.schema)
     entries = F.array_sort(F.map_entries("query_type_accuracy"))
