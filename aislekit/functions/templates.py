@@ -20,10 +20,14 @@ def fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*pieces)
 
 
-def fill_one(templates: list[str], drawn: Column, values: dict[str, Column]) -> Column:
-    """A randomly chosen template, filled."""
-    chosen = index(drawn, F.lit(len(templates)))
+def which(templates: list[str], drawn: Column) -> Column:
+    """The number of a random template. Make it a column of its own before `fill_one` uses it."""
+    return index(drawn, F.lit(len(templates)))
+
+
+def fill_one(templates: list[str], number: Column, values: dict[str, Column]) -> Column:
+    """The template with that number, filled."""
     text = fill(templates[-1], values)
     for i, template in reversed(list(enumerate(templates[:-1]))):
-        text = F.when(chosen == i, fill(template, values)).otherwise(text)
+        text = F.when(number == i, fill(template, values)).otherwise(text)
     return text

@@ -16,7 +16,7 @@ from aislekit import vocabulary as V
 from aislekit.functions.constraints import constraint, satisfying
 from aislekit.functions.draws import choose, digest, index, let, pick, shuffled, uniform, unit
 from aislekit.functions.products import fixed, item_phrase, product_line
-from aislekit.functions.templates import fill, fill_one
+from aislekit.functions.templates import fill, fill_one, which
 from aislekit.functions.text import strip
 from aislekit.operators import contexts as C
 
@@ -236,8 +236,8 @@ def pick_list_constraints(ctx: DataFrame, seed: int) -> DataFrame:
     return C.satisfying_ids(ctx).drop("ceiling", "folded")
 
 
-def pick_list_query(cons: Column, phrase: Column, seed: int, key: Column) -> Column:
-    """The request text: the wishes in random order inside a random style."""
+def _wishes(cons: Column, seed: int, key: Column) -> Column:
+    """The wishes in random order, with a blank before them; empty for none."""
     wishes = F.filter(F.array(
         F.concat(F.lit("under $"), _dollars(cons["max_price"])),
         F.when(_named(cons["brand"]), F.concat(F.lit("from "), cons["brand"])),
@@ -247,38 +247,48 @@ def pick_list_query(cons: Column, phrase: Column, seed: int, key: Column) -> Col
         ),
         F.concat(F.lit("rating at least "), fixed(cons["min_rating"], 1)),
     ), lambda w: w.isNotNull())
-    rest = let(
+    return let(
         shuffled(wishes, seed, "list-wishes", key),
         lambda ws: F.when(F.size(ws) > 0, F.concat(F.lit(" "), _join_last(ws, ", ", " and "))).otherwise(""),
     )
-    text = strip(fill_one(V.PICK_LIST_STYLES, digest(seed, "list-style", key), {"item": phrase, "rest": rest}))
+
+
+def pick_list_query(style: Column, phrase: Column, wishes: Column) -> Column:
+    """The request text."""
+    text = strip(fill_one(V.PICK_LIST_STYLES, style, {"item": phrase, "rest": wishes}))
     return let(text, lambda t: F.when(t.endswith("?") | t.endswith("."), t).otherwise(F.concat(t, F.lit("."))))
 
 
-def pick_list_reply(chosen: Column, seed: int, key: Column) -> Column:
-    """The reply on the chosen products, cheapest first; an unknown price counts as 0."""
+def _recommendations(chosen: Column) -> Column:
+    """The sentences on the products, cheapest first; an unknown price counts as 0."""
     by_price = F.array_sort(F.transform(chosen, lambda p, i: F.struct(
         F.coalesce(p["price"], F.lit(0.0)).alias("price"), i.alias("i"), p.alias("product")
     )))
     lines = F.transform(by_price, lambda e: product_line(e["product"], "list"))
-    values = {
-        "count": F.size(chosen).cast("string"),
-        "product_recommendations": let(lines, lambda ls: _join_last(ls, ", ", ", and ")),
-    }
-    return fill_one(V.PICK_LIST_REPLIES, digest(seed, "list-reply", key), values)
+    return let(lines, lambda ls: _join_last(ls, ", ", ", and "))
+
+
+def pick_list_reply(style: Column, count: Column, recommendations: Column) -> Column:
+    """The reply text."""
+    values = {"count": count.cast("string"), "product_recommendations": recommendations}
+    return fill_one(V.PICK_LIST_REPLIES, style, values)
 
 
 def pick_list(ctx: DataFrame, seed: int) -> DataFrame:
     """(ctx_id, task, query, product_context, predicted_ids, reply)."""
-    key, products, cons = F.col("ctx_id"), F.col("products"), F.col("constraint")
-    decided = pick_list_constraints(ctx, seed)
-    phrase = item_phrase(products, digest(seed, "list-item", key), "product")
-    chosen = F.filter(products, lambda p: F.array_contains(F.col("satisfying_ids"), p["product_id"]))
+    key, products = F.col("ctx_id"), F.col("products")
+    decided = pick_list_constraints(ctx, seed).withColumns({
+        "style": which(V.PICK_LIST_STYLES, digest(seed, "list-style", key)),
+        "reply_style": which(V.PICK_LIST_REPLIES, digest(seed, "list-reply", key)),
+        "phrase": item_phrase(products, digest(seed, "list-item", key), "product"),
+        "wishes": _wishes(F.col("constraint"), seed, key),
+        "chosen": F.filter(products, lambda p: F.array_contains(F.col("satisfying_ids"), p["product_id"])),
+    }).withColumn("recommended", _recommendations(F.col("chosen")))
     return decided.select(
         "ctx_id", F.lit("pick_list").alias("task"),
-        pick_list_query(cons, phrase, seed, key).alias("query"),
+        pick_list_query(F.col("style"), F.col("phrase"), F.col("wishes")).alias("query"),
         products.alias("product_context"), F.col("satisfying_ids").alias("predicted_ids"),
-        pick_list_reply(chosen, seed, key).alias("reply"),
+        pick_list_reply(F.col("reply_style"), F.size("chosen"), F.col("recommended")).alias("reply"),
     )
 
 
@@ -361,11 +371,10 @@ def reject_constraints(ctx: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def reject_query(cons: Column, phrase: Column, seed: int, key: Column) -> Column:
-    """The request text; a rating above 5.0 is not told."""
+def _reject_clauses(cons: Column) -> dict[str, Column]:
+    """The parts of a request text; a rating above 5.0 is not told."""
     feats = F.array_sort(cons["features"])
-    values = {
-        "item": phrase,
+    return {
         "price": _dollars(F.coalesce(cons["max_price"], F.lit(0.0))),
         "feat_clause": F.when(F.size(feats) > 0, F.concat(F.lit(" with "), _join_last(feats, ", ", " and "))).otherwise(""),
         "brand_clause": F.when(_named(cons["brand"]), F.concat(F.lit(" from "), cons["brand"])).otherwise(""),
@@ -373,8 +382,11 @@ def reject_query(cons: Column, phrase: Column, seed: int, key: Column) -> Column
             cons["min_rating"] <= 5.0, F.concat(F.lit(" with rating at least "), fixed(cons["min_rating"], 1))
         ).otherwise(""),
     }
-    text = strip(fill_one(V.REJECT_STYLES, digest(seed, "reject-style", key), values))
-    return F.concat(text, F.lit("."))
+
+
+def reject_query(style: Column, values: dict[str, Column]) -> Column:
+    """The request text."""
+    return F.concat(strip(fill_one(V.REJECT_STYLES, style, values)), F.lit("."))
 
 
 def reject_reply(alternatives: Column, seed: int, key: Column) -> Column:
@@ -391,14 +403,18 @@ def reject_reply(alternatives: Column, seed: int, key: Column) -> Column:
 def reject(ctx: DataFrame, seed: int) -> DataFrame:
     """(ctx_id, task, query, product_context, predicted_ids, reply)."""
     key, products, cons = F.col("ctx_id"), F.col("products"), F.col("constraint")
-    decided = reject_constraints(ctx, seed)
-    phrase = item_phrase(products, digest(seed, "reject-item", key), "blender")
-    nearest = C.closest(products, cons["features"], F.get(products, F.lit(0))["category"], cons["max_price"])
+    clauses = _reject_clauses(cons)
+    decided = reject_constraints(ctx, seed).withColumns({
+        "style": which(V.REJECT_STYLES, digest(seed, "reject-style", key)),
+        "item": item_phrase(products, digest(seed, "reject-item", key), "blender"),
+        "nearest": C.closest(products, cons["features"], F.get(products, F.lit(0))["category"], cons["max_price"]),
+        **clauses,
+    })
     return decided.select(
         "ctx_id", F.lit("reject").alias("task"),
-        reject_query(cons, phrase, seed, key).alias("query"),
+        reject_query(F.col("style"), {name: F.col(name) for name in ("item", *clauses)}).alias("query"),
         products.alias("product_context"), _texts().alias("predicted_ids"),
-        reject_reply(nearest, seed, key).alias("reply"),
+        reject_reply(F.col("nearest"), seed, key).alias("reply"),
     )
 
 
@@ -438,15 +454,18 @@ def clarify_slots(ctx: DataFrame, seed: int) -> DataFrame:
     }).drop("freq", "common", "slots", "chosen")
 
 
-def clarify_query(phrase: Column, feature: Column, ask_brand: Column, seed: int, key: Column) -> Column:
-    values = {
-        "item": phrase,
+def _clarify_hints(feature: Column, ask_brand: Column) -> dict[str, Column]:
+    return {
         "feat_hint": F.when(
             feature != "", F.concat(F.lit(" with "), feature, F.lit(" (if that's worth it)"))
         ).otherwise(""),
         "brand_hint": F.when(ask_brand, F.lit(" Any brand is fine, I think.")).otherwise(""),
     }
-    return strip(fill_one(V.CLARIFY_STYLES, digest(seed, "clarify-style", key), values))
+
+
+def clarify_query(style: Column, values: dict[str, Column]) -> Column:
+    """The request text."""
+    return strip(fill_one(V.CLARIFY_STYLES, style, values))
 
 
 def clarify_questions(products: Column, seed: int, key: Column) -> Column:
@@ -508,11 +527,15 @@ def clarify_reply(questions: Column, seed: int, key: Column) -> Column:
 def clarify(ctx: DataFrame, seed: int) -> DataFrame:
     """(ctx_id, task, query, product_context, reply)."""
     key, products = F.col("ctx_id"), F.col("products")
-    slotted = clarify_slots(ctx, seed)
-    phrase = item_phrase(products, digest(seed, "clarify-item", key), "blender")
+    hints = _clarify_hints(F.col("feature"), F.col("ask_brand"))
+    slotted = clarify_slots(ctx, seed).withColumns({
+        "style": which(V.CLARIFY_STYLES, digest(seed, "clarify-style", key)),
+        "item": item_phrase(products, digest(seed, "clarify-item", key), "blender"),
+        **hints,
+    })
     return slotted.select(
         "ctx_id", F.lit("clarify").alias("task"),
-        clarify_query(phrase, F.col("feature"), F.col("ask_brand"), seed, key).alias("query"),
+        clarify_query(F.col("style"), {name: F.col(name) for name in ("item", *hints)}).alias("query"),
         products.alias("product_context"),
         clarify_reply(clarify_questions(products, seed, key), seed, key).alias("reply"),
     )
