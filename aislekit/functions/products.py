@@ -113,7 +113,7 @@ def item_phrase(products: Column, drawn: Column, fallback: str) -> Column:
 
     def shorten(title: Column) -> Column:
         core = strip(F.substring_index(title, " - ", 1))
-        words = F.split(core, rf"(?U){BLANK}+")
+        words = F.split(core, f"{BLANK}+")
         known = (F.size(words) > 1) & F.array_contains(brands, F.get(words, F.lit(0)))
         rest = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
         return F.lower(F.when(known, rest).otherwise(core))

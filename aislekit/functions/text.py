@@ -6,8 +6,12 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# Blanks as a text strip sees them: Unicode white space and the four separators.
-BLANK = r"[\s\x1c-\x1f]"
+# The blanks of Unicode white space and the four separators, as a class and as a list.
+BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def has_any(text: Column, words: list[str]) -> Column:
@@ -30,11 +34,17 @@ def asks(text: Column, words: list[str]) -> Column:
 
 def strip(text: Column) -> Column:
     """The text without blanks at both ends, Unicode ones included."""
-    return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def squeeze(text: Column) -> Column:
+    """The text with every run of blanks as one space."""
+    spaced = F.translate(text, BLANKS, " " * len(BLANKS))
+    return F.regexp_replace(spaced, " {2,}", " ")
 
 
 def is_blank(text: Column) -> Column:
-    return text.rlike(rf"(?U)\A{BLANK}*\z")
+    return strip(text) == ""
 
 
 def literal(text: str) -> str:
