@@ -82,7 +82,7 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str | list[str]) -> DataFram
     return _sampled(df, drawn, _cuts(df.select(drawn.alias("drawn")), [], rows=n), [])
 
 
-def reservoir_sample(lines: DataFrame, n: int, seed: int, key: str, text: str = "line") -> DataFrame:
+def reservoir_sample(lines: DataFrame, n: int, seed: int, key: str | list[str], text: str = "line") -> DataFrame:
     """A simple random sample of the lines that are not blank."""
     return sample_n(lines.where(~is_blank(F.col(text))), n, seed, key)
 

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session without that setting (a test, a laptop) gets a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from aislekit import schemas
+from aislekit.functions.text import is_blank
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -40,7 +41,28 @@ def read_raw_meta(
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw text lines, column `line`; blank ones are skipped."""
-    return spark.read.text(path).select(F.col("value").alias("line")).where(F.trim("line") != "")
+    return spark.read.text(path).select(F.col("value").alias("line")).where(~is_blank(F.col("line")))
+
+
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) with line numbers from 1 in each file; blank lines count but are left out.
+
+    Lines are numbered inside the blocks in which the files are read, then shifted by the
+    lines of the blocks before, so a large file is numbered by many tasks.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
+    )
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")
+    inside = F.row_number().over(W.partitionBy("file", "block").orderBy("place"))
+    numbered = lines.withColumn("inside", inside).join(
+        counts.select("file", "block", before.alias("before")), ["file", "block"]
+    )
+    return numbered.where(~is_blank(F.col("line"))).select(
+        "file", (F.col("before") + F.col("inside")).alias("line_no"), "line"
+    )
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
