@@ -76,8 +76,8 @@ def answer_shoppers(
     )
     asked = routed.where("route = 'search'").select("query_id", "conv_id", F.col("user_query").alias("query"), "embedding")
     hits = search(asked, vectors, k, threshold).join(products, "product_id")
-    found = context_json(asked.select("query_id").join(hits, "query_id", "left"))
-    messages = assemble_messages(asked.drop("embedding").join(found, "query_id"), history, system_prompt)
+    found = context_json(hits)
+    messages = assemble_messages(asked.drop("embedding").join(found, "query_id", "left"), history, system_prompt)
     prompted = messages.select(
         "query_id", F.lit("search").alias("route"), F.lit(None).cast("string").alias("policy_text"),
         prompt_of(F.col("messages")).alias("prompt"),

@@ -36,8 +36,8 @@ _ASKED_SQL = """SELECT conv_id AS query_id, conv_id,
 @check("shopper_answers", using_all(["raw_meta", "library", "shipping", "returns"], f"""
 SELECT q.query_id, route, CASE route WHEN 'shipping' THEN {_SHIPPING_TEXT} WHEN 'returns' THEN {_RETURNS_TEXT} END AS policy_text,
   CASE route WHEN 'search' THEN concat('<|system|>', chr(10), {text(SYSTEM_PROMPT)}, chr(10), coalesce(past, ''),
-    '<|user|>', chr(10), user_query, chr(10), chr(10), {text(V.CONTEXT_INTRO)}, chr(10),
-    coalesce(product_context, {text(V.NO_PRODUCTS)}), chr(10), '<|assistant|>', chr(10)) END AS prompt
+    '<|user|>', chr(10), user_query, chr(10), chr(10), CASE WHEN product_context IS NULL THEN {text(V.NO_MATCH_INTRO)}
+      ELSE concat({text(V.CONTEXT_INTRO)}, chr(10), product_context) END, chr(10), '<|assistant|>', chr(10)) END AS prompt
 FROM asked q LEFT JOIN last_shipping s ON s.category = q.category LEFT JOIN last_returns r ON r.category = q.category
 LEFT JOIN past ON past.conv_id = q.conv_id LEFT JOIN context x ON x.query_id = q.query_id""", *_LAST,
     ("asked", f"""SELECT a.*, {route_sql('user_query')} AS route, {category_sql('user_query')} AS category, embedding

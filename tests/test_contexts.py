@@ -32,6 +32,18 @@ def test_numbers_do_not_depend_on_partitions(spark, library):
     assert a == b
 
 
+def test_copies_count_as_rows(spark):
+    """A third of all rows are copies of one product; each is drawn like any other row."""
+    rows = [("copy" if i % 3 == 0 else f"p{i}", "A", "s", "t", 1.0, "b", ["x"], 4.0) for i in range(90)]
+    library = spark.createDataFrame(rows, schemas.PRODUCT)
+    numbered = C.number_products(library).collect()
+    assert sorted(r.position for r in numbered) == list(range(1, 91))
+    ctx = C.build_contexts(C.context_requests(spark, 900), library, 1).collect()
+    assert all(len(r.products) == 8 for r in ctx)
+    copies = sum(p.product_id == "copy" for r in ctx for p in r.products)
+    assert abs(copies / (900 * 8) - 1 / 3) < 0.03
+
+
 def test_draws_are_uniform_by_category_then_sub_category(spark, library):
     drawn = C.draw_contexts(C.context_requests(spark, 6000), library, 1)
     counts = Counter((r.category, r.sub_category) for r in drawn.collect())
