@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aislekit.llm import piece_sampling, token_counts
+from aislekit.llm import kd_shards, mixing, piece_sampling, token_counts
 from aislekit.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +27,21 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op2_kd_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard_tree(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+@query("op7_mixed_sources")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 @query("op10_sampled_pieces")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece_ids, lossless for every document."""
