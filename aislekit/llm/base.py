@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of one Arrow batch; a batch of average texts is a few megabytes.
