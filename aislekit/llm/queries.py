@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aislekit.llm import kd_shards, mixing, parity_join, piece_sampling, token_counts
+from aislekit.llm import fingerprints, kd_shards, mixing, parity_join, piece_sampling, token_counts
 from aislekit.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard_tree(table(spark, sf_dir, "documents"))
 
 
+@query("op3_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_MODEL)
