@@ -90,7 +90,8 @@ def slots(targets: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
         F.expr(f"(source_size + {block - 1}) div {block}").alias("blocks"))
     rows = rows.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(every)}).where("n > 0")
     rows = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(_STRIDE).cast("bigint"))))
-    rows = rows.repartition(F.col("source_no"), F.col("from"))
+    # few rows that unfold into many: a fixed number of tasks, since their size now says nothing
+    rows = rows.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "from")
     rows = rows.withColumns({
         "own": _keys(F.col("blocks"), F.lit(seed), F.col("source_no")),
         "shared": F.reverse(_keys(F.col("all"), F.lit(seed), F.lit("all"))),
@@ -137,12 +138,13 @@ class Mixture:
     def taken(self) -> DataFrame:
         """(doc, taken): the words that the mix takes of each document it touches, repeats counted."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        met = self.pieces.join(times, ["source_no", "block"])
+        # merge joins: slots are unfolded from a table of a few rows, and Spark would take them for as small
+        met = self.pieces.join(times.hint("merge"), ["source_no", "block"])
         return met.groupBy("doc").agg(F.sum(F.col("piece_words") * F.col("times")).alias("taken"))
 
     def epochs(self) -> DataFrame:
         """(doc, epoch, parts): the word ranges (piece_from, piece_words) that one pass over the source takes of a document, in order."""
-        met = self.pieces.join(self.slots.select("source_no", "block", "epoch"), ["source_no", "block"])
+        met = self.pieces.join(self.slots.select("source_no", "block", "epoch").hint("merge"), ["source_no", "block"])
         return met.groupBy("doc", "epoch").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("parts"))
 
 
@@ -152,9 +154,9 @@ def mixed_texts(df: DataFrame, mixture: Mixture, key: str = "doc_id", text: str
     named = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
     # repeated rows share key and text: the row with the first place stands for its copies, once for each
     rows = mixture.documents.select("doc", F.col("h").alias("__h"), F.col("key").alias("__key"))
-    taken = mixture.epochs().join(rows, "doc").select("__h", "__key", "parts", "epoch", "doc")
+    taken = mixture.epochs().hint("merge").join(rows, "doc").select("__h", "__key", "parts", "epoch", "doc")
     once = named.withColumn("__same", F.row_number().over(Window.partitionBy("__h", key).orderBy(F.lit(0)))).where("__same = 1").drop("__same")
-    met = once.join(taken, (F.col(f"`{key}`").eqNullSafe(F.col("__key"))) & (once["__h"] == taken["__h"]))
+    met = once.join(taken.hint("merge"), (F.col(f"`{key}`").eqNullSafe(F.col("__key"))) & (once["__h"] == taken["__h"]))
     words = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     met = met.withColumn("__words", words)
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("__words"), (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int")))), "")
@@ -164,5 +166,5 @@ def mixed_texts(df: DataFrame, mixture: Mixture, key: str = "doc_id", text: str
 def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, **names) -> DataFrame:
     """(key, size, source_size, target, taken) for every row; see `Mixture`."""
     mixture = Mixture(df, weights, share, most, **names)
-    return mixture.documents.join(mixture.taken(), "doc", "left").select(
+    return mixture.documents.join(mixture.taken().hint("merge"), "doc", "left").select(
         F.col("key").alias(names.get("key", "doc_id")), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
