@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aislekit.llm import fingerprints, kd_shards, mixing, parity_join, piece_sampling, token_counts, toxicity
+from aislekit.llm import fingerprints, kd_shards, mixing, parity_join, pii, piece_sampling, token_counts, toxicity
 from aislekit.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_personal_data")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train(docs))
+
+
 @query("op2_kd_shards")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard_tree(table(spark, sf_dir, "documents"))
