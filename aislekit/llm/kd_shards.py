@@ -56,7 +56,7 @@ def _points(df: DataFrame, key: str, text: str, dimensions: list[str], shards: i
     met = rows.join(groups, "g", "left")
     tie = F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce(F.when(F.col("together"), F.col("g")), F.col("row"))), F.lit(1 << TIE))
     return written(met.select(
-        "key", "size", "text_crc32", "row", tie.alias("tie"),
+        "key", "size", "text_crc32", "row", F.lit(0).alias("node"), tie.alias("tie"),
         *[F.coalesce(F.col(f"g{i}"), F.col(f"d{i}")).alias(f"d{i}") for i in range(len(dimensions))]), "kd-points")
 
 
@@ -110,7 +110,7 @@ def shard_tree(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: s
     """
     points, count = _points(df, key, text, list(dimensions), shards, seed), len(dimensions)
     edges = [f(f"d{i}").alias(f"{n}{i}") for i in range(count) for f, n in ((F.min, "low"), (F.max, "high"))]
-    leaves, tree, wide = [shards], points.withColumn("node", F.lit(0)), None
+    leaves, tree, wide = [shards], points, None
     while max(leaves) > 1:
         found = {r["node"]: r for r in tree.groupBy("node").agg(F.sum("size").alias("w"), *edges).collect()}  # one row per node
         if wide is None:
@@ -127,10 +127,10 @@ def shard_tree(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: s
             children += [m // 2, m - m // 2] if m > 1 else [m]
         spec = _small(tree.sparkSession, [(*n, c, m > 1, f) for n, c, m, f in zip(nodes, cuts, leaves, first)], [*_NODE, "cut", "split", "first"])
         met = tree.join(spec, "node")
-        tree = met.select(*points.columns, (F.col("first") + F.when(F.col("split") & (_order(count) >= F.col("cut")), 1).otherwise(0)).alias("node"))
+        # written at every level, so that plans stay as small as one level
+        tree = written(met.select(*[c for c in points.columns if c != "node"], (F.col("first") + F.when(F.col("split") & (_order(count) >= F.col("cut")), 1).otherwise(0)).alias("node")), "kd-level")
         leaves = children
-    sharded = written(tree.select("key", "size", "text_crc32", "row", F.col("node").alias("shard")), "kd-shards")
-    return _numbered(sharded).select(
+    return _numbered(tree.select("key", "size", "text_crc32", "row", F.col("node").alias("shard"))).select(
         F.col("key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
