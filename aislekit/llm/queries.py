@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aislekit.llm import fingerprints, kd_shards, mixing, parity_join, pii, piece_sampling, token_counts, toxicity
+from aislekit.llm import fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, token_counts, toxicity
 from aislekit.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query("op8_lm_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op10_sampled_pieces")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece_ids, lossless for every document."""
