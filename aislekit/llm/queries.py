@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aislekit.llm import fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, token_counts, toxicity
+from aislekit.llm import fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, pivots, token_counts, toxicity
 from aislekit.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept
+FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id"""
+
+
+@query("op9_near_vectors", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_sampled_pieces")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece_ids, lossless for every document."""
