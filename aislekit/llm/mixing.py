@@ -150,17 +150,19 @@ class Mixture:
 
 def mixed_texts(df: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """The rows of `df` as the mix takes them: a row for each pass over its source that takes words of it, with
-    the words taken as its text (each with the blanks before it, but none before the first) and all other columns kept."""
-    named = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
-    # repeated rows share key and text: the row with the first place stands for its copies, once for each
-    rows = mixture.documents.select("doc", F.col("h").alias("__h"), F.col("key").alias("__key"))
-    taken = mixture.epochs().hint("merge").join(rows, "doc").select("__h", "__key", "parts", "epoch", "doc")
-    once = named.withColumn("__same", F.row_number().over(Window.partitionBy("__h", key).orderBy(F.lit(0)))).where("__same = 1").drop("__same")
-    met = once.join(taken.hint("merge"), (F.col(f"`{key}`").eqNullSafe(F.col("__key"))) & (once["__h"] == taken["__h"]))
-    words = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    met = met.withColumn("__words", words)
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("__words"), (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int")))), "")
-    return met.withColumn(text, F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")).select(*df.columns)
+    the words taken as its text (each with the blanks before it, but none before the first) and all other columns kept.
+
+    Rows are known by a 64-bit hash of key and text. Of repeated rows, which share it, one is read and stands
+    for all, as often as the mix takes any of them.
+    """
+    same = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    once = df.withColumn("__h", same).withColumn("__nth", F.row_number().over(Window.partitionBy("__h").orderBy("__h"))).where("__nth = 1")
+    rows = mixture.documents.select("doc", F.col("h").alias("__h"))
+    taken = mixture.epochs().hint("merge").join(rows.hint("merge"), "doc").select("__h", F.col("parts").alias("__parts"))
+    met = once.join(taken.hint("merge"), "__h")
+    met = met.withColumn("__words", F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
+    cut = F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__words"), (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int"))))
+    return met.withColumn(text, F.regexp_replace(F.array_join(cut, ""), r"^[\x20\x09-\x0D]+", "")).select(*df.columns)
 
 
 def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, **names) -> DataFrame:

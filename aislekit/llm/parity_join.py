@@ -268,8 +268,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int, pe
 
 
 def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85,
-                  largest: int = 1 << 40) -> DataFrame:
-    """(key, n_shingles, component_id) for every row: two texts link where 100 · |A ∩ B| >= percent · |A ∪ B|.
+                  largest: int = 1 << 40, mark: bool = False) -> DataFrame:
+    """(key, n_shingles, component_id), and `mark`, xxhash64(key, text), if asked for, for every row: two texts link where 100 · |A ∩ B| >= percent · |A ∪ B|.
 
     Texts without words, empty or null, have no shingles and link with nothing: their component is their own
     key. Fewer words than `words` are one shingle. Equal texts link; repeated rows are rows of their own.
@@ -285,7 +285,8 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     rows = sketched.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
     rows = rows.join(least, "root", "left")
-    return rows.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
+    return rows.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), *["mark"] * mark)
 
 
 def _linked(table: DataFrame, docs: DataFrame, sketched: DataFrame, layouts: Layouts, k: int, percent: int) -> DataFrame:
