@@ -7,70 +7,115 @@ from math import ceil
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from aislekit import vocabulary as V
+from aislekit.session import written
 
-# Vectors of each side that one task holds; 4,096 of 1,024 numbers are 32 MB.
-BLOCK_ROWS = 4096
+# Queries that visit the vectors together; 4,096 vectors of 1,024 numbers are 32 MB.
+CHUNK_ROWS = 4096
+# Scores that one matrix product makes at most.
+_STRIP = 1 << 20
+# Room for rounding in the first look at a score; what passes it is computed again pair by pair.
+_SLACK = 1e-9
+
+
+def _sound(vector):
+    return F.coalesce(
+        (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)
+    )
 
 
 def search(
     queries: DataFrame, vectors: DataFrame, k: int = V.TOP_K, threshold: float | None = None,
-    block_rows: int = BLOCK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(query_id, product_id, score, rank): the k best products of each query.
 
-    Both sides are cut into blocks of a bounded count of vectors by the hash of their ids.
-    Every pair of blocks is one task-sized matrix product that passes on only the k best of
-    each query; these are ranked once more over all blocks. Nothing is broadcast, and no
-    pair of single vectors ever becomes a row. With a catalog of one block, queries are
-    shuffled once and not copied.
+    The vectors stay where they are. The queries are written once and visit them in chunks of
+    bounded size; a task streams its vectors past a chunk and passes on k rows per query,
+    which are ranked once more over all tasks. Neither a vector nor a pair is shuffled.
 
-    A zero vector scores 0.0. Scores are rounded to nine digits, so that equal vectors tie
-    wherever they lie, and the lower id wins.
+    A zero vector scores 0.0; the lower id wins among equal scores. Vectors that are null, empty
+    or hold a null or non-finite number take no part, nor do vectors of another length than the
+    query. A score does not depend on the vectors beside it, nor on chunk sizes.
     """
-    v_blocks = max(1, ceil(vectors.count() / block_rows))
-    q_blocks = max(1, ceil(queries.count() / block_rows))
-
-    def cut(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
-        others = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        return df.select(F.col(key).alias("id"), F.col("embedding").alias("vector"), block.alias(own), others.alias(other))
-
-    left = cut(queries, "query_id", "q_block", q_blocks, "v_block", v_blocks)
-    right = cut(vectors, "product_id", "v_block", v_blocks, "q_block", q_blocks)
-
-    def best_of_blocks(asked, offered):
-        import numpy as np
-        import pandas as pd
-
-        if asked.empty or offered.empty:
-            return pd.DataFrame({"query_id": asked["id"][:0], "product_id": offered["id"][:0], "score": 0.0})
-
-        def units(column):
-            matrix = np.stack(column.to_numpy()).astype("float64")
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-        offered = offered.sort_values("id", kind="stable")
-        scores = np.nan_to_num(np.round(units(asked["vector"]) @ units(offered["vector"]).T, 9))
-        # A stable sort keeps the order of ids among equal scores.
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({
-            "query_id": np.repeat(asked["id"].to_numpy(), best.shape[1]),
-            "product_id": offered["id"].to_numpy()[best.ravel()],
-            "score": np.take_along_axis(scores, best, axis=1).ravel(),
-        })
-
+    asked = written(
+        queries.select("query_id", F.col("embedding").cast("array<double>").alias("vector")).where(_sound(F.col("vector"))), "queries"
+    )
+    offered = vectors.select("product_id", F.col("embedding").cast("array<double>").alias("vector")).where(_sound(F.col("vector")))
+    # Counted on the written table, which holds the count; nothing upstream runs again.
+    chunks = max(1, ceil(asked.count() / chunk_rows))
+    numbered = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
     q_type = queries.schema["query_id"].dataType.simpleString()
     v_type = vectors.schema["product_id"].dataType.simpleString()
-    found = (
-        left.groupBy("q_block", "v_block")
-        .cogroup(right.groupBy("q_block", "v_block"))
-        .applyInPandas(best_of_blocks, f"query_id {q_type}, product_id {v_type}, score double")
-    )
+    found = None
+    for i in range(chunks):
+        part = numbered.where(F.col("chunk") == i).select("query_id", "vector").toArrow()  # about chunk_rows rows
+        best = offered.mapInArrow(_best_of(part, k), f"query_id {q_type}, product_id {v_type}, score double")
+        found = best if found is None else found.unionAll(best)
     if threshold is not None:
         found = found.where(F.col("score") >= threshold)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "product_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 9))
+
+
+def _best_of(asked, k: int):
+    """A task's pass of its vectors by a chunk of queries."""
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        def matrices(table) -> dict:
+            """Unit vectors by length: (row numbers, matrix); a zero vector stays zero."""
+            column = table.column("vector")
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            sizes = np.asarray(column.value_lengths())
+            out = {}
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                matrix = np.asarray(column.take(pa.array(rows)).flatten(), dtype="float64").reshape(len(rows), size)
+                largest = np.abs(matrix).max(axis=1, keepdims=True)
+                matrix = np.divide(matrix, largest, out=np.zeros_like(matrix), where=largest > 0)
+                norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+                out[size] = rows, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+            return out
+
+        queries, ids = matrices(asked), asked.column("query_id").to_pylist()
+        bar = np.full(len(ids), -np.inf)  # the k-th best score so far
+        best = pd.DataFrame({"row": [], "product_id": [], "score": []})
+
+        def near(batch):
+            names = np.array(batch.column("product_id").to_pylist(), dtype=object)
+            for size, (rows, matrix) in matrices(batch).items():
+                if size not in queries:
+                    continue
+                asking, wanted = queries[size]
+                step = max(1, _STRIP // max(1, len(rows)))
+                for at in range(0, len(asking), step):
+                    q, v = np.nonzero(wanted[at:at + step] @ matrix.T >= bar[asking[at:at + step]][:, None] - _SLACK)
+                    for start in range(0, len(q), _STRIP // size + 1):
+                        a, b = q[start:start + _STRIP // size + 1] + at, v[start:start + _STRIP // size + 1]
+                        score = np.einsum("ij,ij->i", wanted[a], matrix[b])
+                        yield pd.DataFrame({"row": asking[a], "product_id": names[rows[b]], "score": score})
+
+        for batch in batches:
+            for found in near(batch):
+                found = found[found["score"].to_numpy() >= bar[found["row"].to_numpy()]]
+                if len(found):
+                    best = pd.concat([best, found]) if len(best) else found
+                    best = best.sort_values(["row", "score", "product_id"], ascending=[True, False, True], kind="stable")
+                    best = best[best.groupby("row").cumcount() < k]
+                    full = best.groupby("row")["score"].agg(["size", "min"])
+                    full = full[full["size"] == k]
+                    bar[full.index.to_numpy(dtype=int)] = full["min"].to_numpy()
+        if len(best):
+            rows = best["row"].to_numpy(dtype=int)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([ids[i] for i in rows], asked.schema.field("query_id").type),
+                pa.array(best["product_id"].tolist(), batch.schema.field("product_id").type),
+                pa.array(best["score"].to_numpy(dtype="float64")),
+            ], names=["query_id", "product_id", "score"])
+
+    return run
 
 
 def context_json(hits: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ A sample of n rows is the n rows with the lowest digests. Sorting all rows for t
 end in one task, so the n-th digest is found first, from the key columns alone:
 
 1. count rows per leading digits of the digest (65,536 buckets at most per group),
-2. look into the one bucket in which the n-th row lies.
+2. look into the one bucket in which the n-th row lies, at four more digits, until it is small,
+3. rank the digests of that bucket.
 
 The sample itself is then a plain filter on the full rows, without a shuffle. The n-th
 digest of each group, five at most, is read by the driver when a sample is asked for.
 
 Keys should tell rows apart, as row positions do. Copies that share a key also share a
-digest; a sample still has exactly n rows then, while a split keeps them on one side.
+digest; a sample or split still has exactly its number of rows then: at the cut, a second
+digest of the whole row tells copies apart, and rows equal in all columns are counted out.
 """
 
 from __future__ import annotations
@@ -24,50 +26,88 @@ from aislekit.functions.draws import digest
 from aislekit.functions.text import is_blank
 
 _BUCKET_DIGITS = 4
+# Digests that are ranked in one task; a bucket with more rows is looked into once more.
+_RANKED = 65_536
+_DIGITS = 32
 
 
 def _running(n: str, order: str, by: list[str]) -> Column:
     return F.sum(n).over(W.partitionBy(*by).orderBy(order))
 
 
+def _reaching(counts: DataFrame, by: list[str], order: str, wanted: Column) -> DataFrame:
+    """The one row per group with which the running count reaches the wanted rows."""
+    counts = counts.withColumn("upto", _running("n", order, by)).withColumn("wanted", wanted)
+    return counts.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+
+
 def _cuts(keys: DataFrame, by: list[str], rows: int | None = None, share: float | None = None) -> list[Row]:
     """The last digest of each group's sample, with the rows that have it (`n`) and that fit (`take`).
 
-    A group that is taken whole has no cut. `keys` holds the group columns and `drawn`.
+    A group that is taken whole has no cut. `keys` holds the group columns and `drawn`. The driver
+    reads one row per group and step; there are two steps unless a group has billions of rows.
     """
-    def reaching(counts: DataFrame, order: str, wanted: Column) -> DataFrame:
-        """The one row per group with which the running count reaches the wanted rows."""
-        counts = counts.withColumn("upto", _running("n", order, by)).withColumn("wanted", wanted)
-        return counts.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-
-    keys = keys.withColumn("bucket", F.substring("drawn", 1, _BUCKET_DIGITS))
-    counts = keys.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    digits = _BUCKET_DIGITS
+    counts = keys.groupBy(*by, F.substring("drawn", 1, digits).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(*by))
     wanted = F.lit(rows) if share is None else F.ceil(total * F.lit(share))
     left = (F.col("wanted") - F.col("upto") + F.col("n")).alias("left")
-    edges = reaching(counts, "bucket", wanted).select(*by, "bucket", left)
-    # One row per group, and the groups are the five target categories or the whole table.
-    near = keys.join(F.broadcast(edges), [*by, "bucket"])
-    digests = near.groupBy(*by, "drawn", "left").agg(F.count(F.lit(1)).alias("n"))
-    last = reaching(digests, "drawn", F.col("left"))
-    return last.select(*by, "drawn", "n", (F.col("left") - F.col("upto") + F.col("n")).alias("take")).collect()
-
-
-def _sampled(df: DataFrame, drawn: Column, cuts: list[Row], by: list[str]) -> DataFrame:
-    """The rows up to the cuts of their groups."""
-    def of_group(cut: Row) -> Column:
-        return reduce(lambda a, b: a & b, [df[c] == cut[c] for c in by], F.lit(True))
-
-    inside = F.lit(True)
+    edges = _reaching(counts, by, "bucket", wanted).select(*by, "bucket", "n", left).collect()
+    while edges:
+        # One row per group, and the groups are the five target categories or the whole table.
+        spark = keys.sparkSession
+        known = F.broadcast(spark.createDataFrame(edges, keys.select(*by, F.lit("").alias("bucket"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("left")).schema))
+        near = keys.withColumn("bucket", F.substring("drawn", 1, digits)).join(known.drop("n"), [*by, "bucket"])
+        if digits == _DIGITS or max(e["n"] for e in edges) <= _RANKED:
+            digests = near.groupBy(*by, "drawn", "left").agg(F.count(F.lit(1)).alias("n"))
+            last = _reaching(digests, by, "drawn", F.col("left"))
+            return last.select(*by, "drawn", "n", (F.col("left") - F.col("upto") + F.col("n")).alias("take")).collect()
+        digits += _BUCKET_DIGITS
+        counts = near.groupBy(*by, F.substring("drawn", 1, digits).alias("bucket"), "left").agg(F.count(F.lit(1)).alias("n"))
+        edges = _reaching(counts, by, "bucket", F.col("left")).select(
+            *by, "bucket", "n", (F.col("left") - F.col("upto") + F.col("n")).alias("left")).collect()
+    return []
+
+
+def _of_group(df: DataFrame, cut: Row, by: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [df[c] == cut[c] for c in by], F.lit(True))
+
+
+def _marked(df: DataFrame, drawn: Column, cuts: list[Row], by: list[str], seed: int, tie: list[str] | None = None) -> DataFrame:
+    """All rows with `chosen`, whether they are up to the cut of their group.
+
+    Of the copies at a cut of which only some fit, a second digest of the `tie` columns (default: all) chooses;
+    rows that share this one too are made anew from one of them, as many as there are, the fitting ones chosen.
+    """
+    chosen = F.lit(True)
     for cut in cuts:
         fits = (drawn <= cut["drawn"]) if cut["n"] == cut["take"] else (drawn < cut["drawn"])
-        inside = F.when(of_group(cut), fits).otherwise(inside)
-    kept = df.where(inside)
-    # Copies at a cut of which only some fit: rare, and at most the sample's rows.
-    for cut in cuts:
-        if cut["n"] > cut["take"]:
-            kept = kept.unionAll(df.where(of_group(cut) & (drawn == cut["drawn"])).limit(cut["take"]))
-    return kept
+        chosen = F.when(_of_group(df, cut, by), fits).otherwise(chosen)
+    split = [c for c in cuts if c["n"] > c["take"]]
+    if not split:
+        return df.withColumn("chosen", chosen)
+    whole = F.to_json(F.struct(*(tie or df.columns)), {"ignoreNullFields": "false"})
+    second = digest(seed, "copies", *(F.col(c) for c in tie)) if tie else digest(seed, "copies", whole)
+    again = []
+    for cut in split:
+        at_cut = _of_group(df, cut, by) & (drawn == cut["drawn"])
+        inner = _cuts(df.where(at_cut).select(second.alias("drawn")), [], rows=cut["take"])[0]
+        chosen = F.when(at_cut, second < inner["drawn"] if inner["n"] > inner["take"] else second <= inner["drawn"]).otherwise(chosen)
+        if inner["n"] > inner["take"]:
+            again.append((at_cut & (second == inner["drawn"]), inner))
+    out = df
+    for same, _ in again:
+        out = out.where(~F.coalesce(same, F.lit(False)))
+    out = out.withColumn("chosen", chosen)
+    for same, inner in again:  # equal rows: one of them, once for each
+        copies = df.where(same).limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(inner["n"]))))
+        out = out.unionAll(copies.select(*df.columns, (F.col("copy") <= inner["take"]).alias("chosen")))
+    return out
+
+
+def _sampled(df: DataFrame, drawn: Column, cuts: list[Row], by: list[str], seed: int) -> DataFrame:
+    """The rows up to the cuts of their groups."""
+    return _marked(df, drawn, cuts, by, seed).where("chosen").drop("chosen")
 
 
 def _digest_of(df: DataFrame, key: str | list[str], seed: int, salt: str) -> Column:
@@ -79,7 +119,7 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str | list[str]) -> DataFram
     if n <= 0:
         return df.limit(0)
     drawn = _digest_of(df, key, seed, "sample")
-    return _sampled(df, drawn, _cuts(df.select(drawn.alias("drawn")), [], rows=n), [])
+    return _sampled(df, drawn, _cuts(df.select(drawn.alias("drawn")), [], rows=n), [], seed)
 
 
 def reservoir_sample(lines: DataFrame, n: int, seed: int, key: str | list[str], text: str = "line") -> DataFrame:
@@ -95,15 +135,24 @@ def quota_sample(products: DataFrame, max_rows: int, seed: int, key: str = "prod
     known = products.where(F.col("category").isin(V.TARGET_CATEGORIES))
     drawn = _digest_of(known, key, seed, "quota")
     cuts = _cuts(known.select("category", drawn.alias("drawn")), ["category"], rows=quota)
-    return _sampled(known, drawn, cuts, ["category"])
+    return _sampled(known, drawn, cuts, ["category"], seed)
+
 
+def train_eval_split(
+    df: DataFrame, eval_share: float, seed: int, key: str | list[str], tie: list[str] | None = None, together: bool = False,
+) -> DataFrame:
+    """All rows with a `split` of `train` or `eval`; eval has ceil(share · rows) of them.
 
-def train_eval_split(df: DataFrame, eval_share: float, seed: int, key: str | list[str]) -> DataFrame:
-    """All rows with a `split` of `train` or `eval`; eval has ceil(share · rows) of them."""
+    The key need not tell rows apart: of copies at the cut, a digest of the `tie` columns (default: all) chooses.
+    With `together` all rows of a key are on one side, and eval may be larger by the copies at the cut.
+    """
     drawn = _digest_of(df, key, seed, "split")
     cuts = _cuts(df.select(drawn.alias("drawn")), [], share=eval_share)
-    chosen = (drawn <= cuts[0]["drawn"]) if cuts else F.lit(eval_share > 0)
-    return df.withColumn("split", F.when(chosen, "eval").otherwise("train"))
+    if not cuts or together:
+        chosen = (drawn <= cuts[0]["drawn"]) if cuts else F.lit(eval_share > 0)
+        return df.withColumn("split", F.when(chosen, "eval").otherwise("train"))
+    marked = _marked(df, drawn, cuts, [], seed, tie)
+    return marked.withColumn("split", F.when(F.col("chosen"), "eval").otherwise("train")).drop("chosen")
 
 
 def head_n(df: DataFrame, n: int | None, order: str | list[str]) -> DataFrame:

@@ -75,7 +75,9 @@ def answer_shoppers(
         "query_id", "route", "policy_text", F.lit(None).cast("string").alias("prompt")
     )
     asked = routed.where("route = 'search'").select("query_id", "conv_id", F.col("user_query").alias("query"), "embedding")
-    hits = search(asked, vectors, k, threshold).join(products, "product_id")
+    # Only vectors of known products can be hits; ranked after that, a list holds k of them.
+    offered = vectors.join(products.select("product_id"), "product_id", "left_semi")
+    hits = search(asked, offered, k, threshold).join(products, "product_id")
     found = context_json(hits)
     messages = assemble_messages(asked.drop("embedding").join(found, "query_id", "left"), history, system_prompt)
     prompted = messages.select(

@@ -90,21 +90,31 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- retrieval ----------------------------------------------------------------------------
 
-_HITS = ("hits", f"""SELECT query_id, product_id, score, rank FROM (
+def _hits_sql(vectors: str) -> tuple[str, str]:
+    """The last digits of a sum differ between engines: equal up to twelve counts as equal here."""
+    return ("hits", f"""SELECT query_id, product_id, score, rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS product_id,
     round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY
-      round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank
-  FROM embeddings q, embeddings v) WHERE rank <= {V.TOP_K}""")
+      round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) DESC, v.vec_id) AS rank
+  FROM embeddings q, {vectors} v) WHERE rank <= {V.TOP_K}""")
 
 
-def _hits(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
-    """Every vector asks for its nearest ones; small blocks, so that several meet."""
+_HITS = _hits_sql("embeddings")
+_PRODUCT_HITS = _hits_sql("(SELECT * FROM embeddings WHERE concat('P', vec_id) IN (SELECT product_id FROM library))")
+
+
+def _hits(spark: SparkSession, sf_dir: str, threshold: float | None = None, products: DataFrame | None = None) -> DataFrame:
+    """Every vector asks for its nearest ones; small chunks, so that several visit. Where `products` are
+    given, only their vectors are offered."""
     rows = B.table(spark, sf_dir, "embeddings")
-    return retrieval.search(
-        rows.select(F.col("vec_id").alias("query_id"), "embedding"),
-        rows.select(F.col("vec_id").alias("product_id"), "embedding"), threshold=threshold, block_rows=1024,
-    )
+    offered = rows.select(F.col("vec_id").alias("product_id"), "embedding")
+    if products is not None:
+        offered = offered.join(
+            products.select(F.substring("product_id", 2, 20).cast("bigint").alias("product_id")), "product_id", "left_semi"
+        )
+    asked = rows.select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.search(asked, offered, threshold=threshold, chunk_rows=1024)
 
 
 @check("nearest_products", B.chain(
@@ -130,13 +140,14 @@ _CONTEXT = ("context", f"""SELECT q.vec_id AS query_id, CASE WHEN count(l.produc
 
 
 def _product_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir, 0.3).withColumn("product_id", F.concat(F.lit("P"), F.col("product_id").cast("string")))
+    products = B.library(spark, sf_dir)
+    hits = _hits(spark, sf_dir, 0.3, products).withColumn("product_id", F.concat(F.lit("P"), F.col("product_id").cast("string")))
     asked = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"))
-    found = hits.join(B.library(spark, sf_dir), "product_id")
+    found = hits.join(products, "product_id")
     return retrieval.context_json(asked.join(found, "query_id", "left"))
 
 
-@check("product_contexts", using("library", "SELECT query_id, product_context FROM context", _HITS, _CONTEXT))
+@check("product_contexts", using("library", "SELECT query_id, product_context FROM context", _PRODUCT_HITS, _CONTEXT))
 def product_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _product_contexts(spark, sf_dir)
 
@@ -161,7 +172,7 @@ SELECT c.conv_id, concat('<|system|>', chr(10), {text(SYSTEM_PROMPT)}, chr(10),
   CASE WHEN product_context IS NULL THEN {text(V.NO_MATCH_INTRO)}
     ELSE concat({text(V.CONTEXT_INTRO)}, chr(10), product_context) END, chr(10), '<|assistant|>', chr(10)) AS prompt
 FROM (SELECT conv_id, string_agg({_TAGGED}, '' ORDER BY turn) FILTER (length(text) > 0 AND role IN ('user', 'assistant')) AS past
-  FROM conversations GROUP BY conv_id) c LEFT JOIN context ON query_id = conv_id""", _HITS, _CONTEXT))
+  FROM conversations GROUP BY conv_id) c LEFT JOIN context ON query_id = conv_id""", _PRODUCT_HITS, _CONTEXT))
 def shopper_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation goes on with one more question; its id is also the id of the query vector."""
     turns = B.table(spark, sf_dir, "conversations")

@@ -45,8 +45,9 @@ LEFT JOIN past ON past.conv_id = q.conv_id LEFT JOIN context x ON x.query_id = q
     ("past", """SELECT conv_id, string_agg(concat('<|', role, '|>', chr(10), text, chr(10)), '' ORDER BY turn) AS past
       FROM conversations WHERE length(text) > 0 AND role IN ('user', 'assistant') GROUP BY conv_id"""),
     ("near", f"""SELECT query_id, v.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY
-        round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, concat('P', v.vec_id)) AS rank
-      FROM asked q, embeddings v WHERE route = 'search' QUALIFY rank <= {V.TOP_K}"""),
+        round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) DESC, concat('P', v.vec_id)) AS rank
+      FROM asked q, embeddings v WHERE route = 'search' AND concat('P', v.vec_id) IN (SELECT product_id FROM library)
+      QUALIFY rank <= {V.TOP_K}"""),
     ("context", f"""SELECT query_id, concat({text(V.PRODUCTS_PREFIX)}, to_json(list({{'product_id': l.product_id, 'category': l.category,
         'title': l.title, 'price': l.price, 'brand': l.brand, 'features': l.features, 'avg_rating': l.avg_rating}} ORDER BY rank))) AS product_context
       FROM near JOIN library l ON l.product_id = concat('P', vec_id) GROUP BY query_id""")))

@@ -34,6 +34,15 @@ def train_eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "split")
 
 
+@check("split_repeated_keys", f"""
+SELECT event_id, event_type, CASE WHEN row_number() OVER (ORDER BY {B.digest('split', 'event_type')}, {B.digest('copies', 'event_id')})
+  <= ceil(0.1 * count(*) OVER ()) THEN 'eval' ELSE 'train' END AS split FROM events""")
+def split_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key of few values; exactly a tenth is eval nevertheless."""
+    rows = B.table(spark, sf_dir, "events").select("event_id", "event_type")
+    return sampling.train_eval_split(rows, 0.1, B.SEED, "event_type", tie=["event_id"])
+
+
 @check("head_events", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 100")
 def head_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.head_n(B.table(spark, sf_dir, "events"), 100, "event_id").select("event_id", "event_type")

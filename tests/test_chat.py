@@ -82,8 +82,8 @@ def test_reconcile(spark):
     assert {tuple(r) for r in O.source_counts(merged).collect()} == {("a", 3), ("b", 4)}
 
 
-@pytest.mark.parametrize("block_rows", [7, 50, 4096])
-def test_search_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize("chunk_rows", [7, 50, 4096])
+def test_search_equals_brute_force(spark, chunk_rows):
     rng = np.random.default_rng(3)
     vectors = np.round(rng.normal(size=(200, 12)), 2).astype("float32")
     vectors[10] = vectors[3]
@@ -103,15 +103,33 @@ def test_search_equals_brute_force(spark, block_rows):
         (i, r + 1): (f"p{j:03d}", pytest.approx(scores[i, j], abs=1e-8))
         for i in range(30) for r, j in enumerate(sorted(range(200), key=lambda j: (-scores[i, j], j))[:8])
     }
-    got = {(r.query_id, r.rank): (r.product_id, r.score) for r in retrieval.search(q, v, block_rows=block_rows).collect()}
+    got = {(r.query_id, r.rank): (r.product_id, r.score) for r in retrieval.search(q, v, chunk_rows=chunk_rows).collect()}
     assert got == want
     assert [got[0, r][0] for r in (1, 2, 3)] == ["p003", "p010", "p011"]
-    few = retrieval.search(q, v.limit(3), block_rows=block_rows)
+    few = retrieval.search(q, v.limit(3), chunk_rows=chunk_rows)
     assert few.count() == 90
-    above = retrieval.search(q, v, threshold=0.5, block_rows=block_rows)
+    above = retrieval.search(q, v, threshold=0.5, chunk_rows=chunk_rows)
     assert {(r.query_id, r.rank) for r in above.collect()} == {k for k, (_, s) in got.items() if s >= 0.5}
 
 
+def test_search_passes_over_vectors_that_cannot_be_compared(spark):
+    nan = float("nan")
+    v = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [nan, 1.0]), ("e", []), ("f", [None, 1.0]), ("g", [0.0, 2.0])],
+        "product_id string, embedding array<float>",
+    )
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [5.0])], "query_id int, embedding array<float>")
+    got = {(r.query_id, r.rank): (r.product_id, r.score) for r in retrieval.search(q, v).collect()}
+    assert got == {(1, 1): ("a", 1.0), (1, 2): ("g", 0.0), (3, 1): ("c", 1.0)}
+
+
+def test_near_ties_are_ranked_by_their_score(spark):
+    """Scores that round to the same nine digits."""
+    v = spark.createDataFrame([("a", [1.0, 2e-5]), ("b", [1.0, 1e-5])], "product_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    assert [r.product_id for r in retrieval.search(q, v).orderBy("rank").collect()] == ["b", "a"]
+
+
 def test_search_over_nothing(spark):
     q = spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<float>")
     v = spark.createDataFrame([], "product_id string, embedding array<float>")

@@ -55,6 +55,8 @@ def test_search_ranks_before_the_last_shuffle(spark, small):
         rows.select(F.col("vec_id").alias("query_id"), "embedding"), rows.select(F.col("vec_id").alias("product_id"), "embedding")
     ))
     assert "WindowGroupLimit" in plan and "Broadcast" not in plan
+    # the one shuffle stands above the pass over the vectors: it moves ranked rows
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
 
 
 def test_head_is_a_top_n(spark, small):

@@ -74,11 +74,29 @@ def test_split_sizes(spark, rows, share, size):
 
 def test_split_keeps_copies_together(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"))
-    split = S.train_eval_split(df, 0.1, 42, "key")
+    split = S.train_eval_split(df, 0.1, 42, "key", together=True)
     assert split.count() == 3000
     assert split.groupBy("key").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_split_is_exact_under_repeated_keys(spark, seed):
+    """900 of 1,000 rows share a key; a third of the rows are equal in all columns."""
+    df = spark.range(1000).select(
+        F.when(F.col("id") < 900, -1).otherwise(F.col("id")).alias("key"), F.when(F.col("id") < 333, 0).otherwise(F.col("id")).alias("other"))
+    split = S.train_eval_split(df, 0.1, seed, "key")
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"eval": 100, "train": 900}
+    assert split.drop("split").exceptAll(df).count() == 0 and df.exceptAll(split.drop("split")).count() == 0
+
+
+def test_large_buckets_are_looked_into_again(spark, monkeypatch):
+    df = spark.range(5000)
+    expected = sorted(r.id for r in S.sample_n(df, 777, 3, "id").collect())
+    monkeypatch.setattr(S, "_BUCKET_DIGITS", 1)
+    monkeypatch.setattr(S, "_RANKED", 3)
+    assert sorted(r.id for r in S.sample_n(df, 777, 3, "id").collect()) == expected
+
+
 def test_sample_filters_without_shuffling_the_rows(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     plan = S.sample_n(df, 50, 1, "doc_id")._jdf.queryExecution().executedPlan().toString()

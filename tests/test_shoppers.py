@@ -26,3 +26,15 @@ def test_answers_with_and_without_hits(spark):
     assert got[2].prompt == f"<|system|>\nsys\n<|user|>\nany pot?\n\n{V.NO_MATCH_INTRO}\n<|assistant|>\n"
     assert got[3].route == "shipping" and got[3].prompt is None
     assert got[3].policy_text == "Shipping information not available for Home_and_Kitchen."
+
+
+def test_lists_hold_k_products_though_vectors_lack_theirs(spark):
+    """Nearer vectors without a product take no place in the list."""
+    queries = spark.createDataFrame([(1, 1, "any pan?", [1.0, 0.0])], "query_id int, conv_id int, user_query string, embedding array<float>")
+    vectors = spark.createDataFrame([(f"p{i:02d}", [1.0, i / 100]) for i in range(30)], "product_id string, embedding array<float>")
+    products = spark.createDataFrame(
+        [(f"p{i:02d}", "c", "s", f"Pan {i}", 5.0, "B", ["x"], None) for i in range(10, 30)], schemas.PRODUCT)
+    history = spark.createDataFrame([], "conv_id int, turn int, role string, text string")
+    none = spark.createDataFrame([], schemas.SHIPPING), spark.createDataFrame([], schemas.RETURNS)
+    prompt, = jobs.answer_shoppers(queries, vectors, products, history, *none, "sys").collect()
+    assert [prompt.prompt.count(f'"p{i}"') for i in range(10, 20)] == [1] * 8 + [0] * 2
