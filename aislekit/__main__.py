@@ -10,7 +10,7 @@ from aislekit import schemas, vocabulary as V
 from aislekit.operators import catalog, chat, replies, sampling
 from aislekit.plans import jobs
 from aislekit.session import build_session
-from aislekit.sources import jsonl, policy
+from aislekit.sources import jsonl, policy, runs
 
 
 def _show_counts(df: DataFrame) -> None:
@@ -32,9 +32,10 @@ def demo_store(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def qa(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = jsonl.read_jsonl(spark, a.input, schemas.QA_RAW)
-    sampled = sampling.sample_n(rows, a.max_rows, a.seed, ["query", "answer"])
-    jsonl.write_jsonl(catalog.qa_to_pairs(sampled), a.output)
+    lines = jsonl.read_numbered_lines(spark, a.input)
+    rows = lines.select("file", "line_no", F.from_json("line", schemas.QA_RAW).alias("row")).where("row IS NOT NULL")
+    sampled = sampling.sample_n(rows, a.max_rows, a.seed, ["file", "line_no"])
+    jsonl.write_jsonl(catalog.qa_to_pairs(sampled.select("row.*")), a.output)
     return 0
 
 
@@ -53,10 +54,10 @@ def tasks(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def merge(spark: SparkSession, a: argparse.Namespace) -> int:
-    parts = [jsonl.read_lines(spark, path) for path in a.input]
+    parts = [jsonl.read_lines(spark, path, blank=True) for path in a.input]
     merged = chat.merge_sets(**{f"part_{i}": part for i, part in enumerate(parts)})
     merged.select("line").write.text(a.output)
-    told = chat.reconcile(jsonl.read_lines(spark, a.output), *parts).collect()[0]
+    told = chat.reconcile(jsonl.read_lines(spark, a.output, blank=True), *parts).collect()[0]
     print(f"{told.part_rows} rows in, {told.merged_rows} rows out: {told.verdict}")
     return 0 if told.verdict == "match" else 1
 
@@ -71,8 +72,8 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
-    runs = jsonl.read_jsonl(spark, a.input, schemas.TEST_CASE)
-    results, metrics = jobs.test_report(sampling.head_n(runs, a.max_tests, "test_id"))
+    cases = runs.read_test_cases(spark, a.input)
+    results, metrics = jobs.test_report(sampling.head_n(cases, a.max_tests, "test_id"))
     jsonl.write_jsonl(results, a.output)
     jsonl.write_metrics(metrics, a.output.rstrip("/") + "_metrics")
     metrics.show(truncate=False, vertical=True)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, functions as F
 
 from aislekit import vocabulary as V
 from aislekit.functions.draws import let
-from aislekit.functions.text import asks, has_any, is_blank, minimal
+from aislekit.functions.text import asks, has_any, is_blank, minimal, number_text
 
 _NO_TEXTS = "array<string>"
 
@@ -89,12 +89,6 @@ def _finding(
     )
 
 
-def _number_text(value: Column) -> Column:
-    """A number in its shortest plain form."""
-    plain = F.call_function("format_number", value, F.lit("0.0" + "#" * 16))
-    return F.when(F.abs(value) < 1e7, value.cast("string")).otherwise(plain)
-
-
 def _shown(patterns: list[str], reply: Column) -> Column:
     return reply.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 
@@ -103,7 +97,7 @@ def _eval_number(reply: Column, expected: Column, patterns: list[str], name: str
     """The common rule for price and rating."""
     def score(f: Column) -> Column:
         found, known = f["found"], F.coalesce(f["expected"] > 0, F.lit(False))
-        accurate = found & known & F.coalesce(reply.contains(_number_text(f["expected"])), F.lit(False))
+        accurate = found & known & F.coalesce(reply.contains(number_text(f["expected"])), F.lit(False))
         title = name.capitalize()
         return _finding(
             found & (accurate | F.coalesce(f["expected"] == 0, F.lit(False))),

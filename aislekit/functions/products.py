@@ -6,10 +6,10 @@ from pyspark.sql import Column, functions as F
 
 from aislekit import vocabulary as V
 from aislekit.functions.draws import let, pick
-from aislekit.functions.text import BLANK, strip
+from aislekit.functions.text import BLANK, number_text, strip
 
-# What a price may look like. Not-a-number is left out, since it would win every maximum.
-_NUMBER = r"^[\s]*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI]nf(?:inity)?)[\s]*$"
+# What a price may look like. Not-a-number and infinity are left out, since one row would decide every range.
+_NUMBER = r"^[\s]*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[\s]*$"
 
 
 def target_category(main_category: Column) -> Column:
@@ -44,7 +44,9 @@ def features_of(features: Column) -> Column:
 
 def price_of(price: Column) -> Column:
     """The price as a number; texts that are none, such as `None` or `$9`, give null."""
-    return F.when(price.rlike(_NUMBER), F.trim(price).try_cast("double"))
+    return let(
+        F.when(price.rlike(_NUMBER), F.trim(price).try_cast("double")), lambda p: F.when(F.abs(p) < float("inf"), p)
+    )
 
 
 def brand_of(details: Column) -> Column:
@@ -61,11 +63,11 @@ def slug(name: Column) -> Column:
 def product_text(p: Column) -> Column:
     """The text of a product that is embedded for search."""
     def shown(value: Column, missing: str) -> Column:
-        return F.coalesce(value.cast("string"), F.lit(missing))
+        return F.coalesce(value, F.lit(missing))
 
     return F.concat(
         shown(p["title"], ""), F.lit(" "), shown(p["brand"], ""), F.lit(" "), shown(p["category"], ""),
-        F.lit(" "), shown(p["sub_category"], ""), F.lit(" $"), shown(p["price"], "None"), F.lit(" "),
+        F.lit(" "), shown(p["sub_category"], ""), F.lit(" $"), shown(number_text(p["price"]), "None"), F.lit(" "),
         F.coalesce(F.array_join(p["features"], " "), F.lit("")),
     )
 

@@ -47,6 +47,22 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
+def number_text(value: Column) -> Column:
+    """A double in its shortest form: plain digits from 0.0001 up to 1e16, `1.5e-05` and `1e+16` outside."""
+    size, shown = F.abs(value), value.cast("string")
+    plain = F.call_function("format_number", value, F.lit("0.0" + "#" * 20))
+    power = F.substring_index(shown, "E", -1).try_cast("int")
+    exponent = F.concat(
+        F.regexp_replace(F.substring_index(shown, "E", 1), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"),
+        F.when(F.abs(power) < 10, F.concat(F.lit("0"), F.abs(power).cast("string"))).otherwise(F.abs(power).cast("string")),
+    )
+    return (
+        F.when(F.isnan(value), "nan").when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), shown)
+        .when((size >= 1e-4) & (size < 1e16), plain).otherwise(exponent)
+    )
+
+
 def literal(text: str) -> str:
     """A text as a pattern that matches just it."""
     return re.sub(r"([^\w\s'])", r"\\\1", text)

@@ -12,8 +12,8 @@ from aislekit.functions.text import is_blank
 def evaluate_runs(runs: DataFrame) -> DataFrame:
     """One result row per test; a failed run carries only the error mark.
 
-    A test column that the table lacks counts as 0 or empty. A null price or rating that a
-    rule needs fails the run.
+    A test column that the table lacks counts as 0 or empty (`sources.runs` settles it per line).
+    A null question fails the run, as does a null price or rating that a rule needs.
     """
     def have(name: str, missing: Column) -> Column:
         return F.col(name) if name in runs.columns else missing
@@ -27,7 +27,7 @@ def evaluate_runs(runs: DataFrame) -> DataFrame:
     )
     error = have("error", F.lit(None).cast("string"))
     scored = runs.withColumn("finding", F.when(error.isNull(), finding)).withColumn(
-        "failure", F.coalesce(error, F.col("finding.failure"))
+        "failure", F.coalesce(error, F.when(query.isNull(), F.lit(V.NO_QUESTION)), F.col("finding.failure"))
     )
     failed = F.col("failure").isNotNull()
 

@@ -89,6 +89,22 @@ def resolve_reply(
     return told.withColumn("agent_reply", reply).select(*df.columns, "agent_reply")
 
 
+def followup_prompt(prompt: Column, raw_reply: Column, tool_text: Column) -> Column:
+    """What the model is asked after its first reply called for a policy: the prompt, that reply, the policy text."""
+    return F.concat(prompt, raw_reply, F.lit(f"\n\n{V.TOOL_RESULT}"), tool_text, F.lit(f"\n\n{V.TOOL_INSTRUCTION}"))
+
+
+def followup_prompts(df: DataFrame, shipping: DataFrame, returns: DataFrame) -> DataFrame:
+    """The replies with `called`, the policy they call for, and the `followup_prompt` of those that call for one.
+
+    Needs prompt, user_query and raw_reply.
+    """
+    told = with_policy_texts(df, shipping, returns).withColumn("called", R.tool_called(F.col("raw_reply"), F.col("user_query")))
+    text = F.when(F.col("called") == "shipping", F.col("shipping_text")).when(F.col("called") == "returns", F.col("returns_text"))
+    followup = followup_prompt(F.col("prompt"), F.col("raw_reply"), text)
+    return told.withColumn("followup_prompt", followup).select(*df.columns, "called", "followup_prompt")
+
+
 def edge_case_replies(df: DataFrame, shipping: DataFrame, returns: DataFrame) -> DataFrame:
     """Edge cases with their reply, or `ERROR: …` for a failed run."""
     replied = resolve_reply(df, shipping, returns, strict=True)

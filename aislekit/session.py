@@ -30,20 +30,15 @@ def build_session(app: str = "aislekit", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in `spark.checkpoint.dir`.
+    """The shared folder named by the cluster in `spark.checkpoint.dir`; a session must have one.
 
-    Only a session without that setting (a test, a laptop) gets a folder of its own.
+    Intermediate tables are written there. Nothing of the package removes them, since a result may still
+    be read from them: whoever runs a job gives it a folder of its own and removes it after the job.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    import tempfile
-
-    own = tempfile.mkdtemp(prefix="aislekit-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return named
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from aislekit import schemas
 from aislekit.functions.text import is_blank
+from aislekit.session import written
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -26,8 +27,8 @@ def read_raw_meta(
 ) -> DataFrame:
     """Raw metadata from the first readable source; lines that are no JSON are dropped.
 
-    `max_rows` caps the scan (`vocabulary.RAW_ROW_CAP` is the usual cap); the default reads
-    the whole source. A gzip file is one task, so `partitions` can spread its rows before
+    `max_rows` caps the scan (`vocabulary.RAW_ROW_CAP` is the usual cap); the capped rows all
+    pass through one task. The default reads the whole source. A gzip file is one task, so `partitions` can spread its rows before
     the work that follows.
     """
     path = next((p for p in paths if _readable(spark, p)), None)
@@ -39,30 +40,30 @@ def read_raw_meta(
     return rows.repartition(partitions) if partitions else rows
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw text lines, column `line`; blank ones are skipped."""
-    return spark.read.text(path).select(F.col("value").alias("line")).where(~is_blank(F.col("line")))
+def read_lines(spark: SparkSession, path: str | list[str], blank: bool = False) -> DataFrame:
+    """Text lines, column `line`; blank ones are skipped unless asked for."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines if blank else lines.where(~is_blank(F.col("line")))
 
 
-def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) with line numbers from 1 in each file; blank lines count but are left out.
+def read_numbered_lines(spark: SparkSession, path: str | list[str], blank: bool = False) -> DataFrame:
+    """(file, line_no, line) with line numbers from 1 in each file; blank lines count but are left out unless asked for.
 
-    Lines are numbered inside the blocks in which the files are read, then shifted by the
-    lines of the blocks before, so a large file is numbered by many tasks.
+    A file's block is read by one task from top to bottom, and `monotonically_increasing_id` counts rows in that
+    order. So a line's number is its id less the least of its block, plus the lines of the blocks before: the text
+    stays where it is read, and only one row per block is joined to it.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
     )
-    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     before = F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")
-    inside = F.row_number().over(W.partitionBy("file", "block").orderBy("place"))
-    numbered = lines.withColumn("inside", inside).join(
-        counts.select("file", "block", before.alias("before")), ["file", "block"]
-    )
-    return numbered.where(~is_blank(F.col("line"))).select(
-        "file", (F.col("before") + F.col("inside")).alias("line_no"), "line"
-    )
+    # Written, so that its size is known: Spark sends it to every task if it is small.
+    starts = written(blocks.select("file", "block", (before - F.col("first") + 1).alias("shift")), "blocks")
+    numbered = lines.join(starts, ["file", "block"])
+    numbered = numbered.select("file", (F.col("place") + F.col("shift")).alias("line_no"), "line")
+    return numbered if blank else numbered.where(~is_blank(F.col("line")))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -58,6 +58,8 @@ QUERY_CATEGORY_WORDS = {
 DEFAULT_QUERY_CATEGORY = "Home_and_Kitchen"
 SHIPPING_TAGS = ["[TOOL: get_shipping_speed]", "[TOOL:get_shipping_speed]"]
 RETURN_TAGS = ["[TOOL: get_return_policy]", "[TOOL:get_return_policy]"]
+TOOL_RESULT = "Tool result: "
+TOOL_INSTRUCTION = "Please provide a concise, helpful answer based on the tool result."
 NO_INFORMATION = "Sorry, I couldn't find the information."
 NO_PRODUCTS = "No products found in the database."
 PRODUCTS_PREFIX = "Available products: "
@@ -125,6 +127,9 @@ NO_WORDS = ["no", "not", "false", "incorrect"]
 SHIPPING_REPLY_WORDS = ["shipping", "delivery", "days", "express", "overnight", "standard"]
 RETURN_REPLY_WORDS = ["return", "policy", "window", "condition", "restocking"]
 
+# Fixed value: the fault of a run without a question.
+NO_QUESTION = "'NoneType' object has no attribute 'lower'"
+
 # Reasons for a chat row to fail, in test order.
 BAD_JSON = "invalid JSON"
 NOT_OBJECT = "Row is not a JSON object"

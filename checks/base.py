@@ -55,6 +55,7 @@ SELECT
         WHEN 4 THEN 'Non-stick' WHEN 5 THEN 'Programmable' ELSE 'Natural' END, '"]') END AS features,
   CASE WHEN p_partkey % 17 = 0 THEN 'None'
     WHEN p_partkey % 23 = 0 THEN concat('$', CAST(p_retailprice AS STRING))
+    WHEN p_partkey % 61 = 0 THEN '12345678.25' WHEN p_partkey % 67 = 0 THEN '0.0005' 
     ELSE CAST(p_retailprice AS STRING) END AS price,
   CASE WHEN p_partkey % 37 = 0 THEN '{"Brand": broken'
     WHEN p_partkey % 41 = 0 THEN NULL
@@ -144,7 +145,8 @@ SELECT k AS test_id, product_id, title, price, brand, features, avg_rating,
     WHEN 8 THEN 'How fast is delivery?' WHEN 9 THEN 'Can I get a refund?' WHEN 10 THEN concat('Tell me about ', title)
     WHEN 11 THEN 'Has it got a durable build?' WHEN 12 THEN 'How many stars?' WHEN 13 THEN 'Which manufacturer?'
     WHEN 14 THEN 'Hello' ELSE 'IS IT EXPENSIVE?' END AS user_query,
-  CASE k % 13 WHEN 0 THEN concat('It costs $', coalesce(CAST(price AS STRING), '?'), ' at the moment.')
+  CASE k % 13 WHEN 0 THEN concat('It costs $', CASE WHEN price IS NULL THEN '?' WHEN price < 0.001 THEN '0.0005'
+      WHEN price > 10000000 THEN '12345678.25' ELSE CAST(price AS STRING) END, ' at the moment.')
     WHEN 1 THEN 'price: 12.50 dollars'
     WHEN 2 THEN concat('It has a rating: ', coalesce(CAST(avg_rating AS STRING), '4'), ' stars')
     WHEN 3 THEN concat('The Brand: ', brand, ' is its maker')

@@ -19,7 +19,9 @@ _CONVS = ("convs", """SELECT conv_id, to_json(list({'role': role, 'content': tex
 _BAD_CONTENT = '{"messages":[{"role":"system","content":"a"},{"role":"user","content":"b"},{"role":"assistant","content":"c"},{"role":"user","content":5}]}'
 _BLANK_CONTENT = '{"messages":[{"role":"system","content":"a"},{"role":"user","content":" \\t "},{"role":"assistant","content":"c"}]}'
 _NO_ROLE = '{"messages":[{"role":"system","content":"a"},{"role":"user","content":"b"},{"role":"assistant","content":"c"},"x"]}'
-_LINE = f"""CASE conv_id % 13 WHEN 0 THEN concat('{{bad', messages) WHEN 1 THEN '[1]' WHEN 2 THEN '{{"messages":"x"}}'
+_TWICE = '{"k":1,"k":2,"messages":[{"role":"system","content":"a"},{"role":"user","content":"b","content":"c"},{"role":"assistant","content":"d"}]}'
+_NOT_A_NUMBER = '{"score":NaN,"messages":[{"role":"system","content":"a"},{"role":"user","content":"b"},{"role":"assistant","content":"d"}]}'
+_LINE = f"""CASE conv_id % 17 WHEN 13 THEN {text(_TWICE)} WHEN 14 THEN {text(_NOT_A_NUMBER)} WHEN 0 THEN concat('{{bad', messages) WHEN 1 THEN '[1]' WHEN 2 THEN '{{"messages":"x"}}'
   WHEN 3 THEN '{{}}' WHEN 4 THEN {text(_BAD_CONTENT)} WHEN 5 THEN BLANK WHEN 6 THEN '   ' WHEN 7 THEN 'null'
   WHEN 8 THEN {text(_NO_ROLE)} ELSE concat('{{"messages":', messages, '}}') END"""
 _LINES = ("lines", "SELECT conv_id AS line_no, " + _LINE.replace(
@@ -28,9 +30,9 @@ _LINES = ("lines", "SELECT conv_id AS line_no, " + _LINE.replace(
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = O.conversations(B.table(spark, sf_dir, "conversations"))
-    kind, messages = F.col("conv_id") % 13, F.to_json("messages")
+    kind, messages = F.col("conv_id") % 17, F.to_json("messages")
     line = F.when(kind == 0, F.concat(F.lit("{bad"), messages))
-    for k, fixed in ((1, "[1]"), (2, '{"messages":"x"}'), (3, "{}"), (4, _BAD_CONTENT), (5, _BLANK_CONTENT), (6, "   "), (7, "null"), (8, _NO_ROLE)):
+    for k, fixed in ((1, "[1]"), (2, '{"messages":"x"}'), (3, "{}"), (4, _BAD_CONTENT), (5, _BLANK_CONTENT), (6, "   "), (7, "null"), (8, _NO_ROLE), (13, _TWICE), (14, _NOT_A_NUMBER)):
         line = line.when(kind == k, F.lit(fixed))
     line = line.otherwise(F.concat(F.lit('{"messages":'), messages, F.lit("}")))
     return convs.select(F.col("conv_id").alias("line_no"), line.alias("line"))

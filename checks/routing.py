@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from aislekit import vocabulary as V
 from aislekit.functions import replies as X, routing as R
 from aislekit.operators import replies as O
+from aislekit.operators.chat import prompt_of
 from aislekit.session import fresh_path
 from aislekit.streaming import router
 from checks import base as B
@@ -151,6 +152,19 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@check("followup_prompts", using_all(["raw_replies", "shipping", "returns"], f"""
+SELECT query_id, called, CASE WHEN called IS NOT NULL THEN concat('<|user|>', chr(10), coalesce(user_query, ''), chr(10), '<|assistant|>', chr(10), raw_reply,
+  chr(10), chr(10), {text(V.TOOL_RESULT)}, CASE called WHEN 'shipping' THEN {_SHIPPING_TEXT} ELSE {_RETURNS_TEXT} END,
+  chr(10), chr(10), {text(V.TOOL_INSTRUCTION)}) END AS followup_prompt
+FROM (SELECT *, {category_sql('user_query')} AS category, {_CALLED} AS called FROM raw_replies) q
+LEFT JOIN last_shipping s ON s.category = q.category LEFT JOIN last_returns r ON r.category = q.category""", *_LAST))
+def followup_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recorded reply after a prompt of its question alone."""
+    asked = F.array(F.struct(F.lit("user").alias("role"), F.col("user_query").alias("content")))
+    replies = B.raw_replies(spark, sf_dir).withColumn("prompt", prompt_of(asked))
+    return O.followup_prompts(replies, *B.policies(spark, sf_dir)).select("query_id", "called", "followup_prompt")
+
+
 _READY = ("ready", f"""SELECT q.query_id, q.user_query, q.error, called, first, follow, low,
     {_SHIPPING_TEXT} AS shipping_text, {_RETURNS_TEXT} AS returns_text
   FROM (SELECT *, {category_sql('user_query')} AS category, {_CALLED} AS called, {_LOW} AS low,

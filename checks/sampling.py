@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislekit.operators import chat, sampling
+from aislekit.session import fresh_path
+from aislekit.sources import jsonl
 from checks import base as B
 from checks.base import check
 
@@ -48,6 +50,41 @@ def head_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.head_n(B.table(spark, sf_dir, "events"), 100, "event_id").select("event_id", "event_type")
 
 
+_NUMBERED_SQL = """SELECT conv_id % 16 AS part, conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 0 THEN '' WHEN (conv_id + turn) % 11 = 0 THEN '  '
+  ELSE concat(CAST(conv_id AS STRING), ' ', CAST(turn AS STRING)) END AS line FROM {conversations}"""
+
+
+def _line_files(spark: SparkSession, sf_dir: str) -> str:
+    """The conversations as 16 text files with blank lines, each in order."""
+    path = fresh_path(spark, "lines")
+    rows = B._run(spark, _NUMBERED_SQL, conversations=B.table(spark, sf_dir, "conversations"))
+    ordered = rows.repartition("part").sortWithinPartitions("part", "conv_id", "turn")
+    ordered.select("part", F.col("line").alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+@check("numbered_lines", f"""SELECT part, line, line_no FROM (SELECT part, line, row_number() OVER (PARTITION BY part ORDER BY conv_id, turn) AS line_no
+  FROM ({_NUMBERED_SQL.replace('{conversations}', 'conversations')})) WHERE length(trim(line)) > 0""")
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint")
+    return jsonl.read_numbered_lines(spark, _line_files(spark, sf_dir)).select(part.alias("part"), "line", "line_no")
+
+
+@check("merged_lines", f"""SELECT line, count(*) AS n_lines, (SELECT count(*) + (SELECT count(*) FROM conversations) FROM benchmark) AS all_lines, 'match' AS verdict
+  FROM (SELECT line FROM ({_NUMBERED_SQL.replace('{conversations}', 'conversations')}) UNION ALL SELECT concat('item ', item_id) FROM benchmark)
+  GROUP BY line""")
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sets of lines merged, written and read back; blank lines are lines like others."""
+    items, out = fresh_path(spark, "items"), fresh_path(spark, "merged")
+    B.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id")).alias("value")).write.text(items)
+    parts = [jsonl.read_lines(spark, path, blank=True) for path in (_line_files(spark, sf_dir), items)]
+    chat.merge_sets(one=parts[0], two=parts[1]).select("line").write.text(out)
+    back = jsonl.read_lines(spark, out, blank=True)
+    told = chat.reconcile(back, *parts)
+    counts = back.groupBy("line").agg(F.count(F.lit(1)).alias("n_lines"))
+    return counts.select("line", "n_lines", told.select("merged_rows").scalar().alias("all_lines"), told.select("verdict").scalar().alias("verdict"))
+
+
 _MERGED_SQL = """SELECT doc_id AS row_id, text, 'documents' AS source FROM documents
 UNION ALL SELECT conv_id * 100000 + turn, text, 'conversations' FROM conversations
 UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark"""

@@ -9,7 +9,7 @@ from aislekit.functions import evaluation as E
 from aislekit.operators import metrics as O
 from aislekit.plans import jobs
 from aislekit.session import fresh_path
-from aislekit.sources import jsonl
+from aislekit.sources import jsonl, runs
 from checks import base as B
 from checks.base import check, text, using
 from checks.routing import any_of
@@ -216,6 +216,25 @@ def evaluated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PUBLISHED = ("published", """SELECT * REPLACE ('' AS brand, 0.0::DOUBLE AS avg_rating,
+  CASE WHEN price IS NULL THEN NULL ELSE price END AS price) FROM test_cases""")
+
+
+@check("published_runs", using("test_cases", """SELECT product_id, title, user_query, agent_reply, query_type, is_helpful, is_accurate,
+  is_complete, is_relevant, confidence_score, issues, strengths, error FROM results""",
+    _PUBLISHED, ("facts", _FACTS[1].replace("FROM test_cases", "FROM published")), *_CHAIN[1:]))
+def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs written as lines without test_id, brand and avg_rating, nulls written out, and read back."""
+    path = fresh_path(spark, "runs")
+    jsonl.write_jsonl(B.test_cases(spark, sf_dir).drop("test_id", "brand", "avg_rating"), path)
+    e = F.col("evaluation")
+    return O.evaluate_runs(runs.read_test_cases(spark, path)).select(
+        "product_id", "title", "user_query", "agent_reply", "evaluation.query_type", "evaluation.is_helpful", "evaluation.is_accurate",
+        "evaluation.is_complete", "evaluation.is_relevant", F.round(e["confidence_score"], 6).alias("confidence_score"),
+        F.array_join(e["issues"], "|").alias("issues"), F.array_join(e["strengths"], "|").alias("strengths"), "evaluation.error",
+    )
+
+
 _TOTALS = """count(*) AS total_tests, count(*) FILTER (NOT error) AS successful_tests,
   round(count(*) FILTER (NOT error) / count(*), 6) AS success_rate,
   round(count(*) FILTER (is_empty) / count(*), 6) AS empty_response_rate,

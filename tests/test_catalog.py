@@ -116,3 +116,19 @@ def test_vectors_round_trip(spark, tmp_path):
 def test_counts_name_the_missing_category(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "category string")
     assert [tuple(r) for r in O.category_counts(df).collect()] == [("a", 1), ("b", 2), ("unknown", 1)]
+
+
+def test_numbers_as_texts(spark):
+    from aislekit.functions.text import number_text
+
+    values = [0.0, 5.0, 12345678.0, 12345678.25, 0.0005, 0.001, 1e-4, 9.5e-5, 1e-05, 1e15, 1.5e16, 1e16, 123456789012345.6, 0.1 + 0.2, -0.00025, 1e100, 3e-300]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.t for r in df.select("i", number_text(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert got == [repr(v) for v in values]
+
+
+def test_prices_are_finite(spark):
+    from aislekit.functions.products import price_of
+
+    df = spark.createDataFrame([("inf",), ("1e999",), ("Infinity",), ("nan",), ("1e3",), (" 2.5 ",)], "p string")
+    assert [r[0] for r in df.select(price_of(F.col("p"))).collect()] == [None, None, None, None, 1000.0, 2.5]

@@ -82,6 +82,18 @@ def test_reconcile(spark):
     assert {tuple(r) for r in O.source_counts(merged).collect()} == {("a", 3), ("b", 4)}
 
 
+def test_lines_that_are_no_strict_json_are_judged_like_others(spark):
+    good = '"messages":[{"role":"system","content":"a"},{"role":"user","content":"b"},{"role":"assistant","content":"%s"}]}'
+    lines = [
+        '{"k":1,"k":2,' + good % "c", '{"k":NaN,' + good % "c", '{"k":NaN,' + good % " ", '{"k":Infinity,"messages":3}', '{"k":1,"k":2,"messages":[]}',
+        '{"messages":[1],' + good % "c", '{"k":1,"k":2', "[NaN]", '{"k":NaN,"messages":[{"role":"user"},{},{}]}', '{' + good % ("x" * 20_000_000),
+    ]
+    got = [r.reason for r in O.validate_chat(spark.createDataFrame(list(enumerate(lines, 1)), "line_no bigint, line string")).orderBy("line_no").collect()]
+    assert got == [
+        "", "", "Message 2 content is empty", V.NO_MESSAGES, V.TOO_SHORT, "", V.BAD_JSON, V.NOT_OBJECT, V.WRONG_ROLES, "",
+    ]
+
+
 @pytest.mark.parametrize("chunk_rows", [7, 50, 4096])
 def test_search_equals_brute_force(spark, chunk_rows):
     rng = np.random.default_rng(3)

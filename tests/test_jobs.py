@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from aislekit import schemas
 from aislekit.__main__ import main
-from aislekit.sources import jsonl, policy
+from aislekit.operators.metrics import evaluate_runs
+from aislekit.sources import jsonl, policy, runs
 
 
 def lines_of(path):
@@ -76,13 +77,33 @@ def test_sample_merge_validate(spark, tmp_path, capsys):
     assert main(["sample", "--input", str(tmp_path / "one.jsonl"), "--output", str(tmp_path / "few"), "--sample-size", "25"]) == 0
     assert len(set(lines_of(tmp_path / "few"))) == 25
     assert main(["merge", "--input", str(tmp_path / "few"), str(tmp_path / "two.jsonl"), "--output", str(tmp_path / "all")]) == 0
-    assert "36 rows in, 36 rows out: match" in capsys.readouterr().out
+    assert "45 rows in, 45 rows out: match" in capsys.readouterr().out
     assert main(["validate", "--input", str(tmp_path / "one.jsonl")]) == 0
     assert main(["validate", "--input", str(tmp_path / "two.jsonl")]) == 1
     out = capsys.readouterr().out
     assert "Checked 60 rows: OK=60, ERRORS=0" in out and "Checked 11 rows: OK=10, ERRORS=1" in out and "L20: invalid JSON" in out
 
 
+def test_published_test_table(spark, tmp_path):
+    """Ids by line, absent fields as 0 or empty, written nulls as nulls."""
+    lines = [
+        {"product_id": "a", "title": "Pan", "price": 5.0, "features": ["x"], "user_query": "How is it rated?", "agent_reply": "It has a rating: 4.5 stars, all in all."},
+        {"product_id": "b", "title": "Pot", "price": None, "features": [], "user_query": "What is the price?", "agent_reply": "The price is $7.00 at the moment."},
+        {"product_id": "c", "title": "Lid", "price": 1.0, "features": None, "user_query": None, "agent_reply": "ok"},
+        {"test_id": 77, "product_id": "d", "title": "Cup", "brand": "B", "user_query": "Which company makes it?", "agent_reply": "The brand: B makes this cup."},
+    ]
+    path = tmp_path / "tests.jsonl"
+    path.write_text("\n\n".join(json.dumps(x) for x in lines[:2]) + "\n{broken\n" + "\n".join(json.dumps(x) for x in lines[2:]))
+    rows = {r.product_id: r for r in runs.read_test_cases(spark, str(path)).collect()}
+    assert {k: r.test_id for k, r in rows.items()} == {"a": 1, "b": 3, "c": 5, "d": 77}
+    assert rows["a"].brand == "" and rows["a"].avg_rating == 0.0 and rows["b"].price is None and rows["c"].features is None
+    assert rows["d"].price == 0.0 and rows["d"].features == [] and rows["a"].error is None
+    told = {r.product_id: r for r in evaluate_runs(runs.read_test_cases(spark, str(path))).collect()}
+    assert "Rating information present but no expected rating to compare" in told["a"].evaluation.issues
+    assert told["b"].evaluation.error and told["c"].agent_reply == "ERROR: 'NoneType' object has no attribute 'lower'"
+    assert told["d"].evaluation.is_accurate
+
+
 def test_qa(spark, tmp_path):
     (tmp_path / "qa.jsonl").write_text("\n".join(json.dumps({"query": f"q{i}", "answer": f"a{i}"}) for i in range(30)))
     main(["qa", "--input", str(tmp_path / "qa.jsonl"), "--output", str(tmp_path / "out"), "--max-rows", "12"])
