@@ -12,6 +12,7 @@ from aislekit import schemas, vocabulary as V
 from aislekit.functions.constraints import ids, satisfying
 from aislekit.functions.draws import digest, distinct_positions, let, pick, unit
 from aislekit.functions.products import slug
+from aislekit.session import written
 
 _GROUP = ["category", "sub_category"]
 _BUCKET_DIGITS = 3
@@ -20,23 +21,30 @@ _BUCKET_DIGITS = 3
 # ---- drawing -----------------------------------------------------------------------
 
 
+def _named(library: DataFrame) -> DataFrame:
+    return library.where((F.length("category") > 0) & (F.length("sub_category") > 0))
+
+
 def number_products(library: DataFrame) -> DataFrame:
-    """The products with a position 1 … n inside their sub-category.
+    """(category, sub_category, product_id, copy, position): the products numbered 1 … n inside their
+    sub-category, and rows that share an id numbered from 1 as copies. Only these columns are read.
 
     Numbered inside buckets of the id's digest, then shifted by the rows of the buckets
     before. The largest sub-category is thus sorted by 4,096 tasks instead of one.
     """
-    named = library.where((F.length("category") > 0) & (F.length("sub_category") > 0))
-    bucketed = named.withColumn("bucket", F.substring(F.md5("product_id"), 1, _BUCKET_DIGITS))
+    ids = _named(library).select(*_GROUP, "product_id")
+    bucketed = ids.withColumn("bucket", F.substring(F.md5("product_id"), 1, _BUCKET_DIGITS))
     counts = bucketed.groupBy(*_GROUP, "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = F.sum("rows").over(W.partitionBy(*_GROUP).orderBy("bucket")) - F.col("rows")
     shifts = counts.select(*_GROUP, "bucket", before.alias("before"))
-    inside = F.row_number().over(W.partitionBy(*_GROUP, "bucket").orderBy("product_id"))
+    inside = W.partitionBy(*_GROUP, "bucket").orderBy("product_id")
     return (
-        bucketed.withColumn("inside", inside)
+        bucketed.withColumns({"inside": F.row_number().over(inside), "first": F.rank().over(inside)})
         .join(shifts, [*_GROUP, "bucket"])
-        .withColumn("position", F.col("before") + F.col("inside"))
-        .drop("bucket", "inside", "before")
+        .select(
+            *_GROUP, "product_id", (F.col("inside") - F.col("first") + 1).alias("copy"),
+            (F.col("before") + F.col("inside")).alias("position"),
+        )
     )
 
 
@@ -48,39 +56,28 @@ def context_requests(spark: SparkSession, n: int) -> DataFrame:
 def draw_contexts(requests: DataFrame, library: DataFrame, seed: int) -> DataFrame:
     """A category and then a sub-category for each `ctx_id`, both uniformly.
 
-    Gives (ctx_id, category, sub_category, n_products).
+    Gives (ctx_id, category, sub_category, n_products). The sub-categories with their sizes are one
+    array in one row, looked up by number: no join, so no key that many contexts share.
     """
-    named = library.where((F.length("category") > 0) & (F.length("sub_category") > 0))
-    subs = named.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n_products")).withColumn(
-        "sub_no", F.row_number().over(W.partitionBy("category").orderBy("sub_category")).cast("bigint")
-    )
-    # One row per category; this window without a partition sees no other rows.
-    categories = subs.groupBy("category").agg(F.count(F.lit(1)).alias("n_subs")).withColumn(
-        "category_no", F.row_number().over(W.orderBy("category")).cast("bigint")
-    )
-    n_categories = categories.agg(F.count(F.lit(1))).scalar()
+    subs = _named(library).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n_products"))
+    listed = subs.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("sub_category", "n_products"))).alias("subs"))
+    categories = listed.agg(F.array_sort(F.collect_list(F.struct("category", "subs")))).scalar()
 
-    def number(salt: str, size: Column) -> Column:
-        return F.floor(unit(digest(seed, salt, F.col("ctx_id"))) * size) + 1
+    def one_of(values: Column, salt: str) -> Column:
+        return F.get(values, F.floor(unit(digest(seed, salt, F.col("ctx_id"))) * F.size(values)).cast("int"))
 
-    # Spread by id while the rows are two numbers wide. Where the joins below are broadcasts, the
-    # products of a context then meet without another shuffle.
-    spread = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        requests.select("ctx_id").repartition(spread, "ctx_id")
-        .withColumn("category_no", number("category", n_categories))
-        .join(categories, "category_no")
-        .withColumn("sub_no", number("sub_category", F.col("n_subs")))
-        .join(subs, ["category", "sub_no"])
-        .select("ctx_id", *_GROUP, "n_products")
-    )
+    drawn = requests.select("ctx_id", one_of(categories, "category").alias("c"))
+    drawn = drawn.select("ctx_id", F.col("c.category").alias("category"), one_of(F.col("c.subs"), "sub_category").alias("s"))
+    return drawn.select("ctx_id", "category", "s.sub_category", "s.n_products").where("sub_category IS NOT NULL")
 
 
 def context_products(drawn: DataFrame, library: DataFrame, seed: int, k: int = V.CONTEXT_SIZE) -> DataFrame:
     """The drawn contexts with their products: k random ones, or all by id if there are fewer.
 
     Each context looks up k positions, so a row meets a row; a context is never joined
-    with a whole sub-category.
+    with a whole sub-category. Positions are settled on the ids alone and written; titles and
+    features are then read of the wanted products only, filtered in place where the wanted
+    ids are few enough for Spark to send them to every task.
     """
     few = F.col("n_products") < k
     positions = F.when(few, F.sequence(F.lit(1).cast("bigint"), F.col("n_products"))).otherwise(
@@ -89,19 +86,23 @@ def context_products(drawn: DataFrame, library: DataFrame, seed: int, k: int = V
     wanted = drawn.withColumn("position", F.explode(positions)).withColumn(
         "place", F.when(few, F.lit("")).otherwise(digest(seed, "place", F.col("ctx_id"), F.col("position")))
     )
-    numbered = number_products(library)
-    members = wanted.join(numbered, [*_GROUP, "position"])
+    picked = wanted.join(number_products(library), [*_GROUP, "position"]).select("ctx_id", *_GROUP, "place", "product_id", "copy")
+    picked = written(picked, "picked")
+    found = _named(library).join(picked.select(*_GROUP, "product_id").distinct(), [*_GROUP, "product_id"], "left_semi")
     product = F.struct(
         "product_id", slug(F.col("sub_category")).alias("category"), "title", "price", "brand",
         F.col("features").alias("features"), "avg_rating",
     ).cast(schemas.CONTEXT_PRODUCT)
+    copies = W.partitionBy(*_GROUP, "product_id").orderBy(F.xxhash64("title", "price", "brand", "features", "avg_rating"))
+    found = found.withColumn("copy", F.row_number().over(copies)).select(*_GROUP, "product_id", "copy", product.alias("product"))
+    members = picked.join(found, [*_GROUP, "product_id", "copy"])
     # A window instead of collect_list in a groupBy: rows of a context arrive from many tasks, so
     # there is nothing to combine before the shuffle, and one sort puts them in order.
     context = W.partitionBy("ctx_id")
     in_order = context.orderBy("place", "product_id")
     whole = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return (
-        members.select("ctx_id", *_GROUP, "place", "product_id", product.alias("product"))
+        members.select("ctx_id", *_GROUP, "place", "product_id", "product")
         .withColumns({"rank": F.row_number().over(in_order), "products": F.collect_list("product").over(whole)})
         .where(F.col("rank") == 1)
         .select("ctx_id", *_GROUP, "products")

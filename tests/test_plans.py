@@ -44,6 +44,20 @@ def test_only_needed_columns_are_read(spark, small):
     assert "ReadSchema: struct<product_id:string,category:string>" in plan
 
 
+def test_contexts_move_only_wanted_products(spark, small):
+    library = written(B.library(spark, small), "library")
+    plan = plan_of(C.number_products(library))
+    assert "ReadSchema: struct<product_id:string,category:string,sub_category:string>" in plan and "title" not in plan
+    requests = C.context_requests(spark, 10)
+    plan = plan_of(C.draw_contexts(requests, library, 1)).split("Subqueries")[0]
+    assert "Join" not in plan.split("Subquery")[0] and "category_no" not in plan
+    plan = plan_of(C.build_contexts(requests, library, 1))
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "title" in line)
+    join = max(i for i, line in enumerate(lines[:scan]) if "BroadcastHashJoin" in line and "LeftSemi" in line)
+    assert not any("Exchange" in line for line in lines[join:scan])
+
+
 def test_policy_join_broadcasts_the_policies(spark, small):
     plan = plan_of(replies.policy_lookup(B.shopper_queries(spark, small), *B.policies(spark, small)))
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
