@@ -10,11 +10,12 @@ pair has equal words in some blocks. Empty blocks would meet everywhere; the lay
 to spare that a linked pair still meets in one that is not empty, and a document with more empty
 blocks than that shows them too. A document near the top of its band also takes the next band's layout.
 
-Then, within the groups of equal block words, pairs whose sketches are near enough are verified on the
-sets themselves. A first pass over an eighth of the words links by a spanning forest of near sketches in
-each group; after that, groups within one component need no look any more, and in the others every pair
-of near sketches across components is verified. Groups are cut into bounded parts, and parts meet in
-pairs inside a task; only pairs to verify leave it.
+Then pairs whose sketches are near enough are verified on the sets themselves. In groups of equal block
+words of up to SMALL documents every pair is a candidate, each pair once whatever the number of words it
+shares. In larger groups a first pass over an eighth of the words takes a spanning forest of near sketches
+of each group; after that, groups within one component need no look any more, and in the others every
+pair of near sketches across components is verified. Large groups are cut into bounded parts, and parts
+meet in pairs inside a task; only pairs to verify leave it.
 
 Equal sets are one node, known by a 64-bit hash of the set.
 """
@@ -33,8 +34,8 @@ from aislekit.session import written
 
 #: Width of a size band, and bits of a sketch per shingle that a linked pair may differ in.
 BAND, BITS = 1.5, 16
-#: One in so many block words takes part in the first pass.
-FIRST = 8
+#: Documents of a group whose pairs are all candidates; of larger groups one in so many takes part in the first pass.
+SMALL, FIRST = 8, 8
 #: Documents of a group that one task compares with as many others.
 PART = 1024
 #: Bits of the filter in which the nodes to verify are marked; it only spares work, the join after it decides.
@@ -146,22 +147,24 @@ def _sketch_table(docs: DataFrame, layouts: Layouts, k: int) -> DataFrame:
     return map_arrow(docs, run, f"doc {kind}, n bigint, node bigint, words array<bigint>, sketch binary")
 
 
-def _fold(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of bytes, all as short as the shortest: halves of a sketch XOR to the one of half the bits."""
-    short = min(map(len, sketches))
-    out = np.empty((len(sketches), short), np.uint8)
-    for i, s in enumerate(sketches):
-        x = np.frombuffer(s, np.uint8)
-        while len(x) > short:
-            half = len(x) // 2
-            x = x[:half] ^ x[half:]
-        out[i] = x
+def _fold(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of 64-bit numbers, all of `width` bytes: halves of a sketch XOR to the one of half the bits."""
+    out = np.empty((len(sketches), width), np.uint8)
+    size = np.array([len(s) for s in sketches])
+    for wide in np.unique(size).tolist():
+        at = np.flatnonzero(size == wide)
+        x = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint8).reshape(-1, wide)
+        while x.shape[1] > width:
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        out[at] = x
     return out.view(np.uint64)
 
 
 def near_pairs(left, right, layouts: Layouts) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of rows of `left` and `right`, each (nodes, sizes, sketches, components), that may be linked and are in different components."""
-    both = _fold(list(left[2]) + list(right[2]))
+    sketches = [*left[2], *right[2]]
+    both = _fold(sketches, min(map(len, sketches)))
     a, b = both[:len(left[0])], both[len(left[0]):]
     out = []
     step = max(1, (1 << 21) // max(1, b.size))
@@ -197,6 +200,27 @@ def _forest(i: np.ndarray, j: np.ndarray, component: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, layouts: Layouts) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than a linked pair's sets."""
+    met = pairs
+    for end in ("a", "b"):
+        met = met.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(i) for i in (4, 5))
+            widths = [np.asarray(pa.compute.binary_length(c)) for c in (left, right)]
+            differ = np.zeros(batch.num_rows, np.int64)
+            for x, y in set(zip(*(w.tolist() for w in widths))):
+                at = np.flatnonzero((widths[0] == x) & (widths[1] == y))
+                some = [_fold(c.take(pa.array(at)).to_pylist(), min(x, y)) for c in (left, right)]
+                differ[at] = np.bitwise_count(some[0] ^ some[1]).sum(1, dtype=np.int64)
+            near = differ <= layouts.differ(np.asarray(batch.column(2)), np.asarray(batch.column(3)))
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return map_arrow(met.select("a", "b", "n_a", "n_b", "s_a", "s_b"), run, "a bigint, b bigint")
+
+
 def _candidates(members: DataFrame, layouts: Layouts, forest: bool) -> DataFrame:
     """(a, b) of near sketches in different components, of rows (key, node, n, sketch, component) grouped by key.
 
@@ -289,18 +313,31 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     return rows.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), *["mark"] * mark)
 
 
+def _small_pairs(shared: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a below b, of nodes with a key in common, of groups of SMALL nodes at most."""
+    groups = shared.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    after = F.transform("nodes", lambda x, i: F.transform(
+        F.slice("nodes", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    return groups.select(F.explode(F.flatten(after)).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
 def _linked(table: DataFrame, docs: DataFrame, sketched: DataFrame, layouts: Layouts, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that are linked with another."""
     shown = table.select(F.explode("words").alias("key"), "node")
     group = Window.partitionBy("key")
     shown = shown.select("key", "node", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"))
-    shared = written(shown.where("low < high").select("key", "node").distinct(), "join-shared")
+    # still together by key: no more shuffles for these
+    shared = shown.where("low < high").select("key", "node").distinct().withColumn("rows", F.count("*").over(group))
+    shared = written(shared, "join-shared")
     nodes = table.where("sketch is not null").select("node", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi")
     nodes = written(nodes.dropDuplicates(["node"]), "join-nodes")
-    first = shared.where(F.pmod("key", F.lit(FIRST)) == 0).join(nodes, "node").withColumn("component", F.col("node"))
-    links = written(_verified(_candidates(first, layouts, True), docs, sketched, k, percent), "join-links")
+    large = shared.where(F.col("rows") > SMALL).drop("rows")
+    first = large.where(F.pmod("key", F.lit(FIRST)) == 0).join(nodes, "node").withColumn("component", F.col("node"))
+    pairs = _near(_small_pairs(shared.where(F.col("rows") <= SMALL)), nodes, layouts)
+    pairs = pairs.union(_candidates(first, layouts, True)).distinct()
+    links = written(_verified(pairs, docs, sketched, k, percent), "join-links")
     labels = components(links)
-    named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    named = large.join(labels, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     mixed = named.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
     rest = named.join(mixed, "key", "left_semi").join(nodes, "node")
     more = _verified(_candidates(rest, layouts, False), docs, sketched, k, percent)
