@@ -7,16 +7,22 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislekit import schemas, vocabulary as V
+from aislekit.functions.products import product_text
 from aislekit.operators import catalog, chat, replies, sampling
 from aislekit.plans import jobs
 from aislekit.session import build_session
-from aislekit.sources import jsonl, policy, runs
+from aislekit.sources import jsonl, policy, runs, vectors as vector_tables
+from aislekit.streaming import router
 
 
 def _show_counts(df: DataFrame) -> None:
     catalog.category_counts(df).show(truncate=False)
 
 
+def _policies(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    return policy.read_policy(spark, a.shipping, schemas.SHIPPING), policy.read_policy(spark, a.returns, schemas.RETURNS)
+
+
 def library(spark: SparkSession, a: argparse.Namespace) -> int:
     raw = jsonl.read_raw_meta(spark, a.input, a.cap, a.partitions)
     jsonl.write_jsonl(jobs.curate_library(raw, a.max_rows, a.seed), a.output)
@@ -45,6 +51,51 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def contexts(spark: SparkSession, a: argparse.Namespace) -> int:
+    products = jsonl.read_jsonl(spark, a.input, schemas.PRODUCT)
+    made = jobs.task_contexts(products, a.max_rows, a.seed)
+    jsonl.write_jsonl(made.select("category", F.col("sub_category").alias("subcategory"), "products"), a.output)
+    return 0
+
+
+def product_texts(spark: SparkSession, a: argparse.Namespace) -> int:
+    """What an embedding model is to embed, one text per product."""
+    products = jsonl.read_jsonl(spark, a.input, schemas.PRODUCT)
+    row = {c: F.col(c) for c in products.columns}
+    jsonl.write_jsonl(products.select("product_id", product_text(row).alias("text")), a.output)
+    return 0
+
+
+def vectors(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A vector table out of embeddings and the products they belong to; vectors without a product are left out."""
+    embeddings = jsonl.read_jsonl(spark, a.input, schemas.VECTOR)
+    products = jsonl.read_jsonl(spark, a.products, schemas.PRODUCT)
+    vector_tables.write_vectors(products.join(embeddings, "product_id"), a.output)
+    return 0
+
+
+def answer(spark: SparkSession, a: argparse.Namespace) -> int:
+    stored = vector_tables.read_vectors(spark, a.vectors)
+    answers = jobs.answer_shoppers(
+        jsonl.read_jsonl(spark, a.input, schemas.SHOPPER_QUERY), stored.select("product_id", "embedding"), stored.drop("embedding"),
+        jsonl.read_jsonl(spark, a.history, schemas.TURN), *_policies(spark, a), a.system_prompt, a.top_k, a.threshold, a.always_listed,
+    )
+    jsonl.write_jsonl(answers, a.output)
+    return 0
+
+
+def route(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Questions with route, category and policy text, in one batch or, with --stream, as files arrive."""
+    if a.stream:
+        asked = spark.readStream.schema(schemas.SHOPPER_QUERY).json(a.input).drop("embedding")
+        offsets = a.output.rstrip("/") + "_offsets"
+        router.write_stream(router.route_stream(asked, *_policies(spark, a)), a.output, offsets).awaitTermination()
+    else:
+        asked = jsonl.read_jsonl(spark, a.input, schemas.SHOPPER_QUERY).drop("embedding")
+        jsonl.write_jsonl(replies.policy_lookup(asked, *_policies(spark, a)), a.output)
+    return 0
+
+
 def tasks(spark: SparkSession, a: argparse.Namespace) -> int:
     products = jsonl.read_jsonl(spark, a.input, schemas.PRODUCT)
     contexts = jobs.task_contexts(products, a.max_rows, a.seed)
@@ -82,14 +133,13 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def edge_cases(spark: SparkSession, a: argparse.Namespace) -> int:
     cases = jsonl.read_jsonl(spark, a.input, schemas.EDGE_CASE)
-    shipping = policy.read_policy(spark, a.shipping, schemas.SHIPPING)
-    returns = policy.read_policy(spark, a.returns, schemas.RETURNS)
-    jsonl.write_jsonl(replies.edge_case_replies(cases, shipping, returns), a.output)
+    jsonl.write_jsonl(replies.edge_case_replies(cases, *_policies(spark, a)), a.output)
     return 0
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="aislekit", description=__doc__)
+    top.add_argument("--shared", help="folder for intermediate tables that all executors reach; else spark.checkpoint.dir says it")
     jobs_of = top.add_subparsers(dest="job", required=True)
 
     def job(run, *, many: bool = False, output: bool = True, rows: int | None = None) -> argparse.ArgumentParser:
@@ -116,15 +166,27 @@ def parser() -> argparse.ArgumentParser:
     job(merge, many=True)
     job(validate, output=False).add_argument("--max-errors", type=int, default=20)
     job(evaluate).add_argument("--max-tests", type=int, default=None)
-    p = job(edge_cases)
-    p.add_argument("--shipping", required=True)
-    p.add_argument("--returns", required=True)
+    job(contexts, rows=18_000)
+    job(product_texts)
+    job(vectors).add_argument("--products", required=True)
+    with_policies = [job(edge_cases), job(route), job(answer)]
+    for p in with_policies:
+        p.add_argument("--shipping", required=True)
+        p.add_argument("--returns", required=True)
+    with_policies[1].add_argument("--stream", action="store_true")
+    p = with_policies[2]
+    p.add_argument("--vectors", required=True)
+    p.add_argument("--history", required=True)
+    p.add_argument("--system-prompt", required=True)
+    p.add_argument("--top-k", type=int, default=V.TOP_K)
+    p.add_argument("--threshold", type=float, default=None)
+    p.add_argument("--always-listed", action="store_true")
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    return args.run(build_session(), args)
+    return args.run(build_session(**({"spark.checkpoint.dir": args.shared} if args.shared else {})), args)
 
 
 if __name__ == "__main__":

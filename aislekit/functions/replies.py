@@ -21,14 +21,12 @@ def _remove(text: Column, patterns: list[str]) -> Column:
     return text
 
 
-# Patterns on special tokens, then those on whole words and sentences.
-_TOKENS = [r"[|]end[^|\n]*[|]", r"<[|][^>]*[|]>"]
+# Patterns on whole words and sentences.
 _ECHO = rf"(?s)Available products:{BLANK}*\[.*?\]{BLANK}*"
-_STOP_WORD = r"(?iU)\bSTOP\.?\b"
 _SENTENCES = [
     rf"(?iU)(?:{_one_of(V.FILLER_OPENINGS)})[^.?!]*[.?!]?",
     *[rf"(?iU){literal(opening)}[^.]*\.?" for opening in V.FILLER_SENTENCES],
-    r"(?iU)\bfinished\.?\b",
+    V.FINISHED_PATTERN,
 ]
 _DANGLING = rf"(?iU)\b(?:{_one_of(V.DANGLING_WORDS)})\z"
 
@@ -50,7 +48,7 @@ def clean_reply(reply: Column) -> Column:
         ).otherwise(t)
 
     def without_tokens(t: Column) -> Column:
-        return F.when(t.contains("|"), _remove(t, _TOKENS)).otherwise(t)
+        return F.when(t.contains("|"), _remove(t, V.TOKEN_PATTERNS)).otherwise(t)
 
     def without(patterns: list[str], words: list[str]):
         return lambda t: F.when(asks_caseless(t, words), _remove(t, patterns)).otherwise(t)
@@ -70,7 +68,7 @@ def clean_reply(reply: Column) -> Column:
     steps = [
         *[without_mark(mark) for mark in V.STOP_MARKS],
         without_tokens,
-        without([_STOP_WORD], ["stop"]),
+        without([V.STOP_PATTERN], ["stop"]),
         lambda t: F.translate(t, "|", " "),
         without_echo,
         without(_SENTENCES, fillers),

@@ -96,13 +96,17 @@ def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def assemble_messages(queries: DataFrame, history: DataFrame, system_prompt: str) -> DataFrame:
+def assemble_messages(queries: DataFrame, history: DataFrame, system_prompt: str, always_listed: bool = False) -> DataFrame:
     """The queries with `messages`: system prompt, past turns with content, then the query itself.
 
-    `queries` holds conv_id, query and the `product_context` text (null when nothing was found).
+    `queries` holds conv_id, query and the `product_context` text (null when nothing was found). The
+    streamed dialogue then says so in place of a list; the other one (`always_listed`) introduces a
+    list that says so.
     """
     from aislekit import vocabulary as V
 
+    if always_listed:
+        queries = queries.withColumn("product_context", F.coalesce("product_context", F.lit(V.NO_PRODUCTS)))
     past = conversations(history.where((F.length("text") > 0) & F.col("role").isin("user", "assistant")))
     asked = F.when(
         F.col("product_context").isNotNull(),

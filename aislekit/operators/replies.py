@@ -13,9 +13,10 @@ from aislekit.functions.text import asks
 from aislekit.sources.policy import load_policy
 
 
-def _bounded(policy: DataFrame) -> DataFrame:
+def bounded(policy: DataFrame) -> DataFrame:
     """The policy rows a question can ask for: one per category, five categories, so five rows."""
-    return load_policy(policy.where(F.col("category").isin(V.TARGET_CATEGORIES)))
+    last = load_policy(policy.where(F.col("category").isin(V.TARGET_CATEGORIES)))
+    return last.withColumn("line_no", F.lit(1).cast("bigint"))
 
 
 def with_policy_texts(
@@ -23,7 +24,7 @@ def with_policy_texts(
 ) -> DataFrame:
     """The questions with their category and the two policy texts."""
     def texts(policy: DataFrame, text: Callable, name: str) -> DataFrame:
-        rows = _bounded(policy)
+        rows = bounded(policy)
         return rows.select("category", text({c: F.col(c) for c in rows.columns}).alias(name))
 
     ship_texts = F.broadcast(texts(shipping, R.shipping_text, "shipping_text"))

@@ -63,12 +63,12 @@ def review_set(made: dict[str, DataFrame]) -> DataFrame:
 def answer_shoppers(
     queries: DataFrame, vectors: DataFrame, products: DataFrame, history: DataFrame,
     shipping: DataFrame, returns: DataFrame, system_prompt: str,
-    k: int = V.TOP_K, threshold: float | None = None,
+    k: int = V.TOP_K, threshold: float | None = None, always_listed: bool = False,
 ) -> DataFrame:
     """(query_id, route, policy_text, prompt): a policy text, or the prompt of a product search.
 
     `queries` holds query_id, conv_id, user_query and embedding. Routing comes first, so
-    only the questions that need products pay for the search.
+    only the questions that need products pay for the search. `always_listed`: see `assemble_messages`.
     """
     routed = policy_lookup(queries, shipping, returns)
     told = routed.where("route <> 'search'").select(
@@ -79,7 +79,7 @@ def answer_shoppers(
     offered = vectors.join(products.select("product_id"), "product_id", "left_semi")
     hits = search(asked, offered, k, threshold).join(products, "product_id")
     found = context_json(hits)
-    messages = assemble_messages(asked.drop("embedding").join(found, "query_id", "left"), history, system_prompt)
+    messages = assemble_messages(asked.drop("embedding").join(found, "query_id", "left"), history, system_prompt, always_listed)
     prompted = messages.select(
         "query_id", F.lit("search").alias("route"), F.lit(None).cast("string").alias("policy_text"),
         prompt_of(F.col("messages")).alias("prompt"),

@@ -27,6 +27,9 @@ TEST_CASE = (
 EDGE_CASE = (
     "query_id BIGINT, user_query STRING, raw_reply STRING, followup_reply STRING, error STRING"
 )
+SHOPPER_QUERY = ("query_id BIGINT, conv_id BIGINT, user_query STRING, embedding ARRAY<FLOAT>")
+TURN = ("conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+VECTOR = ("product_id STRING, embedding ARRAY<FLOAT>")
 CONTEXT_PRODUCT = (
     "STRUCT<product_id: STRING, category: STRING, title: STRING, price: DOUBLE, "
     "brand: STRING, features: ARRAY<STRING>, avg_rating: DOUBLE>"

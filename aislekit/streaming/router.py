@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from aislekit.operators.replies import policy_lookup
+from aislekit.operators.replies import bounded, policy_lookup
+from aislekit.session import written
 
 
 def route_stream(
@@ -15,8 +16,9 @@ def route_stream(
 
     Stateless: a join with two static tables of five rows at most, so append mode works,
     a restart needs nothing but the source offsets, and the rows equal the batch result.
+    The policy rows are written once, not found anew for every micro-batch.
     """
-    return policy_lookup(stream, shipping, returns, query)
+    return policy_lookup(stream, written(bounded(shipping), "policies"), written(bounded(returns), "policies"), query)
 
 
 def write_stream(routed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

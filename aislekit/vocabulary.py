@@ -66,6 +66,11 @@ PRODUCTS_PREFIX = "Available products: "
 CONTEXT_INTRO = "Here are some products that might help:"
 NO_MATCH_INTRO = "I couldn't find any products matching your request in our store."
 
+# Patterns of special tokens and words in a model reply.
+TOKEN_PATTERNS = [r"[|]end[^|\n]*[|]", r"<[|][^>]*[|]>"]
+STOP_PATTERN = r"(?iU)\bSTOP\.?\b"
+FINISHED_PATTERN = r"(?iU)\bfinished\.?\b"
+
 # Marks that close a model reply, in the order they are stripped.
 STOP_MARKS = ["|stop|", "| Stop |", "| Finish |", "STOP", "END", "Finish", "Stop"]
 FILLER_OPENINGS = [

@@ -132,3 +132,47 @@ def test_evaluate_and_edge_cases(spark, tmp_path, small):
 
     told = {(r["query_id"], r["agent_reply"]) for r in map(json.loads, lines_of(tmp_path / "told"))}
     assert told == {(r.query_id, r.agent_reply) for r in edge_case_replies(spark, small).collect()}
+
+
+def test_shoppers_from_files_to_answers(spark, tmp_path):
+    """contexts, product texts, vectors, answers and routes, all through the command line."""
+    def write(name, rows):
+        (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows))
+        return str(tmp_path / name)
+
+    products = [{"product_id": f"p{i}", "category": "Home_and_Kitchen", "sub_category": "Pans", "title": f"Pan {i}", "price": 5.0 + i,
+                 "brand": "B", "features": ["x"], "avg_rating": 4.0} for i in range(12)]
+    library = write("library.jsonl", products)
+    assert main(["contexts", "--input", library, "--output", str(tmp_path / "contexts"), "--max-rows", "5"]) == 0
+    made = [json.loads(x) for x in lines_of(tmp_path / "contexts")]
+    assert len(made) == 5 and all(c["subcategory"] == "Pans" and len(c["products"]) == 8 for c in made)
+    assert main(["product-texts", "--input", library, "--output", str(tmp_path / "texts")]) == 0
+    assert json.loads(lines_of(tmp_path / "texts")[0])["text"].startswith("Pan 0 B Home_and_Kitchen Pans $5.0")
+    vectors = write("vectors.jsonl", [{"product_id": f"p{i}", "embedding": [1.0, i / 10]} for i in range(14)])
+    assert main(["vectors", "--input", vectors, "--products", library, "--output", str(tmp_path / "store")]) == 0
+    asked = write("asked.jsonl", [{"query_id": 1, "conv_id": 1, "user_query": "any pan?", "embedding": [1.0, 0.0]},
+                                  {"query_id": 2, "conv_id": 2, "user_query": "How long does delivery take?", "embedding": [1.0, 0.0]}])
+    history = write("history.jsonl", [{"conv_id": 1, "turn": 0, "role": "user", "text": "hi"}])
+    shipping = write("shipping.jsonl", [{"category": "Home_and_Kitchen", "standard_days": "5"}])
+    returns = write("returns.jsonl", [{"category": "Home_and_Kitchen", "return_window": "30 days"}])
+    told = ["--shipping", shipping, "--returns", returns]
+    assert main(["answer", "--input", asked, "--output", str(tmp_path / "answers"), *told, "--vectors", str(tmp_path / "store"),
+                 "--history", history, "--system-prompt", "sys", "--top-k", "3"]) == 0
+    rows = {r["query_id"]: r for r in map(json.loads, lines_of(tmp_path / "answers"))}
+    assert rows[1]["prompt"].count('"product_id"') == 3 and "Standard: 5 days" in rows[2]["policy_text"]
+    (tmp_path / "arriving").mkdir()
+    (tmp_path / "arriving" / "a.json").write_text((tmp_path / "asked.jsonl").read_text())
+    assert main(["route", "--input", asked, "--output", str(tmp_path / "routed"), *told]) == 0
+    assert main(["route", "--input", str(tmp_path / "arriving"), "--output", str(tmp_path / "streamed"), *told, "--stream"]) == 0
+    batch = {(r["query_id"], r["route"]) for r in map(json.loads, lines_of(tmp_path / "routed"))}
+    assert batch == {(r.query_id, r.route) for r in spark.read.parquet(str(tmp_path / "streamed")).collect()} == {(1, "search"), (2, "shipping")}
+
+
+def test_dialogue_without_hits_in_both_forms(spark):
+    from aislekit import vocabulary as V
+    from aislekit.operators.chat import assemble_messages
+
+    asked = spark.createDataFrame([(1, "any pot?", None)], "conv_id int, query string, product_context string")
+    none = spark.createDataFrame([], "conv_id int, turn int, role string, text string")
+    last = [assemble_messages(asked, none, "sys", listed).first().messages[-1].content for listed in (False, True)]
+    assert last == [f"any pot?\n\n{V.NO_MATCH_INTRO}", f"any pot?\n\n{V.CONTEXT_INTRO}\n{V.NO_PRODUCTS}"]
