@@ -142,10 +142,12 @@ class Mixture:
         met = self.pieces.join(times.hint("merge"), ["source_no", "block"])
         return met.groupBy("doc").agg(F.sum(F.col("piece_words") * F.col("times")).alias("taken"))
 
-    def epochs(self) -> DataFrame:
-        """(doc, epoch, parts): the word ranges (piece_from, piece_words) that one pass over the source takes of a document, in order."""
+    def passes(self) -> DataFrame:
+        """(doc, passes): for each pass over the source that takes words of a document, their ranges (piece_from,
+        piece_words) in order. The passes are as many as `most`, rounded up."""
         met = self.pieces.join(self.slots.select("source_no", "block", "epoch").hint("merge"), ["source_no", "block"])
-        return met.groupBy("doc", "epoch").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("parts"))
+        parts = met.groupBy("doc", "epoch").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("parts"))
+        return parts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("epoch", "parts"))).alias("passes"))
 
 
 def mixed_texts(df: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
@@ -158,11 +160,20 @@ def mixed_texts(df: DataFrame, mixture: Mixture, key: str = "doc_id", text: str
     same = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     once = df.withColumn("__h", same).withColumn("__nth", F.row_number().over(Window.partitionBy("__h").orderBy("__h"))).where("__nth = 1")
     rows = mixture.documents.select("doc", F.col("h").alias("__h"))
-    taken = mixture.epochs().hint("merge").join(rows.hint("merge"), "doc").select("__h", F.col("parts").alias("__parts"))
+    taken = mixture.passes().hint("merge").join(rows.hint("merge"), "doc").select("__h", F.col("passes").alias("__passes"))
     met = once.join(taken.hint("merge"), "__h")
-    met = met.withColumn("__words", F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
-    cut = F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__words"), (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int"))))
-    return met.withColumn(text, F.regexp_replace(F.array_join(cut, ""), r"^[\x20\x09-\x0D]+", "")).select(*df.columns)
+    words = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+
+    def cut(words: Column) -> Column:
+        def part(p: Column) -> Column:
+            return F.array_join(F.slice(words, (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int")), "")
+
+        return F.transform("__passes", lambda one: F.array_join(F.transform(one["parts"], part), ""))
+
+    # in an array of one, so that a text is taken apart once and not for every part
+    texts = F.get(F.transform(F.array(words), cut), F.lit(0))
+    met = met.withColumn("__text", F.explode(texts))
+    return met.withColumn(text, F.regexp_replace("__text", r"^[\x20\x09-\x0D]+", "")).select(*df.columns)
 
 
 def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, **names) -> DataFrame:

@@ -183,9 +183,6 @@ def same(found, expected):
 @pytest.mark.parametrize("heavy", [1 << 18, 40])
 def test_scores_against_brute_force(spark, small, monkeypatch, heavy):
     monkeypatch.setattr(lm, "HEAVY", heavy)
-    monkeypatch.setattr(lm, "SINGLE", min(heavy, 191))
-    monkeypatch.setattr(lm, "CLASSES", 1 + min(heavy, 191) + lm.ENDINGS)
-    monkeypatch.setattr(lm.Bilinear, "SHAPES", ((lm.CLASSES + 1, lm.DIM), (lm.CONTEXT, lm.DIM), (lm.CLASSES, lm.DIM), (lm.CLASSES,)))
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = lm.score_texts(docs).collect()
     assert same(found, brute_base([(r["doc_id"], r["text"]) for r in docs.collect()]))
