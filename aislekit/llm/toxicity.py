@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model of the labelled rows outside the held-out fold (crc32 of the key as text, modulo `fold`, is 0).
 
     At most about `sample` rows, chosen by a hash of the key; null keys and labels are left out. Of a key
-    labelled more than once the greatest label counts. Without any labelled row the score is 1/2.
+    labelled more than once the greatest label counts. Without any labelled row nothing is toxic: all scores are near 0.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
     known = known.where(remainder("k", fold) != 0).groupBy("k").agg(F.max("y").alias("y"))
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return pa.table({"slots": pa.array([used.tolist()], pa.list_(pa.int32())), "weights": pa.array([weights.tolist()], pa.list_(pa.float64())), "bias": [bias]})
 
     found = encoded.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fitted, "slots array<int>, weights array<double>, bias double").collect()
-    return Model(found[0]["slots"], found[0]["weights"], found[0]["bias"]) if found else Model(np.zeros(0), np.zeros(0), 0.0)
+    return Model(found[0]["slots"], found[0]["weights"], found[0]["bias"]) if found else Model(np.zeros(0), np.zeros(0), -35.0)
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", fold: int = 5) -> DataFrame:

@@ -60,7 +60,7 @@ def test_toxicity_of_odd_rows(spark):
     assert kept.columns == odd_docs(spark).columns and kept.count() == sum(r["predicted"] == 0 for r in rows)
     untrained = toxicity.train(no_docs(spark), labels)
     assert toxicity.score(no_docs(spark), untrained).count() == 0
-    assert {r["score"] for r in toxicity.score(odd_docs(spark), untrained).collect()} == {0.5}
+    assert all(r["score"] < 1e-9 for r in toxicity.score(odd_docs(spark), untrained).collect())
 
 
 # ---- personal data ----------------------------------------------------------------------
