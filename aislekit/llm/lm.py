@@ -63,10 +63,15 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame):
         self.n, self.types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-        heavy = counts.orderBy(F.desc("c"), "h").limit(HEAVY).toArrow()  # HEAVY rows at most
+        # the least level of counts that HEAVY words at most reach, from a table of levels: no sorting of words
+        level = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor((F.log2("c") - 12) * 64)).cast("int")
+        levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()  # some thousands of rows
+        fits = np.cumsum([r["words"] for r in levels]) <= HEAVY
+        least = min((r["level"] for r, ok in zip(levels, fits) if ok), default=1 << 30)
+        heavy = counts.where(level >= least).toArrow()  # HEAVY rows at most
         h, c = np.asarray(heavy.column("h")), np.asarray(heavy.column("c"), np.int64)
-        words = h[h != END]
-        self.single = np.sort(words[:SINGLE])
+        words = h[np.lexsort((h, -c))]
+        self.single = np.sort(words[words != END][:SINGLE])
         order = np.argsort(h)
         self.heavy, self.counts = h[order], c[order]
         rest = counts.where(F.col("h") != int(END)).join(F.broadcast(counts.sparkSession.createDataFrame([(int(x),) for x in self.single], "h bigint")), "h", "left_anti")
