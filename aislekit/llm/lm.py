@@ -141,28 +141,38 @@ class Bilinear:
             at += size
         return out
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        return np.einsum("ncd,cd->nd", self.before[context], self.weight, optimize=False)
+    def weighted(self) -> list[np.ndarray]:
+        """The context vectors as they count at each distance."""
+        return [self.before * w for w in self.weight]
+
+    @staticmethod
+    def predicted(weighted: list[np.ndarray], context: np.ndarray) -> np.ndarray:
+        out = weighted[0].take(context[:, 0], 0)
+        for d in range(1, CONTEXT):
+            out += weighted[d].take(context[:, d], 0)
+        return out
 
     def learn(self, classes: np.ndarray, context: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """One step on a batch: tell its classes from noise classes that the whole batch shares."""
         k = min(NOISE, 4 * len(classes))
         noise = np.searchsorted(np.cumsum(self.noise), rng.random(k) * 0.999999)
-        vectors = self.before[context]
-        q = np.einsum("ncd,cd->nd", vectors, self.weight)
-        own = np.einsum("nd,nd->n", q, self.after[classes]) + self.bias[classes] - np.log(k * self.noise[classes])
-        others = q @ self.after[noise].T + self.bias[noise] - np.log(k * self.noise[noise])
-        g_own = (1 / (1 + np.exp(np.clip(own, -30, 30)))).astype(np.float32)  # towards 1
-        g_noise = (-1 / (1 + np.exp(-np.clip(others, -30, 30)))).astype(np.float32)  # towards 0
-        g_q = g_own[:, None] * self.after[classes] + g_noise @ self.after[noise]
+        vectors = [self.before.take(context[:, d], 0) for d in range(CONTEXT)]
+        q = sum(v * w for v, w in zip(vectors, self.weight))
+        offset = self.bias - np.log(k * self.noise).astype(np.float32)
+        target = self.after.take(classes, 0)
+        own = (q * target).sum(1) + offset[classes]
+        others = q @ self.after[noise].T + offset[noise]
+        g_own = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # towards 1
+        g_noise = -1 / (1 + np.exp(-np.clip(others, -30, 30)))  # towards 0
+        g_q = g_own[:, None] * target + g_noise @ self.after[noise]
         gradient = np.zeros_like(self.values)
         before, weight, after, bias = self._parts(gradient)
         after += _scatter(classes, g_own[:, None] * q, CLASSES)
         np.add.at(after, noise, g_noise.T @ q)
         bias += np.bincount(classes, g_own, CLASSES)
         np.add.at(bias, noise, g_noise.sum(0))
-        weight += np.einsum("ncd,nd->cd", vectors, g_q)
         for d in range(CONTEXT):
+            weight[d] = (vectors[d] * g_q).sum(0)
             before += _scatter(context[:, d], g_q * self.weight[d], CLASSES + 1)
         gradient /= len(classes)
         self.squares += gradient * gradient
@@ -177,14 +187,21 @@ class Bilinear:
     def log10(self, classes: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each token's class."""
         out = np.empty(len(classes))
-        for at in range(0, len(classes), 4 * BATCH):
-            scores = self.predicted(context[at:at + 4 * BATCH]) @ self.after.T
-            scores += self.bias
-            top = scores.max(1)
-            own = scores[np.arange(len(scores)), classes[at:at + 4 * BATCH]]
-            scores -= top[:, None]
+        after = np.concatenate([self.after, self.bias[:, None]], 1).T  # the bias as one more dimension
+        weighted, ones = self.weighted(), np.ones(CLASSES, np.float32)
+        longest, highest = float(np.sqrt((self.after ** 2).sum(1)).max()), float(np.abs(self.bias).max())
+        for at in range(0, len(classes), BATCH):
+            q = self.predicted(weighted, context[at:at + BATCH])
+            top = np.zeros(len(q), np.float32)
+            # scores that no exponential can overflow or lose need no maximum taken off first
+            far = float(np.sqrt((q * q).sum(1)).max()) * longest + highest > 60
+            scores = np.concatenate([q, np.ones((len(q), 1), q.dtype)], 1) @ after
+            own = scores[np.arange(len(scores)), classes[at:at + BATCH]]
+            if far:
+                top = scores.max(1)
+                scores -= top[:, None]
             np.exp(scores, out=scores)
-            out[at:at + 4 * BATCH] = own - top - np.log(scores.sum(1))
+            out[at:at + BATCH] = own - top - np.log(scores @ ones)
         return out / np.log(10)
 
 
