@@ -115,36 +115,51 @@ def _sketches(layouts: Layouts, rows: np.ndarray, hashes: np.ndarray, size: np.n
     return [parity[a // 8:b // 8] for a, b in zip(base[:-1], base[1:])]
 
 
+def _fresh(size: np.ndarray, node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows have a set that the task has not seen yet."""
+    fresh = np.zeros(len(size), bool)
+    for i, s in enumerate(node.tolist()):
+        if size[i] and s not in seen:
+            seen.add(s)
+            fresh[i] = True
+    return fresh
+
+
 def _sketch_table(docs: DataFrame, layouts: Layouts, k: int) -> DataFrame:
-    """(doc, n, node, words, sketch) of every row (doc, text); equal sets of a task show words and sketch once."""
+    """(doc, n, node, sketch) of every row (doc, text); equal sets of a task show the sketch once."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for a, b, rows, hashes, size, node in _sets(batch.column(1), k):
-                fresh = np.zeros(b - a, bool)
-                for i, s in enumerate(node.tolist()):
-                    if size[i] and s not in seen:
-                        seen.add(s)
-                        fresh[i] = True
+                fresh = _fresh(size, node, seen)
                 pick = fresh[rows]
-                own = layouts.band(size)
-                above = layouts.low[own + 1]
-                reach = size * 100 >= above * layouts.percent
-                parts = [_block_words(layouts, np.where(fresh & ok, band, -1), rows[pick], hashes[pick], np.where(fresh, size, 0))
-                         for band, ok in ((own, np.ones(b - a, bool)), (own + 1, reach))]
-                at, key = (np.concatenate(x) for x in zip(*parts))
-                order = np.argsort(at, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=b - a))])
-                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
                 sketch = _sketches(layouts, rows[pick], hashes[pick], np.where(fresh, size, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), words,
+                    [batch.column(0)[a:b], pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0),
                      pa.array([x if f else None for x, f in zip(sketch, fresh)], pa.binary())],
-                    names=["doc", "n", "node", "words", "sketch"])
+                    names=["doc", "n", "node", "sketch"])
+
+    return map_arrow(docs, run, f"doc {kind}, n bigint, node bigint, sketch binary")
+
+
+def _shown_words(docs: DataFrame, layouts: Layouts, k: int) -> DataFrame:
+    """(key, node) of all block words of the texts; equal sets of a task show theirs once. Made from the texts a
+    second time: there are too many words to keep them on disk beside their shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for a, b, rows, hashes, size, node in _sets(batch.column(0), k):
+                fresh = _fresh(size, node, seen)
+                pick = fresh[rows]
+                own = layouts.band(size)
+                reach = size * 100 >= layouts.low[own + 1] * layouts.percent
+                for band, ok in ((own, fresh), (own + 1, fresh & reach)):
+                    at, key = _block_words(layouts, np.where(ok, band, -1), rows[pick], hashes[pick], np.where(fresh, size, 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[at].view(np.int64))], names=["key", "node"])
 
-    return map_arrow(docs, run, f"doc {kind}, n bigint, node bigint, words array<bigint>, sketch binary")
+    return map_arrow(docs.select("text"), run, "key bigint, node bigint")
 
 
 def _fold(sketches: list[bytes], width: int) -> np.ndarray:
@@ -323,7 +338,7 @@ def _small_pairs(shared: DataFrame) -> DataFrame:
 
 def _linked(table: DataFrame, docs: DataFrame, sketched: DataFrame, layouts: Layouts, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that are linked with another."""
-    shown = table.select(F.explode("words").alias("key"), "node")
+    shown = _shown_words(docs, layouts, k)
     group = Window.partitionBy("key")
     shown = shown.select("key", "node", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"))
     # still together by key: no more shuffles for these
