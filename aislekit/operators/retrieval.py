@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from aislekit import vocabulary as V
+from aislekit.functions.text import number_text
 from aislekit.session import written
 
 # Queries that visit the vectors together; 4,096 vectors of 1,024 numbers are 32 MB.
@@ -124,12 +125,22 @@ def context_json(hits: DataFrame) -> DataFrame:
     Rows need query_id and rank beside the product fields; a query has at most k of them.
     A row whose product_id is null stands for a query without hits.
     """
-    product = F.struct("product_id", "category", "title", "price", "brand", "features", "avg_rating")
+    def fields(*names: str) -> Column:
+        """The fields as in a JSON object, without its braces."""
+        json = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+        return F.substring(json, F.lit(2), F.length(json) - 2)
+
+    def number(name: str) -> Column:
+        return F.concat(F.lit(f',"{name}":'), F.coalesce(number_text(F.col(name)), F.lit("null")))
+
+    # `to_json` would write large and small numbers with an exponent
+    product = F.concat(
+        F.lit("{"), fields("product_id", "category", "title"), number("price"), F.lit(","), fields("brand", "features"),
+        number("avg_rating"), F.lit("}"),
+    )
     entry = F.when(F.col("product_id").isNotNull(), F.struct(F.col("rank"), product.alias("product")))
     listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["product"])
-    text = F.concat(
-        F.lit(V.PRODUCTS_PREFIX), F.to_json(F.col("listed"), {"ignoreNullFields": "false"})
-    )
+    text = F.concat(F.lit(V.PRODUCTS_PREFIX + "["), F.array_join("listed", ","), F.lit("]"))
     return hits.groupBy("query_id").agg(listed.alias("listed")).select(
         "query_id",
         F.when(F.size("listed") == 0, F.lit(V.NO_PRODUCTS)).otherwise(text).alias("product_context"),
