@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from aislekit import vocabulary as V
 from aislekit.functions.text import number_text
 from aislekit.session import written
 
-# Queries that visit the vectors together; 4,096 vectors of 1,024 numbers are 32 MB.
+# Rows of a chunk of queries or of a block of vectors, and the bytes that its vectors take at most.
 CHUNK_ROWS = 4096
+_CHUNK_BYTES = 4 << 20
 # Scores that one matrix product makes at most.
 _STRIP = 1 << 20
 # Room for rounding in the first look at a score; what passes it is computed again pair by pair.
@@ -30,36 +29,58 @@ def search(
 ) -> DataFrame:
     """(query_id, product_id, score, rank): the k best products of each query.
 
-    The vectors stay where they are. The queries are written once and visit them in chunks of
-    bounded size; a task streams its vectors past a chunk and passes on k rows per query,
-    which are ranked once more over all tasks. Neither a vector nor a pair is shuffled.
+    Queries and vectors are written as chunks of bounded size, cut by their place in a partition and never by
+    an id. Tasks read the chunks of each pair of written parts side by side (a Cartesian product of chunks, not
+    of rows) and pass on k rows per query, which are ranked once more over all tasks. No vector is shuffled
+    or reaches the driver, no pair becomes a row, and the plan is the same for any number of queries.
 
     A zero vector scores 0.0; the lower id wins among equal scores. Vectors that are null, empty
     or hold a null or non-finite number take no part, nor do vectors of another length than the
     query. A score does not depend on the vectors beside it, nor on chunk sizes.
     """
-    asked = written(
-        queries.select("query_id", F.col("embedding").cast("array<double>").alias("vector")).where(_sound(F.col("vector"))), "queries"
-    )
-    offered = vectors.select("product_id", F.col("embedding").cast("array<double>").alias("vector")).where(_sound(F.col("vector")))
-    # Counted on the written table, which holds the count; nothing upstream runs again.
-    chunks = max(1, ceil(asked.count() / chunk_rows))
-    numbered = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+    asked = _chunks(queries, "query_id", chunk_rows).select(F.monotonically_increasing_id().alias("chunk"), F.col("rows").alias("asked"))
+    offered = _chunks(vectors, "product_id", chunk_rows).withColumnRenamed("rows", "offered")
     q_type = queries.schema["query_id"].dataType.simpleString()
     v_type = vectors.schema["product_id"].dataType.simpleString()
-    found = None
-    for i in range(chunks):
-        part = numbered.where(F.col("chunk") == i).select("query_id", "vector").toArrow()  # about chunk_rows rows
-        best = offered.mapInArrow(_best_of(part, k), f"query_id {q_type}, product_id {v_type}, score double")
-        found = best if found is None else found.unionAll(best)
+    pairs = asked.hint("shuffle_replicate_nl").crossJoin(offered)
+    found = pairs.mapInArrow(_best_of(k), f"query_id {q_type}, product_id {v_type}, score double")
     if threshold is not None:
         found = found.where(F.col("score") >= threshold)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "product_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 9))
 
 
-def _best_of(asked, k: int):
-    """A task's pass of its vectors by a chunk of queries."""
+def _chunks(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Ids and sound vectors as written rows of up to `most` of them, each an Arrow stream."""
+    kind = "float" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(key, F.col("embedding").cast(f"array<{kind}>").alias("vector")).where(_sound(F.col("vector")))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            start = 0
+            sizes = batch.column("vector").value_lengths().to_pylist()
+            while start < len(sizes):
+                end, room = start, _CHUNK_BYTES
+                while end < len(sizes) and end - start < most and (end == start or room >= sizes[end] * 8):
+                    room -= sizes[end] * 8
+                    end += 1
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as stream:
+                    stream.write_batch(batch.slice(start, end - start))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+                start = end
+
+    # As many bytes on disk as in memory, so that parts of a file are parts of bounded size however alike the vectors are;
+    # row groups are measured after each chunk, not after a hundred.
+    return written(rows.mapInArrow(pack, "rows binary"), "chunks", **{
+        "compression": "uncompressed", "parquet.enable.dictionary": "false",
+        "parquet.block.size": str(4 * _CHUNK_BYTES), "parquet.page.size.row.check.min": "1"})
+
+
+def _best_of(k: int):
+    """A task's pass of blocks of vectors by chunks of queries."""
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -68,7 +89,6 @@ def _best_of(asked, k: int):
         def matrices(table) -> dict:
             """Unit vectors by length: (row numbers, matrix); a zero vector stays zero."""
             column = table.column("vector")
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
             sizes = np.asarray(column.value_lengths())
             out = {}
             for size in np.unique(sizes).tolist():
@@ -80,41 +100,65 @@ def _best_of(asked, k: int):
                 out[size] = rows, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
             return out
 
-        queries, ids = matrices(asked), asked.column("query_id").to_pylist()
-        bar = np.full(len(ids), -np.inf)  # the k-th best score so far
-        best = pd.DataFrame({"row": [], "product_id": [], "score": []})
-
-        def near(batch):
-            names = np.array(batch.column("product_id").to_pylist(), dtype=object)
-            for size, (rows, matrix) in matrices(batch).items():
-                if size not in queries:
-                    continue
-                asking, wanted = queries[size]
-                step = max(1, _STRIP // max(1, len(rows)))
-                for at in range(0, len(asking), step):
-                    q, v = np.nonzero(wanted[at:at + step] @ matrix.T >= bar[asking[at:at + step]][:, None] - _SLACK)
-                    for start in range(0, len(q), _STRIP // size + 1):
-                        a, b = q[start:start + _STRIP // size + 1] + at, v[start:start + _STRIP // size + 1]
-                        score = np.einsum("ij,ij->i", wanted[a], matrix[b])
-                        yield pd.DataFrame({"row": asking[a], "product_id": names[rows[b]], "score": score})
-
+        def opened(value):
+            return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+        class Chunk:
+            """The k best products so far of each query of a chunk; rows of one id are one query."""
+
+            def __init__(self, number, table):
+                self.number, self.queries, self.column = number, matrices(table), table.column("query_id")
+                places = {}
+                self.query = np.array([places.setdefault(i, len(places)) for i in self.column.to_pylist()], dtype=int)
+                self.ids = list(places)
+                self.bar = np.full(len(self.ids), -np.inf)  # the k-th best score so far
+                self.best, self.product_type = pd.DataFrame({"row": [], "product_id": [], "score": []}), None
+
+            def near(self, table):
+                names = np.array(table.column("product_id").to_pylist(), dtype=object)
+                for size, (rows, matrix) in matrices(table).items():
+                    if size not in self.queries:
+                        continue
+                    asking, wanted = self.queries[size]
+                    asking = self.query[asking]
+                    step = max(1, _STRIP // max(1, len(rows)))
+                    for at in range(0, len(asking), step):
+                        q, v = np.nonzero(wanted[at:at + step] @ matrix.T >= self.bar[asking[at:at + step]][:, None] - _SLACK)
+                        for start in range(0, len(q), _STRIP // size + 1):
+                            a, b = q[start:start + _STRIP // size + 1] + at, v[start:start + _STRIP // size + 1]
+                            score = np.einsum("ij,ij->i", wanted[a], matrix[b])
+                            yield pd.DataFrame({"row": asking[a], "product_id": names[rows[b]], "score": score})
+
+            def visit(self, table):
+                self.product_type = table.schema.field("product_id").type
+                for found in self.near(table):
+                    found = found[found["score"].to_numpy() >= self.bar[found["row"].to_numpy()]]
+                    if len(found):
+                        best = pd.concat([self.best, found]) if len(self.best) else found
+                        best = best.sort_values(["row", "score", "product_id"], ascending=[True, False, True], kind="stable")
+                        self.best = best[best.groupby("row").cumcount() < k]
+                        full = self.best.groupby("row")["score"].agg(["size", "min"])
+                        full = full[full["size"] == k]
+                        self.bar[full.index.to_numpy(dtype=int)] = full["min"].to_numpy()
+
+            def found(self):
+                if len(self.best):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([self.ids[i] for i in self.best["row"].to_numpy(dtype=int)], self.column.type),
+                        pa.array(self.best["product_id"].tolist(), self.product_type),
+                        pa.array(self.best["score"].to_numpy(dtype="float64")),
+                    ], names=["query_id", "product_id", "score"])
+
+        chunk = None
         for batch in batches:
-            for found in near(batch):
-                found = found[found["score"].to_numpy() >= bar[found["row"].to_numpy()]]
-                if len(found):
-                    best = pd.concat([best, found]) if len(best) else found
-                    best = best.sort_values(["row", "score", "product_id"], ascending=[True, False, True], kind="stable")
-                    best = best[best.groupby("row").cumcount() < k]
-                    full = best.groupby("row")["score"].agg(["size", "min"])
-                    full = full[full["size"] == k]
-                    bar[full.index.to_numpy(dtype=int)] = full["min"].to_numpy()
-        if len(best):
-            rows = best["row"].to_numpy(dtype=int)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([ids[i] for i in rows], asked.schema.field("query_id").type),
-                pa.array(best["product_id"].tolist(), batch.schema.field("product_id").type),
-                pa.array(best["score"].to_numpy(dtype="float64")),
-            ], names=["query_id", "product_id", "score"])
+            for number, asked, offered in zip(*[batch.column(c) for c in ("chunk", "asked", "offered")]):
+                if chunk is None or chunk.number != number.as_py():
+                    if chunk is not None:
+                        yield from chunk.found()
+                    chunk = Chunk(number.as_py(), opened(asked))
+                chunk.visit(opened(offered))
+        if chunk is not None:
+            yield from chunk.found()
 
     return run
 

@@ -46,12 +46,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of `df` by a Parquet table in the shared folder.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut the lineage of `df` by a Parquet table in the shared folder; `options` are those of its writer.
 
     The table outlives lost executors, so nothing upstream is computed again.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -135,6 +135,27 @@ def test_search_passes_over_vectors_that_cannot_be_compared(spark):
     assert got == {(1, 1): ("a", 1.0), (1, 2): ("g", 0.0), (3, 1): ("c", 1.0)}
 
 
+def test_no_query_vector_reaches_the_driver(spark, monkeypatch):
+    """Many chunks, and one query id that a third of the rows share: the plan stays the same, and nothing is collected."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    ids = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("query_id")
+    q = spark.range(0, 300, 1, 3).select(ids, F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    v = spark.range(40).select(F.concat(F.lit("p"), "id").alias("product_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+
+    def refused(*_, **__):
+        raise AssertionError("rows reach the driver")
+
+    with monkeypatch.context() as m:
+        for name in ("toArrow", "toPandas", "collect", "toLocalIterator"):
+            m.setattr(Classic, name, refused)
+        found = {rows: retrieval.search(q, v, chunk_rows=rows) for rows in (5, 4096)}
+        plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in found.values()]
+    assert [p.count("Relation [") for p in plans] == [2, 2]
+    got = [{(r.query_id, r.rank): (r.product_id, r.score) for r in f.collect()} for f in found.values()]
+    assert got[0] == got[1] and len(got[0]) == 201 * 8
+
+
 def test_near_ties_are_ranked_by_their_score(spark):
     """Scores that round to the same nine digits."""
     v = spark.createDataFrame([("a", [1.0, 2e-5]), ("b", [1.0, 1e-5])], "product_id string, embedding array<double>")
