@@ -12,7 +12,8 @@ digest of each group, five at most, is read by the driver when a sample is asked
 
 Keys should tell rows apart, as row positions do. Copies that share a key also share a
 digest; a sample or split still has exactly its number of rows then: at the cut, a second
-digest of the whole row tells copies apart, and rows equal in all columns are counted out.
+digest of the whole row tells copies apart, and rows equal in all columns are numbered where they
+are. No row is made anew.
 """
 
 from __future__ import annotations
@@ -24,11 +25,17 @@ from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 from aislekit import vocabulary as V
 from aislekit.functions.draws import digest
 from aislekit.functions.text import is_blank
+from aislekit.session import written
 
 _BUCKET_DIGITS = 4
 # Digests that are ranked in one task; a bucket with more rows is looked into once more.
 _RANKED = 65_536
 _DIGITS = 32
+# A row as text: nulls are marked, times have their microseconds.
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_EXACT = {"ignoreNullFields": "false", "timeZone": "UTC", "timestampFormat": _TIME, "timestampNTZFormat": _TIME}
+# Of an increasing id, the bits that number a row within its part.
+_PART_BITS = 33
 
 
 def _running(n: str, order: str, by: list[str]) -> Column:
@@ -76,32 +83,37 @@ def _of_group(df: DataFrame, cut: Row, by: list[str]) -> Column:
 def _marked(df: DataFrame, drawn: Column, cuts: list[Row], by: list[str], seed: int, tie: list[str] | None = None) -> DataFrame:
     """All rows with `chosen`, whether they are up to the cut of their group.
 
-    Of the copies at a cut of which only some fit, a second digest of the `tie` columns (default: all) chooses;
-    rows that share this one too are made anew from one of them, as many as there are, the fitting ones chosen.
+    Of the copies at a cut of which only some fit, a second digest of the `tie` columns chooses, then one of the
+    whole row. Rows that share this one too are written, numbered in place, and the first of them chosen.
     """
     chosen = F.lit(True)
     for cut in cuts:
         fits = (drawn <= cut["drawn"]) if cut["n"] == cut["take"] else (drawn < cut["drawn"])
         chosen = F.when(_of_group(df, cut, by), fits).otherwise(chosen)
-    split = [c for c in cuts if c["n"] > c["take"]]
-    if not split:
-        return df.withColumn("chosen", chosen)
-    whole = F.to_json(F.struct(*(tie or df.columns)), {"ignoreNullFields": "false"})
-    second = digest(seed, "copies", *(F.col(c) for c in tie)) if tie else digest(seed, "copies", whole)
-    again = []
-    for cut in split:
-        at_cut = _of_group(df, cut, by) & (drawn == cut["drawn"])
-        inner = _cuts(df.where(at_cut).select(second.alias("drawn")), [], rows=cut["take"])[0]
-        chosen = F.when(at_cut, second < inner["drawn"] if inner["n"] > inner["take"] else second <= inner["drawn"]).otherwise(chosen)
-        if inner["n"] > inner["take"]:
-            again.append((at_cut & (second == inner["drawn"]), inner))
+    levels = [digest(seed, "copies", *(F.col(c) for c in tie))] if tie else []
+    levels.append(digest(seed, "copies", F.to_json(F.struct(*df.columns), _EXACT)))
+    equal = []
+    for cut in cuts:
+        same, n, take = _of_group(df, cut, by) & (drawn == cut["drawn"]), cut["n"], cut["take"]
+        for level in levels:
+            if n > take:
+                inner = _cuts(df.where(same).select(level.alias("drawn")), [], rows=take)[0]
+                n, take = inner["n"], inner["take"]
+                chosen = F.when(same, level < inner["drawn"] if n > take else level <= inner["drawn"]).otherwise(chosen)
+                same = same & (level == inner["drawn"])
+        if n > take:
+            equal.append((same, take))
     out = df
-    for same, _ in again:
+    for same, _ in equal:
         out = out.where(~F.coalesce(same, F.lit(False)))
     out = out.withColumn("chosen", chosen)
-    for same, inner in again:  # equal rows: one of them, once for each
-        copies = df.where(same).limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(inner["n"]))))
-        out = out.unionAll(copies.select(*df.columns, (F.col("copy") <= inner["take"]).alias("chosen")))
+    for same, take in equal:
+        rows = written(df.where(same).withColumn("__copy", F.monotonically_increasing_id()), "equal-rows")
+        # An id is the number of its part, then of the row in it: one row per part is read to find the part of the last one.
+        parts = rows.groupBy(F.shiftright("__copy", _PART_BITS).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        last = _reaching(parts, [], "part", F.lit(take)).select("part", (F.col("wanted") - F.col("upto") + F.col("n")).alias("left")).first()
+        end = (last["part"] << _PART_BITS) + last["left"]
+        out = out.unionAll(rows.select(*df.columns, (F.col("__copy") < F.lit(end)).alias("chosen")))
     return out
 
 
@@ -143,7 +155,7 @@ def train_eval_split(
 ) -> DataFrame:
     """All rows with a `split` of `train` or `eval`; eval has ceil(share · rows) of them.
 
-    The key need not tell rows apart: of copies at the cut, a digest of the `tie` columns (default: all) chooses.
+    The key need not tell rows apart: of copies at the cut, a digest of the `tie` columns chooses, then one of all columns.
     With `together` all rows of a key are on one side, and eval may be larger by the copies at the cut.
     """
     drawn = _digest_of(df, key, seed, "split")

@@ -89,6 +89,32 @@ def test_split_is_exact_under_repeated_keys(spark, seed):
     assert split.drop("split").exceptAll(df).count() == 0 and df.exceptAll(split.drop("split")).count() == 0
 
 
+def same_rows(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("tie", [["a", "b"], None])
+def test_rows_that_tie_are_kept_as_they_are(spark, tie):
+    """One key; ties that meet by nulls, rows that differ in other columns or in microseconds only, and equal rows."""
+    df = spark.range(0, 600, 1, 4).select(
+        F.lit(1).alias("key"), F.when(F.col("id") % 2 == 0, "x").alias("a"), F.when(F.col("id") % 2 == 1, "x").alias("b"),
+        F.timestamp_micros(F.when(F.col("id") < 200, 7).otherwise(F.col("id"))).alias("at"))
+    split = S.train_eval_split(df, 0.37, 5, "key", tie=tie)
+    assert split.where("split = 'eval'").count() == 222
+    assert same_rows(split.drop("split"), df)
+    if tie is None:
+        assert same_rows(S.sample_n(df, 222, 5, "key"), S.sample_n(df.repartition(9), 222, 5, "key"))
+        assert df.exceptAll(S.sample_n(df, 222, 5, "key")).count() == 378
+
+
+def test_equal_rows_are_numbered_in_place(spark):
+    """All rows are equal: every sample takes written rows, none is unfolded from a list of numbers."""
+    df = spark.range(0, 900, 1, 7).select(F.lit("same").alias("key"), F.lit(None).cast("string").alias("other"))
+    for n in (1, 128, 129, 500, 899):
+        got = S.sample_n(df, n, 2, "key")
+        assert got.count() == n and "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_large_buckets_are_looked_into_again(spark, monkeypatch):
     df = spark.range(5000)
     expected = sorted(r.id for r in S.sample_n(df, 777, 3, "id").collect())
