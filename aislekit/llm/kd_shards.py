@@ -9,7 +9,8 @@ coordinate (a source may hold a third of all rows) are cut as finely as any othe
 
 Documents of equal text go to one shard, as one point, unless their group weighs more than the largest
 document and more than GROUP_SHARE of a shard: sizes stay near equal, so such a group is spread like
-single documents.
+single documents. Its rows may be equal in all columns: copies of a row are numbered, and the hash in the
+key is of the number too.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ GROUP_SHARE = 0.02
 COORDINATE, TIE, STEP = 20, 32, 13
 #: Parts of a shard in which its rows are numbered.
 BUCKETS = 256
+#: Bits of an increasing row id within which copies of a row are numbered together.
+RUN = 16
 
 
 def coordinate(column: str, kind: str) -> Column:
@@ -48,18 +51,31 @@ def _points(df: DataFrame, key: str, text: str, dimensions: list[str], shards: i
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).alias("text_crc32"),
         F.xxhash64(F.lit(seed), F.col(text)).alias("g"),
         *[coordinate(d, kinds[d]).alias(f"d{i}") for i, d in enumerate(dimensions)])
-    rows = written(rows.withColumn("row", F.xxhash64(F.lit(seed), F.col("key"), F.col("g"))), "kd-rows")
+    same = F.xxhash64(F.lit(seed), F.col("key"), F.col("g"), *[F.col(f"d{i}") for i in range(len(dimensions))])
+    rows = written(rows.withColumns({"row": same, "id": F.monotonically_increasing_id()}), "kd-rows")
     firsts = [F.min(f"d{i}").alias(f"g{i}") for i in range(len(dimensions))]
     groups = rows.groupBy("g").agg(F.sum("size").alias("weight"), F.count("*").alias("n"), *firsts).where("n > 1").drop("n")
     total = rows.agg(F.sum("size").alias("all"), F.max("size").alias("largest")).first()
     groups = groups.where(F.col("weight") <= max((total["all"] or 0) / shards * GROUP_SHARE, total["largest"] or 0)).withColumn("together", F.lit(True))
-    met = rows.join(groups, "g", "left")
+    met = _copies_apart(rows).join(groups, "g", "left")
     tie = F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce(F.when(F.col("together"), F.col("g")), F.col("row"))), F.lit(1 << TIE))
     return written(met.select(
         "key", "size", "text_crc32", "row", F.lit(0).alias("node"), tie.alias("tie"),
         *[F.coalesce(F.col(f"g{i}"), F.col(f"d{i}")).alias(f"d{i}") for i in range(len(dimensions))]), "kd-points")
 
 
+def _copies_apart(rows: DataFrame) -> DataFrame:
+    """`row` made different for each copy of a row, by its number among them: in runs of rows, each starting after those before it."""
+    rows = rows.withColumn("run", F.shiftright("id", RUN))
+    ahead = Window.partitionBy("row").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("row", "run").agg(F.count("*").alias("n"))
+    starts = starts.select("row", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy("row", "run").orderBy("id")
+    met = rows.withColumn("nth", F.row_number().over(inside) - 1).join(starts, ["row", "run"])
+    copy = F.col("begin") + F.col("nth")
+    return met.withColumn("row", F.when(copy > 0, F.xxhash64("row", copy)).otherwise(F.col("row"))).drop("id", "run", "nth", "begin")
+
+
 def _small(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A table with one row per node, of which there are at most as many as shards: small enough to broadcast."""
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]

@@ -43,6 +43,24 @@ def test_a_huge_group_is_spread(spark):
     assert max(sizes.values()) < 1.2 * min(sizes.values())
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_a_huge_group_of_equal_rows_is_spread(spark, doc_id):
+    """The rows are equal in all columns, so that no id tells them apart."""
+    docs = docs_of(spark, 300).union(spark.range(0, 600, 1, 3).select(
+        F.lit(doc_id).cast("bigint"), F.lit("the very same text " * 20), F.lit("en"), F.lit("src0"), F.lit(1)))
+
+    def places(df):
+        return sorted((r["doc_id"] or -1, r["size"], r["shard"], r["slot"]) for r in K.shard_tree(df, shards=8).collect())
+
+    found, sizes, slots = places(docs), Counter(), defaultdict(list)
+    for _, size, shard, slot in found:
+        sizes[shard] += size
+        slots[shard].append(slot)
+    assert len(found) == 900 and max(sizes.values()) < 1.2 * min(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert places(spread(docs, 5)) == found
+
+
 def test_odd_rows_are_sharded(spark):
     rows = K.shard_tree(odd_docs(spark), shards=4).collect()
     expected = Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in odd_rows())
