@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aislekit.llm import fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, pivots, token_counts, toxicity
+from aislekit.llm import fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, pivots, ranked_search, token_counts, toxicity
 from aislekit.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece_ids, lossless for every document."""
     return piece_sampling.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, keep=["doc_id"])
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS_SQL} AS ws, row_number() OVER () AS row FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+o AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+f AS (SELECT term, count(*) AS df FROM o GROUP BY term),
+m AS (SELECT row, doc_id, 10 + ((90 * len(ws) * n_docs) // n_terms) AS m FROM d, s WHERE len(ws) > 0),
+p AS (SELECT q.item_id, o.row, sum(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN o USING (term) JOIN m USING (row), s GROUP BY q.item_id, o.row),
+r AS (SELECT p.item_id, row_number() OVER (PARTITION BY p.item_id ORDER BY p.score DESC, m.doc_id)::INTEGER AS rank, m.doc_id, p.score FROM p JOIN m USING (row) WHERE p.score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
