@@ -98,8 +98,8 @@ BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[48:58] = NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 
-_VALUES = _byte_values()
-LOWER_VALUES = _VALUES[LOWER]
+VALUES = _byte_values()
+LOWER_VALUES = VALUES[LOWER]
 
 
 class Words:

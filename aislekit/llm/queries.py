@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aislekit.llm import fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, pivots, ranked_search, token_counts, toxicity
+from aislekit.llm import fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, pivots, ranked_search, run_detection, token_counts, toxicity
 from aislekit.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, keep=["doc_id"])
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, CASE WHEN doc_id IS NULL THEN 0 ELSE
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) END AS h FROM documents, t),
+e AS (SELECT row, doc_id, len(ws) AS n, h, ws, (h // 10) % greatest(len(ws), 1) AS a, h // 10 AS g FROM d),
+k AS (SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE ws END AS ws FROM e),
+w AS (SELECT row, n, unnest(ws) AS w, unnest(range(n)) AS i FROM k),
+g AS (SELECT row, n, unnest(range(n - 7)) AS i, unnest(list_transform(range(1, n - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g FROM k WHERE n >= 24),
+m AS (SELECT x.row, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.row = y.row AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+s AS (SELECT row, q, min(i) AS s, max(i) + q + 8 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM m) GROUP BY row, q, island),
+c AS (SELECT * FROM s WHERE e - s >= greatest(24, 3 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.row = c.row AND o.q < c.q AND o.s <= c.s AND o.e >= c.e)),
+b AS (SELECT row, count(*) AS n_runs, arg_max({'s': s, 'l': e - s, 'q': q}, {'x': (e - s) / q, 's': -s, 'q': -q}) AS best, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY row),
+x AS (SELECT DISTINCT row, unnest(range(s + q, e)) AS i FROM r),
+y AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS kept FROM w ANTI JOIN x USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM k LEFT JOIN b USING (row) LEFT JOIN y USING (row)"""
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_detection.describe_runs(table(spark, sf_dir, "documents"), tails=True)
+
+
 _TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
 OP13_SQL = f"""
