@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislekit.llm import fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, pivots, ranked_search, run_detection, token_counts, toxicity
+from aislekit.llm import (
+    fingerprints, kd_shards, lm, mixing, parity_join, pii, piece_sampling, pivots, ranked_search, repeated_phrases,
+    run_detection, token_counts, toxicity,
+)
 from aislekit.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +134,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_detection.describe_runs(table(spark, sf_dir, "documents"), tails=True)
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT row, unnest(range(len(ws) - 34)) AS i, unnest(list_transform(range(1, len(ws) - 33), lambda i: array_to_string(ws[i:i + 34], ' '))) AS s FROM d WHERE len(ws) >= 35),
+r AS (SELECT row, i FROM v WHERE s IN (SELECT s FROM v GROUP BY s HAVING count(*) > 1)),
+c AS (SELECT DISTINCT row, i + j AS i FROM r, (SELECT unnest(range(35)) AS j)),
+w AS (SELECT row, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+k AS (SELECT row, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS kept FROM w ANTI JOIN c USING (row, i) GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (row)"""
+
+
+@query("op12_repeated_phrases", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_phrases.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
 OP13_SQL = f"""
