@@ -13,9 +13,12 @@ blocks than that shows them too. A document near the top of its band also takes
 Then pairs whose sketches are near enough are verified on the sets themselves. In groups of equal block
 words of up to SMALL documents every pair is a candidate, each pair once whatever the number of words it
 shares. In larger groups a first pass over an eighth of the words takes a spanning forest of near sketches
-of each group; after that, groups within one component need no look any more, and in the others every
-pair of near sketches across components is verified. Large groups are cut into bounded parts, and parts
-meet in pairs inside a task; only pairs to verify leave it.
+of each group; after that, groups within one component need no look any more. A linked pair across components
+has all its equal words in large groups of several components, and it has as many as its layout has blocks
+to spare: a document is looked at in its rarest such groups alone, all but that many (prefix filtering), and
+there every pair of near sketches across components is verified. Large groups are cut into bounded
+parts, and parts meet in pairs inside a task on folded sketches; only pairs leave it, and whole
+sketches are fetched for these.
 
 Equal sets are one node, known by a 64-bit hash of the set.
 """
@@ -38,8 +41,11 @@ BAND, BITS = 1.5, 16
 SMALL, FIRST = 8, 8
 #: Documents of a group that one task compares with as many others.
 PART = 1024
-#: Bits of the filter in which the nodes to verify are marked; it only spares work, the join after it decides.
-FILTER = 1 << 20
+#: Bits of the filter in which the nodes to verify are marked: as many for each node, within bounds that a driver
+#: and a task can hold. It only spares work, the join after it decides.
+FILTER_PER_NODE, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 26
+#: Groups are looked at by sketches of so many times fewer bits; folding keeps the lower bound.
+BRIEF = 4
 _GOLD, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -81,15 +87,32 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield a, b, rows, hashes, size, mix(total + size.astype(np.uint64) * _GOLD)
 
 
-def _block_words(layouts: Layouts, band: np.ndarray, rows: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the block words of all rows under the layout `band` of each (below 0: none)."""
+def _places(layouts: Layouts, band: np.ndarray, rows: np.ndarray, hashes: np.ndarray, size: np.ndarray):
+    """Which rows have blocks, how many, where the blocks of each begin, and the block and hash of every shingle of these rows."""
     used = (band >= 0) & (size > 0)
     blocks = np.where(used, layouts.blocks[np.maximum(band, 0)], 0)
     base = np.concatenate([[0], np.cumsum(blocks)])
     pick = used[rows]
     rows, hashes = rows[pick], hashes[pick]
     place = mix(hashes * np.uint64(3) + _GOLD) >> np.uint64(32)
-    at = base[rows] + (place * blocks[rows].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    return used, blocks, base, base[rows] + (place * blocks[rows].astype(np.uint64) >> np.uint64(32)).astype(np.int64), hashes
+
+
+def shared_words(layouts: Layouts, band: np.ndarray, rows: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of the block words that a row shows under the layout `band` any row linked with it shows too, at least.
+
+    All blocks but as many as shingles may differ are equal, and at most the row's empty blocks are not shown.
+    """
+    used, blocks, base, at, _ = _places(layouts, band, rows, hashes, size)
+    full = np.bincount(at, minlength=base[-1]) > 0
+    empty = blocks - np.diff(np.concatenate([[0], np.cumsum(full)])[base])
+    spare = np.where(used, layouts.spare[np.maximum(band, 0)], 0)
+    return np.where(used, 1 + spare - np.where(empty > spare, 0, empty), 0)
+
+
+def _block_words(layouts: Layouts, band: np.ndarray, rows: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the block words of all rows under the layout `band` of each (below 0: none)."""
+    used, blocks, base, at, hashes = _places(layouts, band, rows, hashes, size)
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
@@ -102,6 +125,7 @@ def _block_words(layouts: Layouts, band: np.ndarray, rows: np.ndarray, hashes: n
     number = np.arange(base[-1]) - base[row]
     layout = band[row].astype(np.uint64)
     key = mix(word + mix((number.astype(np.uint64) << np.uint64(20)) + layout * np.uint64(2) + np.uint64(1)))
+    key = key & ~np.uint64(1) | layout & np.uint64(1)  # the last bit tells which of a row's two layouts it is
     crowded = np.bincount(row[empty], minlength=len(band)) > np.where(used, layouts.spare[np.maximum(band, 0)], 0)
     show = ~empty | crowded[row]
     return row[show], key[show]
@@ -126,7 +150,10 @@ def _fresh(size: np.ndarray, node: np.ndarray, seen: set[int]) -> np.ndarray:
 
 
 def _sketch_table(docs: DataFrame, layouts: Layouts, k: int) -> DataFrame:
-    """(doc, n, node, sketch) of every row (doc, text); equal sets of a task show the sketch once."""
+    """(doc, n, node, sketch, brief, even, odd) of every row (doc, text); equal sets of a task show the sketches once.
+
+    `even` and `odd` are the `shared_words` under its two layouts, by the layout's number.
+    """
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +162,19 @@ def _sketch_table(docs: DataFrame, layouts: Layouts, k: int) -> DataFrame:
             for a, b, rows, hashes, size, node in _sets(batch.column(1), k):
                 fresh = _fresh(size, node, seen)
                 pick = fresh[rows]
-                sketch = _sketches(layouts, rows[pick], hashes[pick], np.where(fresh, size, 0))
+                some = rows[pick], hashes[pick], np.where(fresh, size, 0)
+                sketch = _sketches(layouts, *some)
+                brief = [_fold([x], max(8, len(x) // BRIEF)).tobytes() if x else None for x in sketch]
+                own = layouts.band(size)
+                needs = [shared_words(layouts, np.where(fresh, band, -1), *some) for band in (own, own + 1)]
+                by_number = [np.where(own % 2 == number, *needs) for number in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0),
-                     pa.array([x if f else None for x, f in zip(sketch, fresh)], pa.binary())],
-                    names=["doc", "n", "node", "sketch"])
+                     *(pa.array([x if f else None for x, f in zip(v, fresh)], pa.binary()) for v in (sketch, brief)),
+                     *(pa.array(v, pa.int32()) for v in by_number)],
+                    names=["doc", "n", "node", "sketch", "brief", "even", "odd"])
 
-    return map_arrow(docs, run, f"doc {kind}, n bigint, node bigint, sketch binary")
+    return map_arrow(docs, run, f"doc {kind}, n bigint, node bigint, sketch binary, brief binary, even int, odd int")
 
 
 def _shown_words(docs: DataFrame, layouts: Layouts, k: int) -> DataFrame:
@@ -237,7 +270,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, layouts: Layouts) -> DataFrame:
 
 
 def _candidates(members: DataFrame, layouts: Layouts, forest: bool) -> DataFrame:
-    """(a, b) of near sketches in different components, of rows (key, node, n, sketch, component) grouped by key.
+    """(a, b) of near sketches in different components, of rows (key, node, n, brief, component) grouped by key.
 
     A group of more than PART rows is cut into parts by the node, and every pair of parts meets in a task
     of its own, or, for a forest, every part with itself alone.
@@ -247,12 +280,12 @@ def _candidates(members: DataFrame, layouts: Layouts, forest: bool) -> DataFrame
     cut = cut.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     others = F.array(F.col("part")) if forest else F.sequence(F.lit(0), F.col("parts") - 1)
     cut = cut.withColumn("other", F.explode(others))
-    cut = cut.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "n", "sketch", "component")
+    cut = cut.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "n", "brief", "component")
 
     def meet(table: pa.Table) -> pa.Table:
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         part = np.asarray(table.column("part"))
-        data = [np.asarray(table.column("node")), np.asarray(table.column("n")), np.array(table.column("sketch").to_pylist(), object), np.asarray(table.column("component"))]
+        data = [np.asarray(table.column("node")), np.asarray(table.column("n")), np.array(table.column("brief").to_pylist(), object), np.asarray(table.column("component"))]
         left = [x[part == p] for x in data]
         right = left if p == q else [x[part == q] for x in data]
         if len(left[0]) == 0 or len(right[0]) == 0:
@@ -274,18 +307,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int, pe
     """The pairs whose sets are similar enough. Only the sets of their nodes are made, each from one of its documents."""
     pairs = written(pairs, "join-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one document for each node, found by its row hash; marks in a filter of fixed size spare the others
+    # one document for each node, found by its row hash; marks in a filter spare most of the others
     owners = sketched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
     owners = written(owners, "join-owners")
-    words = owners.select(F.pmod("mark", F.lit(FILTER)).alias("bit")).groupBy(F.expr("bit div 63").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 63 AS int))")).alias("bits")).collect()  # FILTER / 63 rows at most
-    marks = np.zeros(FILTER // 63 + 1, np.int64)
-    for r in words:
-        marks[r["word"]] = r["bits"]
+    width = min(FILTER_MOST, max(FILTER_LEAST, owners.count() * FILTER_PER_NODE))
+    words = owners.select(F.pmod("mark", F.lit(width)).alias("bit")).groupBy(F.expr("bit div 63").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 63 AS int))")).alias("bits")).toArrow()  # FILTER_MOST / 63 rows at most
+    marks = np.zeros(width // 63 + 1, np.int64)
+    marks[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.asarray(batch.column(0)) % FILTER
+            bit = np.asarray(batch.column(0)) % width
             rows = np.flatnonzero(marks[bit // 63] >> (bit % 63) & 1)
             if len(rows) == 0:
                 continue
@@ -306,26 +339,48 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int, pe
     return met.where(F.col("common") * 100 >= whole * percent).select("a", "b")
 
 
+def _rooted(df: DataFrame, key: str, text: str, words: int, percent: int, largest: int) -> DataFrame:
+    """(doc, mark, n, root): of every row its set's size and the node that links reach from it, null without words."""
+    layouts = Layouts(percent, largest)
+    docs = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("doc", "text"))
+    table = written(_sketch_table(docs.select(F.struct("doc", "mark").alias("doc"), "text"), layouts, words), "join-sketches")
+    sketched = table.select("doc.doc", "doc.mark", "n", "node")
+    labels = _linked(table, docs, sketched, layouts, words, percent)
+    return sketched.join(labels, "node", "left").select("doc", "mark", "n", F.coalesce("root", "node").alias("root"))
+
+
 def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85,
-                  largest: int = 1 << 40, mark: bool = False) -> DataFrame:
-    """(key, n_shingles, component_id), and `mark`, xxhash64(key, text), if asked for, for every row: two texts link where 100 · |A ∩ B| >= percent · |A ∪ B|.
+                  largest: int = 1 << 40) -> DataFrame:
+    """(key, n_shingles, component_id) for every row: two texts link where 100 · |A ∩ B| >= percent · |A ∪ B|.
 
     Texts without words, empty or null, have no shingles and link with nothing: their component is their own
     key. Fewer words than `words` are one shingle. Equal texts link; repeated rows are rows of their own.
     component_id is the smallest key that links reach; null keys are passed over (null if all are). Other
     columns are not looked at. An empty table gives an empty one.
     """
-    layouts = Layouts(percent, largest)
-    docs = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    docs = docs.withColumn("mark", F.xxhash64("doc", "text"))
-    table = written(_sketch_table(docs.select(F.struct("doc", "mark").alias("doc"), "text"), layouts, words), "join-sketches")
-    sketched = table.select("doc.doc", "doc.mark", "n", "node")
-    labels = _linked(table, docs, sketched, layouts, words, percent)
-    rows = sketched.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _rooted(df, key, text, words, percent, largest)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
     rows = rows.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
-    return rows.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), *["mark"] * mark)
+    return rows.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def without_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
+                   largest: int = 1 << 40) -> DataFrame:
+    """The rows of `df`, one of each group of linked texts: that of the smallest key, null last, and among rows of that
+    key the one of the smallest hash of key and text. A repeated row stays once; texts without words all stay."""
+    rows = _rooted(df, key, text, words, percent, largest).where("root IS NOT NULL")
+    first = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "mark")).alias("first")
+    groups = rows.groupBy("root").agg(first, F.count("*").alias("rows")).where("rows > 1").select("root", F.col("first.mark").alias("first"))
+    marks = rows.join(groups, "root").groupBy("mark").agg(F.max(F.col("mark") == F.col("first")).alias("stays"), F.count("*").alias("rows"))
+    marks = written(marks.where("NOT stays OR rows > 1"), "join-marks")
+    mark, stays, times = ("__" + "_".join([name, *df.columns]) for name in ("mark", "stays", "rows"))  # names that df does not have
+    marks = marks.toDF(mark, stays, times)
+    met = df.withColumn(mark, F.xxhash64(F.col(key), F.col(text))).join(marks, mark, "left")
+    alone = met.where(F.col(stays).isNull())
+    repeated = met.where(F.col(stays)).dropDuplicates([mark])
+    return alone.select(*df.columns).union(repeated.select(*df.columns))
 
 
 def _small_pairs(shared: DataFrame) -> DataFrame:
@@ -344,16 +399,35 @@ def _linked(table: DataFrame, docs: DataFrame, sketched: DataFrame, layouts: Lay
     # still together by key: no more shuffles for these
     shared = shown.where("low < high").select("key", "node").distinct().withColumn("rows", F.count("*").over(group))
     shared = written(shared, "join-shared")
-    nodes = table.where("sketch is not null").select("node", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi")
+    nodes = table.where("sketch is not null").drop("doc").join(shared.select("node").distinct(), "node", "left_semi")
     nodes = written(nodes.dropDuplicates(["node"]), "join-nodes")
-    large = shared.where(F.col("rows") > SMALL).drop("rows")
-    first = large.where(F.pmod("key", F.lit(FIRST)) == 0).join(nodes, "node").withColumn("component", F.col("node"))
+    large = shared.where(F.col("rows") > SMALL)
+    brief = nodes.select("node", "n", "brief")
+    first = large.drop("rows").where(F.pmod(F.shiftright("key", 1), F.lit(FIRST)) == 0).join(brief, "node").withColumn("component", F.col("node"))
     pairs = _near(_small_pairs(shared.where(F.col("rows") <= SMALL)), nodes, layouts)
     pairs = pairs.union(_candidates(first, layouts, True)).distinct()
     links = written(_verified(pairs, docs, sketched, k, percent), "join-links")
     labels = components(links)
     named = large.join(labels, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
-    mixed = named.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
-    rest = named.join(mixed, "key", "left_semi").join(nodes, "node")
-    more = _verified(_candidates(rest, layouts, False), docs, sketched, k, percent)
+    rest = written(_rarest(_mixed(named), nodes.select("node", "even", "odd")), "join-rest")
+    found = _candidates(_mixed(rest).join(brief, "node"), layouts, False)
+    more = _verified(_near(found, nodes, layouts), docs, sketched, k, percent)
     return components(links.union(more))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (key, node, component, ...) of groups of more than one component."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
+    return members.join(mixed, "key", "left_semi")
+
+
+def _rarest(members: DataFrame, needs: DataFrame) -> DataFrame:
+    """Of the groups (key, rows) of each node under a layout the rarest: all but as many as it shares with a linked node, less one.
+
+    Two nodes that share so many groups share one that is among the rarest of both.
+    """
+    of_node = Window.partitionBy("node", "layout")
+    members = members.withColumn("layout", F.col("key").bitwiseAND(1)).join(needs, "node")
+    need = F.when(F.col("layout") == 0, F.col("even")).otherwise(F.col("odd"))
+    members = members.withColumns({"place": F.row_number().over(of_node.orderBy("rows", "key")), "all": F.count("*").over(of_node)})
+    return members.where(F.col("place") <= F.col("all") - need + 1).select("key", "node", "component")

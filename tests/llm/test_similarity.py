@@ -57,6 +57,39 @@ def test_similar_texts_against_all_pairs(spark, k, percent):
     assert found == {i: (len(s), least[roots[i]] if s else i) for i, s in enumerate(sets)}
 
 
+def test_linked_rows_share_as_many_words_as_told():
+    rng = random.Random(6)
+    for percent in (80, 85):
+        layouts = J.Layouts(percent, 1 << 20)
+        for n in (3, 12, 40, 90, 200, 500):
+            a = {rng.getrandbits(63) for _ in range(n)}
+            differ = int(layouts.differ(n, n)) // 2
+            b = set(rng.sample(sorted(a), n - differ)) | {rng.getrandbits(63) for _ in range(differ)}
+            sets = [np.array(sorted(x), np.uint64) for x in (a, b)]
+            rows, hashes, size = np.repeat([0, 1], [len(x) for x in sets]), np.concatenate(sets), np.array([len(x) for x in sets])
+            band = np.full(2, layouts.band(size[:1])[0])
+            at, key = J._block_words(layouts, band, rows, hashes, size)
+            common = len(set(key[at == 0].tolist()) & set(key[at == 1].tolist()))
+            assert common >= J.shared_words(layouts, band, rows, hashes, size).max() >= 1
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_one_of_each_group_stays(spark, named):
+    base = prose(1, 90)
+    texts = [base, edited(base, 1, 60), edited(base, 2, 80), base, prose(2, 50), None, "", "", prose(3, 4)]
+    rows = [(7 if named else None, t, i) for i, t in enumerate(texts)] + [(9, base, 20), (9, base, 21), (3, prose(2, 50), 22)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __mark int")
+    kept = J.without_copies(docs)
+    assert kept.columns == docs.columns
+    found = [tuple(r) for r in kept.collect()]
+    # one of the near copies, which all have one id (or none: then that with an id), one of the equal texts, and what has no words
+    near = [r for r in found if r[1] and r[1].split()[5] == base.split()[5]]
+    assert len(near) == 1 and near[0][0] == (7 if named else 9)
+    assert [r for r in found if r[1] == prose(2, 50)] == [(3, prose(2, 50), 22)]
+    assert len(found) == 1 + 1 + 3 + 1
+    assert J.without_copies(no_docs(spark)).count() == 0
+
+
 def test_long_groups_are_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(J, "PART", 16)
     base = prose(77, 150)
