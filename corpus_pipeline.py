@@ -7,7 +7,7 @@ Every stage but the last returns the columns of `documents`, with `n_chars` kept
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislekit.llm import mixing, parity_join, pii, piece_sampling, toxicity
 from aislekit.llm.base import table
@@ -27,29 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one of the smallest id; five words a shingle, similarity 0.8.
-
-    Rows are known by a hash of id and text; of repeated rows one stays. Rows without an id stay unless they
-    are linked with one that has an id.
-    """
-    found = parity_join.similar_texts(docs, words=5, percent=80, mark=True)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    special = found.groupBy(F.col("mark").alias("__mark")).agg(F.max(stays).alias("__stays"), F.count("*").alias("__rows"))
-    special = written(special.where("NOT __stays OR __rows > 1"), "special-rows")
-    # most rows stay, each once: those that a filter of fixed size does not mark stay where they are
-    place = F.pmod("__mark", F.lit(parity_join.FILTER))
-    marks = special.select(place.alias("bit")).groupBy(F.expr("bit div 63").alias("__word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 63 AS int))")).alias("__bits"))  # FILTER / 63 rows at most
-    rows = docs.withColumn("__mark", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumns({"__word": F.expr(f"pmod(__mark, {parity_join.FILTER}) div 63"), "__bit": place % 63})
-    rows = rows.join(F.broadcast(written(marks, "special-marks")), "__word", "left")
-    marked = F.coalesce(F.expr("shiftright(__bits, cast(__bit AS int)) & 1 = 1"), F.lit(False))
-    looked_at = rows.where(marked).select("__mark", *docs.columns).join(special, "__mark", "left")
-    nth = F.row_number().over(Window.partitionBy("__mark").orderBy("__mark"))
-    looked_at = looked_at.where(F.coalesce("__stays", F.lit(True))).withColumn("__nth", nth)
-    # without a mark of its own a row is one that shares a bit: it stays, as often as it is there
-    looked_at = looked_at.where(F.col("__rows").isNull() | (F.col("__nth") == 1))
-    return rows.where(~marked).select(*docs.columns).union(looked_at.select(*docs.columns))
+    """Of every group of linked documents the one of the smallest id; five words a shingle, similarity 0.8."""
+    return parity_join.without_copies(docs, words=5, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
