@@ -7,7 +7,7 @@ anchor are a context of at most 2 · window - 8 words, and a window is in one co
 1. Anchors that occur once in all texts hold no repeated window; most of the texts go no further.
 2. The contexts of the other anchors are cut from their texts, equal contexts are counted as one, and the windows of
    distinct contexts are counted: those that occur twice or more are confirmed. Each is a phrase of one context, its owner.
-3. Phrases are dealt into shards by anchor. A shard compiles its phrases, over numbered words, into an Aho-Corasick
+3. Phrases are dealt into shards by anchor. A shard compiles its phrases, over numbered word groups, into an Aho-Corasick
    automaton and streams all contexts of its anchors through it. So every text meets the automata that can match it and
    no others. An anchor of very many contexts has shards of its own, its contexts and phrases in bounded parts.
 4. What is located marks the words of the texts.
@@ -18,6 +18,7 @@ Anchors, contexts and windows are counted by hashes: 64 bits (contexts 122). Pla
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,10 +30,12 @@ from aislekit.session import written
 
 #: Words of an anchor.
 GRAM = 8
-#: Phrases of an automaton (some 50 MB) and contexts that it streams, at most on average; and of one anchor at most.
+#: Phrases of an automaton (some 20 MB) and contexts that it streams, at most on average; and of one anchor at most.
 PHRASES, CONTEXTS = 30_000, 16_384
 #: Of a number that names a window, the bits for its place in the context; the others are its context's.
 _PLACE = 6
+#: Letters of a place of a number in an automaton.
+_BASE = 64
 _BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _POSITION = np.uint64((1 << 28) - 1)
 
@@ -145,30 +148,62 @@ def _windows(distinct: DataFrame, window: int) -> DataFrame:
     return map_arrow(distinct.select("c1", "copies", "words"), run, "window bigint, copies bigint, owner bigint")
 
 
-def compiled(phrases: list[tuple[str, int]], window: int) -> tuple[ahocorasick.Automaton, dict[str, int]]:
-    """An automaton of the windows that the masks of (words, mask) name, over numbered words, and the numbers (from 1)."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    numbers: dict[str, int] = {}
-    for words, mask in phrases:
-        sequence = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words.split(" "))
-        while mask:
-            at = (mask & -mask).bit_length() - 1
-            mask &= mask - 1
-            automaton.add_word(sequence[at:at + window], 1)
-    automaton.make_automaton()
-    return automaton, numbers
+class Automaton:
+    """The windows that the masks of phrases (words, mask) name, in an Aho-Corasick automaton.
+
+    Groups of `step` words are numbered, told apart by the words themselves, and a window is window / step of
+    them one after the other. A text is streamed once for each of the `step` places at which a window may begin.
+    Numbers are spelled in digits, each place with letters of its own, since a state looks through its successors one by one.
+    """
+
+    def __init__(self, phrases: list[tuple[str, int]], window: int):
+        self.window = window
+        self.step = max(d for d in range(1, 8) if window % d == 0)
+        self.words: dict[str, int] = {}
+        self.groups: dict[tuple[int, ...], tuple[int, ...]] = {}
+        numbered = []
+        for text, mask in phrases:
+            words = [self.words.setdefault(w, len(self.words) + 1) for w in text.split(" ")]
+            groups = list(self._groups(words))
+            for g in groups:
+                self.groups.setdefault(g, ())
+            numbered.append((groups, mask))
+        self.digits = 1
+        while _BASE ** self.digits < len(self.groups):
+            self.digits += 1
+        for number, g in enumerate(self.groups):
+            self.groups[g] = tuple(number // _BASE ** d % _BASE + d * _BASE for d in range(self.digits))
+        self.nothing = (self.digits * _BASE,) * self.digits
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for groups, mask in numbered:
+            spelled = [self.groups[g] for g in groups]
+            while mask:
+                at = (mask & -mask).bit_length() - 1
+                mask &= mask - 1
+                self.automaton.add_word(tuple(chain.from_iterable(spelled[at:at + window - self.step + 1:self.step])), 1)
+        self.automaton.make_automaton()
+
+    def _groups(self, words: list[int]) -> Iterator[tuple[int, ...]]:
+        return zip(*(words[i:] for i in range(self.step)))
+
+    def find(self, text: str) -> int:
+        """The mask of the words at which a window begins."""
+        known, spelled = self.words.get, self.groups.get
+        words = [known(w, 0) for w in text.split(" ")]
+        letters = [spelled(g, self.nothing) for g in self._groups(words)]
+        mask, back = 0, self.window // self.step - 1
+        for phase in range(self.step):
+            for end, _ in self.automaton.iter(tuple(chain.from_iterable(letters[phase::self.step]))):
+                mask |= 1 << (phase + (end // self.digits - back) * self.step)
+        return mask
 
 
 def _locate(window: int):
     def run(phrases: pa.Table, streamed: pa.Table) -> pa.Table:
         masks = np.zeros(streamed.num_rows, np.int64)
         if phrases.num_rows and streamed.num_rows:
-            automaton, numbers = compiled(list(zip(phrases.column("words").to_pylist(), phrases.column("mask").to_pylist())), window)
-            for i, words in enumerate(streamed.column("words").to_pylist()):
-                mask = 0
-                for end, _ in automaton.iter(tuple(numbers.get(w, 0) for w in words.split(" "))):
-                    mask |= 1 << (end - window + 1)
-                masks[i] = mask
+            automaton = Automaton(list(zip(phrases.column("words").to_pylist(), phrases.column("mask").to_pylist())), window)
+            masks = np.array([automaton.find(words) for words in streamed.column("words").to_pylist()], np.int64)
         hit = pa.array(masks != 0)
         return pa.table({"c1": streamed.column("c1").filter(hit), "c2": streamed.column("c2").filter(hit), "mask": pa.array(masks[masks != 0])})
 
@@ -210,9 +245,8 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     again = written(again, "phrase-repeated-anchors")
     wanted = anchors.join(again, "anchor", "left_semi").groupBy("t1", "t2").agg(F.collect_set("anchor").alias("anchors"))
     wanted = written(wanted, "phrase-texts")
-    # equal texts are one from here on
-    some = texts.join(wanted, ["t1", "t2"]).groupBy("t1", "t2").agg(
-        F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.count("*").alias("copies"))
+    # equal texts are one from here on, and before they are shuffled
+    some = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(wanted, ["t1", "t2"])
     cut = written(_cut_contexts(some.select("t1", "t2", "text", "anchors", "copies"), window), "phrase-contexts", compression="zstd")
     distinct = cut.groupBy("c1", "c2").agg(F.sum("copies").alias("copies"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
     distinct = written(distinct, "phrase-distinct", compression="zstd")

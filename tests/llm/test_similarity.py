@@ -83,7 +83,7 @@ def test_one_of_each_group_stays(spark, named):
     assert kept.columns == docs.columns
     found = [tuple(r) for r in kept.collect()]
     # one of the near copies, which all have one id (or none: then that with an id), one of the equal texts, and what has no words
-    near = [r for r in found if r[1] and r[1].split()[5] == base.split()[5]]
+    near = [r for r in found if r[1] and base.split()[5] in r[1].split()[5:6]]
     assert len(near) == 1 and near[0][0] == (7 if named else 9)
     assert [r for r in found if r[1] == prose(2, 50)] == [(3, prose(2, 50), 22)]
     assert len(found) == 1 + 1 + 3 + 1
