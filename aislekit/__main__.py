@@ -75,9 +75,9 @@ def vectors(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def answer(spark: SparkSession, a: argparse.Namespace) -> int:
-    stored = vector_tables.read_vectors(spark, a.vectors)
+    products = vector_tables.read_vectors(spark, a.vectors).drop("embedding")
     answers = jobs.answer_shoppers(
-        jsonl.read_jsonl(spark, a.input, schemas.SHOPPER_QUERY), stored.select("product_id", "embedding"), stored.drop("embedding"),
+        jsonl.read_jsonl(spark, a.input, schemas.SHOPPER_QUERY), vector_tables.open_vectors(spark, a.vectors), products,
         jsonl.read_jsonl(spark, a.history, schemas.TURN), *_policies(spark, a), a.system_prompt, a.top_k, a.threshold, a.always_listed,
     )
     jsonl.write_jsonl(answers, a.output)

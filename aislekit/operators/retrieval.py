@@ -1,166 +1,245 @@
-"""Exact nearest products by cosine."""
+"""Exact nearest products by cosine, through a metric index."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from aislekit import vocabulary as V
 from aislekit.functions.text import number_text
-from aislekit.session import written
+from aislekit.operators.cells import Cells, matrices, sound
+from aislekit.session import fresh_path, written
+from aislekit.sources.vectors import VectorStore, open_vectors, write_vectors
 
-# Rows of a chunk of queries or of a block of vectors, and the bytes that its vectors take at most.
-CHUNK_ROWS = 4096
-_CHUNK_BYTES = 4 << 20
+# Queries that a task compares at once.
+CHUNK_ROWS = 1024
+# Bytes of vectors on a shelf, and of queries that visit it in one task.
+_SHELF_BYTES, _PART_ROWS = 32 << 20, 1 << 16
 # Scores that one matrix product makes at most.
 _STRIP = 1 << 20
 # Room for rounding in the first look at a score; what passes it is computed again pair by pair.
 _SLACK = 1e-9
-
-
-def _sound(vector):
-    return F.coalesce(
-        (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)
-    )
+_NEVER = float("-inf")
 
 
 def search(
-    queries: DataFrame, vectors: DataFrame, k: int = V.TOP_K, threshold: float | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    queries: DataFrame, vectors: DataFrame | VectorStore, k: int = V.TOP_K, threshold: float | None = None,
+    chunk_rows: int = CHUNK_ROWS, compared=None,
 ) -> DataFrame:
-    """(query_id, product_id, score, rank): the k best products of each query.
+    """(query_id, product_id, score, rank): the k best products of each query, exactly.
 
-    Queries and vectors are written as chunks of bounded size, cut by their place in a partition and never by
-    an id. Tasks read the chunks of each pair of written parts side by side (a Cartesian product of chunks, not
-    of rows) and pass on k rows per query, which are ranked once more over all tasks. No vector is shuffled
-    or reaches the driver, no pair becomes a row, and the plan is the same for any number of queries.
+    Vectors are stored by reference cell (see `operators.cells`); a table is stored first. Cells lie on shelves of bounded
+    size. A query first visits its own cell and takes the k-th score there as its bar, then every shelf with cells
+    that can hold a score that reaches the bar. Queries meet shelves in an equi-join, and k rows a query and shelf
+    are ranked once more. Only references and cells reach the driver, which are bounded; no pair becomes a row.
 
     A zero vector scores 0.0; the lower id wins among equal scores. Vectors that are null, empty
     or hold a null or non-finite number take no part, nor do vectors of another length than the
-    query. A score does not depend on the vectors beside it, nor on chunk sizes.
+    query. A score does not depend on the vectors beside it, nor on cells, shelves or chunk sizes.
+    `compared`, a Spark accumulator, is told how many pairs are compared.
     """
-    asked = _chunks(queries, "query_id", chunk_rows).select(F.monotonically_increasing_id().alias("chunk"), F.col("rows").alias("asked"))
-    offered = _chunks(vectors, "product_id", chunk_rows).withColumnRenamed("rows", "offered")
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    v_type = vectors.schema["product_id"].dataType.simpleString()
-    pairs = asked.hint("shuffle_replicate_nl").crossJoin(offered)
-    found = pairs.mapInArrow(_best_of(k), f"query_id {q_type}, product_id {v_type}, score double")
+    spark = queries.sparkSession
+    store = vectors if isinstance(vectors, VectorStore) else _stored(vectors)
+    kind = store.rows.schema["embedding"].dataType.elementType.simpleString()
+    asked = queries.select(
+        F.monotonically_increasing_id().alias("row"), "query_id", F.col("embedding").cast(f"array<{'float' if _is_float(queries) else 'double'}>").alias("vector"))
+    asked = written(asked.where(sound(F.col("vector"))), "asked")
+    shelves = Shelves.of(store.cells, kind, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-asked.count() // _PART_ROWS))
+    least = _NEVER if threshold is None else float(threshold)
+
+    first = asked.withColumn("bar", F.lit(least))
+    found = written(_meet(_visits(first, store.cells, shelves, True), store, shelves, parts, k, chunk_rows, compared), "found-near")
+    bars = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("reached")).where(F.col("n") >= k)
+    bar = F.greatest(F.lit(least), F.coalesce("reached", F.lit(_NEVER)))
+    second = asked.join(bars, "row", "left").select("row", "query_id", "vector", bar.alias("bar"))
+    rest = _meet(_visits(written(second, "asked-again"), store.cells, shelves, False), store, shelves, parts, k, chunk_rows, compared)
+    found = found.union(rest)
     if threshold is not None:
         found = found.where(F.col("score") >= threshold)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "product_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 9))
+    ranked = found.select("query_id", "product_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumn("score", F.round("score", 9))
 
 
-def _chunks(df: DataFrame, key: str, most: int) -> DataFrame:
-    """Ids and sound vectors as written rows of up to `most` of them, each an Arrow stream."""
-    kind = "float" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
-    rows = df.select(key, F.col("embedding").cast(f"array<{kind}>").alias("vector")).where(_sound(F.col("vector")))
+def _is_float(df: DataFrame) -> bool:
+    return df.schema["embedding"].dataType.simpleString() == "array<float>"
 
-    def pack(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            start = 0
-            sizes = batch.column("vector").value_lengths().to_pylist()
-            while start < len(sizes):
-                end, room = start, _CHUNK_BYTES
-                while end < len(sizes) and end - start < most and (end == start or room >= sizes[end] * 8):
-                    room -= sizes[end] * 8
-                    end += 1
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as stream:
-                    stream.write_batch(batch.slice(start, end - start))
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
-                start = end
-
-    # As many bytes on disk as in memory, so that parts of a file are parts of bounded size however alike the vectors are;
-    # row groups are measured after each chunk, not after a hundred.
-    return written(rows.mapInArrow(pack, "rows binary"), "chunks", **{
-        "compression": "uncompressed", "parquet.enable.dictionary": "false",
-        "parquet.block.size": str(4 * _CHUNK_BYTES), "parquet.page.size.row.check.min": "1"})
-
-
-def _best_of(k: int):
-    """A task's pass of blocks of vectors by chunks of queries."""
+def _stored(vectors: DataFrame) -> VectorStore:
+    path = fresh_path(vectors.sparkSession, "vectors")
+    write_vectors(vectors.select("product_id", "embedding"), path, kind="float" if _is_float(vectors) else "double")
+    return open_vectors(vectors.sparkSession, path)
+
+
+@dataclass(frozen=True)
+class Shelves:
+    """Which shelves hold a cell's vectors: `spans` has the first one and their number; a vector's own is told by its id."""
+
+    spans: dict[int, tuple[int, int]]
+
+    @staticmethod
+    def of(cells: Cells, kind: str, tasks: int) -> Shelves:
+        """Alike cells side by side, on as many shelves as tasks, or as their bytes need."""
+        total = sum(rows for _, _, rows in cells.table.values())
+        longest = max([len(u[0]) for _, u in cells.references.by_length.values()] + [-c for c in cells.table if c < 0], default=1)
+        room = max(1, min(_SHELF_BYTES // (longest * (4 if kind == "float" else 8)), max(4096, -(-total // tasks))))
+        spans, before = {}, 0
+        for cell in cells.in_order():
+            rows = cells.table[cell][2]
+            first, last = before // room, (before + rows - 1) // room
+            spans[cell] = first, last - first + 1
+            before += rows
+        return Shelves(spans)
+
+    def home(self, cell: int, row: int) -> int:
+        """The one shelf of a cell that a query of this cell visits first."""
+        first, n = self.spans[cell]
+        return first + row % n
+
+
+def _visits(asked: DataFrame, cells: Cells, shelves: Shelves, first: bool) -> DataFrame:
+    """(shelf, row, query_id, vector, bar, cells, bounds): the shelves each query visits, and there the cells that may
+    reach its bar, with their bounds. In the first round that is its own cell on one shelf, in the second all others."""
+    kinds = [asked.schema[c].dataType.simpleString() for c in ("query_id", "vector")]
+
     def run(batches):
-        import numpy as np
-        import pandas as pd
-        import pyarrow as pa
-
-        def matrices(table) -> dict:
-            """Unit vectors by length: (row numbers, matrix); a zero vector stays zero."""
-            column = table.column("vector")
-            sizes = np.asarray(column.value_lengths())
-            out = {}
-            for size in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == size)
-                matrix = np.asarray(column.take(pa.array(rows)).flatten(), dtype="float64").reshape(len(rows), size)
-                largest = np.abs(matrix).max(axis=1, keepdims=True)
-                matrix = np.divide(matrix, largest, out=np.zeros_like(matrix), where=largest > 0)
-                norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
-                out[size] = rows, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-            return out
-
-        def opened(value):
-            return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
-
-        class Chunk:
-            """The k best products so far of each query of a chunk; rows of one id are one query."""
-
-            def __init__(self, number, table):
-                self.number, self.queries, self.column = number, matrices(table), table.column("query_id")
-                places = {}
-                self.query = np.array([places.setdefault(i, len(places)) for i in self.column.to_pylist()], dtype=int)
-                self.ids = list(places)
-                self.bar = np.full(len(self.ids), -np.inf)  # the k-th best score so far
-                self.best, self.product_type = pd.DataFrame({"row": [], "product_id": [], "score": []}), None
-
-            def near(self, table):
-                names = np.array(table.column("product_id").to_pylist(), dtype=object)
-                for size, (rows, matrix) in matrices(table).items():
-                    if size not in self.queries:
-                        continue
-                    asking, wanted = self.queries[size]
-                    asking = self.query[asking]
-                    step = max(1, _STRIP // max(1, len(rows)))
-                    for at in range(0, len(asking), step):
-                        q, v = np.nonzero(wanted[at:at + step] @ matrix.T >= self.bar[asking[at:at + step]][:, None] - _SLACK)
-                        for start in range(0, len(q), _STRIP // size + 1):
-                            a, b = q[start:start + _STRIP // size + 1] + at, v[start:start + _STRIP // size + 1]
-                            score = np.einsum("ij,ij->i", wanted[a], matrix[b])
-                            yield pd.DataFrame({"row": asking[a], "product_id": names[rows[b]], "score": score})
-
-            def visit(self, table):
-                self.product_type = table.schema.field("product_id").type
-                for found in self.near(table):
-                    found = found[found["score"].to_numpy() >= self.bar[found["row"].to_numpy()]]
-                    if len(found):
-                        best = pd.concat([self.best, found]) if len(self.best) else found
-                        best = best.sort_values(["row", "score", "product_id"], ascending=[True, False, True], kind="stable")
-                        self.best = best[best.groupby("row").cumcount() < k]
-                        full = self.best.groupby("row")["score"].agg(["size", "min"])
-                        full = full[full["size"] == k]
-                        self.bar[full.index.to_numpy(dtype=int)] = full["min"].to_numpy()
-
-            def found(self):
-                if len(self.best):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([self.ids[i] for i in self.best["row"].to_numpy(dtype=int)], self.column.type),
-                        pa.array(self.best["product_id"].tolist(), self.product_type),
-                        pa.array(self.best["score"].to_numpy(dtype="float64")),
-                    ], names=["query_id", "product_id", "score"])
-
-        chunk = None
         for batch in batches:
-            for number, asked, offered in zip(*[batch.column(c) for c in ("chunk", "asked", "offered")]):
-                if chunk is None or chunk.number != number.as_py():
-                    if chunk is not None:
-                        yield from chunk.found()
-                    chunk = Chunk(number.as_py(), opened(asked))
-                chunk.visit(opened(offered))
-        if chunk is not None:
-            yield from chunk.found()
-
-    return run
+            rows, bars = np.asarray(batch.column("row")), np.asarray(batch.column("bar"))
+            for size, at, units in matrices(batch.column("vector")):
+                homes, _ = cells.references.nearest(size, units)
+                numbers, bound = cells.bounds(size, units)
+                numbers = numbers.tolist()
+                place, shelf, wanted, bounds = [], [], [], []
+                for i, (row, own) in enumerate(zip(rows[at].tolist(), homes.tolist())):
+                    home = (own, shelves.home(own, row)) if own in shelves.spans else None
+                    if first:
+                        if home:
+                            place.append(at[i])
+                            shelf.append(home[1])
+                            wanted.append([own])
+                            bounds.append([1.0])
+                        continue
+                    visits: dict[int, tuple[list, list]] = {}
+                    for c in np.flatnonzero(bound[i] >= bars[at[i]] - _SLACK).tolist():
+                        begin, n = shelves.spans[numbers[c]]
+                        for s in range(begin, begin + n):
+                            if (numbers[c], s) != home:
+                                there = visits.setdefault(s, ([], []))
+                                there[0].append(numbers[c])
+                                there[1].append(bound[i, c])
+                    for s, (some, high) in visits.items():
+                        place.append(at[i])
+                        shelf.append(s)
+                        wanted.append(some)
+                        bounds.append(high)
+                some = batch.take(pa.array(place, pa.int64()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(shelf, pa.int64()), *(some.column(c) for c in ("row", "query_id", "vector", "bar")),
+                    pa.array(wanted, pa.list_(pa.int64())), pa.array(bounds, pa.list_(pa.float64())),
+                ], names=["shelf", "row", "query_id", "vector", "bar", "cells", "bounds"])
+
+    return asked.mapInArrow(run, f"shelf bigint, row bigint, query_id {kinds[0]}, vector {kinds[1]}, bar double, cells array<bigint>, bounds array<double>")
+
+
+def _meet(visits: DataFrame, store: VectorStore, shelves: Shelves, parts: int, k: int, chunk_rows: int, compared) -> DataFrame:
+    """(row, query_id, product_id, score): the k best of what each query finds on each shelf."""
+    wanted = [r["c"] for r in visits.select(F.explode("cells").alias("c")).distinct().collect()]  # no more than there are cells
+    first = F.create_map(*[F.lit(v) for c in wanted for v in (c, shelves.spans[c][0])]) if wanted else None
+    shelf_of = F.lit(0).cast("bigint")
+    if wanted:
+        spans = {c: n for c in wanted if (n := shelves.spans[c][1]) > 1}
+        several = F.coalesce(F.create_map(*[F.lit(v) for item in spans.items() for v in item])[F.col("cell")], F.lit(1)) if spans else F.lit(1)
+        shelf_of = first[F.col("cell")] + F.pmod(F.xxhash64("product_id"), several)
+    offered = store.of_cells(wanted).select(shelf_of.cast("bigint").alias("shelf"), "cell", "product_id", F.col("embedding").alias("vector"))
+    offered = offered.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    visits = visits.withColumn("part", F.pmod(F.col("row"), F.lit(parts)).cast("int"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((visits, "query_id"), (offered, "product_id"))]
+
+    def run(asked: pa.Table, offered: pa.Table) -> pa.Table:
+        found, pairs = nearest(asked, offered, k, chunk_rows)
+        if compared is not None:
+            compared.add(pairs)
+        return found
+
+    return visits.groupBy("shelf", "part").cogroup(offered.groupBy("shelf", "part")).applyInArrow(
+        run, f"row bigint, query_id {kinds[0]}, product_id {kinds[1]}, score double")
+
+
+def _best(query: np.ndarray, place: np.ndarray, score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Which of the rows are the k best of their query, by score and then by the order of the products."""
+    by = np.lexsort((order[place], -score, query))
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(query[by]) != 0])) if len(by) else np.zeros(0, int)
+    nth = np.arange(len(by)) - np.repeat(begins, np.diff(np.append(begins, len(by))))
+    return by[nth < k]
+
+
+def nearest(asked: pa.Table, offered: pa.Table, k: int, chunk_rows: int) -> tuple[pa.Table, int]:
+    """The k best products of each query among the cells it wants, and the number of pairs compared.
+
+    Cells are visited by falling bound, and a query leaves out those that its bar has risen above meanwhile.
+    """
+    compared, out = 0, []
+    if asked.num_rows and offered.num_rows:
+        asked, offered = asked.combine_chunks(), offered.combine_chunks()
+        cell = np.asarray(offered.column("cell"))
+        # the products' order, for equal scores
+        order = np.asarray(pa.compute.rank(offered.column("product_id"), tiebreaker="dense"), np.int64)
+        shelf: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for size, rows, units in matrices(offered.column("vector").combine_chunks()):
+            for c in np.unique(cell[rows]).tolist():
+                at = np.flatnonzero(cell[rows] == c)
+                shelf[c] = size, rows[at], units[at]
+        for start in range(0, asked.num_rows, chunk_rows):
+            chunk = asked.slice(start, chunk_rows)
+            bar = np.array(chunk.column("bar"), dtype="float64")
+            lists = chunk.column("cells").combine_chunks()
+            wanting = np.repeat(np.arange(chunk.num_rows), np.asarray(lists.value_lengths()))
+            cells, bounds = np.asarray(lists.flatten()), np.asarray(chunk.column("bounds").combine_chunks().flatten())
+            units = np.empty(chunk.num_rows, object)
+            for _, rows, some in matrices(chunk.column("vector").combine_chunks()):
+                units[rows] = list(some)
+            best_query, best_place, best_score = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+            highest = {c: bounds[cells == c].max() for c in np.unique(cells).tolist() if c in shelf}
+            for c in sorted(highest, key=lambda c: -highest[c]):
+                size, places, candidates = shelf[c]
+                here = cells == c
+                query = wanting[here][bounds[here] >= bar[wanting[here]] - _SLACK]
+                step = max(1, _STRIP // len(places))
+                for s in range(0, len(query), step):
+                    some = query[s:s + step]
+                    wanted = np.stack(units[some])
+                    compared += len(some) * len(places)
+                    scores = wanted @ candidates.T
+                    least = bar[some]
+                    if len(places) > k:
+                        least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                    i, j = np.nonzero(scores >= least[:, None] - _SLACK)
+                    for b in range(0, len(i), _STRIP // size + 1):
+                        x, y = i[b:b + _STRIP // size + 1], j[b:b + _STRIP // size + 1]
+                        score = np.einsum("ij,ij->i", wanted[x], candidates[y])
+                        keep = score >= bar[some[x]]
+                        best_query = np.concatenate([best_query, some[x][keep]])
+                        best_place = np.concatenate([best_place, places[y][keep]])
+                        best_score = np.concatenate([best_score, score[keep]])
+                    keep = _best(best_query, best_place, best_score, order, k)
+                    best_query, best_place, best_score = best_query[keep], best_place[keep], best_score[keep]
+                    full = np.bincount(best_query, minlength=len(bar)) >= k
+                    lowest = np.full(len(bar), np.inf)
+                    np.minimum.at(lowest, best_query, best_score)
+                    bar = np.where(full, np.maximum(bar, lowest), bar)
+            some = chunk.take(pa.array(best_query))
+            out.append(pa.table({
+                "row": some.column("row"), "query_id": some.column("query_id"),
+                "product_id": offered.column("product_id").take(pa.array(best_place)), "score": pa.array(best_score)}))
+    if out:
+        return pa.concat_tables(out), compared
+    empty = {"row": asked.schema.field("row").type, "query_id": asked.schema.field("query_id").type,
+             "product_id": offered.schema.field("product_id").type, "score": pa.float64()}
+    return pa.table({c: pa.array([], t) for c, t in empty.items()}), compared
 
 
 def context_json(hits: DataFrame) -> DataFrame:

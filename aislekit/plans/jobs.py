@@ -14,6 +14,7 @@ from aislekit.operators.retrieval import context_json, search
 from aislekit.operators.sampling import quota_sample
 from aislekit.plans import tasks
 from aislekit.session import written
+from aislekit.sources.vectors import VectorStore
 
 GENERATORS = {
     "pick_one": tasks.pick_one, "pick_list": tasks.pick_list, "reject": tasks.reject, "clarify": tasks.clarify,
@@ -61,14 +62,14 @@ def review_set(made: dict[str, DataFrame]) -> DataFrame:
 
 
 def answer_shoppers(
-    queries: DataFrame, vectors: DataFrame, products: DataFrame, history: DataFrame,
+    queries: DataFrame, vectors: DataFrame | VectorStore, products: DataFrame, history: DataFrame,
     shipping: DataFrame, returns: DataFrame, system_prompt: str,
     k: int = V.TOP_K, threshold: float | None = None, always_listed: bool = False,
 ) -> DataFrame:
     """(query_id, route, policy_text, prompt): a policy text, or the prompt of a product search.
 
     `queries` holds query_id, conv_id, user_query and embedding. Routing comes first, so
-    only the questions that need products pay for the search. `always_listed`: see `assemble_messages`.
+    only the questions that need products pay for the search. `vectors` are a table or an open store. `always_listed`: see `assemble_messages`.
     """
     routed = policy_lookup(queries, shipping, returns)
     told = routed.where("route <> 'search'").select(
@@ -76,7 +77,10 @@ def answer_shoppers(
     )
     asked = routed.where("route = 'search'").select("query_id", "conv_id", F.col("user_query").alias("query"), "embedding")
     # Only vectors of known products can be hits; ranked after that, a list holds k of them.
-    offered = vectors.join(products.select("product_id"), "product_id", "left_semi")
+    if isinstance(vectors, VectorStore):
+        offered = vectors.among(products)
+    else:
+        offered = vectors.join(products.select("product_id"), "product_id", "left_semi")
     hits = search(asked, offered, k, threshold).join(products, "product_id")
     found = context_json(hits)
     messages = assemble_messages(asked.drop("embedding").join(found, "query_id", "left"), history, system_prompt, always_listed)

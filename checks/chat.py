@@ -155,13 +155,13 @@ def product_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @check("vector_store", B.chain("""SELECT vec_id AS product_id, label, len(embedding)::BIGINT AS n_numbers,
-  round(embedding[1]::DOUBLE, 6) AS first FROM embeddings"""))
+  array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1000000)::BIGINT), ',') AS numbers FROM embeddings"""))
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "vectors")
     S.write_vectors(B.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "product_id"), path)
     return S.read_vectors(spark, path).select(
         "product_id", "label", F.size("embedding").cast("bigint").alias("n_numbers"),
-        F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"),
+        F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string")), ",").alias("numbers"),
     )
 
 

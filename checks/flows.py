@@ -41,21 +41,21 @@ SELECT q.query_id, route, CASE route WHEN 'shipping' THEN {_SHIPPING_TEXT} WHEN
 FROM asked q LEFT JOIN last_shipping s ON s.category = q.category LEFT JOIN last_returns r ON r.category = q.category
 LEFT JOIN past ON past.conv_id = q.conv_id LEFT JOIN context x ON x.query_id = q.query_id""", *_LAST,
     ("asked", f"""SELECT a.*, {route_sql('user_query')} AS route, {category_sql('user_query')} AS category, embedding
-      FROM ({_ASKED_SQL.replace('{conversations}', 'conversations')}) a JOIN embeddings ON vec_id = query_id"""),
+      FROM ({_ASKED_SQL.replace('{conversations}', 'conversations')}) a LEFT JOIN embeddings ON vec_id = query_id"""),
     ("past", """SELECT conv_id, string_agg(concat('<|', role, '|>', chr(10), text, chr(10)), '' ORDER BY turn) AS past
       FROM conversations WHERE length(text) > 0 AND role IN ('user', 'assistant') GROUP BY conv_id"""),
     ("near", f"""SELECT query_id, v.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY
         round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) DESC, concat('P', v.vec_id)) AS rank
-      FROM asked q, embeddings v WHERE route = 'search' AND concat('P', v.vec_id) IN (SELECT product_id FROM library)
+      FROM asked q, embeddings v WHERE route = 'search' AND q.embedding IS NOT NULL AND concat('P', v.vec_id) IN (SELECT product_id FROM library)
       QUALIFY rank <= {V.TOP_K}"""),
     ("context", f"""SELECT query_id, concat({text(V.PRODUCTS_PREFIX)}, to_json(list({{'product_id': l.product_id, 'category': l.category,
         'title': l.title, 'price': l.price, 'brand': l.brand, 'features': l.features, 'avg_rating': l.avg_rating}} ORDER BY rank))) AS product_context
       FROM near JOIN library l ON l.product_id = concat('P', vec_id) GROUP BY query_id""")))
 def shopper_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation goes on with a question; its vector is the one with the same number."""
+    """Each conversation goes on with a question; its vector, if there is one, is the one with the same number."""
     turns, rows = B.table(spark, sf_dir, "conversations"), B.table(spark, sf_dir, "embeddings")
     queries = B._run(spark, _ASKED_SQL, conversations=turns).join(
-        rows.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id"
+        rows.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left"
     )
     vectors = rows.select(F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("product_id"), "embedding")
     return jobs.answer_shoppers(

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislekit import vocabulary as V
-from aislekit.operators import chat as O, replies, retrieval
+from aislekit.operators import cells, chat as O, replies, retrieval
+from aislekit.sources import vectors
 from aislekit.streaming import router
 
 
@@ -136,26 +137,82 @@ def test_search_passes_over_vectors_that_cannot_be_compared(spark):
 
 
 def test_no_query_vector_reaches_the_driver(spark, monkeypatch):
-    """Many chunks, and one query id that a third of the rows share: the plan stays the same, and nothing is collected."""
+    """Many chunks, and one query id that a third of the rows share: the plan stays the same, and of what is asked nothing
+    is collected, of what is offered only the references."""
     from pyspark.sql.classic.dataframe import DataFrame as Classic
 
     ids = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("query_id")
     q = spark.range(0, 300, 1, 3).select(ids, F.array(F.sin("id"), F.cos("id")).alias("embedding"))
     v = spark.range(40).select(F.concat(F.lit("p"), "id").alias("product_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
 
-    def refused(*_, **__):
-        raise AssertionError("rows reach the driver")
+    def guarded(original):
+        def read(df, *a, **kw):
+            out = original(df, *a, **kw)
+            assert "query_id" not in df.columns and "vector" not in df.columns
+            assert "embedding" not in df.columns or len(out) <= 40 ** 0.5
+            return out
+
+        return read
 
     with monkeypatch.context() as m:
         for name in ("toArrow", "toPandas", "collect", "toLocalIterator"):
-            m.setattr(Classic, name, refused)
+            m.setattr(Classic, name, guarded(getattr(Classic, name)))
         found = {rows: retrieval.search(q, v, chunk_rows=rows) for rows in (5, 4096)}
         plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in found.values()]
-    assert [p.count("Relation [") for p in plans] == [2, 2]
+    assert [p.count("Relation [") for p in plans] == [3, 3]  # what is found near, visits and vectors
     got = [{(r.query_id, r.rank): (r.product_id, r.score) for r in f.collect()} for f in found.values()]
     assert got[0] == got[1] and len(got[0]) == 201 * 8
 
 
+def clustered(spark, rows, seed=1, clusters=40, numbers=32):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, numbers))
+    x = (centres[rng.integers(0, clusters, rows)] + 0.15 * rng.normal(size=(rows, numbers))).astype("float32")
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "product_id bigint, embedding array<float>")
+
+
+def test_cells_spare_most_pairs_of_clustered_vectors(spark, tmp_path):
+    x, v = clustered(spark, 4000)
+    q = v.where("product_id % 10 = 0").withColumnRenamed("product_id", "query_id")
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    best = -np.sort(-(u[::10] @ u.T), axis=1)[:, :8]
+    vectors.write_vectors(v, str(tmp_path / "store"))
+    for offered in (v, vectors.open_vectors(spark, str(tmp_path / "store"))):
+        compared = spark.sparkContext.accumulator(0)
+        rows = retrieval.search(q, offered, compared=compared).orderBy("query_id", "rank").collect()
+        assert np.allclose(np.array([r.score for r in rows]).reshape(400, 8), best, atol=1e-8)
+        assert 0 < compared.value < 0.25 * 400 * 4000
+    # a threshold is a bar from the start
+    compared = spark.sparkContext.accumulator(0)
+    above = retrieval.search(q, v, threshold=0.97, compared=compared).count()
+    assert above == (best >= 0.97).sum() and compared.value < 0.25 * 400 * 4000
+
+
+def test_bounds_hold_for_every_vector(spark):
+    x, v = clustered(spark, 600, seed=2)
+    references = cells.references_of(v, "product_id")
+    rows = cells.assigned(v, references).collect()
+    table = {r["cell"]: (r["low"], r["high"], r["rows"]) for r in cells.cell_table(cells.assigned(v, references)).collect()}
+    known = cells.Cells(references, table)
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    numbers, bound = known.bounds(32, u)
+    place = {c: i for i, c in enumerate(numbers.tolist())}
+    for r in rows:
+        assert (u @ u[r["product_id"]] <= bound[:, place[r["cell"]]] + 1e-9).all()
+    assert sorted(known.in_order()) == sorted(table)
+
+
+def test_a_cell_of_equal_vectors_lies_on_several_shelves(spark, monkeypatch):
+    """A third of the vectors are equal; the lowest ids win, wherever they lie."""
+    x, v = clustered(spark, 900, seed=3, numbers=6)
+    v = v.select("product_id", F.when(F.col("product_id") % 3 == 0, F.array(*[F.lit(float(n)) for n in range(6)])).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"))
+    monkeypatch.setattr(retrieval, "_SHELF_BYTES", 64 * 6 * 8)
+    monkeypatch.setattr(retrieval, "_PART_ROWS", 100)
+    q = v.withColumnRenamed("product_id", "query_id")
+    rows = retrieval.search(q, v, k=5, chunk_rows=64).where("query_id = 3").orderBy("rank").collect()
+    assert [r.product_id for r in rows] == [0, 3, 6, 9, 12] and {r.score for r in rows} == {1.0}
+
+
 def test_near_ties_are_ranked_by_their_score(spark):
     """Scores that round to the same nine digits."""
     v = spark.createDataFrame([("a", [1.0, 2e-5]), ("b", [1.0, 1e-5])], "product_id string, embedding array<double>")

@@ -1,11 +1,15 @@
 """Plans: what is read, what is shuffled, what is broadcast."""
 
+import pathlib
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from aislekit.operators import chat, contexts as C, replies, retrieval, sampling
 from aislekit.plans import tasks
 from aislekit.session import written
+from aislekit.sources import vectors
 from checks import base as B
 from checks.all import QUERIES
 
@@ -68,9 +72,30 @@ def test_search_ranks_before_the_last_shuffle(spark, small):
     plan = plan_of(retrieval.search(
         rows.select(F.col("vec_id").alias("query_id"), "embedding"), rows.select(F.col("vec_id").alias("product_id"), "embedding")
     ))
-    assert "WindowGroupLimit" in plan and "Broadcast" not in plan
-    # the one shuffle stands above the pass over the vectors: it moves ranked rows
-    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+    assert "WindowGroupLimit" in plan and "Broadcast" not in plan and "Join" not in plan and "CartesianProduct" not in plan
+    # queries and vectors meet by shelf: two shuffles below that, and one of ranked rows above it
+    meeting = plan.index("FlatMapCoGroupsInArrow")
+    assert plan.count("Exchange") == 3 and plan[:meeting].count("Exchange") == 1 and "MapInArrow" in plan[meeting:]
+
+
+def test_a_store_is_read_by_cell(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP_BYTES", 8192)
+    path = str(tmp_path / "store")
+    vectors.write_vectors(B.table(spark, small, "embeddings").withColumnRenamed("vec_id", "product_id"), path)
+    store = vectors.open_vectors(spark, path)
+    cells = sorted(store.cells.table)
+    assert len(cells) > 3 and sum(n for _, _, n in store.cells.table.values()) == store.rows.count()
+    some = store.of_cells(cells[:2])
+    assert f"PushedFilters: [In(cell, [{cells[0]},{cells[1]}])]" in plan_of(some)
+    files = [f for f in pathlib.Path(path, "vectors").glob("*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+    ranges = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        column = meta.schema.names.index("cell")
+        ranges += [meta.row_group(i).column(column).statistics for i in range(meta.num_row_groups)]
+    # what row groups say of their cells leaves out most of them
+    assert len(ranges) > 2 and sum(s.min <= cells[0] <= s.max for s in ranges) * 2 <= len(ranges)
+    assert {r["cell"] for r in some.select("cell").distinct().collect()} == set(cells[:2])
 
 
 def test_head_is_a_top_n(spark, small):
