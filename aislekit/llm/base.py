@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Rows of one Arrow batch; a batch of average texts is a few megabytes.
 BATCH_ROWS = 1024
 #: Bytes of text that a numpy pass takes at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
