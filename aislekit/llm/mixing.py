@@ -1,9 +1,9 @@
 """Mixing sources to target weights, in DataFrame operations alone.
 
-The words of each source, document after document, are packed into blocks of fixed length. Output
-shards of fixed size hold one block a slot. A shard's source counts are a multinomial draw given that
-all shards together hold each source's target: slot i of the source, counted after the slots of the
-sources before it, stands where a pseudorandom permutation of all slots puts it. Slot r of a source
+The words of each source, document after document, are packed into blocks of fixed length: 64 words, or a 32nd
+of the target where that is less. Output shards of fixed size hold one block a slot, and a source has the
+number of slots whose words come nearest to its target, its last, shorter block counted as what it holds. Source
+counts are drawn shard by shard without going over that number: multinomial draws given their sum. Slot i of the source, counted after the slots of the sources before it, stands where a pseudorandom permutation of all slots puts it. Slot r of a source
 takes block p(r mod number of blocks), p being a pseudorandom permutation of that source's blocks, so
 no block is taken a second time before all are taken once. Slots and blocks meet in a join by index.
 
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from aislekit.session import written
 
 SEED = 42
-#: Words of a block, and slots of an output shard.
-BLOCK, SHARD = 64, 4096
+#: Words of a block at most, blocks of a target at least, and slots of an output shard.
+BLOCK, PARTS, SHARD = 64, 32, 4096
 #: Rounds of a permutation.
 ROUNDS = 16
 #: Buckets of a source in which its documents are put in order.
@@ -71,23 +71,48 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, m
     return rows.select("source", "source_no", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def block_length(target: Column, block: int) -> Column:
+    """The words of a block of a source with this target."""
+    return F.greatest(F.lit(1), F.least(F.lit(block), F.floor(target / PARTS))).cast("bigint")
+
+
 def pieces(placed: DataFrame, block: int) -> DataFrame:
     """(source_no, block, doc, piece_from, piece_words): the part of a document in each block it reaches."""
-    first = F.expr(f"start div {block}")
-    last = F.expr(f"(start + size - 1) div {block}")
-    spread = placed.where("size > 0").select("source_no", "doc", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    begin = F.greatest(F.col("start"), F.col("block") * block)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+    placed = placed.where("size > 0").withColumn("long", block_length(F.col("target"), block))
+    first, last = F.expr("start div long"), F.expr("(start + size - 1) div long")
+    spread = placed.select("source_no", "doc", "start", "size", "long", F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest(F.col("start"), F.col("block") * F.col("long"))
+    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("long"))
     return spread.select("source_no", "block", "doc", (begin - F.col("start")).alias("piece_from"), (end - begin).alias("piece_words"))
 
 
+def slot_counts(targets: DataFrame, block: int, seed: int) -> DataFrame:
+    """The targets with their blocks and `n`, the number of slots whose words come nearest to the target.
+
+    After whole passes over the source, the first blocks of its permutation are taken; where the last, shorter
+    block stands in it decides what a number of them holds.
+    """
+    rows = targets.where("source_size > 0").withColumn("long", block_length(F.col("target"), block))
+    rows = rows.withColumn("blocks", F.expr("(source_size + long - 1) div long"))
+    rows = rows.withColumns({
+        "passes": F.floor(F.col("target") / F.col("source_size")), "lacking": F.expr("blocks * long - source_size"),
+        "shorter": permuted(F.col("blocks") - 1, F.col("blocks"), F.reverse(_keys(F.col("blocks"), F.lit(seed), F.col("source_no"))))})
+    left = F.col("target") - F.col("passes") * F.col("source_size")
+
+    def held(n: Column) -> Column:
+        return n * F.col("long") - F.when(F.col("shorter") < n, F.col("lacking")).otherwise(F.lit(0))
+
+    first = F.floor(left / F.col("long"))
+    tried = F.transform(F.sequence(first, first + 2), lambda n: F.least(n, F.col("blocks")))
+    best = F.array_min(F.transform(tried, lambda n: F.struct(F.abs(held(n) - left).alias("off"), n.alias("n"))))["n"]
+    return rows.withColumn("n", (F.col("passes") * F.col("blocks") + best).cast("bigint"))
+
+
 def slots(targets: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     """(source_no, block, epoch, shard, slot): what each slot of the output holds."""
     before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = targets.select(
-        "source_no", F.round(F.col("target") / block).cast("bigint").alias("n"),
-        F.expr(f"(source_size + {block - 1}) div {block}").alias("blocks"))
+    rows = slot_counts(targets, block, seed).select("source_no", "n", "blocks")
     rows = rows.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(every)}).where("n > 0")
     rows = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(_STRIDE).cast("bigint"))))
     # few rows that unfold into many: a fixed number of tasks, since their size now says nothing
@@ -158,22 +183,23 @@ def mixed_texts(df: DataFrame, mixture: Mixture, key: str = "doc_id", text: str
     for all, as often as the mix takes any of them.
     """
     same = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    once = df.withColumn("__h", same).withColumn("__nth", F.row_number().over(Window.partitionBy("__h").orderBy("__h"))).where("__nth = 1")
-    rows = mixture.documents.select("doc", F.col("h").alias("__h"))
-    taken = mixture.passes().hint("merge").join(rows.hint("merge"), "doc").select("__h", F.col("passes").alias("__passes"))
-    met = once.join(taken.hint("merge"), "__h")
+    h, passes, found = ("__" + "_".join([name, *df.columns]) for name in ("h", "passes", "text"))  # names that df does not have
+    once = df.withColumn(h, same).dropDuplicates([h])
+    rows = mixture.documents.select("doc", F.col("h").alias(h))
+    taken = mixture.passes().hint("merge").join(rows.hint("merge"), "doc").select(h, F.col("passes").alias(passes))
+    met = once.join(taken.hint("merge"), h)
     words = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
 
     def cut(words: Column) -> Column:
         def part(p: Column) -> Column:
             return F.array_join(F.slice(words, (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int")), "")
 
-        return F.transform("__passes", lambda one: F.array_join(F.transform(one["parts"], part), ""))
+        return F.transform(passes, lambda one: F.array_join(F.transform(one["parts"], part), ""))
 
     # in an array of one, so that a text is taken apart once and not for every part
     texts = F.get(F.transform(F.array(words), cut), F.lit(0))
-    met = met.withColumn("__text", F.explode(texts))
-    return met.withColumn(text, F.regexp_replace("__text", r"^[\x20\x09-\x0D]+", "")).select(*df.columns)
+    met = met.withColumn(found, F.explode(texts))
+    return met.withColumn(text, F.regexp_replace(found, r"^[\x20\x09-\x0D]+", "")).select(*df.columns)
 
 
 def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, **names) -> DataFrame:
