@@ -34,6 +34,8 @@ _DIGITS = 32
 # A row as text: nulls are marked, times have their microseconds.
 _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _EXACT = {"ignoreNullFields": "false", "timeZone": "UTC", "timestampFormat": _TIME, "timestampNTZFormat": _TIME}
+# Rows that a reservoir waits for before it is cut again, and the groups in which reservoirs are merged, one step after the other.
+_HELD_ROWS, _MERGES = 4096, (256, 16, 1)
 # Of an increasing id, the bits that number a row within its part.
 _PART_BITS = 33
 
@@ -80,8 +82,16 @@ def _of_group(df: DataFrame, cut: Row, by: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [df[c] == cut[c] for c in by], F.lit(True))
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _marked(df: DataFrame, drawn: Column, cuts: list[Row], by: list[str], seed: int, tie: list[str] | None = None) -> DataFrame:
-    """All rows with `chosen`, whether they are up to the cut of their group.
+    """All rows with one more column, the last, which tells whether they are up to the cut of their group.
 
     Of the copies at a cut of which only some fit, a second digest of the `tie` columns chooses, then one of the
     whole row. Rows that share this one too are written, numbered in place, and the first of them chosen.
@@ -106,20 +116,22 @@ def _marked(df: DataFrame, drawn: Column, cuts: list[Row], by: list[str], seed:
     out = df
     for same, _ in equal:
         out = out.where(~F.coalesce(same, F.lit(False)))
-    out = out.withColumn("chosen", chosen)
+    mark, copy = _unused(df, "chosen"), _unused(df, "copy")
+    out = out.withColumn(mark, chosen)
     for same, take in equal:
-        rows = written(df.where(same).withColumn("__copy", F.monotonically_increasing_id()), "equal-rows")
+        rows = written(df.where(same).withColumn(copy, F.monotonically_increasing_id()), "equal-rows")
         # An id is the number of its part, then of the row in it: one row per part is read to find the part of the last one.
-        parts = rows.groupBy(F.shiftright("__copy", _PART_BITS).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        parts = rows.groupBy(F.shiftright(copy, _PART_BITS).alias("part")).agg(F.count(F.lit(1)).alias("n"))
         last = _reaching(parts, [], "part", F.lit(take)).select("part", (F.col("wanted") - F.col("upto") + F.col("n")).alias("left")).first()
         end = (last["part"] << _PART_BITS) + last["left"]
-        out = out.unionAll(rows.select(*df.columns, (F.col("__copy") < F.lit(end)).alias("chosen")))
+        out = out.unionAll(rows.select(*df.columns, (F.col(copy) < F.lit(end)).alias(mark)))
     return out
 
 
 def _sampled(df: DataFrame, drawn: Column, cuts: list[Row], by: list[str], seed: int) -> DataFrame:
     """The rows up to the cuts of their groups."""
-    return _marked(df, drawn, cuts, by, seed).where("chosen").drop("chosen")
+    marked = _marked(df, drawn, cuts, by, seed)
+    return marked.where(F.col(marked.columns[-1])).select(*df.columns)
 
 
 def _digest_of(df: DataFrame, key: str | list[str], seed: int, salt: str) -> Column:
@@ -135,8 +147,48 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str | list[str]) -> DataFram
 
 
 def reservoir_sample(lines: DataFrame, n: int, seed: int, key: str | list[str], text: str = "line") -> DataFrame:
-    """A simple random sample of the lines that are not blank."""
-    return sample_n(lines.where(~is_blank(F.col(text))), n, seed, key)
+    """A simple random sample of min(n, lines) of the lines that are not blank, in one pass over them.
+
+    The lines of the n lowest digests, as `sample_n` takes them. Each task keeps a reservoir of n rows; reservoirs are
+    merged like a tree, some of them in a task, so that no task sees them all unless they are few.
+    """
+    if n <= 0:
+        return lines.limit(0)
+    kept = lines.where(~is_blank(F.col(text)))
+    order, copies = _unused(lines, "drawn"), _unused(lines, "copies")
+    kept = kept.withColumns({order: _digest_of(kept, key, seed, "sample"), copies: digest(seed, "copies", F.to_json(F.struct(*lines.columns), _EXACT))})
+    schema, lowest = kept.schema, _lowest(n, order, copies)
+    kept = kept.mapInArrow(lowest, schema)
+    for groups in _MERGES:
+        kept = kept.repartition(F.spark_partition_id() % groups).mapInArrow(lowest, schema)
+    return kept.select(*lines.columns)
+
+
+def _lowest(n: int, *order: str):
+    """The n rows of a task that are the lowest in `order`."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute
+
+        def cut(parts):
+            table = pa.Table.from_batches(parts) if isinstance(parts[0], pa.RecordBatch) else pa.concat_tables(parts)
+            keep = pa.compute.select_k_unstable(table, n, [(c, "ascending") for c in order]) if len(table) > n else None
+            return table if keep is None else table.take(keep).combine_chunks()
+
+        held, waiting, rows = None, [], 0
+        for batch in batches:
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows >= max(n, _HELD_ROWS):
+                new = cut(waiting)
+                held, waiting, rows = cut([held, new]) if held is not None else new, [], 0
+        if waiting:
+            new = cut(waiting)
+            held = cut([held, new]) if held is not None else new
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
 
 
 def quota_sample(products: DataFrame, max_rows: int, seed: int, key: str = "product_id") -> DataFrame:
@@ -164,7 +216,8 @@ def train_eval_split(
         chosen = (drawn <= cuts[0]["drawn"]) if cuts else F.lit(eval_share > 0)
         return df.withColumn("split", F.when(chosen, "eval").otherwise("train"))
     marked = _marked(df, drawn, cuts, [], seed, tie)
-    return marked.withColumn("split", F.when(F.col("chosen"), "eval").otherwise("train")).drop("chosen")
+    mark = marked.columns[-1]
+    return marked.withColumn("split", F.when(F.col(mark), "eval").otherwise("train")).drop(mark)
 
 
 def head_n(df: DataFrame, n: int | None, order: str | list[str]) -> DataFrame:

@@ -46,6 +46,59 @@ def raw_meta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PLANTED = ("planted", """SELECT doc_id, lang, CASE doc_id % 9 WHEN 4 THEN concat('{"doc_id":', doc_id) WHEN 5 THEN '[1, 2]' WHEN 6 THEN 'null'
+  WHEN 7 THEN '   ' WHEN 8 THEN '{"doc_id":"seven","lang":3}' ELSE to_json({'doc_id': doc_id, 'lang': lang})::VARCHAR END AS line FROM documents""")
+
+
+def _planted_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as lines, some of them cut, no objects, blank, or with fields of other types."""
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    kind = F.col("doc_id") % 9
+    line = F.when(kind == 4, F.concat(F.lit('{"doc_id":'), F.col("doc_id"))).when(kind == 5, "[1, 2]").when(kind == 6, "null").when(
+        kind == 7, "   ").when(kind == 8, '{"doc_id":"seven","lang":3}').otherwise(F.to_json(F.struct("doc_id", "lang")))
+    path = fresh_path(spark, "planted")
+    docs.select(F.floor(F.col("doc_id") / 40).alias("part"), "doc_id", line.alias("value")).repartition("part").sortWithinPartitions(
+        "part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@check("rejected_lines", B.chain("""SELECT doc_id // 40 AS part, row_number, line FROM (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS row_number FROM planted)
+  WHERE doc_id % 9 IN (4, 5, 6)""", _PLANTED))
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jsonl.rejected_lines(spark, _planted_lines(spark, sf_dir), "doc_id bigint, lang string")
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint")
+    return found.select(part.alias("part"), F.col("line_no").alias("row_number"), "line")
+
+
+@check("lenient_scan", B.chain("""SELECT CASE WHEN doc_id % 9 < 8 THEN doc_id END AS doc_id, CASE WHEN doc_id % 9 < 8 THEN planted.lang ELSE '3' END AS lang
+  FROM planted WHERE doc_id % 9 NOT IN (4, 5, 6, 7)""", _PLANTED))
+def lenient_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.read_jsonl(spark, _planted_lines(spark, sf_dir), "doc_id bigint, lang string", strict=False)
+
+
+@check("capped_meta", using("raw_meta", "SELECT parent_asin, title FROM raw_meta ORDER BY parent_asin LIMIT 150"))
+def capped_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 150 readable lines of several files, after a source that is cut short."""
+    rows = B.raw_meta(spark, sf_dir)
+    line = F.to_json(F.struct(*rows.columns))
+    path, cut = fresh_path(spark, "raw-meta"), fresh_path(spark, "raw-meta-cut")
+    lines = rows.orderBy("parent_asin").select(F.explode(F.array(line, F.lit('{"parent_asin": "cut'))).alias("value"))
+    lines.write.text(path)
+    # no gzip data under the name of some
+    B.table(spark, sf_dir, "region").select(F.col("r_name").alias("value")).coalesce(1).write.text(cut + "/plain")
+    _renamed(spark, cut + "/plain", cut + "/meta.jsonl.gz")
+    return jsonl.read_raw_meta(spark, [cut + "/meta.jsonl.gz", path], 150).select("parent_asin", "title")
+
+
+def _renamed(spark: SparkSession, folder: str, path: str) -> None:
+    """The one file of a folder under another name."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
 @check("jsonl_round_trip", using("library", _PRODUCT_SQL))
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "library")
