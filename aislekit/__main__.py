@@ -114,12 +114,11 @@ def merge(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> int:
-    verdicts = chat.validate_chat(jsonl.read_numbered_lines(spark, a.input))
-    total = chat.validation_summary(verdicts).collect()[0]
-    print(f"Checked {total.total} rows: OK={total.ok}, ERRORS={total.errors}")
-    for row in chat.first_errors(verdicts, a.max_errors).collect():
-        print("  ", row.error)
-    return 1 if total.errors else 0
+    report = chat.validate_until(spark, a.input, a.max_errors)
+    print(f"Checked {report.total} rows: OK={report.ok}, ERRORS={len(report.errors)}")
+    for _, line_no, reason in report.errors:
+        print("  ", f"L{line_no}: {reason}")
+    return 1 if report.errors else 0
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:

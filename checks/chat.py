@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislekit import vocabulary as V
 from aislekit.operators import chat as O, retrieval
 from aislekit.session import fresh_path
 from aislekit.sources import vectors as S
+from aislekit.streaming import dialogue, router
 from checks import base as B
 from checks.base import check, text, using
 
@@ -70,6 +73,23 @@ def chat_first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.first_errors(O.validate_chat(_lines(spark, sf_dir)), 20)
 
 
+@check("chat_report", B.chain("""SELECT part, line_no, reason, (SELECT count(*) FROM counted WHERE place <= stop) AS total,
+    (SELECT count(*) FROM counted WHERE place <= stop AND ok) AS ok
+  FROM counted, ended WHERE NOT ok AND place <= stop""", _CONVS, _LINES, _VERDICTS,
+    ("placed", "SELECT line_no, line_no % 7 AS part, row_number() OVER (PARTITION BY line_no % 7 ORDER BY line_no) AS nth FROM lines"),
+    ("counted", """SELECT part, nth AS line_no, ok, reason, row_number() OVER w AS place, count(*) FILTER (NOT ok) OVER w AS failed
+      FROM placed JOIN verdicts USING (line_no) WINDOW w AS (ORDER BY concat('part=', part, '/'), nth)"""),
+    ("ended", f"SELECT coalesce(min(place) FILTER (failed >= 12 AND reason <> {text(V.BAD_JSON)}), max(place)) AS stop FROM counted")))
+def chat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven files, checked in order until twelve lines have failed."""
+    path = fresh_path(spark, "chat-lines")
+    lines = _lines(spark, sf_dir).withColumn("part", F.col("line_no") % 7)
+    lines.repartition("part").sortWithinPartitions("part", "line_no").select("part", F.col("line").alias("value")).write.partitionBy("part").text(path)
+    report = O.validate_until(spark, path, 12)
+    rows = [(int(re.search(r"part=([0-9]+)", file)[1]), line_no, reason, report.total, report.ok) for file, line_no, reason in report.errors]
+    return spark.createDataFrame(rows, "part bigint, line_no bigint, reason string, total bigint, ok bigint")
+
+
 @check("chat_summary", B.chain("""SELECT count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS errors
   FROM verdicts""", _CONVS, _LINES, _VERDICTS))
 def chat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,3 +202,24 @@ def shopper_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = turns.select("conv_id", F.lit("Any news on this?").alias("query")).distinct()
     messages = O.assemble_messages(asked.join(found, "conv_id", "left"), turns, SYSTEM_PROMPT)
     return messages.select("conv_id", O.prompt_of(F.col("messages")).alias("prompt"))
+
+
+_DIALOGUE_SQL = f"""SELECT conv_id, turn, concat('<|system|>', chr(10), {text(SYSTEM_PROMPT)}, chr(10), coalesce(past, ''), '<|user|>', chr(10), text, chr(10), chr(10),
+  CASE WHEN turn % 2 = 0 THEN concat({text(V.CONTEXT_INTRO)}, chr(10), 'Turn ', turn) ELSE {text(V.NO_MATCH_INTRO)} END, chr(10), '<|assistant|>', chr(10)) AS prompt
+FROM (SELECT *, string_agg({_TAGGED}, '') FILTER (length(text) > 0 AND role IN ('user', 'assistant')) OVER (
+  PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM conversations) WHERE role = 'user'"""
+
+
+@check("streamed_dialogues", _DIALOGUE_SQL)
+def streamed_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn asks. The turns arrive in two files; the stream stops between them and goes on from its state."""
+    asks = F.col("role") == "user"
+    turns = B.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60).alias("at"), asks.alias("asks"),
+        F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Turn "), "turn")).alias("product_context"))
+    path, out = fresh_path(spark, "turns"), fresh_path(spark, "dialogues")
+    for part in (F.col("turn") < 3, F.col("turn") >= 3):
+        turns.where(part).write.mode("append").parquet(path)
+        stream = dialogue.stream_messages(spark.readStream.schema(turns.schema).parquet(path), SYSTEM_PROMPT)
+        router.write_stream(stream, out, out + "-offsets").awaitTermination()
+    return spark.read.parquet(out).select("conv_id", "turn", O.prompt_of(F.col("messages")).alias("prompt"))

@@ -118,3 +118,21 @@ FROM (SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversati
 def reconciled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
     return chat.reconcile(chat.merge_sets(**parts), *parts.values())
+
+
+_SPOILED_SQL = f"""SELECT row_id, text, source FROM ({_MERGED_SQL}) WHERE NOT (source = 'benchmark' AND row_id = 3) AND NOT (source = 'conversations' AND row_id % 100000 = 5)
+UNION ALL SELECT row_id, text, source FROM ({_MERGED_SQL}) WHERE source = 'benchmark' AND row_id = 4
+UNION ALL SELECT 0, 'of no part', 'elsewhere'"""
+
+
+@check("reconciled_contents", f"""WITH p AS ({_MERGED_SQL}), m AS ({_SPOILED_SQL}),
+gone AS (SELECT source, count(*) AS n FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM m) GROUP BY source),
+n AS (SELECT source, count(*) FILTER (side = 1) AS part_rows, count(*) FILTER (side = 2) AS merged_rows FROM (
+  SELECT source, 1 AS side FROM p UNION ALL SELECT source, 2 FROM m) GROUP BY source)
+SELECT source, part_rows, merged_rows, CASE WHEN part_rows > merged_rows THEN 'lost' WHEN part_rows < merged_rows THEN 'added'
+  WHEN gone.n IS NULL THEN 'match' ELSE 'changed' END AS verdict FROM n LEFT JOIN gone USING (source)""")
+def reconciled_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part whole, one with a row lost and another doubled, one with rows lost, and rows of no part."""
+    parts = _parts(spark, sf_dir)
+    merged = B._run(spark, _SPOILED_SQL.replace(_MERGED_SQL, "SELECT * FROM {merged}"), merged=chat.merge_sets(**parts))
+    return chat.reconcile_contents(merged, **parts)
