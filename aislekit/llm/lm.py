@@ -3,8 +3,8 @@
 A word's probability is that of its class after the words before it, times that of the word in its class.
 The most frequent words are classes of their own; the others are classed by their last letters. The class
 model is log-bilinear: the vectors of the words before, each weighted by its distance, predict the vector
-of the class. It is trained in numpy: first on a sample in one task, then by every task on all of its
-training documents, starting from there; the mean of the tasks' parameters, weighted by their tokens, is
+of the class. It is trained in numpy: first on a sample in one task, then from there on all training
+documents, dealt into shards by a hash; the mean of the shards' parameters, weighted by their tokens, is
 the model. For scoring, batched matrix products give the scores of all classes, which are normalised.
 
 Word counts are those of all training documents. The counts of the most frequent HEAVY words go to every
@@ -33,6 +33,8 @@ ADD = 0.1
 SEED = 42
 END = np.int64(-0x61C8864680B583EB)  # stands for the end of a text among word hashes
 _CHUNK = 2 << 20
+#: Texts of a training shard, and their words that are taken at once; parts of 1 in which parameters are added up.
+SHARD, _STEP, _WHOLE = 8192, 1 << 18, 1 << 24
 
 
 def tokens(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -99,15 +101,16 @@ class Vocabulary:
         return np.where(self.single[at] == h, 1 + at, 1 + SINGLE + ending)
 
 
-def sequences(words: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, context classes, row) of every token, the end of each row's text after its words; CLASSES: before the text."""
-    rows = len(words.count)
-    size = words.count + 1
+def sequences(count: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, context classes, row) of every token of rows of `count` words, the end of each row's text after its words;
+    CLASSES: before the text."""
+    rows = len(count)
+    size = count + 1
     begin = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(begin[-1], np.int64)
     row = np.repeat(np.arange(rows), size)
     place = np.arange(len(out)) - begin[row]
-    out[place < words.count[row]] = classes
+    out[place < count[row]] = classes
     context = np.full((len(out), CONTEXT), CLASSES, np.int64)
     for d in range(1, CONTEXT + 1):
         ok = np.flatnonzero(place >= d)
@@ -211,19 +214,50 @@ def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(place, rows.ravel(), n * DIM).reshape(n, DIM)
 
 
+def _class_sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(mark, classes) of the texts (t, mark): the classes of their words, two bytes each. A task shows equal rows once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for a, b in chunks(batch.column(1), _CHUNK):
+                words, h, ending = tokens(batch.column(1)[a:b])
+                classes = vocabulary.classes(h, ending).astype(np.int16)
+                marks = batch.column(0)[a:b].to_pylist()
+                new = [r for r, m in enumerate(marks) if not (m in seen or seen.add(m))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([marks[r] for r in new], pa.int64()), pa.array([classes[words.first[r]:words.first[r + 1]].tobytes() for r in new], pa.binary())],
+                    names=["mark", "classes"])
+
+    return map_arrow(docs.select("mark", "t"), run, "mark bigint, classes binary")
+
+
+def _in_order(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes, contexts) of the texts of a shard, each row once, in the order of their marks, some texts at a time."""
+    marks, order = np.unique(np.asarray(table.column("mark")), return_index=True)
+    rows = [np.frombuffer(x, np.int16) for x in table.column("classes").take(pa.array(order)).to_pylist()]
+    size = np.array([len(r) for r in rows], np.int64)
+    part = np.cumsum(size) // _STEP
+    for p in np.unique(part).tolist():
+        at = np.flatnonzero(part == p)
+        yield sequences(size[at], np.concatenate([rows[i] for i in at]).astype(np.int64))[:2]
+
+
 def _trained(docs: DataFrame, vocabulary: Vocabulary) -> Bilinear:
-    """The class model of the training texts (t, with mark, a hash of the row)."""
-    share = SAMPLE / max(1, docs.count())
-    first = docs if share >= 1 else docs.where(F.pmod("mark", F.lit(1 << 30)) < int(share * (1 << 30)))
+    """The class model of the training texts (t, with mark, a hash of the row).
+
+    Texts are dealt into shards by their marks and trained on in the order of these, and the shards' parameters are added
+    up as whole numbers: the model does not depend on partitions. Equal rows are trained on once.
+    """
+    total = docs.count()
+    share, shards = SAMPLE / max(1, total), max(1, -(-total // SHARD))
+    dealt = written(_class_sequences(docs, vocabulary), "lm-classes")
+    first = dealt if share >= 1 else dealt.where(F.pmod("mark", F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def start(table: pa.Table) -> pa.Table:
         model, rng = Bilinear(vocabulary.noise), np.random.default_rng(SEED)
-        order = np.argsort(np.asarray(table.column("mark")), kind="stable")
-        texts = pa.concat_arrays(table.column("t").chunks).take(pa.array(order))
         for _ in range(2):
-            for a, b in chunks(texts, _CHUNK):
-                words, h, ending = tokens(texts[a:b])
-                model.train(*sequences(words, vocabulary.classes(h, ending))[:2], RATES[0], rng)
+            for classes, context in _in_order(table):
+                model.train(classes, context, RATES[0], rng)
         return pa.table({"values": [model.values.tobytes()], "squares": [model.squares.tobytes()]})
 
     rows = first.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(start, "values binary, squares binary").collect()
@@ -231,20 +265,19 @@ def _trained(docs: DataFrame, vocabulary: Vocabulary) -> Bilinear:
         return Bilinear(vocabulary.noise)
     values, squares = (np.frombuffer(bytes(rows[0][c]), np.float32).copy() for c in ("values", "squares"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         model, rng, seen = Bilinear(vocabulary.noise, values.copy(), squares.copy()), np.random.default_rng(SEED), 0
-        for batch in batches:
-            for a, b in chunks(batch.column(0), _CHUNK):
-                words, h, ending = tokens(batch.column(0)[a:b])
-                classes, context, _ = sequences(words, vocabulary.classes(h, ending))
-                model.train(classes, context, RATES[1], rng)
-                seen += len(classes)
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(model.values)), pa.int32()), pa.array(model.values.astype(np.float64) * seen), pa.array(np.full(len(model.values), seen), pa.int64())],
-                names=["i", "v", "n"])
-
-    parts = map_arrow(docs.select("t"), run, "i int, v double, n bigint").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
+        for classes, context in _in_order(table):
+            model.train(classes, context, RATES[1], rng)
+            seen += len(classes)
+        n = len(model.values)
+        return pa.table({"i": pa.array(np.arange(n), pa.int32()), "v": pa.array(np.rint(model.values.astype(np.float64) * _WHOLE).astype(np.int64)),
+                         "n": pa.array(np.full(n, seen), pa.int64())})
+
+    dealt = dealt.withColumn("shard", F.pmod(F.shiftright("mark", 31), F.lit(shards)))
+    weight = F.col("n").cast("decimal(38,0)")
+    parts = dealt.groupBy("shard").applyInArrow(run, "i int, v bigint, n bigint").groupBy("i").agg(
+        (F.sum(F.col("v") * weight).cast("double") / F.sum(weight).cast("double") / F.lit(float(_WHOLE))).alias("v"))
     means = parts.orderBy("i").toArrow()  # one number for each parameter
     return Bilinear(vocabulary.noise, np.asarray(means.column("v")), squares)
 
@@ -280,7 +313,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", fold: in
                 end = vocabulary.count(np.array([END]))[0]
                 base = np.bincount(words.row, log_c, n) + np.log10(end + ADD)
                 hits = np.bincount(words.row, (c > 0)[number], n).astype(np.int64) + int(end > 0)
-                classes, context, row = sequences(words, single[number])
+                classes, context, row = sequences(words.count, single[number])
                 by_class = np.bincount(row, model.log10(classes, context), n)
                 tail = single[number] > SINGLE
                 in_class = np.bincount(words.row[tail], (log_c - below[ending])[tail], n)
