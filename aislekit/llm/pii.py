@@ -393,14 +393,12 @@ def _best(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int,
     return out[::-1]
 
 
-def find_spans(texts: list[str], p: dict[str, np.ndarray] | None, sure: float = SURE) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text."""
-    base = [base_spans(t) for t in texts]
-    if p is None:
-        return [(b, b) for b in base]
-    codes = [classes(t) for t in texts]
-    places = [(i, s) for i, c in enumerate(codes) for s in windows(c)]
-    found: dict[int, list[tuple[int, int, int, float]]] = {}
+#: A span, or a piece of one, that a window shows: start, end, kind, score, and whether the window's edge cuts it on the left and right.
+Piece = tuple[int, int, int, float, bool, bool]
+
+
+def _decoded(codes: list[np.ndarray], places: list[tuple[int, int]], p: dict[str, np.ndarray], sure: float) -> Iterator[tuple[int, int, Piece]]:
+    """(text, window, piece) of what the windows (text, start) show."""
     for at in range(0, len(places), BATCH):
         some = places[at:at + BATCH]
         x = np.full((len(some), WIDTH), PAD, np.int64)
@@ -412,19 +410,63 @@ def find_spans(texts: list[str], p: dict[str, np.ndarray] | None, sure: float =
         odds = np.take_along_axis(marginals(p, scores), tags[:, :, None], 2)[:, :, 0]
         for row, (i, s) in enumerate(some):
             size = min(WIDTH, len(codes[i]) - s)
-            begins = np.flatnonzero((tags[row, :size] % 2 == 1))
-            for b in begins.tolist():
+            for b in np.flatnonzero(tags[row, :size] % 2 == 1).tolist():
                 e = b + 1
                 while e < size and tags[row, e] == tags[row, b] + 1:
                     e += 1
-                cut = (b == 0 and s > 0) or (e == size and s + size < len(codes[i]))
-                if not cut and (score := float(odds[row, b:e].mean())) >= sure:
-                    found.setdefault(i, []).append((s + b, s + e, (int(tags[row, b]) - 1) // 2, score))
+                if (score := float(odds[row, b:e].mean())) >= sure:
+                    yield i, s, (s + b, s + e, (int(tags[row, b]) - 1) // 2, score, b == 0 and s > 0, e == size and s + size < len(codes[i]))
+
+
+def stitched(pieces: list[Piece]) -> list[tuple[int, int, int, float]]:
+    """(start, end, kind, score) of the spans that pieces make up: whole ones, and chains of overlapping pieces of one kind
+    whose ends no edge cuts, scored by the mean over their characters."""
+    out = [x[:4] for x in pieces if not x[4] and not x[5]]
+    chain: list[Piece] = []
+
+    def close() -> None:
+        start, end = chain[0][0], max(x[1] for x in chain)
+        open_left = all(x[4] for x in chain if x[0] == start)
+        open_right = all(x[5] for x in chain if x[1] == end)
+        if len(chain) > 1 and not open_left and not open_right:
+            out.append((start, end, chain[0][2], sum(x[3] * (x[1] - x[0]) for x in chain) / sum(x[1] - x[0] for x in chain)))
+
+    for x in sorted(pieces, key=lambda x: (x[2], x[0], -x[1])):
+        if chain and (x[2] != chain[0][2] or x[0] >= max(y[1] for y in chain)):
+            close()
+            chain = []
+        chain.append(x)
+    if chain:
+        close()
+    return out
+
+
+def find_spans(texts: list[str], p: dict[str, np.ndarray] | None, sure: float = SURE) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text.
+
+    A span that a window's edge cuts is put together from its pieces in neighbouring windows, which are decoded too
+    where they are not already, so its place and length decide nothing.
+    """
+    base = [base_spans(t) for t in texts]
+    if p is None:
+        return [(b, b) for b in base]
+    codes = [classes(t) for t in texts]
+    places = [(i, s) for i, c in enumerate(codes) for s in windows(c)]
+    known, pieces = set(places), {}
+    while places:
+        more = set()
+        for i, s, piece in _decoded(codes, places, p, sure):
+            pieces.setdefault(i, set()).add(piece)
+            if piece[4]:
+                more.add((i, s - STRIDE))
+            if piece[5]:
+                more.add((i, s + STRIDE))
+        places = sorted(more - known)
+        known |= more
     out = []
     for i, (text, own) in enumerate(zip(texts, base)):
-        more = [s for s in found.get(i, []) if not any(s[0] < b and s[1] > a for a, b, _ in own) and _holds(text[s[0]:s[1]], s[2])]
-        spans = own + [s[:3] for s in _best(more)]
-        out.append((own, sorted(spans, key=lambda s: (s[0], s[2]))))
+        spans = [s for s in stitched(list(pieces.get(i, ()))) if not any(s[0] < b and s[1] > a for a, b, _ in own) and _holds(text[s[0]:s[1]], s[2])]
+        out.append((own, sorted(own + [s[:3] for s in _best(spans)], key=lambda s: (s[0], s[2]))))
     return out
 
 

@@ -243,3 +243,35 @@ def test_scores_against_a_plain_computation(spark, small):
                 e = c - 1 - lm.SINGLE
                 total += np.log10(count.get(int(h[i]), 0) + 0.1) - np.log10(vocabulary.class_tokens[e] + 0.1 * (vocabulary.class_words[e] + 1))
         assert abs(found[r["doc_id"]] - total) < 1e-3
+
+
+@pytest.mark.parametrize("length", [30, 60, 96, 120, 300])
+def test_spans_are_found_whole_wherever_windows_cut_them(monkeypatch, length):
+    """A tagger that is sure of every character of the span."""
+    letters = pii.classes("z@.").tolist()
+
+    def emissions(p, x):
+        out = np.zeros((*x.shape, pii.TAGS), np.float32)
+        inside = np.isin(x, letters)
+        begin = inside.copy()
+        begin[:, 1:] &= ~inside[:, :-1]
+        out[..., 0] = np.where(inside, -20, 20)
+        out[..., 1], out[..., 2] = np.where(begin, 20, -20), np.where(inside & ~begin, 20, -20)
+        return out
+
+    monkeypatch.setattr(pii, "emissions", emissions)
+    p = {"trans": np.zeros((pii.TAGS, pii.TAGS), np.float32), "first": np.zeros(pii.TAGS, np.float32)}
+    span = "z" * (length - 8) + "@" + "z" * 3 + "." + "zzz"
+    monkeypatch.setattr(pii, "base_spans", lambda text: [])
+    fillers = [c for c in "(),;" if pii.classes(c)[0] not in letters]
+    for offset in range(0, 150, 1 if length < 100 else 7):
+        text = fillers[0] * offset + span + fillers[0] * 130
+        (_, found), = pii.find_spans([text], p)
+        assert found == [(offset, offset + length, 0)], offset
+
+
+def test_chains_of_pieces():
+    """A chain is closed by ends that no edge cuts."""
+    whole, left, right, middle = (0, 5, 0, 0.9, False, False), (10, 96, 1, 0.8, False, True), (48, 120, 1, 1.0, True, False), (48, 144, 2, 1.0, True, True)
+    assert pii.stitched([whole, left, right, middle]) == [(0, 5, 0, 0.9), (10, 120, 1, pytest.approx((0.8 * 86 + 72) / 158))]
+    assert pii.stitched([left]) == [] and pii.stitched([right]) == [] and pii.stitched([]) == []
