@@ -9,8 +9,8 @@ from aislekit.functions import evaluation as E
 from aislekit.functions.text import is_blank
 
 
-def evaluate_runs(runs: DataFrame) -> DataFrame:
-    """One result row per test; a failed run carries only the error mark.
+def evaluate_runs(runs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One result row per test, with the columns `keep` beside; a failed run carries only the error mark.
 
     A test column that the table lacks counts as 0 or empty (`sources.runs` settles it per line).
     A null question fails the run, as does a null price or rating that a rule needs.
@@ -52,7 +52,7 @@ def evaluate_runs(runs: DataFrame) -> DataFrame:
         "test_id", "product_id", "title", "user_query",
         F.when(failed, F.concat(F.lit("ERROR: "), F.col("failure"))).otherwise(reply).alias("agent_reply"),
         F.when(failed, F.lit(0.0)).otherwise(F.col("response_time")).alias("response_time"),
-        evaluation.alias("evaluation"),
+        evaluation.alias("evaluation"), *keep,
     )
 
 

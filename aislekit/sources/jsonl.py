@@ -5,6 +5,7 @@ from __future__ import annotations
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from aislekit import schemas
 from aislekit.functions.text import is_blank
@@ -18,11 +19,13 @@ def _is_object(line: Column) -> Column:
     return (F.substring(F.ltrim(line), 1, 1) == "{") & F.from_json(line, "map<string,string>").isNotNull()
 
 
-def _parsed(lines: DataFrame, schema: str) -> DataFrame:
+def _parsed(lines: DataFrame, schema: str | StructType) -> DataFrame:
     """The lines with `row`, their fields, and `broken`: a line that is no JSON object.
 
     A value of another type than its field's is null and breaks nothing. What follows the object on its line is not read.
     """
+    if not isinstance(schema, str):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     fields = F.from_json(F.col("line"), f"{schema}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
     parsed = lines.withColumn("row", fields)
     # only lines that do not fit the schema are looked at again
@@ -35,7 +38,7 @@ def _fields(parsed: DataFrame) -> DataFrame:
     return parsed.select(*[F.col("row").getField(n).alias(n) for n in names])
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, counts: Observation | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | StructType, strict: bool = True, counts: Observation | None = None) -> DataFrame:
     """Rows of JSON-lines files; blank lines hold no row.
 
     A line that is no JSON object stops the job and is named in the error; without `strict` it is passed over, and

@@ -10,8 +10,9 @@ from aislekit.operators import metrics as O
 from aislekit.plans import jobs
 from aislekit.session import fresh_path
 from aislekit.sources import jsonl, runs
+from aislekit.streaming import metrics as arriving
 from checks import base as B
-from checks.base import check, text, using
+from checks.base import ORACLES, check, text, using
 from checks.routing import any_of
 
 _Q, _R = "lower(user_query)", "lower(agent_reply)"
@@ -267,6 +268,15 @@ def accuracy_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(O.accuracy_by_type(_results(spark, sf_dir)))
 
 
+def _document(metrics: DataFrame) -> DataFrame:
+    """A metrics row with its accuracies as one text."""
+    entries = F.array_sort(F.map_entries("query_type_accuracy"))
+    told = F.transform(entries, lambda e: F.concat(
+        e["key"], F.lit("="), F.call_function("format_number", e["value"], F.lit("0.0000"))
+    ))
+    return _rounded(metrics.withColumn("accuracy", F.array_join(told, "|")).drop("query_type_accuracy"))
+
+
 @check("metrics_document", using("test_cases", f"""SELECT {_TOTALS}, {_LATENCY},
   (SELECT string_agg(concat(query_type, '=', printf('%.4f', accuracy)), '|' ORDER BY query_type) FROM by_type) AS accuracy
   FROM results""", *_CHAIN, ("by_type", _BY_TYPE)))
@@ -276,8 +286,17 @@ def metrics_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, metrics = jobs.test_report(B.test_cases(spark, sf_dir))
     jsonl.write_metrics(metrics, path)
     back = jsonl.read_jsonl(spark, path, metrics.schema)
-    entries = F.array_sort(F.map_entries("query_type_accuracy"))
-    told = F.transform(entries, lambda e: F.concat(
-        e["key"], F.lit("="), F.call_function("format_number", e["value"], F.lit("0.0000"))
-    ))
-    return _rounded(back.withColumn("accuracy", F.array_join(told, "|")).drop("query_type_accuracy"))
+    return _document(back)
+
+
+@check("streamed_metrics", ORACLES["metrics_document"])
+def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same runs in three files, the second also holding runs of the first again; the stream stops between them."""
+    cases = B.test_cases(spark, sf_dir).withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("test_id") % 3600))
+    path, out = fresh_path(spark, "runs"), fresh_path(spark, "counts")
+    kind = F.col("test_id") % 3
+    for part in (kind == 0, (kind == 1) | (F.col("test_id") % 6 == 0), kind == 2):
+        cases.where(part).write.mode("append").parquet(path)
+        results = O.evaluate_runs(spark.readStream.schema(cases.schema).parquet(path), keep=("at",))
+        arriving.write_counts(arriving.stream_counts(results), out, out + "-offsets").awaitTermination()
+    return _document(arriving.counted_metrics(spark, out))

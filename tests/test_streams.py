@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aislekit import vocabulary as V
 from aislekit.operators import chat as O
-from aislekit.streaming import dialogue, router
+from aislekit.streaming import dialogue, metrics, router
 
 TURN = "conv_id bigint, turn int, role string, text string, at timestamp, asks boolean, product_context string"
 
@@ -135,3 +135,28 @@ def test_contents_tell_lost_doubled_and_swapped_rows(spark):
     assert told(merged.where("id != 8").union(merged.where("id = 7"))) == {"a": "match", "b": "changed"}
     assert told(merged.fillna("", "text")) == {"a": "changed", "b": "match"}
     assert told(merged.replace({"a": "b", "b": "a"}, subset=["source"])) == {"a": "lost", "b": "added"}
+
+
+RESULT = "test_id bigint, response_time double, at timestamp, evaluation struct<query_type:string,is_accurate:boolean,is_empty:boolean,contains_error:boolean,error:boolean>"
+
+
+def counted(spark, tmp_path, rows):
+    folder, out = str(tmp_path / "results"), str(tmp_path / "counts")
+    df = spark.createDataFrame([(i, t, m, *e) for i, t, m, e in rows], "test_id bigint, response_time double, minute int, q string, a boolean, m boolean, c boolean, e boolean")
+    evaluation = F.struct(F.col("q").alias("query_type"), F.col("a").alias("is_accurate"), F.col("m").alias("is_empty"), F.col("c").alias("contains_error"), F.col("e").alias("error"))
+    df.select("test_id", "response_time", F.timestamp_seconds(1_700_000_000 + F.col("minute") * 60).alias("at"), evaluation.alias("evaluation")).coalesce(1).write.mode("append").parquet(folder)
+    stream = metrics.stream_counts(spark.readStream.schema(RESULT).parquet(folder), late="30 minutes")
+    metrics.write_counts(stream, out, out + "-offsets").awaitTermination()
+    return metrics.counted_metrics(spark, out).first()
+
+
+def test_metrics_of_arriving_runs(spark, tmp_path):
+    good, bad, failed = ("price", True, False, False, False), ("price", False, True, True, False), (None, None, None, None, True)
+    first = counted(spark, tmp_path, [(1, 1.0, 0, good), (2, 50.0, 1, bad), (1, 9.0, 2, bad)])  # 1 comes twice
+    assert (first.total_tests, first.successful_tests, first.query_type_accuracy["price"], first.avg_response_time) in ((2, 2, 0.5, 25.5), (2, 2, 0.0, 29.5))
+    then = counted(spark, tmp_path, [(3, 0.0, 90, failed), (2, 50.0, 3, bad)])  # 2 comes again
+    assert (then.total_tests, then.successful_tests, then.success_rate) == (3, 2, pytest.approx(2 / 3))
+    assert then.query_type_accuracy["unknown"] == 0.0
+    # 4 comes later than the watermark allows
+    last = counted(spark, tmp_path, [(4, 1.0, 5, good), (5, 2.0, 91, good)])
+    assert last.total_tests == 4 and last.successful_tests == 3
