@@ -25,7 +25,8 @@ def _policies(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, Da
 
 def library(spark: SparkSession, a: argparse.Namespace) -> int:
     raw = jsonl.read_raw_meta(spark, a.input, a.cap, a.partitions)
-    jsonl.write_jsonl(jobs.curate_library(raw, a.max_rows, a.seed), a.output)
+    made = jobs.update_library(raw, a.state, a.max_rows, a.seed) if a.state else jobs.curate_library(raw, a.max_rows, a.seed)
+    jsonl.write_jsonl(made, a.output)
     _show_counts(jsonl.read_jsonl(spark, a.output, schemas.PRODUCT))
     return 0
 
@@ -155,6 +156,7 @@ def parser() -> argparse.ArgumentParser:
     p = job(library, many=True, rows=V.LIBRARY_ROWS)
     p.add_argument("--cap", type=int, default=None, help="rows read at most; all by default")
     p.add_argument("--partitions", type=int, default=None)
+    p.add_argument("--state", help="folder of a library that new metadata are merged into")
     job(demo_store, rows=100)
     job(qa, rows=96_000)
     p = job(sample)

@@ -202,6 +202,23 @@ def quota_sample(products: DataFrame, max_rows: int, seed: int, key: str = "prod
     return _sampled(known, drawn, cuts, ["category"], seed)
 
 
+def merge_quota(kept: DataFrame, new: DataFrame, max_rows: int, seed: int, key: str = "product_id") -> DataFrame:
+    """The quota sample of all products, from the one of earlier products and the products that are new.
+
+    A product whose digest is above the last one of its category's full quota cannot be in any later sample, so most new
+    rows are dropped where they are read: the driver reads one digest per category. Increments in any order
+    give the sample of everything at once.
+    """
+    quota = max_rows // len(V.TARGET_CATEGORIES)
+    if quota <= 0:
+        return new.limit(0)
+    drawn = _digest_of(kept, key, seed, "quota")
+    held = kept.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max(drawn).alias("last")).where(F.col("n") >= quota).collect()
+    drawn = _digest_of(new, key, seed, "quota")
+    chance = reduce(lambda a, r: F.when(new["category"] == r["category"], drawn <= r["last"]).otherwise(a), held, F.lit(True))
+    return quota_sample(kept.unionByName(new.where(chance)), max_rows, seed, key)
+
+
 def train_eval_split(
     df: DataFrame, eval_share: float, seed: int, key: str | list[str], tie: list[str] | None = None, together: bool = False,
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislekit import vocabulary as V
 from aislekit.operators.catalog import extract_products
@@ -11,7 +11,7 @@ from aislekit.operators.contexts import build_contexts, context_requests
 from aislekit.operators.metrics import all_metrics, evaluate_runs
 from aislekit.operators.replies import policy_lookup
 from aislekit.operators.retrieval import context_json, search
-from aislekit.operators.sampling import quota_sample
+from aislekit.operators.sampling import merge_quota, quota_sample
 from aislekit.plans import tasks
 from aislekit.session import written
 from aislekit.sources.vectors import VectorStore
@@ -32,6 +32,29 @@ def curate_library(raw: DataFrame, max_rows: int = V.LIBRARY_ROWS, seed: int = 4
     return quota_sample(written(extract_products(raw), "products"), max_rows, seed)
 
 
+def update_library(raw: DataFrame, path: str, max_rows: int = V.LIBRARY_ROWS, seed: int = 42) -> DataFrame:
+    """The library of all raw metadata so far; earlier metadata are not read again.
+
+    Every update writes a version of its own beside the earlier ones, and the latest one that was finished counts.
+    Later updates keep `max_rows` and `seed`.
+    """
+    spark, new = raw.sparkSession, written(extract_products(raw), "products")
+    path = path.rstrip("/")
+    version = _last_version(spark, path)
+    rows = quota_sample(new, max_rows, seed) if version is None else merge_quota(
+        spark.read.schema(new.schema).parquet(f"{path}/version={version}"), new, max_rows, seed)
+    version = 0 if version is None else version + 1
+    rows.write.parquet(f"{path}/version={version}")
+    return spark.read.schema(new.schema).parquet(f"{path}/version={version}")
+
+
+def _last_version(spark: SparkSession, path: str) -> int | None:
+    """The latest version that its writer has finished."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(root)
+    return max((int(s.getPath().getParent().getName().split("=")[1]) for s in found or []), default=None)
+
+
 def task_contexts(library: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n contexts, written once for all generators."""
     requests = context_requests(library.sparkSession, n)

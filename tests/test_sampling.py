@@ -133,3 +133,26 @@ def test_head(spark):
     df = spark.range(0, 50).repartition(5)
     assert [r.id for r in S.head_n(df, 3, "id").collect()] == [0, 1, 2]
     assert S.head_n(df, 0, "id").count() == S.head_n(df, None, "id").count() == 50
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 1, 0, 2)])
+def test_quotas_merge_in_any_order(spark, order):
+    """A category that is full from the start, one that never is, and copies of one key at the cut."""
+    home, food, art = V.TARGET_CATEGORIES[:3]
+    name = F.when(F.col("id") < 700, home).when(F.col("id") < 705, food).when(F.col("id") < 800, art).otherwise("Books")
+    key = F.when((F.col("id") % 5 == 0) & (F.col("id") < 700), "same").otherwise(F.concat(F.lit("p"), F.col("id").cast("string")))
+    df = spark.range(1000).select(key.alias("product_id"), name.alias("category"), F.floor(F.col("id") / 10).alias("v"), (F.col("id") * 7 % 4).alias("part"))
+    whole = sorted(tuple(r) for r in S.quota_sample(df, 5 * 60, 9).collect())
+    kept = df.limit(0)
+    for part in order:
+        kept = spark.createDataFrame(S.merge_quota(kept, df.where(F.col("part") == part), 5 * 60, 9).collect(), df.schema)
+    assert sorted(tuple(r) for r in kept.collect()) == whole
+
+
+def test_rows_without_a_chance_are_dropped_where_they_are_read(spark):
+    home = V.TARGET_CATEGORIES[0]
+    df = spark.range(5000).select(F.concat(F.lit("p"), "id").alias("product_id"), F.lit(home).alias("category"))
+    kept = S.quota_sample(df.where("product_id < 'p3'"), 5 * 20, 9)
+    merged = S.merge_quota(kept, df.where("product_id >= 'p3'"), 5 * 20, 9)
+    assert sorted(r.product_id for r in merged.collect()) == sorted(r.product_id for r in S.quota_sample(df, 5 * 20, 9).collect())
+    assert S.merge_quota(kept, df, 3, 9).count() == 0
