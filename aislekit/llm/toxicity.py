@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model of the labelled rows outside the held-out fold (crc32 of the key as text, modulo `fold`, is 0).
 
     At most about `sample` rows, chosen by a hash of the key; null keys and labels are left out. Of a key
-    labelled more than once the greatest label counts. Without any labelled row nothing is toxic: all scores are near 0.
+    labelled more than once the greatest label counts, of one with several texts the text of the lowest hash, so a
+    key that many rows share is one example. Without any labelled row nothing is toxic: all scores are near 0.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
     known = known.where(remainder("k", fold) != 0).groupBy("k").agg(F.max("y").alias("y"))
@@ -105,9 +106,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             rows, found = features(batch.column(1))
             ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["h", "slots", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), batch.column(3)], names=["h", "slots", "y", "th"])
 
-    encoded = map_arrow(rows.select(F.xxhash64(F.lit(SEED), "k").alias("h"), "t", "y"), slots, "h bigint, slots array<int>, y int")
+    encoded = map_arrow(rows.select(F.xxhash64(F.lit(SEED), "k").alias("h"), "t", "y", F.xxhash64("t").alias("th")), slots, "h bigint, slots array<int>, y int, th bigint")
+    encoded = encoded.groupBy("h").agg(F.min_by(F.struct("slots", "y"), "th").alias("one")).select("h", "one.slots", "one.y")
 
     def fitted(table: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(table.column("h")), kind="stable")

@@ -275,3 +275,38 @@ def test_chains_of_pieces():
     whole, left, right, middle = (0, 5, 0, 0.9, False, False), (10, 96, 1, 0.8, False, True), (48, 120, 1, 1.0, True, False), (48, 144, 2, 1.0, True, True)
     assert pii.stitched([whole, left, right, middle]) == [(0, 5, 0, 0.9), (10, 120, 1, pytest.approx((0.8 * 86 + 72) / 158))]
     assert pii.stitched([left]) == [] and pii.stitched([right]) == [] and pii.stitched([]) == []
+
+
+def test_weights_against_a_plain_ftrl_loop():
+    rng = np.random.default_rng(2)
+    examples = [np.unique(rng.integers(0, 40, 6)) for _ in range(120)]
+    labels = np.array([int(3 in e or 7 in e) for e in examples])
+    slots, weights, bias = toxicity.fit(examples, labels, epochs=3)
+    z, n, l1 = Counter(), Counter(), toxicity.L1_NOISE * 120 ** 0.5
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    bz = bn = 0.0
+    for _ in range(3):
+        for e, y in zip(examples, labels.tolist()):
+            w = {i: weight(i) for i in e.tolist()}
+            b = -bz / ((toxicity.BETA + bn ** 0.5) / toxicity.ALPHA)
+            g = 1 / (1 + math.exp(-(b + sum(w.values())))) - y
+            for i, x in w.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * x
+                n[i] += g * g
+            bz += g - ((bn + g * g) ** 0.5 - bn ** 0.5) / toxicity.ALPHA * b
+            bn += g * g
+    assert slots.tolist() == sorted(i for i in z if abs(z[i]) > l1)
+    assert np.allclose(weights, [weight(i) for i in slots.tolist()]) and abs(bias + bz / ((toxicity.BETA + bn ** 0.5) / toxicity.ALPHA)) < 1e-9
+
+
+def test_a_key_of_a_third_of_all_rows_is_one_example(spark):
+    rows = [(i if i % 3 else 1, f"fine words {i}" if i % 2 else f"awful words {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(300)], "doc_id bigint, bad boolean").select("doc_id", F.col("bad").cast("int").alias("toxic"))
+    a, b = (toxicity.train(d, labels) for d in (docs, spread(docs.union(docs), 7)))
+    assert a.slots.tolist() == b.slots.tolist() and np.allclose(a.weights, b.weights) and a.bias == b.bias

@@ -61,6 +61,39 @@ def test_a_huge_group_of_equal_rows_is_spread(spark, doc_id):
     assert places(spread(docs, 5)) == found
 
 
+def test_every_shard_against_a_plain_tree(spark):
+    """The tree cut step by step over the points of the operator, on 200 rows."""
+    docs, shards = docs_of(spark, 200), 7
+    names = ["source", "lang", "n_chars"]
+    points = [r.asDict() for r in K._points(docs, "doc_id", "text", names, shards, K.SEED).collect()]
+    wide = [max(p[f"d{i}"] for p in points) - min(p[f"d{i}"] for p in points) or 1e-300 for i in range(3)]
+
+    def cut(some, m):
+        if m == 1:
+            return [some]
+        edges = [(min(p[f"d{i}"] for p in some), max(p[f"d{i}"] for p in some)) for i in range(3)] if some else [(0, 0)] * 3
+        dim = max(range(3), key=lambda i: (edges[i][1] - edges[i][0]) / wide[i])
+        low, high = edges[dim]
+
+        def order(p):
+            cell = int((p[f"d{dim}"] - low) / (high - low) * float((1 << K.COORDINATE) - 1)) if high > low else 0
+            return cell * (1 << K.TIE) + p["tie"]
+
+        weight = Counter()
+        for p in some:
+            weight[order(p)] += p["size"]
+        goal, upto, edge = sum(weight.values()) * (m // 2) / m, 0, None
+        for key in sorted(weight):
+            before, upto = upto, upto + weight[key]
+            if upto >= goal:
+                edge = key + (upto - goal < goal - before)
+                break
+        return cut([p for p in some if order(p) < edge], m // 2) + cut([p for p in some if order(p) >= edge], m - m // 2)
+
+    expected = {p["key"]: shard for shard, part in enumerate(cut(points, shards)) for p in part}
+    assert {r["doc_id"]: r["shard"] for r in K.shard_tree(docs, shards=shards).collect()} == expected
+
+
 def test_odd_rows_are_sharded(spark):
     rows = K.shard_tree(odd_docs(spark), shards=4).collect()
     expected = Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in odd_rows())
