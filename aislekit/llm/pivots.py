@@ -7,7 +7,9 @@ lowest pivot they share, and verified by cosine in double precision. Long lists
 meet in pairs inside a task, which passes on the number of links of each vector and a spanning forest of the
 links, never all pairs.
 
-Equal vectors of a label are one node, with their number as its weight.
+The number of pivots grows with the square root of the vectors, so a vector meets as many times more others
+in its lists as it is compared with more pivots. Equal vectors of a label are one node, with their number as
+its weight.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from aislekit.llm.base import map_arrow
 from aislekit.llm.components import components
 from aislekit.session import written
 
-#: Pivots (at most one for each vector of the sample), vectors of the sample that they are chosen from.
-PIVOTS, SAMPLE = 256, 4096
+#: Pivots are ROOTS times the square root of the nodes, within these bounds (and at most one for each vector of the
+#: sample); they are chosen from a sample of SAMPLE vectors or SPARE for each pivot.
+ROOTS, PIVOTS, MOST_PIVOTS = 4, 256, 8192
+SAMPLE, SPARE = 4096, 8
+#: Numbers that all pivots (beyond PIVOTS of them) and all vectors of the sample (beyond SAMPLE) have at most.
+PIVOT_NUMBERS, SAMPLE_NUMBERS = 1 << 21, 1 << 22
 #: Nearest pivots that describe a vector, and how many of them two near vectors share at least.
 PREFIX, SHARED = 8, 3
 #: Rows of a list that one task compares with as many others.
@@ -46,7 +52,15 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
     """Numbers of the nearest pivots of each unit vector, nearest first; of equally near ones the lower first."""
-    return np.argsort(-(vectors @ pivots.T), 1, kind="stable")[:, :prefix]
+    near = -(vectors @ pivots.T)
+    if near.shape[1] <= prefix:
+        return np.argsort(near, 1, kind="stable")
+    # no pivot farther than the prefix-th is needed; ties with it are kept until the lower ones are taken
+    bar = np.partition(near, prefix - 1, 1)[:, prefix - 1:prefix]
+    row, pivot = np.nonzero(near <= bar)
+    order = np.lexsort((pivot, near[row, pivot], row))
+    row, pivot = row[order], pivot[order]
+    return pivot[np.searchsorted(row, np.arange(len(near)))[:, None] + np.arange(prefix)]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -66,14 +80,22 @@ def _nodes(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame,
     return rows.select("id", "node"), written(nodes.withColumn("size", F.size("vector")), "pivot-nodes")
 
 
+def pivot_count(nodes: int, size: int) -> int:
+    """Pivots for so many nodes of at most `size` numbers."""
+    most = max(PIVOTS, min(MOST_PIVOTS, PIVOT_NUMBERS // max(size, 1)))
+    return min(most, max(PIVOTS, int(ROOTS * nodes ** 0.5)))
+
+
 def _pivot_sets(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Pivots for each vector length in a sample of about SAMPLE nodes."""
-    share = SAMPLE / max(1, nodes.count())
+    """Pivots for each vector length in a bounded sample of the nodes."""
+    total, widest = nodes.agg(F.count("*"), F.max("size")).first()
+    count = pivot_count(total, widest or 1)
+    wanted = min(max(SAMPLE, SPARE * count), max(SAMPLE, SAMPLE_NUMBERS // (widest or 1)))
+    share = wanted / max(1, total)
     sample = nodes if share >= 1 else nodes.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    by_size: dict[int, list] = {}
-    for r in sample.select("node", "size", "vector").sort("node").toArrow().to_pylist():  # about SAMPLE rows
-        by_size.setdefault(r["size"], []).append(r["vector"])
-    return {size: choose_pivots(_unit(np.array(v))) for size, v in by_size.items()}
+    rows = sample.select("size", "vector", "node").sort("node").toArrow()  # about `wanted` rows
+    sizes = np.asarray(rows.column("size").combine_chunks())
+    return {size: choose_pivots(_unit(_matrix(rows.filter(pa.array(sizes == size)).column("vector"), size)), count) for size in np.unique(sizes).tolist()}
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
@@ -107,17 +129,19 @@ def linked(left, right, pivot: int, threshold: float) -> tuple[np.ndarray, np.nd
     """(i, j) of rows (nodes, weights, nearest pivots, vectors) that share enough pivots, `pivot` the lowest, and are near."""
     (_, _, a, x), (_, _, b, y) = left, right
     need = min(SHARED, a.shape[1])
-    width = int(max(a.max(), b.max())) + 1
+    both = np.intersect1d(a, b)  # others cannot be shared
 
     def members(near: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(near), width), np.float32)
-        np.put_along_axis(out, near, 1, 1)
-        return out
+        out = np.zeros((len(near), len(both) + 1), np.float32)
+        at = np.minimum(np.searchsorted(both, near), len(both) - 1)
+        np.put_along_axis(out, np.where(both[at] == near, at, len(both)), 1, 1)
+        return out[:, :-1]
 
     in_a, in_b = members(a), members(b)
     shared = in_a @ in_b.T >= need
-    if pivot:
-        shared &= in_a[:, :pivot] @ in_b[:, :pivot].T == 0
+    lower = int(np.searchsorted(both, pivot))
+    if lower:
+        shared &= in_a[:, :lower] @ in_b[:, :lower].T == 0
     near = x @ y.T >= threshold
     return np.nonzero(shared & near)
 

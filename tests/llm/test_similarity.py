@@ -247,3 +247,39 @@ def test_recall_on_the_given_vectors(spark, small):
     expected = brute_vectors(rows)
     found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in V.near_vectors(table).collect()}
     assert found == expected
+
+
+def test_nearest_pivots_with_ties():
+    rng = np.random.default_rng(5)
+    pivots = V._unit(rng.normal(size=(300, 12)))
+    pivots[7] = pivots[3]
+    vectors = np.concatenate([V._unit(rng.normal(size=(200, 12))), pivots[:20]])
+    plain = [sorted(range(300), key=lambda p: (-(vectors @ pivots.T)[i, p], p))[:8] for i in range(0, 220, 11)]
+    assert V.nearest_pivots(vectors, pivots)[::11].tolist() == plain
+    assert V.nearest_pivots(vectors[:3], pivots[:2]).shape == (3, 2)
+
+
+def test_pivots_grow_with_the_vectors():
+    assert V.pivot_count(0, 64) == V.pivot_count(1000, 64) == V.PIVOTS
+    assert [V.pivot_count(n, 64) for n in (10_000, 40_000, 10 ** 6, 10 ** 10)] == [400, 800, 4000, 8192]
+    assert V.pivot_count(10 ** 10, 1024) * 1024 <= V.PIVOT_NUMBERS and V.pivot_count(10 ** 10, 10 ** 6) == V.PIVOTS
+
+
+def test_recall_and_candidates_as_vectors_grow(spark):
+    """Recall by pivots that grow, and pairs a vector meets in lists: they grow with the root of the vectors, not with their number."""
+    rng = np.random.default_rng(9)
+    met = []
+    for n in (2_000, 18_000):
+        centres = rng.normal(size=(n // 4, 32))
+        x = V._unit(np.repeat(centres, 4, 0) + rng.normal(size=(n, 32)) * 0.15)
+        near = V.nearest_pivots(x, V.choose_pivots(x[rng.permutation(n)], V.pivot_count(n, 32)))
+        met.append((np.bincount(near.ravel()).astype(float) ** 2).sum() / n)
+        links = shared = 0
+        for i in range(0, n, 4):  # near vectors come in fours
+            for a in range(i, i + 4):
+                for b in range(i, a):
+                    if x[a] @ x[b] >= 0.93:
+                        links += 1
+                        shared += len(set(near[a]) & set(near[b])) >= V.SHARED
+        assert links > n / 4 and shared >= 0.97 * links
+    assert met[1] < 5 * met[0]
