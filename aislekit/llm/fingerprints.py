@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ FRACTION, KEEP = 1 / 8, 64
 SHINGLE = 5
 #: Hashes have 48 bits.
 BITS = 48
-#: Rows of one range of keys, and ranges at most (their bounds are sent to every task).
+#: Rows of one range of documents, and ranges at most, or nearly (their bounds are sent to every task).
 RANGE_ROWS, RANGES = 1024, 16384
 
 
@@ -129,15 +130,94 @@ def _overlap(a: Sketches, rows_a: np.ndarray, b: Sketches, rows_b: np.ndarray) -
     return contained, np.where(none, 1.0, common / np.maximum(x + y - common, 1))
 
 
-def _ranges(df: DataFrame, key: str) -> tuple[np.ndarray, int | None]:
-    """Keys that end ranges of about equal rows, ascending, without the greatest key; the greatest key."""
-    rows, top = df.agg(F.count(key), F.max(key)).first()
-    wanted = min(RANGES, max(1, rows // RANGE_ROWS))
-    if wanted < 2:
-        return np.zeros(0, np.int64), top
-    shares = [i / wanted for i in range(1, wanted)]
-    bounds = df.agg(F.percentile_approx(key, shares, 10 * wanted)).first()[0]
-    return np.array(sorted(set(bounds) - {top}), np.int64), top
+class Ranges:
+    """Ranges of about equal rows of the order by key, descending, nulls last, then by text hash.
+
+    Keys are cut at percentiles. A key that fills several ranges is cut by its text hash as well, and rows of one
+    key and text hash that fill several ranges, which are equal, are dealt to them by `salt`. `rows` has k and h.
+    """
+
+    def __init__(self, rows: DataFrame):
+        total, known = rows.agg(F.count("*"), F.count("k")).first()
+        wanted = min(RANGES, total // RANGE_ROWS)
+        step = max(RANGE_ROWS, total // max(wanted, 1))
+        bounds, slices = [], {}
+        if known >= 2 * step:
+            parts = known // step
+            ends = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+            slices = {k: n + 1 for k, n in Counter(ends).items() if n > 1}
+            least = -(1 << 63)
+            bounds = sorted({*ends, *(k - 1 for k in slices if k > least)})
+        if total - known >= 2 * step:
+            slices[None] = (total - known) // step
+        self.bounds = np.array(bounds, np.int64)
+        # hashes that begin a cell, by number of the key range; 0 is that of the nulls
+        numbers = {0 if k is None else 1 + bounds.index(k): k for k in slices}
+        grid = {at: [(1 << 64) * i // slices[k] - (1 << 63) for i in range(slices[k])] for at, k in numbers.items()}
+        copies: dict[tuple[int, int], int] = {}
+        if slices:
+            hot = F.col("k").isin([k for k in slices if k is not None])
+            hot = hot | F.col("k").isNull() if None in slices else hot
+            heavy = rows.where(hot).groupBy("k", "h").count().where(F.col("count") >= 2 * step)  # total / (2 * step) rows at most
+            for r in heavy.collect():
+                at = 0 if r["k"] is None else 1 + bounds.index(r["k"])
+                copies[at, r["h"]] = r["count"]
+                grid[at] += [r["h"], *([r["h"] + 1] if r["h"] + 1 < 1 << 63 else [])]
+        self.grid = {at: np.array(sorted(set(starts)), np.int64) for at, starts in grid.items()}
+        # cells in document order: key ranges from the last to the first, the hashes of each from the least
+        self.cell = np.zeros(len(bounds) + 2, np.int64)
+        width, self.every = [], []
+        for at in reversed(range(len(bounds) + 2)):
+            self.cell[at] = len(width)
+            for start in self.grid[at].tolist() if at in self.grid else [None]:
+                n = copies.get((at, start), 0)
+                width.append(max(1, n // step))
+                self.every.append(max(1, n // 64))
+        self.width, self.every = np.array(width), np.array(self.every)
+        self.range = np.cumsum(self.width) - self.width
+
+    def cells(self, k: np.ndarray, known: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.where(known, 1 + np.searchsorted(self.bounds, k), 0)
+        out = self.cell[at]
+        for hot in np.intersect1d(at, list(self.grid)).tolist():
+            some = at == hot
+            out[some] += np.searchsorted(self.grid[hot], h[some], "right") - 1
+        return out
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(k, t, range, after, h): each of `rows` (k, t) in its range, after = 0, and rows like the first one of a range
+    in the range before it too, after = 1. The range before the first is the last."""
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    ranges = Ranges(rows.select("k", "h"))
+
+    # keys as their complement, nulls last: the least is the first document of a cell
+    @F.pandas_udf("int")
+    def cell(k: pd.Series, null: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(ranges.cells(k.to_numpy(), ~null.to_numpy(bool), h.to_numpy()).astype(np.int32))
+
+    keyed = rows.withColumn("null", F.col("k").isNull()).withColumn("key", F.coalesce("k", F.lit(0)))
+    least = keyed.select("null", "key", "h", cell("key", "null", "h").alias("cell")).groupBy("cell").agg(
+        F.min(F.struct("null", F.bitwise_not("key").alias("back"), "h")).alias("first"))
+    found = {r["cell"]: r["first"] for r in least.collect()}  # a row a cell
+    n = len(ranges.width)
+    first_key, first_hash, before = (np.zeros(n, np.int64) for _ in range(3))
+    filled = sorted(found)
+    for i, c in enumerate(filled):
+        last = filled[i - 1]
+        first_key[c], first_hash[c], before[c] = ~found[c]["back"], found[c]["h"], ranges.range[last] + ranges.width[last] - 1
+
+    @F.pandas_udf("array<bigint>")
+    def places(k: pd.Series, null: pd.Series, h: pd.Series, salt: pd.Series) -> pd.Series:
+        k, null, h, salt = k.to_numpy(), null.to_numpy(bool), h.to_numpy(), salt.to_numpy() & ((1 << 62) - 1)
+        at = ranges.cells(k, ~null, h)
+        own = 2 * (ranges.range[at] + salt % ranges.width[at])
+        # of many copies about 64 are sent ahead, chosen by other bits than their range
+        ahead = (h == first_hash[at]) & (k == first_key[at]) & ((salt >> 20) % ranges.every[at] == 0)
+        return pd.Series([[a, 2 * b + 1] if more else [a] for a, b, more in zip(own.tolist(), before[at].tolist(), ahead.tolist())])
+
+    salted = keyed.withColumn("place", F.explode(places("key", "null", "h", F.xxhash64(F.monotonically_increasing_id()))))
+    return salted.selectExpr("k", "t", "place div 2 AS range", "place % 2 AS after", "h")
 
 
 def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,38 +228,23 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     smaller fingerprint's shingles found in the other; two texts without words are alike, one without words
     is unlike others. A single document is its own next. Keys are integers; other columns are not looked at.
 
-    Each document goes, once, to its range of keys; the first document of a range goes to the range before
-    it as well, as the next of its last one. Ranges are sorted and read in order.
+    Each document goes, once, to its range; the first document of a range goes to the range before it as well, as the
+    next of its last one. Ranges are sorted and read in order. A key, or a row, that fills several ranges is split.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bounds, top = _ranges(rows.select("k"), "k")
-
-    @F.pandas_udf("array<int>")
-    def places(k: pd.Series) -> pd.Series:
-        known = k.notna().to_numpy()
-        value = k.fillna(0).to_numpy().astype(np.int64)
-        at = np.where(known, np.searchsorted(bounds, value), 0)
-        ends = known & (at < len(bounds))
-        ends[ends] = bounds[at[ends]] == value[ends]
-        return pd.Series([[2 * p] + [2 * p + 3] * e + [1] * (ok and v == top) for p, e, ok, v in zip(at.tolist(), ends.tolist(), known.tolist(), value.tolist())])
-
-    placed = rows.withColumn("place", F.explode(places("k"))).selectExpr("k", "t", "place div 2 AS range", "place % 2 AS after", "xxhash64(t) AS h")
-    placed = placed.repartition("range").sortWithinPartitions("range", "after", F.col("k").desc_nulls_last(), "h")
+    placed = _placed(rows).repartition("range").sortWithinPartitions("range", "after", F.col("k").desc_nulls_last(), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = first = None
+        held = None
         for batch in batches:
             table = pa.table(batch.columns[:4], names=["k", "t", "r", "a"])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            if first is None:
-                first = table.slice(0, 1)
             held = table.slice(table.num_rows - 1)
-            yield from _compared(table)
-        # no document is sent after the last one where all keys are null: the first one follows it
-        if held is not None and not held.column("a")[0].as_py():
-            yield from _compared(pa.concat_tables([held, first]))
+            yield from _compared(table, table.num_rows - 1)
+        if held is not None:
+            yield from _compared(held, 1)
 
     schema = ("k bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double, jaccard_edited double, jaccard_next double")
@@ -187,22 +252,25 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     return out.select(F.col("k").cast(kind).alias(key), *out.columns[1:])
 
 
-def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Result rows of all rows but the last, each with the row after it; rows sent after a range give none."""
+def _compared(table: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
+    """Result rows of the first n rows, each with the row after it; rows sent after a range give none. Where no row was
+    sent after a range, its last row is followed by an equal one, and by itself here."""
     texts = pa.concat_arrays(table.column("t").chunks)
-    after = np.asarray(table.column("a"))
-    rows = np.flatnonzero(after[:-1] == 0)
+    after, ranges = np.asarray(table.column("a")), np.asarray(table.column("r"))
+    rows = np.flatnonzero(after[:n] == 0)
     if len(rows) == 0:
         return
+    then = np.minimum(rows + 1, len(ranges) - 1)
+    then = np.where(ranges[then] == ranges[rows], then, rows)
     strings = texts.to_pylist()
     edited = []
-    for i in rows.tolist():
+    for i, j in zip(rows.tolist(), then.tolist()):
         own = strings[i]
         cut = len(own) // 3
-        edited.append(own[:len(own) - cut] + strings[i + 1][:cut])
+        edited.append(own[:len(own) - cut] + strings[j][:cut])
     own, other = Sketches(texts), Sketches(pa.array(edited, pa.string()))
     near = _overlap(own, rows, other, np.arange(len(rows)))
-    following = _overlap(own, rows, own, rows + 1)
+    following = _overlap(own, rows, own, then)
     prints = own.text()
     yield pa.RecordBatch.from_arrays([
         pa.concat_arrays(table.column("k").chunks).take(pa.array(rows)),

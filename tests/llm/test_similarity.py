@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from aislekit.llm import components as G, fingerprints as P, parity_join as J, pivots as V
 from cases import edited, no_docs, odd_docs, odd_rows, prose, spread
@@ -169,6 +170,25 @@ def test_edits_take_the_next_document(spark, monkeypatch, ranges):
         assert abs(r["near_next"] - max(P.containment(own, after), P.containment(after, own))) < 1e-9
 
 
+@pytest.mark.parametrize("hot", [None, -(1 << 63), 40, (1 << 63) - 1])
+def test_one_key_or_row_that_fills_many_ranges(spark, monkeypatch, hot):
+    """A third of all rows share a key, another third are equal; results are those of the plain order."""
+    monkeypatch.setattr(P, "RANGE_ROWS", 16)
+    rows = [(i - 60, f"text {i} " + prose(i, 5)) for i in range(200)]
+    rows += [(hot, f"of one key {i} " + prose(i, 4)) for i in range(200)] + [(hot, "the same row " + prose(1, 9))] * 200
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = [tuple(r) for r in docs.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text")).collect()]
+    expected = Counter()
+    for i, (key, text) in enumerate(order):
+        cut = len(text) // 3
+        new = text[:len(text) - cut] + order[(i + 1) % len(order)][1][:cut]
+        expected[key, len(text), hashlib.sha256(new.encode()).hexdigest()] += 1
+    found = P.edited_fingerprints(spread(docs)).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert Counter(tuple(r) for r in found) == expected
+    sizes = P._placed(spread(docs).toDF("k", "t")).groupBy("range").agg(F.count("*").alias("n"), F.countDistinct("after").alias("a"))
+    assert sizes.agg(F.max("n")).first()[0] < 130
+
+
 def test_odd_rows_have_fingerprints(spark):
     found = P.edited_fingerprints(odd_docs(spark)).collect()
     assert len(found) == len(odd_rows())
