@@ -21,6 +21,33 @@ _NO_NUMBER = "'>' not supported between instances of 'NoneType' and 'int'"
 _NO_LIST = "'NoneType' object is not iterable"
 _NO_TITLE = "'NoneType' object has no attribute 'lower'"
 
+# What is reported against and for a reply.
+_NUMBER_WRONG = "{} information present but inaccurate"
+_NUMBER_UNKNOWN = "{} information present but no expected {} to compare"
+_NOTHING_FOUND = "No {} information found"
+_NUMBER_RIGHT = "Accurate {} information"
+_BRAND_WRONG = "Brand information present but inaccurate"
+_BRAND_UNKNOWN = "Brand information present but no expected brand to compare"
+_BRAND_NONE = "No brand information found"
+_BRAND_RIGHT = "Accurate brand information"
+_FEATURES_WRONG = "Feature information present but doesn't match expected features"
+_FEATURES_UNKNOWN = "Feature information present but no expected features to compare"
+_FEATURES_NONE = "No feature information found"
+_FEATURES_RIGHT = "Found features: "
+_CHECK_UNCLEAR = "Response doesn't clearly answer yes/no"
+_CHECK_UNKNOWN = "Could not identify specific feature being asked about"
+_CHECK_DENIED = "Incorrectly denied"
+_CHECK_CLAIMED = "Incorrectly claimed"
+_CHECK_PRESENT = "Correctly identified"
+_CHECK_ABSENT = "Correctly identified absence of"
+_TOPIC_FOUND = "Contains {} information"
+_TOO_SHORT = "Response too short"
+_NO_PRODUCT = "Response doesn't mention the product"
+_LONG_ENOUGH = "Response has adequate length"
+_PRODUCT_NAMED = "Response mentions the product"
+_EMPTY_REPLY = "Empty response"
+_ERROR_REPLY = "Contains error"
+
 
 def contains_error_wide(text: Column) -> Column:
     return asks(text, V.ERROR_PHRASES_WIDE)
@@ -105,11 +132,11 @@ def _eval_number(reply: Column, expected: Column, patterns: list[str], name: str
             found & (F.length(reply) > 20),
             has_any(F.lower(reply), words),
             _texts(
-                _said(found & known & ~accurate, f"{title} information present but inaccurate"),
-                _said(found & ~known, f"{title} information present but no expected {name} to compare"),
-                _said(~found, f"No {name} information found"),
+                _said(found & known & ~accurate, _NUMBER_WRONG.format(title)),
+                _said(found & ~known, _NUMBER_UNKNOWN.format(title, name)),
+                _said(~found, _NOTHING_FOUND.format(name)),
             ),
-            _texts(_said(accurate, f"Accurate {name} information")),
+            _texts(_said(accurate, _NUMBER_RIGHT.format(name))),
             _said(found & f["expected"].isNull(), _NO_NUMBER),
         )
 
@@ -134,11 +161,11 @@ def eval_brand(reply: Column, brand: Column) -> Column:
             found & (F.length(reply) > 20),
             F.lower(reply).contains("brand"),
             _texts(
-                _said(found & known & ~accurate, "Brand information present but inaccurate"),
-                _said(found & ~known, "Brand information present but no expected brand to compare"),
-                _said(~found, "No brand information found"),
+                _said(found & known & ~accurate, _BRAND_WRONG),
+                _said(found & ~known, _BRAND_UNKNOWN),
+                _said(~found, _BRAND_NONE),
             ),
-            _texts(_said(accurate, "Accurate brand information")),
+            _texts(_said(accurate, _BRAND_RIGHT)),
         )
 
     return let(F.struct(_shown(V.BRAND_PATTERNS, reply).alias("found")), score)
@@ -156,11 +183,11 @@ def eval_features(reply: Column, features: Column) -> Column:
             found & (F.length(reply) > 30),
             found,
             _texts(
-                _said(found & known & ~accurate, "Feature information present but doesn't match expected features"),
-                _said(found & ~known, "Feature information present but no expected features to compare"),
-                _said(~found, "No feature information found"),
+                _said(found & known & ~accurate, _FEATURES_WRONG),
+                _said(found & ~known, _FEATURES_UNKNOWN),
+                _said(~found, _FEATURES_NONE),
             ),
-            _texts(F.when(accurate, F.concat(F.lit("Found features: "), F.array_join(named, ", ")))),
+            _texts(F.when(accurate, F.concat(F.lit(_FEATURES_RIGHT), F.array_join(named, ", ")))),
         )
 
     named = F.filter(features, lambda f: low.contains(F.lower(f)))
@@ -189,14 +216,14 @@ def eval_feature_check(query: Column, reply: Column, features: Column) -> Column
             answered & (F.length(reply) > 20),
             F.coalesce(low.contains(asked), F.lit(False)),
             _texts(
-                about(answered & has & ~yes, "Incorrectly denied"),
-                about(answered & ~has & ~no, "Incorrectly claimed"),
-                _said(known & ~(yes | no), "Response doesn't clearly answer yes/no"),
-                _said(~known, "Could not identify specific feature being asked about"),
+                about(answered & has & ~yes, _CHECK_DENIED),
+                about(answered & ~has & ~no, _CHECK_CLAIMED),
+                _said(known & ~(yes | no), _CHECK_UNCLEAR),
+                _said(~known, _CHECK_UNKNOWN),
             ),
             _texts(
-                about(answered & has & yes, "Correctly identified"),
-                about(answered & ~has & no, "Correctly identified absence of"),
+                about(answered & has & yes, _CHECK_PRESENT),
+                about(answered & ~has & no, _CHECK_ABSENT),
             ),
             _said(answered & features.isNull(), _NO_LIST),
         )
@@ -217,8 +244,8 @@ def _eval_topic(reply: Column, words: list[str], relevant: list[str], name: str)
             F.lit(True),
             found & (F.length(reply) > 30),
             has_any(low, relevant),
-            _texts(_said(~found, f"No {name} information found")),
-            _texts(_said(found, f"Contains {name} information")),
+            _texts(_said(~found, _NOTHING_FOUND.format(name))),
+            _texts(_said(found, _TOPIC_FOUND.format(name))),
         )
 
     return let(F.struct(has_any(low, words).alias("found")), score)
@@ -243,9 +270,9 @@ def eval_general(reply: Column, title: Column) -> Column:
             F.lit(True),
             n > 30,
             named,
-            _texts(_said(n < 10, "Response too short"), _said(~named, "Response doesn't mention the product")),
+            _texts(_said(n < 10, _TOO_SHORT), _said(~named, _NO_PRODUCT)),
             _texts(
-                _said(n >= 10, "Response has adequate length"), _said(named, "Response mentions the product")
+                _said(n >= 10, _LONG_ENOUGH), _said(named, _PRODUCT_NAMED)
             ),
             _said(title.isNull() & ~low.contains("product"), _NO_TITLE),
         )
@@ -277,7 +304,7 @@ def evaluate_reply(
         )
 
     return (
-        F.when(is_blank(reply), _rejected("Empty response"))
-        .when(contains_error_wide(reply), _rejected("Contains error"))
+        F.when(is_blank(reply), _rejected(_EMPTY_REPLY))
+        .when(contains_error_wide(reply), _rejected(_ERROR_REPLY))
         .otherwise(let(query_intent(query), by_intent))
     )
