@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: References at most, and numbers of all of them together.
 MOST, NUMBERS = 4096, 1 << 21
+#: Cosines that are computed at once.
+_STRIP = 1 << 20
 #: Room for rounding in an angle.
 _SLACK = 1e-6
 
@@ -37,11 +39,11 @@ def matrices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for size in np.unique(sizes[sizes > 0]).tolist():
         rows = np.flatnonzero(sizes == size)
         flat = column.take(pa.array(rows)).flatten()
-        matrix = np.asarray(flat.to_numpy(zero_copy_only=False), dtype="float64").reshape(len(rows), size)
-        largest = np.abs(matrix).max(axis=1, keepdims=True)
-        matrix = np.divide(matrix, largest, out=np.zeros_like(matrix), where=largest > 0)
+        matrix = np.array(flat.to_numpy(zero_copy_only=False), dtype="float64").reshape(len(rows), size)
+        largest = np.maximum(matrix.max(axis=1), -matrix.min(axis=1))[:, None]
+        np.divide(matrix, largest, out=matrix, where=largest > 0)
         norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
-        yield size, rows, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+        yield size, rows, np.divide(matrix, norms, out=matrix, where=norms > 0)
 
 
 def _angles(cosines: np.ndarray) -> np.ndarray:
@@ -60,8 +62,9 @@ class References:
         if size in self.by_length:
             numbers, references = self.by_length[size]
             some = np.flatnonzero(units.any(axis=1))
-            for s in range(0, len(some), 4096):
-                at = some[s:s + 4096]
+            step = max(1, _STRIP // len(references))
+            for s in range(0, len(some), step):
+                at = some[s:s + step]
                 cosines = units[at] @ references.T
                 best = cosines.argmax(axis=1)
                 cell[at] = numbers[best]

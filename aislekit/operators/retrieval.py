@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,14 +11,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from aislekit import vocabulary as V
 from aislekit.functions.text import number_text
-from aislekit.operators.cells import Cells, matrices, sound
+from aislekit.operators.cells import Cells, assigned, matrices
 from aislekit.session import fresh_path, written
 from aislekit.sources.vectors import VectorStore, open_vectors, write_vectors
 
 # Queries that a task compares at once.
 CHUNK_ROWS = 1024
-# Bytes of vectors on a shelf, and of queries that visit it in one task.
-_SHELF_BYTES, _PART_ROWS = 32 << 20, 1 << 16
+# Bytes of vectors on a shelf, and rows and bytes of queries that visit it in one task.
+_SHELF_BYTES, _PART_ROWS, _PART_BYTES = 16 << 20, 1 << 16, 16 << 20
+# Bounds that are looked at together, and bytes of vectors that go to shelves at once.
+_BOUNDS, _SENT_BYTES = 1 << 17, 4 << 20
 # Scores that one matrix product makes at most.
 _STRIP = 1 << 20
 # Room for rounding in the first look at a score; what passes it is computed again pair by pair.
@@ -44,19 +47,23 @@ def search(
     spark = queries.sparkSession
     store = vectors if isinstance(vectors, VectorStore) else _stored(vectors)
     kind = store.rows.schema["embedding"].dataType.elementType.simpleString()
-    asked = queries.select(
-        F.monotonically_increasing_id().alias("row"), "query_id", F.col("embedding").cast(f"array<{'float' if _is_float(queries) else 'double'}>").alias("vector"))
-    asked = written(asked.where(sound(F.col("vector"))), "asked")
+    numbers = "float" if _is_float(queries) else "double"
+    asked = queries.select(F.monotonically_increasing_id().alias("row"), "query_id", F.col("embedding").cast(f"array<{numbers}>").alias("embedding"))
+    # a query's own cell is told once: near ties between references may fall differently in another batch
+    asked = assigned(asked, store.cells.references).where("cell IS NOT NULL")
+    asked = written(asked.select("row", "query_id", F.col("embedding").alias("vector"), F.col("cell").alias("home")), "asked")
     shelves = Shelves.of(store.cells, kind, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = max(1, -(-asked.count() // _PART_ROWS))
+    longest, rows = asked.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)), F.count(F.lit(1))).collect()[0]
+    each = longest * (4 if numbers == "float" else 8) + 16 * shelves.cells_each()
+    parts = max(1, -(-rows // _PART_ROWS), -(-rows * each // _PART_BYTES))
     least = _NEVER if threshold is None else float(threshold)
 
     first = asked.withColumn("bar", F.lit(least))
-    found = written(_meet(_visits(first, store.cells, shelves, True), store, shelves, parts, k, chunk_rows, compared), "found-near")
+    found = written(_meet(first, store, shelves, True, parts, k, chunk_rows, compared), "found-near")
     bars = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("reached")).where(F.col("n") >= k)
     bar = F.greatest(F.lit(least), F.coalesce("reached", F.lit(_NEVER)))
-    second = asked.join(bars, "row", "left").select("row", "query_id", "vector", bar.alias("bar"))
-    rest = _meet(_visits(written(second, "asked-again"), store.cells, shelves, False), store, shelves, parts, k, chunk_rows, compared)
+    second = asked.join(bars, "row", "left").select("row", "query_id", "vector", "home", bar.alias("bar"))
+    rest = _meet(written(second, "asked-again"), store, shelves, False, parts, k, chunk_rows, compared)
     found = found.union(rest)
     if threshold is not None:
         found = found.where(F.col("score") >= threshold)
@@ -95,12 +102,53 @@ class Shelves:
             before += rows
         return Shelves(spans)
 
+    def number(self) -> int:
+        return max((first + n for first, n in self.spans.values()), default=1)
+
+    def cells_each(self) -> int:
+        """The cells on a shelf, on average."""
+        return -(-sum(n for _, n in self.spans.values()) // self.number())
+
     def home(self, cell: int, row: int) -> int:
         """The one shelf of a cell that a query of this cell visits first."""
         first, n = self.spans[cell]
         return first + row % n
 
 
+def _reached(batch: pa.RecordBatch, cells: Cells, shelves: Shelves, first: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row of the batch, shelf, cell, bound) of the cells that queries visit, for a few queries at a time: as many as
+    keep all bounds, and the vectors that go to all shelves, within their limits."""
+    rows, bars, homes = (np.asarray(batch.column(c)) for c in ("row", "bar", "home"))
+    for size, every, units in matrices(batch.column("vector")):
+        step = max(1, min(_BOUNDS // (len(cells.table) + shelves.number()), _SENT_BYTES // (shelves.number() * size * 8)))
+        for s in range(0, len(every), step):
+            at = every[s:s + step]
+            own = homes[at]
+            home = np.array([shelves.home(c, r) if c in shelves.spans else -1 for c, r in zip(own.tolist(), rows[at].tolist())], np.int64)
+            if first:
+                some = home >= 0
+                yield at[some], home[some], own[some], np.ones(int(some.sum()))
+                continue
+            numbers, bound = cells.bounds(size, units[s:s + step])
+            i, c = np.nonzero(bound >= bars[at][:, None] - _SLACK)
+            begin, n = np.array([shelves.spans[x] for x in numbers.tolist()], np.int64).reshape(-1, 2).T
+            each = np.repeat(np.arange(len(i)), n[c])
+            shelf = begin[c][each] + np.arange(len(each)) - np.repeat(np.cumsum(n[c]) - n[c], n[c])
+            query, cell, high = i[each], numbers[c[each]], bound[i, c][each]
+            some = (cell != own[query]) | (shelf != home[query])
+            yield at[query[some]], shelf[some], cell[some], high[some]
+
+
+def _wanted(asked: DataFrame, cells: Cells, shelves: Shelves, first: bool) -> list[int]:
+    """The cells that any query visits."""
+    def run(batches):
+        for batch in batches:
+            for _, _, cell, _ in _reached(batch, cells, shelves, first):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cell), pa.int64())], names=["c"])
+
+    return [r["c"] for r in asked.mapInArrow(run, "c bigint").distinct().collect()]  # no more than there are cells
+
+
 def _visits(asked: DataFrame, cells: Cells, shelves: Shelves, first: bool) -> DataFrame:
     """(shelf, row, query_id, vector, bar, cells, bounds): the shelves each query visits, and there the cells that may
     reach its bar, with their bounds. In the first round that is its own cell on one shelf, in the second all others."""
@@ -108,46 +156,25 @@ def _visits(asked: DataFrame, cells: Cells, shelves: Shelves, first: bool) -> Da
 
     def run(batches):
         for batch in batches:
-            rows, bars = np.asarray(batch.column("row")), np.asarray(batch.column("bar"))
-            for size, at, units in matrices(batch.column("vector")):
-                homes, _ = cells.references.nearest(size, units)
-                numbers, bound = cells.bounds(size, units)
-                numbers = numbers.tolist()
-                place, shelf, wanted, bounds = [], [], [], []
-                for i, (row, own) in enumerate(zip(rows[at].tolist(), homes.tolist())):
-                    home = (own, shelves.home(own, row)) if own in shelves.spans else None
-                    if first:
-                        if home:
-                            place.append(at[i])
-                            shelf.append(home[1])
-                            wanted.append([own])
-                            bounds.append([1.0])
-                        continue
-                    visits: dict[int, tuple[list, list]] = {}
-                    for c in np.flatnonzero(bound[i] >= bars[at[i]] - _SLACK).tolist():
-                        begin, n = shelves.spans[numbers[c]]
-                        for s in range(begin, begin + n):
-                            if (numbers[c], s) != home:
-                                there = visits.setdefault(s, ([], []))
-                                there[0].append(numbers[c])
-                                there[1].append(bound[i, c])
-                    for s, (some, high) in visits.items():
-                        place.append(at[i])
-                        shelf.append(s)
-                        wanted.append(some)
-                        bounds.append(high)
-                some = batch.take(pa.array(place, pa.int64()))
+            for place, shelf, cell, bound in _reached(batch, cells, shelves, first):
+                order = np.lexsort((shelf, place))
+                place, shelf = place[order], shelf[order]
+                begins = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(shelf) != 0)])) if len(order) else order
+                ends = pa.array(np.append(begins, len(order)), pa.int32())
+                some = batch.take(pa.array(place[begins], pa.int64()))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(shelf, pa.int64()), *(some.column(c) for c in ("row", "query_id", "vector", "bar")),
-                    pa.array(wanted, pa.list_(pa.int64())), pa.array(bounds, pa.list_(pa.float64())),
+                    pa.array(shelf[begins], pa.int64()), *(some.column(c) for c in ("row", "query_id", "vector", "bar")),
+                    pa.ListArray.from_arrays(ends, pa.array(cell[order], pa.int64())),
+                    pa.ListArray.from_arrays(ends, pa.array(bound[order], pa.float64())),
                 ], names=["shelf", "row", "query_id", "vector", "bar", "cells", "bounds"])
 
     return asked.mapInArrow(run, f"shelf bigint, row bigint, query_id {kinds[0]}, vector {kinds[1]}, bar double, cells array<bigint>, bounds array<double>")
 
 
-def _meet(visits: DataFrame, store: VectorStore, shelves: Shelves, parts: int, k: int, chunk_rows: int, compared) -> DataFrame:
-    """(row, query_id, product_id, score): the k best of what each query finds on each shelf."""
-    wanted = [r["c"] for r in visits.select(F.explode("cells").alias("c")).distinct().collect()]  # no more than there are cells
+def _meet(asked: DataFrame, store: VectorStore, shelves: Shelves, first_round: bool, parts: int, k: int, chunk_rows: int, compared) -> DataFrame:
+    """(row, query_id, product_id, score): the k best of what each query finds on each shelf it visits; see `_visits`."""
+    wanted = _wanted(asked, store.cells, shelves, first_round)
+    visits = _visits(asked, store.cells, shelves, first_round)
     first = F.create_map(*[F.lit(v) for c in wanted for v in (c, shelves.spans[c][0])]) if wanted else None
     shelf_of = F.lit(0).cast("bigint")
     if wanted:
@@ -184,17 +211,19 @@ def nearest(asked: pa.Table, offered: pa.Table, k: int, chunk_rows: int) -> tupl
     """
     compared, out = 0, []
     if asked.num_rows and offered.num_rows:
-        asked, offered = asked.combine_chunks(), offered.combine_chunks()
+        offered = offered.combine_chunks()
         cell = np.asarray(offered.column("cell"))
         # the products' order, for equal scores
         order = np.asarray(pa.compute.rank(offered.column("product_id"), tiebreaker="dense"), np.int64)
         shelf: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
         for size, rows, units in matrices(offered.column("vector").combine_chunks()):
-            for c in np.unique(cell[rows]).tolist():
-                at = np.flatnonzero(cell[rows] == c)
-                shelf[c] = size, rows[at], units[at]
+            by = np.argsort(cell[rows], kind="stable")
+            rows, units = rows[by], units[by]
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(cell[rows]) != 0]))
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)]):
+                shelf[int(cell[rows[a]])] = size, rows[a:b], units[a:b]
         for start in range(0, asked.num_rows, chunk_rows):
-            chunk = asked.slice(start, chunk_rows)
+            chunk = asked.slice(start, chunk_rows).combine_chunks()
             bar = np.array(chunk.column("bar"), dtype="float64")
             lists = chunk.column("cells").combine_chunks()
             wanting = np.repeat(np.arange(chunk.num_rows), np.asarray(lists.value_lengths()))

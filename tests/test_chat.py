@@ -1,8 +1,11 @@
 """Chat rows, conversations, prompts, retrieval and streaming."""
 
 import json
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +216,33 @@ def test_a_cell_of_equal_vectors_lies_on_several_shelves(spark, monkeypatch):
     assert [r.product_id for r in rows] == [0, 3, 6, 9, 12] and {r.score for r in rows} == {1.0}
 
 
+def test_a_batch_of_queries_visits_all_cells_in_little_memory():
+    """Without clusters every query visits every cell; bounds and lists are made for a few queries at a time."""
+    rng = np.random.default_rng(5)
+    n, size = 2_000, 16
+    units = rng.normal(size=(512, size))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    known = cells.Cells(cells.References({size: (np.arange(512), units)}), {c: (0.0, 3.0, 40) for c in range(512)})
+    shelves = retrieval.Shelves.of(known, "float", 4)
+    batch = pa.RecordBatch.from_pydict({
+        "row": np.arange(n), "query_id": np.arange(n), "vector": list(rng.normal(size=(n, size)).astype("float32")),
+        "home": np.arange(n) % 512, "bar": np.full(n, 0.5)})
+    asked = SimpleNamespace(
+        schema={c: SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "any")) for c in ("query_id", "vector")},
+        mapInArrow=lambda run, schema: run)
+    visits, seen = retrieval._visits(asked, known, shelves, False), set()
+    pairs = 0
+    tracemalloc.start()
+    for out in visits(iter([batch])):
+        pairs += len(out.column("cells").flatten())
+        seen.update(zip(out.column("row").to_pylist()[:50], out.column("shelf").to_pylist()[:50]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a query leaves out its own cell on the shelf that it visited first
+    assert pairs == n * (sum(count for _, count in shelves.spans.values()) - 1) and seen
+    assert peak < 30 << 20
+
+
 def test_near_ties_are_ranked_by_their_score(spark):
     """Scores that round to the same nine digits."""
     v = spark.createDataFrame([("a", [1.0, 2e-5]), ("b", [1.0, 1e-5])], "product_id string, embedding array<double>")
