@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from aislekit.functions.draws import let
+
 
 def constraint(max_price: Column, brand: Column, features: Column, min_rating: Column) -> Column:
     """A constraint as a struct; a null part asks for nothing."""
@@ -36,8 +38,8 @@ def matches(product: Column, cons: Column) -> Column:
 
 
 def satisfying(products: Column, cons: Column) -> Column:
-    """The products of an array that meet the constraint, in order."""
-    return F.filter(products, lambda p: matches(p, cons))
+    """The products of an array that meet the constraint, in order. The constraint is computed once, not for each product."""
+    return let(cons, lambda c: F.filter(products, lambda p: matches(p, c)))
 
 
 def ids(products: Column) -> Column:

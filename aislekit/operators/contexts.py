@@ -12,7 +12,7 @@ from aislekit import schemas, vocabulary as V
 from aislekit.functions.constraints import ids, satisfying
 from aislekit.functions.draws import digest, distinct_positions, let, pick, unit
 from aislekit.functions.products import slug
-from aislekit.session import written
+from aislekit.session import spread, written
 
 _GROUP = ["category", "sub_category"]
 _BUCKET_DIGITS = 3
@@ -57,7 +57,8 @@ def draw_contexts(requests: DataFrame, library: DataFrame, seed: int) -> DataFra
     """A category and then a sub-category for each `ctx_id`, both uniformly.
 
     Gives (ctx_id, category, sub_category, n_products). The sub-categories with their sizes are one
-    array in one row, looked up by number: no join, so no key that many contexts share.
+    array in one row, looked up by number: no join, so no key that many contexts share. Requests are narrow, so one
+    file, and one task, may hold millions of them: they are dealt to all tasks before anything is drawn.
     """
     subs = _named(library).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n_products"))
     listed = subs.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("sub_category", "n_products"))).alias("subs"))
@@ -66,7 +67,7 @@ def draw_contexts(requests: DataFrame, library: DataFrame, seed: int) -> DataFra
     def one_of(values: Column, salt: str) -> Column:
         return F.get(values, F.floor(unit(digest(seed, salt, F.col("ctx_id"))) * F.size(values)).cast("int"))
 
-    drawn = requests.select("ctx_id", one_of(categories, "category").alias("c"))
+    drawn = spread(requests.select("ctx_id")).select("ctx_id", one_of(categories, "category").alias("c"))
     drawn = drawn.select("ctx_id", F.col("c.category").alias("category"), one_of(F.col("c.subs"), "sub_category").alias("s"))
     return drawn.select("ctx_id", "category", "s.sub_category", "s.n_products").where("sub_category IS NOT NULL")
 
@@ -86,7 +87,8 @@ def context_products(drawn: DataFrame, library: DataFrame, seed: int, k: int = V
     wanted = drawn.withColumn("position", F.explode(positions)).withColumn(
         "place", F.when(few, F.lit("")).otherwise(digest(seed, "place", F.col("ctx_id"), F.col("position")))
     )
-    picked = wanted.join(number_products(library), [*_GROUP, "position"]).select("ctx_id", *_GROUP, "place", "product_id", "copy")
+    # k rows a context: nothing to send to every task, however small the requests look to the planner
+    picked = wanted.hint("merge").join(number_products(library), [*_GROUP, "position"]).select("ctx_id", *_GROUP, "place", "product_id", "copy")
     picked = written(picked, "picked")
     found = _named(library).join(picked.select(*_GROUP, "product_id").distinct(), [*_GROUP, "product_id"], "left_semi")
     product = F.struct(
@@ -134,7 +136,7 @@ def frequency(products: Column) -> Column:
     """(feature, n) in order of first appearance."""
     return let(features_in(products), lambda feats: F.transform(
         F.array_distinct(feats),
-        lambda f: F.struct(f.alias("feature"), F.size(F.filter(feats, lambda g: g == f)).alias("n")),
+        lambda f: F.struct(f.alias("feature"), F.when(f.isNull(), 0).otherwise(F.size(feats) - F.size(F.array_remove(feats, f))).alias("n")),
     ))
 
 
@@ -144,9 +146,10 @@ def count_of(freq: Column, feature: Column) -> Column:
 
 def top(freq: Column, min_count: int) -> Column:
     """The most frequent feature with at least min_count uses, the first seen on a tie; else empty."""
-    often = F.filter(freq, lambda e: e["n"] >= min_count)
-    most = F.array_max(F.transform(often, lambda e: e["n"]))
-    return F.coalesce(F.get(F.filter(often, lambda e: e["n"] == most), F.lit(0))["feature"], F.lit(""))
+    return let(F.filter(freq, lambda e: e["n"] >= min_count), lambda often: let(
+        F.array_max(F.transform(often, lambda e: e["n"])),
+        lambda most: F.coalesce(F.get(F.filter(often, lambda e: e["n"] == most), F.lit(0))["feature"], F.lit("")),
+    ))
 
 
 def prices(products: Column) -> Column:

@@ -46,6 +46,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to as many tasks as a shuffle has, for dear work on rows that a small or unsplittable file holds."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage of `df` by a Parquet table in the shared folder; `options` are those of its writer.
 

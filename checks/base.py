@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aislekit.operators.catalog import extract_products
 from aislekit.operators.contexts import build_contexts
-from aislekit.session import written
+from aislekit.session import spread, written
 
 SEED = 42
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,8 +183,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The products are written once, since drawing reads them more than once."""
-    return build_contexts(requests(spark, sf_dir), written(library(spark, sf_dir), "library"), SEED)
+    """The products are written once, since drawing reads them more than once. Their rows are dealt to all tasks before
+    they are parsed, since one file may hold them all."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    products = extract_products(_run(spark, RAW_META_SQL, part=spread(part)))
+    return build_contexts(requests(spark, sf_dir), written(products, "library"), SEED)
 
 
 def policies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

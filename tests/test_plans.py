@@ -6,6 +6,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from aislekit import schemas
+from aislekit.functions.constraints import satisfying
 from aislekit.operators import chat, contexts as C, replies, retrieval, sampling
 from aislekit.plans import tasks
 from aislekit.session import written
@@ -39,6 +41,33 @@ def test_context_statistics_shuffle_nothing(stored):
         assert "Exchange" not in plan_of(df)
 
 
+def test_drawing_is_dealt_to_all_tasks(spark, tmp_path):
+    """All requests lie in one file that cannot be split, and look small to the planner."""
+    spark.range(5000).selectExpr("id AS ctx_id").coalesce(1).write.parquet(str(tmp_path / "requests"))
+    rows = [(f"p{i}", "A", f"s{i % 3}", "t", 1.0, "b", ["x"], 4.0) for i in range(60)]
+    library = written(spark.createDataFrame(rows, schemas.PRODUCT), "library")
+    requests = spark.read.parquet(str(tmp_path / "requests"))
+    drawn = C.draw_contexts(requests, library, 1)
+    assert drawn.groupBy(F.spark_partition_id()).count().count() == 8
+    assert C.build_contexts(requests, library, 1).count() == 5000
+
+
+def test_products_are_parsed_in_all_tasks(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(B, "written", lambda df, name: seen.append(df) or written(df, name))
+    B.contexts(spark, small)
+    assert seen[0].rdd.getNumPartitions() == 8
+
+
+def test_a_constraint_is_computed_once_a_row(spark):
+    """Not once more for each product, inside the lambda."""
+    made = spark.range(1).withColumn("cons", F.struct(F.md5(F.col("id").cast("string")).alias("brand"), F.lit(None).cast("double").alias("max_price"),
+                                                      F.array(F.sha1(F.col("id").cast("string"))).alias("features"), F.lit(None).cast("double").alias("min_rating")))
+    made = made.withColumn("products", F.array(F.lit(None).cast(schemas.CONTEXT_PRODUCT)))
+    plan = made.select(satisfying(F.col("products"), F.col("cons")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.count("sha1(") + plan.count("sha(") == 1
+
+
 def test_only_needed_columns_are_read(spark, small):
     library = written(B.library(spark, small), "library")
     plan = plan_of(C.draw_contexts(C.context_requests(spark, 10), library, 1))
