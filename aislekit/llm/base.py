@@ -6,6 +6,7 @@ bytes of the word alone, never on the batch, the partition or the machine.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,9 +35,22 @@ def arrow_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept for later stages, and with them what they once needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     arrow_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def remainder(key: str | Column, by: int) -> Column:

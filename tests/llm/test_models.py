@@ -310,3 +310,16 @@ def test_a_key_of_a_third_of_all_rows_is_one_example(spark):
     labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(300)], "doc_id bigint, bad boolean").select("doc_id", F.col("bad").cast("int").alias("toxic"))
     a, b = (toxicity.train(d, labels) for d in (docs, spread(docs.union(docs), 7)))
     assert a.slots.tolist() == b.slots.tolist() and np.allclose(a.weights, b.weights) and a.bias == b.bias
+
+
+def test_python_workers_give_memory_back_after_a_task(monkeypatch):
+    from types import SimpleNamespace
+
+    from aislekit.llm import base
+
+    done = []
+    monkeypatch.setattr(base, "release", lambda: done.append("released"), raising=False)
+    conf = SimpleNamespace(get=lambda key: str(base.BATCH_ROWS))
+    df = SimpleNamespace(sparkSession=SimpleNamespace(conf=conf), mapInArrow=lambda run, schema: run)
+    run = base.map_arrow(df, lambda batches: (b + 1 for b in batches), "x int")
+    assert list(run(iter([1, 2]))) == [2, 3] and done == ["released"]
