@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aislekit.llm.base import map_arrow, text_bytes
+from aislekit.llm.base import chunks, map_arrow, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, kind
@@ -472,9 +472,12 @@ def find_spans(texts: list[str], p: dict[str, np.ndarray] | None, sure: float =
 
 def _found(column: pa.Array, p) -> list[tuple[list[Span], list[Span]]]:
     """The spans of each row; rows without a digit or @ have none."""
-    data, offsets = text_bytes(column)
-    marks = np.concatenate([[0], np.cumsum(_TRIGGER[data])])
-    rows = np.flatnonzero(marks[offsets[1:]] > marks[offsets[:-1]])
+    found = [np.zeros(0, np.int64)]
+    for a, b in chunks(column):
+        data, offsets = text_bytes(column[a:b])
+        marks = np.concatenate([[0], np.cumsum(_TRIGGER[data])])
+        found.append(a + np.flatnonzero(marks[offsets[1:]] > marks[offsets[:-1]]))
+    rows = np.concatenate(found)
     out: list[tuple[list[Span], list[Span]]] = [([], [])] * len(column)
     for i, spans in zip(rows.tolist(), find_spans(column.take(pa.array(rows)).to_pylist(), p)):
         out[i] = spans

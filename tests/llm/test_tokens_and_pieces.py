@@ -91,3 +91,43 @@ def test_long_segments_are_drawn_alike():
     ids, ends = lattice.encode(texts, np.arange(4, dtype=np.int64))
     data, edges = lattice.decode(ids, ends)
     assert [data[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])] == texts
+
+
+def peak_mb(run):
+    """Megabytes that a call holds at once beyond what was held before it."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_large_batch_of_texts_is_encoded_in_little_memory(spark, monkeypatch):
+    import pyarrow as pa
+
+    taken = []
+    monkeypatch.setattr(S, "map_arrow", lambda df, run, schema: taken.append(run) or df)
+    S.encode(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), MODEL)
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, 97 + rng.integers(0, 26, n))) for n in rng.integers(1, 9, 20_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 560)) for _ in range(1000)]  # three megabytes
+    keys = pa.array(range(1000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([keys, pa.array(texts), pa.array(texts), keys], names=["c0", "c1", "t", "k"])
+    list(taken[0](iter([batch.slice(0, 1)])))  # the vocabulary's tables stay
+    out = []
+    assert peak_mb(lambda: out.extend(taken[0](iter([batch])))) < 130
+    assert out[0].num_rows == 1000 and all(out[0].column(3).to_pylist())
+
+
+def test_texts_without_personal_data_take_little_memory():
+    import pyarrow as pa
+
+    from aislekit.llm import pii
+
+    column = pa.array(["no such thing here, " * 150] * 1000 + ["write to a.b@c.de today", None, ""])
+    found = []
+    assert peak_mb(lambda: found.extend(pii._found(column, None))) < 40
+    assert [len(own) for own, _ in found] == [0] * 1000 + [1, 0, 0]
