@@ -93,16 +93,22 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 
 
-def _powers(n: int) -> np.ndarray:
+_BASE = 0x5851F42D4C957F2D
+#: Bytes that are weighted at once when words are hashed.
+_TILE = 1 << 15
+
+
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
     out = np.empty(n, np.uint64)
     p = 1
     for i in range(n):
         out[i] = p
-        p = p * 0x5851F42D4C957F2D & _MASK
+        p = p * base & _MASK
     return out
 
 
 _POWERS = _powers(256)
+_UP, _DOWN = _powers(_TILE), _powers(_TILE, pow(_BASE, -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: 0x20 and 0x09 to 0x0D separate words.
@@ -145,13 +151,13 @@ class Words:
         if len(self.start) == 0:
             return np.zeros(0, np.uint64)
         length = self.end - self.start
+        if length.max() <= len(_POWERS):
+            return mix(self._sums(values) + length.astype(np.uint64) * _GOLD)
         within = np.arange(len(self.data)) - np.repeat(
             np.concatenate([[0], self.start]), np.diff(np.concatenate([[0], self.start, [len(self.data)]])))
-        if length.max() > len(_POWERS):  # a very long word: its powers repeat, plus its block's number
-            high = (within // len(_POWERS)).astype(np.uint64)
-            weight = _POWERS[within % len(_POWERS)] * (high * _GOLD * np.uint64(2) + np.uint64(1))
-        else:
-            weight = _POWERS[np.minimum(within, len(_POWERS) - 1)]
+        # a very long word: its powers repeat, plus its block's number
+        high = (within // len(_POWERS)).astype(np.uint64)
+        weight = _POWERS[within % len(_POWERS)] * (high * _GOLD * np.uint64(2) + np.uint64(1))
         terms = values[self.data] * weight
         bounds = np.empty(2 * len(self.start), np.int64)
         bounds[0::2], bounds[1::2] = self.start, self.end
@@ -159,6 +165,19 @@ class Words:
             terms = np.append(terms, np.uint64(0))
         return mix(np.add.reduceat(terms, bounds)[0::2] + length.astype(np.uint64) * _GOLD)
 
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum of each word's byte values, each times the power of its place in the word: running sums with the powers
+        of places in the data, whose differences are divided by the power of the word's start (modulo 2^64, so exactly)."""
+        n = len(self.data)
+        total = np.zeros(n + 1, np.uint64)
+        for t, at in enumerate(range(0, n, _TILE)):
+            part = total[at + 1:at + 1 + _TILE]
+            np.multiply(values[self.data[at:at + _TILE]], _UP[:len(part)], out=part)
+            part *= np.uint64(pow(_BASE, t * _TILE, 1 << 64))
+        np.cumsum(total, out=total)
+        tiles = _powers(n // _TILE + 1, pow(_BASE, -_TILE, 1 << 64))
+        return (total[self.end] - total[self.start]) * _DOWN[self.start % _TILE] * tiles[self.start // _TILE]
+
 
 def combine(hashes: Iterable[np.ndarray]) -> np.ndarray:
     """One hash of several, in order."""

@@ -33,6 +33,11 @@ ADD = 0.1
 SEED = 42
 END = np.int64(-0x61C8864680B583EB)  # stands for the end of a text among word hashes
 _CHUNK = 2 << 20
+#: Tokens whose scores of all classes are made at once: they stay in a core's cache.
+_SCORED = 512
+#: The ending class of each pair of last bytes (the last one times 256, plus the one before it), and the places of a row's numbers.
+_ENDING = (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) % np.uint64(ENDINGS)).astype(np.int64)
+_PLACES = np.arange((CLASSES + 1) * DIM).reshape(CLASSES + 1, DIM)
 #: Texts of a training shard, and their words that are taken at once; parts of 1 in which parameters are added up.
 SHARD, _STEP, _WHOLE = 8192, 1 << 18, 1 << 24
 
@@ -41,9 +46,11 @@ def tokens(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words, their hashes as Spark longs, and their ending class (numbered from 0)."""
     words = Words(column)
     hashes = words.hashes().view(np.int64)
-    last = LOWER[words.data[words.end - 1]].astype(np.uint64) if len(words.end) else np.zeros(0, np.uint64)
-    before = np.where(words.end - words.start > 1, LOWER[words.data[np.maximum(words.end - 2, 0)]], 0).astype(np.uint64) if len(words.end) else last
-    return words, hashes, (mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(ENDINGS)).astype(np.int64)
+    if len(words.end) == 0:
+        return words, hashes, np.zeros(0, np.int64)
+    last = LOWER[words.data[words.end - 1]].astype(np.int64)
+    before = np.where(words.end - words.start > 1, LOWER[words.data[np.maximum(words.end - 2, 0)]], 0)
+    return words, hashes, _ENDING[last * 256 + before]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -159,14 +166,20 @@ class Bilinear:
         """One step on a batch: tell its classes from noise classes that the whole batch shares."""
         k = min(NOISE, 4 * len(classes))
         noise = np.searchsorted(np.cumsum(self.noise), rng.random(k) * 0.999999)
-        vectors = [self.before.take(context[:, d], 0) for d in range(CONTEXT)]
+        at = np.ascontiguousarray(context.T)
+        vectors = [self.before.take(a, 0) for a in at]
         q = sum(v * w for v, w in zip(vectors, self.weight))
         offset = self.bias - np.log(k * self.noise).astype(np.float32)
         target = self.after.take(classes, 0)
         own = (q * target).sum(1) + offset[classes]
-        others = q @ self.after[noise].T + offset[noise]
+        others = q @ self.after[noise].T
+        others += offset[noise]
         g_own = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # towards 1
-        g_noise = -1 / (1 + np.exp(-np.clip(others, -30, 30)))  # towards 0
+        np.clip(others, -30, 30, out=others)
+        np.negative(others, out=others)
+        np.exp(others, out=others)
+        others += 1
+        g_noise = np.divide(-1, others, out=others)  # towards 0
         g_q = g_own[:, None] * target + g_noise @ self.after[noise]
         gradient = np.zeros_like(self.values)
         before, weight, after, bias = self._parts(gradient)
@@ -176,7 +189,7 @@ class Bilinear:
         np.add.at(bias, noise, g_noise.sum(0))
         for d in range(CONTEXT):
             weight[d] = (vectors[d] * g_q).sum(0)
-            before += _scatter(context[:, d], g_q * self.weight[d], CLASSES + 1)
+            before += _scatter(at[d], g_q * self.weight[d], CLASSES + 1)
         gradient /= len(classes)
         self.squares += gradient * gradient
         self.values += rate * gradient / np.sqrt(self.squares)
@@ -185,33 +198,35 @@ class Bilinear:
         order = rng.permutation(len(classes))
         for at in range(0, len(order), BATCH):
             some = order[at:at + BATCH]
-            self.learn(classes[some], context[some], rate, rng)
+            self.learn(classes.take(some), context.take(some, 0), rate, rng)
 
     def log10(self, classes: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each token's class."""
         out = np.empty(len(classes))
-        after = np.concatenate([self.after, self.bias[:, None]], 1).T  # the bias as one more dimension
+        after = np.ascontiguousarray(np.concatenate([self.after, self.bias[:, None]], 1).T)  # the bias as one more dimension
         weighted, ones = self.weighted(), np.ones(CLASSES, np.float32)
         longest, highest = float(np.sqrt((self.after ** 2).sum(1)).max()), float(np.abs(self.bias).max())
-        for at in range(0, len(classes), BATCH):
-            q = self.predicted(weighted, context[at:at + BATCH])
-            top = np.zeros(len(q), np.float32)
+        most = min(_SCORED, len(classes))
+        vectors, space, first = np.ones((most, DIM + 1), np.float32), np.empty((most, CLASSES), np.float32), np.arange(most) * CLASSES
+        for at in range(0, len(classes), _SCORED):
+            here = classes[at:at + _SCORED]
+            q, scores, top = vectors[:len(here)], space[:len(here)], np.float32(0)
+            q[:, :DIM] = self.predicted(weighted, context[at:at + _SCORED])
             # scores that no exponential can overflow or lose need no maximum taken off first
-            far = float(np.sqrt((q * q).sum(1)).max()) * longest + highest > 60
-            scores = np.concatenate([q, np.ones((len(q), 1), q.dtype)], 1) @ after
-            own = scores[np.arange(len(scores)), classes[at:at + BATCH]]
+            far = float(np.sqrt(np.einsum("ij,ij->i", q, q).max() - 1)) * longest + highest > 60
+            np.matmul(q, after, out=scores)
+            own = scores.ravel().take(first[:len(here)] + here)
             if far:
                 top = scores.max(1)
                 scores -= top[:, None]
             np.exp(scores, out=scores)
-            out[at:at + BATCH] = own - top - np.log(scores @ ones)
+            out[at:at + _SCORED] = own - top - np.log(scores @ ones)
         return out / np.log(10)
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by number."""
-    place = (at[:, None] * DIM + np.arange(DIM)).ravel()
-    return np.bincount(place, rows.ravel(), n * DIM).reshape(n, DIM)
+    return np.bincount(_PLACES.take(at, 0).ravel(), rows.ravel(), n * DIM).reshape(n, DIM)
 
 
 def _class_sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

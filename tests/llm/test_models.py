@@ -323,3 +323,24 @@ def test_python_workers_give_memory_back_after_a_task(monkeypatch):
     df = SimpleNamespace(sparkSession=SimpleNamespace(conf=conf), mapInArrow=lambda run, schema: run)
     run = base.map_arrow(df, lambda batches: (b + 1 for b in batches), "x int")
     assert list(run(iter([1, 2]))) == [2, 3] and done == ["released"]
+
+
+def test_scores_of_all_classes_are_held_for_few_tokens_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    model = lm.Bilinear(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    classes, context = rng.integers(0, lm.CLASSES, 5000), rng.integers(0, lm.CLASSES + 1, (5000, lm.CONTEXT))
+    model.train(classes, context, 0.2, rng)
+    tracemalloc.start()
+    got = model.log10(classes, context)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3e6
+    q = sum(model.before[context[:, d]].astype(float) * model.weight[d] for d in range(lm.CONTEXT))
+    scores = q @ model.after.T.astype(float) + model.bias
+    expected = scores[np.arange(5000), classes] - np.log(np.exp(scores).sum(1))
+    assert np.allclose(got, expected / np.log(10), atol=1e-5)
+    model.bias += 70  # too far for plain exponentials
+    assert np.allclose(model.log10(classes, context), got, atol=1e-4)
+    assert model.log10(classes[:0], context[:0]).tolist() == []

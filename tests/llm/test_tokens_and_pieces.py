@@ -131,3 +131,25 @@ def test_texts_without_personal_data_take_little_memory():
     found = []
     assert peak_mb(lambda: found.extend(pii._found(column, None))) < 40
     assert [len(own) for own, _ in found] == [0] * 1000 + [1, 0, 0]
+
+
+def test_word_hashes_take_little_memory_and_do_not_depend_on_places():
+    import pyarrow as pa
+
+    from aislekit.llm import base
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(map(chr, rng.choice([65, 66, 97, 98, 122, 233, 0x4E2D], n))) for n in rng.integers(1, 40, 300)) for _ in range(60)] + ["", "x" * 256, "a"]
+    words = base.Words(pa.array(texts))
+
+    def one(word: bytes) -> int:
+        total = sum(int(base.LOWER_VALUES[c]) * pow(0x5851F42D4C957F2D, i, 1 << 64) for i, c in enumerate(word)) + len(word) * 0x9E3779B97F4A7C15
+        return int(base.mix(np.array([total & (1 << 64) - 1], np.uint64))[0])
+
+    raw = words.data.tobytes()
+    assert len(raw) > 4 * base.CHUNK_BYTES // 16 and words.hashes().tolist() == [one(raw[a:b]) for a, b in zip(words.start, words.end)]
+    # one byte before the others moves every word, and changes none
+    moved = base.Words(pa.array(["y", *texts])).hashes()
+    assert moved[1:].tolist() == words.hashes().tolist()
+    plain = base.Words(pa.array(["some words of a plain text " * 1000] * 40))
+    assert peak_mb(plain.hashes) < 40 * len(plain.data) / 1e6
