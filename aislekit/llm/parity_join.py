@@ -17,8 +17,10 @@ of each group; after that, groups within one component need no look any more. A
 has all its equal words in large groups of several components, and it has as many as its layout has blocks
 to spare: a document is looked at in its rarest such groups alone, all but that many (prefix filtering), and
 there every pair of near sketches across components is verified. Large groups are cut into bounded
-parts, and parts meet in pairs inside a task on folded sketches; only pairs leave it, and whole
-sketches are fetched for these.
+parts, and parts meet in pairs inside a task on folded sketches. Near copies that are no links are as many
+as the square of a group, so no pairs leave these tasks, only the documents that have a near one. Their sets meet
+in tasks again, and of the links found there a spanning forest of the components leaves a task. Groups of one family
+of near copies have much the same members: they share their greatest component, and meet once, not group by group.
 
 Equal sets are one node, known by a 64-bit hash of the set.
 """
@@ -39,8 +41,10 @@ from aislekit.session import written
 BAND, BITS = 1.5, 16
 #: Documents of a group whose pairs are all candidates; of larger groups one in so many takes part in the first pass.
 SMALL, FIRST = 8, 8
-#: Documents of a group that one task compares with as many others.
-PART = 1024
+#: Documents of a group that one task compares with as many others, and shingles of theirs if it takes whole sets.
+PART, PART_SHINGLES = 1024, 1 << 20
+#: Share of a group's documents in its greatest component from which on the group is looked at with that component's others.
+FAMILY = 0.5
 #: Bits of the filter in which the nodes to verify are marked: as many for each node, within bounds that a driver
 #: and a task can hold. It only spares work, the join after it decides.
 FILTER_PER_NODE, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 26
@@ -269,44 +273,131 @@ def _near(pairs: DataFrame, nodes: DataFrame, layouts: Layouts) -> DataFrame:
     return map_arrow(met.select("a", "b", "n_a", "n_b", "s_a", "s_b"), run, "a bigint, b bigint")
 
 
-def _candidates(members: DataFrame, layouts: Layouts, forest: bool) -> DataFrame:
-    """(a, b) of near sketches in different components, of rows (key, node, n, brief, component) grouped by key.
+def _cut(members: DataFrame, key: str, alone: bool = False, shingles: int = 1 << 62) -> DataFrame:
+    """The members, each once for every pair (p, q) of parts of its group `key` that its own `part` belongs to.
 
-    A group of more than PART rows is cut into parts by the node, and every pair of parts meets in a task
-    of its own, or, for a forest, every part with itself alone.
+    A group of more than PART rows, or more than so many shingles `n`, is cut into parts by the node, and every
+    pair of parts meets in a task of its own, or every part with itself `alone`.
     """
-    counted = members.groupBy("key").agg(F.count("*").alias("rows"))
-    cut = members.join(counted, "key").withColumn("parts", F.ceil(F.col("rows") / PART).cast("int"))
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    others = F.array(F.col("part")) if forest else F.sequence(F.lit(0), F.col("parts") - 1)
+    counted = members.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / shingles)).cast("int").alias("parts"))
+    cut = members.join(counted, key).withColumn("part", F.pmod(F.xxhash64("node", key), F.col("parts")).cast("int"))
+    others = F.array(F.col("part")) if alone else F.sequence(F.lit(0), F.col("parts") - 1)
     cut = cut.withColumn("other", F.explode(others))
-    cut = cut.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "n", "brief", "component")
+    return cut.select(key, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", *(c for c in members.columns if c != key))
 
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two parts that meet in a task, twice the same ones if a part meets itself."""
+    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    part = np.asarray(table.column("part"))
+    return np.flatnonzero(part == p), np.flatnonzero(part == q)
+
+
+def _meetings(keys: list[list[int]], left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows to compare so that all pairs of a row `left` and one `right` with a key in common are: key by key, or all at once if these are fewer pairs."""
+    by_key: tuple[dict[int, list[int]], ...] = ({}, {})
+    for rows, of in zip((left, right), by_key):
+        for row in rows.tolist():
+            for key in keys[row]:
+                of.setdefault(key, []).append(row)
+    both = [(x, by_key[1][key]) for key, x in by_key[0].items() if key in by_key[1]]
+    if len(left) * len(right) <= sum(len(x) * len(y) for x, y in both):
+        return [(left, right)]
+    return [(np.array(x), np.array(y)) for x, y in both]
+
+
+def _met(rows: list[np.ndarray], meetings: list[tuple[np.ndarray, np.ndarray]], layouts: Layouts) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct `near_pairs` (i, j), i below j, of `rows` (nodes, sizes, sketches, components) in all the meetings, by i."""
+    found = [np.zeros(0, np.int64)]
+    for left, right in meetings:
+        if len(left) and len(right):
+            i, j = near_pairs([x[left] for x in rows], [x[right] for x in rows], layouts)
+            i, j = left[i], right[j]
+            found.append(np.unique(np.minimum(i, j) * len(rows[0]) + np.maximum(i, j)))
+    return np.divmod(np.unique(np.concatenate(found)), max(1, len(rows[0])))
+
+
+def _briefs(table: pa.Table) -> list[np.ndarray]:
+    return [np.asarray(table.column("node")), np.asarray(table.column("n")), np.array(table.column("brief").to_pylist(), object), np.asarray(table.column("component"))]
+
+
+def _candidates(members: DataFrame, layouts: Layouts) -> DataFrame:
+    """(a, b) of near sketches, a spanning forest of each part of each group, of rows (key, node, n, brief, component)."""
     def meet(table: pa.Table) -> pa.Table:
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        part = np.asarray(table.column("part"))
-        data = [np.asarray(table.column("node")), np.asarray(table.column("n")), np.array(table.column("brief").to_pylist(), object), np.asarray(table.column("component"))]
-        left = [x[part == p] for x in data]
-        right = left if p == q else [x[part == q] for x in data]
-        if len(left[0]) == 0 or len(right[0]) == 0:
-            i = j = np.zeros(0, np.int64)
-        else:
-            i, j = near_pairs(left, right, layouts)
-        if p == q:
-            i, j = i[i < j], j[i < j]
-            if forest and len(i):
-                keep = _forest(i, j, left[3])
-                i, j = i[keep], j[keep]
-        return pa.table({"a": pa.array(left[0][i], pa.int64()), "b": pa.array(right[0][j], pa.int64())})
-
-    found = cut.groupBy("key", "p", "q").applyInArrow(meet, "a bigint, b bigint")
+        node, _, _, component = rows = _briefs(table)
+        i, j = _met(rows, [_sides(table)], layouts)
+        if len(i):
+            keep = _forest(i, j, component)
+            i, j = i[keep], j[keep]
+        return pa.table({"a": pa.array(node[i], pa.int64()), "b": pa.array(node[j], pa.int64())})
+
+    found = _cut(members, "key", alone=True).groupBy("key", "p", "q").applyInArrow(meet, "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough. Only the sets of their nodes are made, each from one of its documents."""
-    pairs = written(pairs, "join-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _families(members: DataFrame, share: float) -> DataFrame:
+    """(family, node, component, keys) of the distinct members (key, node, component): groups whose greatest component
+    has such a share of their rows are a family with the others of that component, other groups are one each."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("most"), F.sum("rows").alias("rows"))
+    family = F.when(F.col("most.rows") >= F.col("rows") * share, F.col("most.component")).otherwise(F.col("key"))
+    return members.join(sizes.select("key", family.alias("family")), "key").groupBy("family", "node").agg(
+        F.first("component").alias("component"), F.collect_list("key").alias("keys"))  # as many keys as the node has words, at most
+
+
+def _near_ones(members: DataFrame, layouts: Layouts) -> DataFrame:
+    """(node, component, keys), perhaps repeated: the members (family, node, component, keys, n, brief) that have a near sketch of another component in their family."""
+    def meet(table: pa.Table) -> pa.Table:
+        i, j = _met(_briefs(table), _meetings(table.column("keys").to_pylist(), *_sides(table)), layouts)
+        return table.select(["node", "component", "keys"]).take(pa.array(np.union1d(i, j))).cast(made)
+
+    number = pa.int64()
+    made = pa.schema([("node", number), ("component", number), ("keys", pa.list_(pa.field("element", number)))])
+    return _cut(members, "family").groupBy("family", "p", "q").applyInArrow(meet, "node bigint, component bigint, keys array<bigint>")
+
+
+def linked_forest(i: np.ndarray, j: np.ndarray, hashes: np.ndarray, size: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) of rows, by i, a spanning forest of the components that linked ones join. The rows' shingles are in `hashes`, one row after the other."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    number = np.unique(hashes, return_inverse=True)[1]
+    own = np.zeros(len(hashes), np.int64)
+    label = np.unique(component, return_inverse=True)[1]
+    out = []
+    for x, others in zip(np.unique(i).tolist(), np.split(j, np.flatnonzero(np.diff(i)) + 1)):
+        others = others[label[others] != label[x]]
+        if len(others) == 0:
+            continue
+        many = size[others]
+        start = np.cumsum(many) - many
+        own[number[ends[x]:ends[x + 1]]] = 1
+        common = np.add.reduceat(own[number[np.repeat(ends[others] - start, many) + np.arange(many.sum())]], start)
+        own[number[ends[x]:ends[x + 1]]] = 0
+        for y in others[common * 100 >= (size[x] + many - common) * percent].tolist():
+            if label[y] != label[x]:
+                out.append((x, y))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def _links_across(near: DataFrame, nodes: DataFrame, docs: DataFrame, sketched: DataFrame, layouts: Layouts, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components which the links within groups of `near` (node, component, keys) join."""
+    members = _families(near.select("node", "component", F.explode("keys").alias("key")).distinct(), 0.0)
+    sets = _sets_of(near.select("node").distinct(), docs, sketched, k)
+    cut = _cut(members.join(nodes.select("node", "n"), "node"), "family", shingles=PART_SHINGLES).join(sets, "node")
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, size, component = (np.asarray(table.column(c)) for c in ("node", "n", "component"))
+        hashes = np.asarray(table.column("shingles").combine_chunks().flatten()).view(np.uint64)
+        sketch = np.array(_sketches(layouts, np.repeat(np.arange(len(size)), size), hashes, size), object)
+        i, j = _met([node, size, sketch, component], _meetings(table.column("keys").to_pylist(), *_sides(table)), layouts)
+        found = linked_forest(i, j, hashes, size, component, percent)
+        return pa.table({end: pa.array([node[x[e]] for x in found], pa.int64()) for e, end in enumerate("ab")})
+
+    return cut.groupBy("family", "p", "q").applyInArrow(meet, "a bigint, b bigint")
+
+
+def _sets_of(nodes: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the distinct nodes. Only their sets are made, each from one of its documents."""
     # one document for each node, found by its row hash; marks in a filter spare most of the others
     owners = sketched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
     owners = written(owners, "join-owners")
@@ -331,7 +422,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int, pe
 
     sets = map_arrow(docs.select("mark", "text"), run, "mark bigint, node bigint, shingles array<bigint>")
     sets = sets.join(owners, ["mark", "node"], "left_semi").dropDuplicates(["node"]).drop("mark")
-    sets = written(sets, "join-sets")
+    return written(sets.select("node", "shingles"), "join-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+    pairs = written(pairs, "join-pairs")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, sketched, k)
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     met = met.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     met = met.withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -405,13 +502,13 @@ def _linked(table: DataFrame, docs: DataFrame, sketched: DataFrame, layouts: Lay
     brief = nodes.select("node", "n", "brief")
     first = large.drop("rows").where(F.pmod(F.shiftright("key", 1), F.lit(FIRST)) == 0).join(brief, "node").withColumn("component", F.col("node"))
     pairs = _near(_small_pairs(shared.where(F.col("rows") <= SMALL)), nodes, layouts)
-    pairs = pairs.union(_candidates(first, layouts, True)).distinct()
+    pairs = pairs.union(_candidates(first, layouts)).distinct()
     links = written(_verified(pairs, docs, sketched, k, percent), "join-links")
     labels = components(links)
     named = large.join(labels, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     rest = written(_rarest(_mixed(named), nodes.select("node", "even", "odd")), "join-rest")
-    found = _candidates(_mixed(rest).join(brief, "node"), layouts, False)
-    more = _verified(_near(found, nodes, layouts), docs, sketched, k, percent)
+    near = written(_near_ones(_families(_mixed(rest), FAMILY).join(brief, "node"), layouts), "join-near")
+    more = _links_across(near, nodes, docs, sketched, layouts, k, percent)
     return components(links.union(more))
 
 

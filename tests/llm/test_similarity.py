@@ -103,6 +103,70 @@ def test_long_groups_are_cut_into_parts(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in J.similar_texts(docs).collect()} == {i: least[r] for i, r in enumerate(roots)}
 
 
+def family(n: int) -> list[str]:
+    """Copies of a text with one word in a place of its own, or two, changed: many are near ones of many and linked with few."""
+    rng = random.Random(n)
+    base = prose(88, 146).split(" ")
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(146), 1 if i % 4 == 0 else 2):
+            words[at] = f"new{i}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("part,shingles,share", [(1024, 1 << 20, 0.5), (16, 1 << 11, 0.5), (32, 1 << 12, 0.0), (32, 1 << 12, 1.1)])
+def test_links_of_a_family_whose_copies_are_near_but_not_linked(spark, monkeypatch, part, shingles, share):
+    monkeypatch.setattr(J, "PART", part)
+    monkeypatch.setattr(J, "PART_SHINGLES", shingles)
+    monkeypatch.setattr(J, "FAMILY", share)
+    texts = family(60) + [edited(prose(89, 146), s, (30, 60, 200)[s % 3]) for s in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    roots = brute_components([shingle_set(t, 4) for t in texts], 85)
+    least = {}
+    for i, r in enumerate(roots):
+        least.setdefault(r, i)
+    assert {r["doc_id"]: r["component_id"] for r in J.similar_texts(docs).collect()} == {i: least[r] for i, r in enumerate(roots)}
+
+
+def test_rows_that_leave_tasks_grow_with_a_family_not_with_its_square(spark, monkeypatch):
+    kind = type(spark.range(1).groupBy("id"))
+    plain, made = kind.applyInArrow, []
+
+    def counted(self, function, schema):
+        made.append(plain(self, function, schema))
+        return made[-1]
+
+    monkeypatch.setattr(kind, "applyInArrow", counted)
+    rows = []
+    for n in (100, 200):
+        docs = spark.createDataFrame(list(enumerate(family(n))), "doc_id bigint, text string")
+        made.clear()
+        assert J.similar_texts(docs).count() == n
+        rows.append(sum(x.count() for x in made))
+    assert rows[1] < 2.6 * rows[0]
+
+
+def test_forest_of_linked_rows():
+    sets = [{1, 2, 3, 4}, {1, 2, 3, 5}, {1, 2, 3, 4, 5}, {7, 8}, {7, 8}, {9}]
+    hashes, size = np.concatenate([sorted(s) for s in sets]).astype(np.uint64), np.array([len(s) for s in sets])
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(6) for b in range(a + 1, 6)]))
+    joined = lambda percent, component: J.linked_forest(i, j, hashes, size, np.array(component), percent)
+    assert joined(80, range(6)) == [(0, 2), (1, 2), (3, 4)]
+    assert joined(81, range(6)) == [(3, 4)] and joined(80, [5, 5, 5, 6, 6, 7]) == []
+    assert joined(80, [5, 5, 6, 6, 7, 8]) == [(0, 2), (3, 4)]
+    assert J.linked_forest(i[:0], j[:0], hashes, size, np.arange(6), 80) == []
+
+
+def test_meetings_hold_all_pairs_with_a_key_in_common():
+    keys, left, right = [[1], [1, 2], [2], [3], [4]], np.array([0, 1]), np.array([2, 3, 4])
+    assert [(x.tolist(), y.tolist()) for x, y in J._meetings(keys, left, right)] == [([1], [2])]
+    same = [[1, 2], [1, 2], [1, 2]]
+    assert [len(x) for x in J._meetings(same, np.arange(3), np.arange(3))[0]] == [3, 3] and len(J._meetings(same, np.arange(3), np.arange(3))) == 1
+    assert J._meetings([[1], [2]], np.array([0]), np.array([1])) == []
+
+
 def test_similar_texts_on_odd_rows(spark):
     found = J.similar_texts(odd_docs(spark)).collect()
     assert len(found) == len(odd_rows())
