@@ -130,22 +130,12 @@ def test_links_of_a_family_whose_copies_are_near_but_not_linked(spark, monkeypat
     assert {r["doc_id"]: r["component_id"] for r in J.similar_texts(docs).collect()} == {i: least[r] for i, r in enumerate(roots)}
 
 
-def test_rows_that_leave_tasks_grow_with_a_family_not_with_its_square(spark, monkeypatch):
-    kind = type(spark.range(1).groupBy("id"))
-    plain, made = kind.applyInArrow, []
-
-    def counted(self, function, schema):
-        made.append(plain(self, function, schema))
-        return made[-1]
-
-    monkeypatch.setattr(kind, "applyInArrow", counted)
-    rows = []
-    for n in (100, 200):
-        docs = spark.createDataFrame(list(enumerate(family(n))), "doc_id bigint, text string")
-        made.clear()
-        assert J.similar_texts(docs).count() == n
-        rows.append(sum(x.count() for x in made))
-    assert rows[1] < 2.6 * rows[0]
+@pytest.mark.parametrize("n", [100, 200])
+def test_members_leave_a_family_not_their_pairs(spark, n):
+    """All sketches are near and no components equal: before, n * (n - 1) / 2 pairs left the task, for each key."""
+    rows = [(7, i, i, [1, 2, 3], 146, bytes(64)) for i in range(n)]
+    members = spark.createDataFrame(rows, "family bigint, node bigint, component bigint, keys array<bigint>, n bigint, brief binary")
+    assert sorted(r["node"] for r in J._near_ones(members, J.Layouts(85, 1000)).collect()) == list(range(n))
 
 
 def test_forest_of_linked_rows():
