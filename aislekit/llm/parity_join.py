@@ -21,6 +21,8 @@ parts, and parts meet in pairs inside a task on folded sketches. Near copies tha
 as the square of a group, so no pairs leave these tasks, only the documents that have a near one. Their sets meet
 in tasks again, and of the links found there a spanning forest of the components leaves a task. Groups of one family
 of near copies have much the same members: they share their greatest component, and meet once, not group by group.
+Parts within that component never meet. So a family's rows grow in proportion to it as long as the others fill a
+part, and with the product of others and parts beyond.
 
 Equal sets are one node, known by a 64-bit hash of the set.
 """
@@ -43,6 +45,8 @@ BAND, BITS = 1.5, 16
 SMALL, FIRST = 8, 8
 #: Documents of a group that one task compares with as many others, and shingles of theirs if it takes whole sets.
 PART, PART_SHINGLES = 1024, 1 << 20
+#: Times as many documents and shingles if a task takes folded sketches and keeps no pairs.
+WIDE, WIDE_SHINGLES = 8, 1 << 26
 #: Share of a group's documents in its greatest component from which on the group is looked at with that component's others.
 FAMILY = 0.5
 #: Bits of the filter in which the nodes to verify are marked: as many for each node, within bounds that a driver
@@ -273,15 +277,25 @@ def _near(pairs: DataFrame, nodes: DataFrame, layouts: Layouts) -> DataFrame:
     return map_arrow(met.select("a", "b", "n_a", "n_b", "s_a", "s_b"), run, "a bigint, b bigint")
 
 
-def _cut(members: DataFrame, key: str, alone: bool = False, shingles: int = 1 << 62) -> DataFrame:
+def _cut(members: DataFrame, key: str, alone: bool = False, rows: int | None = None, shingles: int = 1 << 62) -> DataFrame:
     """The members, each once for every pair (p, q) of parts of its group `key` that its own `part` belongs to.
 
-    A group of more than PART rows, or more than so many shingles `n`, is cut into parts by the node, and every
-    pair of parts meets in a task of its own, or every part with itself `alone`.
+    A group of more than `rows` rows (PART), or more than so many shingles `n`, is cut into parts by the node. Every part
+    meets itself `alone`; otherwise every pair of parts meets in a task of its own, but those of the component that has
+    the number `key` are cut apart from the others and do not meet each other.
     """
-    counted = members.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / shingles)).cast("int").alias("parts"))
-    cut = members.join(counted, key).withColumn("part", F.pmod(F.xxhash64("node", key), F.col("parts")).cast("int"))
-    others = F.array(F.col("part")) if alone else F.sequence(F.lit(0), F.col("parts") - 1)
+    def parts(some):
+        return F.greatest(F.ceil(F.count_if(some) / (rows or PART)), F.ceil(F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)) / shingles)).cast("int")
+
+    one = F.lit(False) if alone else F.col("component") == F.col(key)
+    counted = members.groupBy(key).agg(parts(F.lit(True)).alias("all"), parts(one).alias("one"), parts(~one).alias("rest"))
+    whole = F.col("all") == 1
+    counted = counted.select(key, F.when(whole, 0).otherwise(F.col("one")).alias("one"), F.when(whole, 1).otherwise(F.col("rest")).alias("rest"))
+    cut = members.join(counted, key).withColumn("first", one & (F.col("one") > 0))
+    own = F.greatest(F.when(F.col("first"), F.col("one")).otherwise(F.col("rest")), F.lit(1))
+    cut = cut.withColumn("part", (F.pmod(F.xxhash64("node", key), own) + F.when(F.col("first"), 0).otherwise(F.col("one"))).cast("int"))
+    begin, end = F.when(F.col("first"), F.col("one")).otherwise(0), F.col("one") + F.col("rest") - 1
+    others = F.array(F.col("part")) if alone else F.when(begin <= end, F.sequence(begin, end))
     cut = cut.withColumn("other", F.explode(others))
     return cut.select(key, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", *(c for c in members.columns if c != key))
 
@@ -336,24 +350,54 @@ def _candidates(members: DataFrame, layouts: Layouts) -> DataFrame:
 
 
 def _families(members: DataFrame, share: float) -> DataFrame:
-    """(family, node, component, keys) of the distinct members (key, node, component): groups whose greatest component
-    has such a share of their rows are a family with the others of that component, other groups are one each."""
+    """(family, most, node, component, keys) of the distinct members (key, node, component): groups whose greatest component
+    has such a share of their rows are a family with the others of that component, other groups are one each. `most` is
+    the greatest component of all groups of the family."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("rows"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("most"), F.sum("rows").alias("rows"))
     family = F.when(F.col("most.rows") >= F.col("rows") * share, F.col("most.component")).otherwise(F.col("key"))
-    return members.join(sizes.select("key", family.alias("family")), "key").groupBy("family", "node").agg(
-        F.first("component").alias("component"), F.collect_list("key").alias("keys"))  # as many keys as the node has words, at most
+    return members.join(sizes.select("key", family.alias("family"), F.col("most.component").alias("most")), "key").groupBy("family", "most", "node").agg(
+        F.first("component").alias("component"), F.array_sort(F.collect_list("key")).alias("keys"))  # as many keys as the node has words, at most
+
+
+def have_near(rows: list[np.ndarray], meetings: list[tuple[np.ndarray, np.ndarray]], layouts: Layouts) -> np.ndarray:
+    """Whether each of `rows` has `near_pairs` in the meetings. Two rows that are known to have some are not compared any more."""
+    near = np.zeros(len(rows[0]), bool)
+
+    def mark(x: np.ndarray, y: np.ndarray) -> None:
+        if len(x) and len(y):
+            i, j = near_pairs([c[x] for c in rows], [c[y] for c in rows], layouts)
+            near[x[i]] = near[y[j]] = True
+
+    for left, right in meetings:
+        for s in range(0, len(left), PART):
+            for t in range(0, len(right), PART):
+                x, y = left[s:s + PART], right[t:t + PART]
+                known = near[x]
+                mark(x[~known], y)
+                mark(x[known], y[~near[y]])
+    return near
 
 
 def _near_ones(members: DataFrame, layouts: Layouts) -> DataFrame:
-    """(node, component, keys), perhaps repeated: the members (family, node, component, keys, n, brief) that have a near sketch of another component in their family."""
+    """The members (family, node, component, keys, n, brief, ...) without n and brief that have a near sketch of another
+    component in their family, once for each meeting of parts that shows it."""
+    kept = [c for c in members.columns if c not in ("n", "brief")]
+    number = pa.int64()
+    made = pa.schema([(c, pa.list_(pa.field("element", number)) if c == "keys" else number) for c in kept])
+
     def meet(table: pa.Table) -> pa.Table:
-        i, j = _met(_briefs(table), _meetings(table.column("keys").to_pylist(), *_sides(table)), layouts)
-        return table.select(["node", "component", "keys"]).take(pa.array(np.union1d(i, j))).cast(made)
+        near = have_near(_briefs(table), _meetings(table.column("keys").to_pylist(), *_sides(table)), layouts)
+        return table.select(kept).filter(pa.array(near)).cast(made)
 
-    number = pa.int64()
-    made = pa.schema([("node", number), ("component", number), ("keys", pa.list_(pa.field("element", number)))])
-    return _cut(members, "family").groupBy("family", "p", "q").applyInArrow(meet, "node bigint, component bigint, keys array<bigint>")
+    cut = _cut(members, "family", rows=PART * WIDE, shingles=WIDE_SHINGLES)
+    return cut.groupBy("family", "p", "q").applyInArrow(meet, ", ".join(f"{c} {'array<bigint>' if c == 'keys' else 'bigint'}" for c in kept))
+
+
+def _once(near: DataFrame) -> DataFrame:
+    """(family, node, component, keys), each node once in a family with all its keys there: families of one greatest component are one."""
+    keys = F.array_distinct(F.flatten(F.collect_set("keys")))  # as many as the node has words, at most
+    return near.groupBy(F.col("most").alias("family"), "node").agg(F.first("component").alias("component"), keys.alias("keys"))
 
 
 def linked_forest(i: np.ndarray, j: np.ndarray, hashes: np.ndarray, size: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -380,10 +424,9 @@ def linked_forest(i: np.ndarray, j: np.ndarray, hashes: np.ndarray, size: np.nda
 
 
 def _links_across(near: DataFrame, nodes: DataFrame, docs: DataFrame, sketched: DataFrame, layouts: Layouts, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that join all components which the links within groups of `near` (node, component, keys) join."""
-    members = _families(near.select("node", "component", F.explode("keys").alias("key")).distinct(), 0.0)
+    """Links (a, b) that join all components which the links within groups of `near` (family, node, component, keys) join."""
     sets = _sets_of(near.select("node").distinct(), docs, sketched, k)
-    cut = _cut(members.join(nodes.select("node", "n"), "node"), "family", shingles=PART_SHINGLES).join(sets, "node")
+    cut = _cut(near.join(nodes.select("node", "n"), "node"), "family", shingles=PART_SHINGLES).join(sets, "node")
 
     def meet(table: pa.Table) -> pa.Table:
         node, size, component = (np.asarray(table.column(c)) for c in ("node", "n", "component"))
@@ -507,7 +550,7 @@ def _linked(table: DataFrame, docs: DataFrame, sketched: DataFrame, layouts: Lay
     labels = components(links)
     named = large.join(labels, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     rest = written(_rarest(_mixed(named), nodes.select("node", "even", "odd")), "join-rest")
-    near = written(_near_ones(_families(_mixed(rest), FAMILY).join(brief, "node"), layouts), "join-near")
+    near = written(_once(_near_ones(_families(_mixed(rest), FAMILY).join(brief, "node"), layouts)), "join-near")
     more = _links_across(near, nodes, docs, sketched, layouts, k, percent)
     return components(links.union(more))
 

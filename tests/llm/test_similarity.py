@@ -138,6 +138,80 @@ def test_members_leave_a_family_not_their_pairs(spark, n):
     assert sorted(r["node"] for r in J._near_ones(members, J.Layouts(85, 1000)).collect()) == list(range(n))
 
 
+def test_members_of_many_parts_meet_again_once_each(spark, monkeypatch):
+    """Before, each of the 60 left every pair of parts that showed it, and was taken apart by its keys each time."""
+    monkeypatch.setattr(J, "PART", 2)
+    rows = [(key, i, i if i < 30 else 99) for i in range(60) for key in (7, 9, 11)]
+    members = J._families(spark.createDataFrame(rows, "key bigint, node bigint, component bigint"), 0.5)
+    brief = spark.createDataFrame([(i, 146, bytes(64)) for i in range(60)], "node bigint, n bigint, brief binary")
+    near = J._near_ones(members.join(brief, "node"), J.Layouts(85, 1000))
+    assert near.count() > 60
+    assert sorted(map(tuple, J._once(near).collect())) == [(99, i, c, [7, 9, 11]) for i, c in sorted({(i, c) for _, i, c in rows})]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.1])
+def test_groups_of_one_greatest_component_are_one_family_again(spark, share):
+    rows = [(key, i, 5 if i < 4 else i) for key in (1, 2) for i in range(10)] + [(3, 8, 8), (3, 9, 9)]
+    members = J._families(spark.createDataFrame(rows, "key bigint, node bigint, component bigint"), share)
+    found = {(r["family"], r["node"]): sorted(r["keys"]) for r in J._once(members).collect()}
+    assert found == {(5, i): [1, 2] for i in range(10)} | {(9, 8): [3], (9, 9): [3]}
+
+
+@pytest.mark.parametrize("n", [400, 800])
+def test_parts_of_one_component_do_not_meet(spark, monkeypatch, n):
+    """Rows of a family with ten others grow with it; before, each of its rows entered as many tasks as it has parts."""
+    monkeypatch.setattr(J, "PART", 16)
+    rows = [(7, i, 7 if i >= 10 else 100 + i, 146) for i in range(n)]
+    cut = J._cut(spark.createDataFrame(rows, "family bigint, node bigint, component bigint, n bigint"), "family").collect()
+    assert len(cut) <= (n - 10) + 10 * (n // 16 + 2)
+    tasks = {}
+    for r in cut:
+        tasks.setdefault((r["p"], r["q"]), {}).setdefault(r["part"], []).append(r["node"])
+    met = {frozenset((a, b)) for (p, q), parts in tasks.items() for a in parts.get(p, []) for b in parts.get(q, []) if a != b}
+    assert all(len(x) <= 64 for parts in tasks.values() for x in parts.values())
+    assert met >= {frozenset((a, b)) for a in range(10) for b in range(n) if a != b}
+    assert not any(min(x) >= 10 for x in met)
+
+
+def test_a_family_of_one_component_meets_nowhere(spark, monkeypatch):
+    monkeypatch.setattr(J, "PART", 4)
+    rows = [(7, i, 7, 146) for i in range(20)] + [(8, i, i, 146) for i in range(3)]
+    cut = J._cut(spark.createDataFrame(rows, "family bigint, node bigint, component bigint, n bigint"), "family").collect()
+    assert sorted((r["family"], r["p"], r["q"], r["node"]) for r in cut) == [(8, 0, 0, i) for i in range(3)]
+
+
+@pytest.mark.parametrize("part", [1, 7, 64])
+def test_rows_that_have_a_near_one(monkeypatch, part):
+    monkeypatch.setattr(J, "PART", part)
+    rng = np.random.default_rng(3)
+    layouts = J.Layouts(85, 1000)
+    base = rng.integers(0, 256, (8, 128), np.uint8)
+    sketch = []
+    for i in range(60):
+        x = np.unpackbits(base[i % 8])
+        x[rng.integers(0, 1024, 5 + i // 4)] ^= 1
+        sketch.append(np.packbits(x).tobytes())
+    rows = [np.arange(60), np.full(60, 146), np.array(sketch, object), rng.integers(0, 20, 60)]
+    meetings = [(np.arange(0, 30), np.arange(20, 60)), (np.arange(50), np.arange(50))]
+    i, j = J._met(rows, meetings, layouts)
+    assert 0 < len(np.union1d(i, j)) < 60
+    assert np.flatnonzero(J.have_near(rows, meetings, layouts)).tolist() == np.union1d(i, j).tolist()
+
+
+@pytest.mark.parametrize("part,wide,share", [(8, 1, 0.5), (8, 2, 0.0), (8, 1, 1.1)])
+def test_links_of_families_cut_into_many_parts(spark, monkeypatch, part, wide, share):
+    monkeypatch.setattr(J, "PART", part)
+    monkeypatch.setattr(J, "WIDE", wide)
+    monkeypatch.setattr(J, "FAMILY", share)
+    texts = family(70) + [edited(prose(89, 146), s, (30, 60, 200)[s % 3]) for s in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    roots = brute_components([shingle_set(t, 5) for t in texts], 80)
+    least = {}
+    for i, r in enumerate(roots):
+        least.setdefault(r, i)
+    assert {r["doc_id"]: r["component_id"] for r in J.similar_texts(docs, words=5, percent=80).collect()} == {i: least[r] for i, r in enumerate(roots)}
+
+
 def test_forest_of_linked_rows():
     sets = [{1, 2, 3, 4}, {1, 2, 3, 5}, {1, 2, 3, 4, 5}, {7, 8}, {7, 8}, {9}]
     hashes, size = np.concatenate([sorted(s) for s in sets]).astype(np.uint64), np.array([len(s) for s in sets])
